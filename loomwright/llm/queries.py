@@ -34,3 +34,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@_query
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.simhash import hex_fingerprint, simhash_groups
+
+    out = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, bits=64, distance=3)
+    return out.select(F.col("doc").alias("doc_id"), hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
