@@ -1,0 +1,59 @@
+import random
+import re
+
+from loomwright.llm.quality import repeat_words, score_quality, trusted_ids
+from loomwright.llm.quality import _hashes as hashes
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    inside = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(inside)
+
+
+def texts(n=80):
+    r = random.Random(4)
+    out = [None, "", " \t\r\n", "a\x85b c d", "x " * 60, "| <b> #1 & %", "é\né\n\n é \né"]
+    for _ in range(n):
+        w = [r.choice(["le", "Été", "of", "日本", "a b", "the", "the"]) for _ in range(r.randrange(60))]
+        if r.random() < 0.5:
+            w = w + ["sep"] + w[: r.randrange(30)] + w[:9]
+        out.append("".join(x + r.choice([" ", "\n", "\t", "  ", "\x0b"]) for x in w))
+    return out
+
+
+def test_base_counts_against_brute_force(spark):
+    rows = [(i, t, "kept?", 1.0) for i, t in enumerate(texts())]
+    df = spark.createDataFrame([*rows, (None, "no id", "k", None), rows[9]], "doc_id long, text string, kept string, llr double")
+    got = score_quality(df, spark.createDataFrame([(20, 1)], "doc_id long, quality int").transform(trusted_ids)).collect()
+    assert len(got) == len(rows) + 2
+    for x in got:
+        want = brute(x.text)
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == want
+        assert x.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert x.kept == (not x.base_failed and x.llr >= -0.35)
+
+
+def test_separates_junk_and_handles_empty_tables(spark):
+    r = random.Random(2)
+    clean = [" ".join(r.choice(["river", "stone", "of", "the", "and", "walked", "a"]) for _ in range(60)) for _ in range(120)]
+    junk = [" ".join(r.choice(["river", "stone", "the"]) + r.choice(["***", "%%%", "$$$"]) for _ in range(60)) for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(clean + junk)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 120, 3)] + [(130, 0), (None, 1)], "doc_id long, quality int")
+    kept = {x.doc_id for x in score_quality(df, trusted_ids(labels)).where("kept").collect()}
+    assert kept == set(range(120))
+    assert score_quality(df, trusted_ids(labels.limit(0))).where("kept").count() == 145
+    assert score_quality(df.limit(0), trusted_ids(labels)).count() == 0
+
+
+def test_repeat_words_over_long_texts():
+    words = [b"%d" % i for i in range(30_000)]
+    assert repeat_words(hashes(words)) == 0
+    assert repeat_words(hashes(words + words[100:110])) == 20
