@@ -71,3 +71,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = score_quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+@_query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
