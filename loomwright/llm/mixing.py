@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import pack, prepare, unpack, word_count
+from loomwright.llm.common import durable, pack, prepare, unpack, word_count
 
 WEIGHTS = (5, 2, 1)
 TOTAL_PERCENT = 150
 MAX_REPEATS = 2
+#: Rows of the source table (three numbers and a name each) up to which it is sent to every executor.
+BROADCAST_SOURCES = 100_000
 
 
 def coin(id_col: Column, seed: str = "mix") -> Column:
@@ -59,12 +61,15 @@ def plan_mix(
     get the same copies. Nulls form a source of their own. A source without words has target 0 and takes nothing. An
     empty table gives an empty table.
 
-    Only (source, size) is aggregated, partially before the shuffle. The join with the source table is an equi-join
-    whose side Spark broadcasts where its measured size allows, and splits where a source is hot otherwise.
+    Only (source, size) is aggregated, partially before the shuffle. The source table is written and counted: up to
+    ``BROADCAST_SOURCES`` rows it is broadcast, so that documents never move; beyond, documents are joined by source,
+    which adaptive execution splits where a source is hot.
     """
     prepare(docs.sparkSession)
     rows = pack(docs, source=F.col(source_col).cast("string"), size=word_count(text_col), u=coin(F.col(id_col), seed))
-    targets = source_targets(rows.select("source", "size"), weights, total_percent, max_repeats).withColumnRenamed("source", "source2")
+    targets = durable(source_targets(rows.select("source", "size"), weights, total_percent, max_repeats).withColumnRenamed("source", "source2"), "targets")
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("source2")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("rate", rate)
