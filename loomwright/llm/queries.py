@@ -101,3 +101,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.toxicity import score_toxicity
 
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_pretokens", "n_tokens")
