@@ -108,3 +108,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_pretokens", "n_tokens")
+
+
+@_query
+def op2_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.chunk_store import read_store, write_store
+    from loomwright.llm.common import scratch_path
+
+    docs = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "token-store")
+    write_store(docs, path)
+    return read_store(spark, path)
