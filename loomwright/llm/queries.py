@@ -119,3 +119,10 @@ def op2_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     write_store(docs, path)
     return read_store(spark, path)
+
+
+@_query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
