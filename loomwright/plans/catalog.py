@@ -18,3 +18,10 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
+
+
+def _load() -> None:
+    from loomwright.plans import dialog, text  # noqa: F401
+
+
+_load()
