@@ -71,11 +71,11 @@ def bleu(df: DataFrame, candidate: str, reference: str, most: int = 4) -> DataFr
     """bleu1..bleu4 of a corpus of one candidate and one reference each: clipped n-gram precisions, brevity penalty."""
     words = df.select(F.filter(F.split(candidate, " "), lambda w: w != "").alias("c"), F.filter(F.split(reference, " "), lambda w: w != "").alias("r"))
     count = lambda a, g: F.size(F.filter(a, lambda x: x == g))
+    clipped = lambda c, r: F.aggregate(F.array_distinct(c), F.lit(0), lambda a, g: a + F.least(count(c, g), count(r, g)))
     sums = []
     for n in range(1, most + 1):
         c, r = ngrams(F.col("c"), n), ngrams(F.col("r"), n)
-        clipped = F.aggregate(F.array_distinct(c), F.lit(0), lambda a, g, c=c, r=r: a + F.least(count(c, g), count(r, g)))
-        sums += [F.sum(clipped).alias(f"m{n}"), F.sum(F.size(c)).alias(f"t{n}")]
+        sums += [F.sum(clipped(c, r)).alias(f"m{n}"), F.sum(F.size(c)).alias(f"t{n}")]
     t = words.agg(*sums, F.sum(F.size("c")).alias("cl"), F.sum(F.size("r")).alias("rl"))
     brevity = F.when(F.col("cl") < F.col("rl"), F.exp(1 - F.col("rl") / F.col("cl"))).otherwise(1.0)
     logs = [F.ln((F.col(f"m{n}") + 1e-15) / (F.col(f"t{n}") + 1e-9)) for n in range(1, most + 1)]
@@ -108,7 +108,8 @@ def cider(df: DataFrame, key: str, candidate: str, reference: str, most: int = 4
     frequencies count the references that hold an n-gram."""
     words = df.select(F.col(key).alias("k"), F.filter(F.split(candidate, " "), lambda w: w != "").alias("c"), F.filter(F.split(reference, " "), lambda w: w != "").alias("r"))
     docs = words.count()
-    grams = lambda col: F.flatten(F.array(*[F.transform(ngrams(F.col(col), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, most + 1)]))
+    of_size = lambda col, n: F.transform(ngrams(F.col(col), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+    grams = lambda col: F.flatten(F.array(*[of_size(col, n) for n in range(1, most + 1)]))
     counts = lambda col: words.select("k", F.explode(grams(col)).alias("s")).groupBy("k", "s.n", "s.g").agg(F.count("*").alias(f"f{col}"))
     c, r = counts("c"), counts("r")
     df_of = r.groupBy("n", "g").agg(F.countDistinct("k").alias("d"))
@@ -169,10 +170,10 @@ def fid(a: DataFrame, b: DataFrame, vec: str = "vec") -> float:
 
 def inception_score(df: DataFrame, probs: str, split: Column) -> DataFrame:
     """(mean, std) over splits of exp(mean KL(p(y|x) || p(y))); std of the population."""
-    flat = df.select(split.alias("s"), F.monotonically_increasing_id().alias("row"), F.posexplode(probs).alias("y", "p"))
+    flat = df.select(split.alias("s"), F.posexplode(probs).alias("y", "p"))
     w = Window.partitionBy("s", "y")
     kl = F.when(F.col("p") > 0, F.col("p") * (F.ln("p") - F.ln("q"))).otherwise(0.0)
-    per = flat.withColumn("q", F.avg("p").over(w)).groupBy("s").agg(F.exp(F.sum(kl) / F.countDistinct("row")).alias("e"))
+    per = flat.withColumn("q", F.avg("p").over(w)).groupBy("s").agg(F.exp(F.sum(kl) / F.sum((F.col("y") == 0).cast("long"))).alias("e"))
     return per.agg(F.avg("e").alias("is_mean"), F.stddev_pop("e").alias("is_std"))
 
 
@@ -194,6 +195,7 @@ def meter_window(df: DataFrame, meter: str, order: list[str], value: str, size:
         F.max(value).over(last).alias("window_max"),
         F.col(value).alias("last_value"),
         F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("global_avg"),
+        F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("global_n"),
     )
 
 
