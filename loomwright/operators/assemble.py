@@ -36,7 +36,7 @@ def group_members(members: DataFrame, suffixes: set[str] | None = None) -> DataF
             have[suffix] = payload
         if have:
             out.append((key, have))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]] * len(out), "n": range(len(out)), "key": [k for k, _ in out], "data": [list(h.items()) for _, h in out]})
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]] * len(out), "n": range(len(out)), "key": [k for k, _ in out], "data": [h for _, h in out]})
 
     return members.select("shard", "ord", "member", "payload").groupBy("shard").applyInPandas(groups, "shard string, n long, key string, data map<string,binary>")
 

@@ -20,6 +20,11 @@ def read_tar(spark: SparkSession, path: str | list[str], mask: str = "*.tar", ex
     A shard that breaks off gives the members read so far and one row with the error alone, or fails the job
     (``tolerant=False``). ``exts`` leaves other members' bytes unread."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", mask).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return expand_tar(files, exts, tolerant)
+
+
+def expand_tar(files: DataFrame, exts: tuple[str, ...] | None = None, tolerant: bool = True) -> DataFrame:
+    """read_tar() for a table of path and content."""
 
     def members(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:

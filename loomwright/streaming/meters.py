@@ -1,0 +1,52 @@
+"""Run meters and codebooks over streams."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+_OUT = "meter string, n long, window_avg double, window_median double, window_max double, last_value double, global_avg double"
+_STATE = "ring array<double>, n long, total double"
+
+
+def meter_stream(events: DataFrame, meter: str, order: str, value: str, size: int = 20) -> DataFrame:
+    """For each meter and micro-batch its last ``size`` values' mean, lower median and maximum, and the mean since the
+    start. The state of a meter is a ring of ``size`` numbers and two sums, whatever the stream's length."""
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ring, n, total = state.get if state.exists else ([], 0, 0.0)
+        ring = list(ring)
+        rows = pd.concat(list(pdfs)).sort_values("o")
+        for x in rows["v"].dropna():
+            ring = [*ring, float(x)][-size:]
+            n, total = n + 1, total + float(x)
+        state.update((ring, n, total))
+        if ring:
+            yield pd.DataFrame([(key[0], n, sum(ring) / len(ring), sorted(ring)[(len(ring) - 1) // 2], max(ring), ring[-1], total / n)], columns=["meter", "n", "window_avg", "window_median", "window_max", "last_value", "global_avg"])
+
+    src = events.select(F.col(meter).cast("string").alias("meter"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+    return src.groupBy("meter").applyInPandasWithState(step, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def windowed_totals(events: DataFrame, time: str, meter: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Sums and counts for each meter in windows of event time, behind a watermark."""
+    return events.withWatermark(time, late).groupBy(F.window(time, width), meter).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
+
+
+def follow_codebook(vectors: DataFrame, codebook: DataFrame, path: str, checkpoint: str, decay: float = 0.99):
+    """A streaming query that moves a codebook by each micro-batch's means and writes it as a table for each epoch. On a
+    restart it goes on from the last table, so that a batch that is delivered twice is written over, not counted twice."""
+    from loomwright.operators.vq import ema_step
+
+    spark = vectors.sparkSession
+    codebook.write.mode("overwrite").parquet(f"{path}/epoch=-1")
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        before = spark.read.parquet(f"{path}/epoch={epoch - 1}")
+        ema_step(batch, before, decay).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return vectors.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
