@@ -50,22 +50,27 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token, by the tokenizer's model."""
+        mapped = part.replace(" ", self.space) if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        packed = self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
     def _piece(self, word: bytes) -> bytes:
+        known = self.known
         text = word.decode("utf-8", "replace")
+        if not self.bytes_level:
+            # most new words are letters alone, or with a comma or period behind them
+            core, mark = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
+            if core.isalpha() and (core.isascii() or _PLAIN.fullmatch(core)):
+                core = core.lower()
+                ids = known.get(core) or self._part(core)
+                return ids + (known.get(mark) or self._part(mark)) if mark else ids
         if text[-1] == " " or not _PLAIN.fullmatch(text):
             return self._plain(text)
-        out, known = [], self.known
-        for part in self.parts.findall(text if self.bytes_level else text.lower()):
-            ids = known.get(part)
-            if ids is None:
-                if part.isascii():
-                    mapped = part.replace(" ", self.space)
-                else:
-                    mapped = part.encode().decode("latin-1").translate(self.alphabet)
-                tokens = self.model.tokenize(mapped)
-                ids = known[part] = struct.pack(f"<{len(tokens)}I", *[x.id for x in tokens])
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
+        parts = self.parts.findall(text if self.bytes_level else text.lower())
+        return b"".join([known.get(p) or self._part(p) for p in parts])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, four bytes each."""
@@ -83,7 +88,10 @@ class Encoder:
                 for i, ids in enumerate(got):
                     if ids is None:
                         w = ws[i]
-                        got[i] = cache.get(w) or cache.setdefault(w, self._piece(w))
+                        ids = cache.get(w)
+                        if ids is None:
+                            ids = cache[w] = self._piece(w)
+                        got[i] = ids
                 if len(cache) > CACHE_PIECES:
                     cache.clear()
                 if len(self.known) > CACHE_PIECES:
