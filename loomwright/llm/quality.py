@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -78,17 +79,38 @@ def base_counts(text: bytes, words: list[bytes], h: np.ndarray) -> tuple[int, in
     )
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> np.ndarray:
-    """Log ratios of the trusted multinomial to that of all documents for each bucket.
+@dataclass(frozen=True)
+class Model:
+    """N-gram counts of all documents and of the trusted ones, by bucket, and the trusted ids."""
 
-    Each corpus count is smoothed by one and each trusted count by the trusted share of all n-grams, so that a bucket
-    in which trusted text is as frequent as elsewhere has 0 however rare it is.
+    every: np.ndarray
+    trusted: np.ndarray
+    ids: frozenset
 
-    Counts cover every whole document; each task sends one row for a bucket at most. ``trusted`` holds ids in a
-    column ``doc``. Without any trusted document all ratios are 0.
-    """
+    def ratio(self, b: np.ndarray, trusted: bool) -> float:
+        """The mean log-likelihood ratio of a document's n-grams, trusted multinomial to corpus multinomial.
+
+        The document itself is left out of both, so that its own rare words don't count against it where the corpus is
+        small. Corpus counts are smoothed by one and trusted counts by the trusted share of all n-grams, so that a
+        bucket in which trusted text is as frequent as elsewhere has 0 however rare it is.
+        """
+        total, good, size = self.every.sum(), self.trusted.sum(), len(self.every)
+        if not len(b) or not good:
+            return 0.0
+        share = good / total
+        own = np.bincount(b, minlength=size)[b]
+        every = np.maximum(self.every[b] - own, 0) + 1
+        kept = np.maximum(self.trusted[b] - own * trusted, 0) + share
+        sums = np.log(max(good - trusted * len(b), 0) + share * size) - np.log(max(total - len(b), 0) + size)
+        return float((np.log(kept) - np.log(every)).mean() - sums)
+
+
+def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> Model:
+    """Counts over every whole document; each task sends one row for a bucket at most. ``trusted`` holds ids in a column
+    ``doc``."""
     ids = trusted.where("doc IS NOT NULL").select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(max_trusted)
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(r.doc for r in ids.collect()))
+    chosen = frozenset(r.doc for r in ids.collect())
+    known = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def count(batches):
         of, trusted_of = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
@@ -112,10 +134,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     of, trusted_of = np.zeros(buckets), np.zeros(buckets)
     for r in rows:
         of[r.b], trusted_of[r.b] = r.n, r.t
-    if not trusted_of.any():
-        return np.zeros(buckets)
-    share = trusted_of.sum() / of.sum()
-    return np.log((trusted_of + share) / (trusted_of.sum() + share * buckets)) - np.log((of + 1) / (of.sum() + buckets))
+    return Model(of, trusted_of, chosen)
 
 
 def score_quality(
@@ -124,7 +143,8 @@ def score_quality(
     """The input's columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), llr (double),
     base_failed and kept (boolean); such names in the input are replaced.
 
-    ``llr`` is the mean over a document's n-grams (words, pairs of words, word endings) of the log ratio; a document without words has 0.
+    ``llr`` is the mean over a document's n-grams (words, pairs of words, word endings) of the log ratio, the document
+    itself left out of the counts; a document without words, and all where nothing is trusted, have 0.
     base_failed: under 20 words, or over 30 % of them in repeated 8-word windows. kept: not base_failed, and llr at
     least ``threshold``. Nulls are empty texts, which fail; repeated rows are counted and scored each; a null id is
     never trusted. An empty table gives an empty table. The text is read twice and never shuffled.
@@ -134,17 +154,17 @@ def score_quality(
     fields = [*[T.StructField(c, T.LongType()) for c in BASE_FIELDS], T.StructField("llr", T.DoubleType())]
 
     @F.arrow_udf(T.StructType(fields))
-    def judge(text: pa.Array) -> pa.Array:
-        rows, ratios = [], model.value
-        for t in text.to_pylist():
+    def judge(text: pa.Array, doc: pa.Array) -> pa.Array:
+        rows, m = [], model.value
+        for t, d in zip(text.to_pylist(), doc.to_pylist()):
             words = t.split()
             h = _hashes(words)
-            llr = float(ratios[ngram_buckets(words, h, buckets)].mean()) if words else 0.0
+            llr = m.ratio(ngram_buckets(words, h, buckets), d in m.ids)
             rows.append((*base_counts(t, words, h), llr))
         cols = zip(*rows) if rows else [[]] * 6
         return pa.StructArray.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.float64()) for i, c in enumerate(cols)], [f.name for f in fields])
 
-    rows = pack(docs, t=raw(text_col)).withColumn("q", judge("t"))
+    rows = pack(docs, t=raw(text_col), d=F.col(id_col).cast("long")).withColumn("q", judge("t", "d"))
     failed = base_failed(F.col("q.n_words"), F.col("q.n_repeat_words"))
     add = {f.name: F.col("q")[f.name] for f in fields}
     return unpack(rows, docs, add=add | {"base_failed": failed, "kept": ~failed & (F.col("q.llr") >= threshold)})
