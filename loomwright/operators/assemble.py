@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators.numbering import prefix
+
 
 def group_adjacent(df: DataFrame, part: str, order: str, key: str) -> DataFrame:
     """``df`` with group_no, from 0 in each part, that rises where the key differs from the row before."""
@@ -72,24 +74,14 @@ def prune_context(context: Column) -> Column:
 
 
 def instance_ids(df: DataFrame, *order: str) -> DataFrame:
-    """instance_id: the row's place as text, from "0". The order is total over the table; large tables number each
-    range partition from its offset, so that no task sees all rows."""
-    spark = df.sparkSession
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    sizes = sorted((r["_p"], r["count"]) for r in parts.groupBy("_p").count().collect())
-    base, at = [(-1, 0)], 0
-    for p, n in sizes:
-        base.append((p, at))
-        at += n
-    bases = spark.createDataFrame(base, "_p int, _b long")
-    w = Window.partitionBy("_p").orderBy(*order)
-    return parts.join(F.broadcast(bases), "_p").withColumn("instance_id", (F.col("_b") + F.row_number().over(w) - 1).cast("string")).drop("_p", "_b")
+    """instance_id: the row's place in the order over the whole table, as text, from "0"."""
+    return prefix(df, list(order), place="_place").withColumn("instance_id", F.col("_place").cast("string")).drop("_place")
 
 
 def dense_ids(df: DataFrame, key: str, order: str, name: str = "img_id") -> DataFrame:
-    """``df`` with a number for each key in the order of first appearance. Keys are ranked after the aggregation."""
+    """``df`` with a number for each key in the order of first appearance. Only one row for each key is numbered."""
     firsts = df.groupBy(key).agg(F.min(order).alias("_first"))
-    ranked = firsts.withColumn(name, F.row_number().over(Window.orderBy("_first", key)) - 1).drop("_first")
+    ranked = prefix(firsts, ["_first", key], place=name).select(key, F.col(name).cast("int").alias(name))
     return df.join(ranked, key)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.rng import u01
+from loomwright.operators.numbering import prefix
 
 
 def concat(*dfs: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def concat_common(*dfs: DataFrame) -> DataFrame:
 
 def round_robin(df: DataFrame, stream: str, order: str) -> DataFrame:
     """round: the row's place in its stream; ordered by (round, stream) streams take turns until all end."""
-    return df.withColumn("round", F.row_number().over(Window.partitionBy(stream).orderBy(order)))
+    return prefix(df, [order], within=stream, place="_place").withColumn("round", (F.col("_place") + 1).cast("int")).drop("_place")
 
 
 def race(df: DataFrame, stream: str, order: str, weights: dict[str, float], salt: str = "race") -> DataFrame:
@@ -31,8 +32,7 @@ def race(df: DataFrame, stream: str, order: str, weights: dict[str, float], salt
     live stream in proportion to the weights. An order column that is a batch makes weights count batches."""
     rate = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])[F.col(stream)]
     wait = -F.ln(u01(F.col(order), salt) + 1e-12) / rate
-    w = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("arrival", F.sum(wait).over(w))
+    return prefix(df, [order], within=stream, value=wait, place="_place", running="arrival").drop("_place")
 
 
 def mix(streams: dict[str, DataFrame], mode: str = "concat", weights: list[float] | None = None, order: str = "key") -> DataFrame:

@@ -103,6 +103,8 @@ END_OF_CHUNK = "<|endofchunk|>"
 # ----------------------------------------------------------------------------------------------------------------------
 
 Tokenize = Callable[[Column], Column]
+#: What rendering adds; columns with such names are replaced.
+OUTPUTS = ("text", "input_ids", "attention_mask", "labels", "truncated", "filter_flag")
 SEGMENTS = "array<struct<text:string,supervised:boolean>>"
 
 
@@ -132,7 +134,7 @@ def finish(df: DataFrame, segments: Column, length: int, tokenize: Tokenize = A.
     ids, labels = tokens_and_labels(F.col("_s"), tokenize)
     df = df.withColumn("_s", segments).withColumn("_i", ids).withColumn("_l", labels)
     return df.select(
-        *[c for c in df.columns if c not in ("_s", "_i", "_l")],
+        *[c for c in df.columns if c not in ("_s", "_i", "_l", *OUTPUTS)],
         text_of(F.col("_s")).alias("text"),
         A.pad_truncate(F.col("_i"), length).alias("input_ids"),
         A.attention(F.size("_i"), length).alias("attention_mask"),
@@ -153,7 +155,7 @@ def finish_text(df: DataFrame, text: Column, length: int, tokenize: Tokenize = A
         labels = A.mask_prefix(labels, masked)
         flag = flag & (masked <= length)
     return df.select(
-        *[c for c in df.columns if c not in ("_t", "_i")], F.col("_t").alias("text"), ids.alias("input_ids"), A.attention(F.size("_i"), length).alias("attention_mask"), labels.alias("labels"), (F.size("_i") > length).alias("truncated"), flag.alias("filter_flag")
+        *[c for c in df.columns if c not in ("_t", "_i", *OUTPUTS)], F.col("_t").alias("text"), ids.alias("input_ids"), A.attention(F.size("_i"), length).alias("attention_mask"), labels.alias("labels"), (F.size("_i") > length).alias("truncated"), flag.alias("filter_flag")
     )
 
 

@@ -57,7 +57,7 @@ def _segments(fn):
 def _caption(df, key, max_length=128, reverse_ratio=0.5, mask_left_label=False, caption_prompt=None, use_caption_in_metadata=False, caption_key_in_metadata="top_caption"):
     text = F.get_json_object("metadata", f"$.{caption_key_in_metadata}") if use_caption_in_metadata else F.col("text")
     prompts = [caption_prompt] if isinstance(caption_prompt, str) else caption_prompt
-    return R.caption_pair(df.withColumnRenamed("text", "caption") if not use_caption_in_metadata else df, F.col("image_ids"), F.col("caption") if not use_caption_in_metadata else text, F.col(key), max_length, reverse_ratio, mask_left_label, prompts=prompts)
+    return R.caption_pair(df.withColumn("caption", text), F.col("image_ids"), F.col("caption"), F.col(key), max_length, reverse_ratio, mask_left_label, prompts=prompts)
 
 
 @renderer("edit")
@@ -67,8 +67,7 @@ def _edit(df, key, max_length=128):
 
 @renderer("interleaved")
 def _interleaved(df, key, max_length=512, reverse_ratio=0.5, max_images=None):
-    items = F.arrays_zip(F.col("image_ids"), F.col("texts").alias("text"))
-    items = F.transform(items, lambda x: F.struct(x["image_ids"].alias("image_ids"), x["texts"].alias("text")))
+    items = F.zip_with("image_ids", "texts", lambda i, t: F.struct(i.alias("image_ids"), t.alias("text")))
     return R.finish_text(df, R.interleaved_text(items, F.col(key), reverse_ratio, max_images), max_length)
 
 
@@ -77,7 +76,7 @@ def _retrieval(df, key, max_length=512, reverse_ratio=0.5, max_images=None, mask
     own = F.struct(F.col("image_ids"), F.col("text"))
     context = F.transform("context", lambda c: F.struct(c["image_ids"].alias("image_ids"), c["text"].alias("text")))
     s = R.retrieval_augmented(own, context, F.col(key), reverse_ratio, max_images, mask_left_label)
-    return R.finish(df.withColumn("_seg", s).drop("text"), F.col("_seg"), max_length).drop("_seg")
+    return R.finish(df, s, max_length)
 
 
 @renderer("few_shot")

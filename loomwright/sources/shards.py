@@ -42,6 +42,8 @@ def expand_tar(files: DataFrame, exts: tuple[str, ...] | None = None, tolerant:
                                     raise tarfile.ReadError(f"{info.name} is cut off")
                                 rows.append((shard, ord_, info.name, ext, payload, None))
                             ord_ += 1
+                        if content[257:262] == b"ustar" and 0 < len(content) - tar.offset < 512:  # plain tars end on whole blocks
+                            raise tarfile.ReadError("a header is cut off")
                 except Exception as e:  # any damage ends the shard, as its framing is lost
                     if not tolerant:
                         raise
