@@ -126,3 +126,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.html_extract import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+#: For pages whose article stands in one article element of h1 and p blocks, as all of the driver's do.
+ORACLES["op8_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(regexp_replace(a, '<br>', ' ', 'g'), '</?(?:h1|p)>'),
+        lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '</?b>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS b FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
