@@ -77,3 +77,12 @@ def test_vectors_and_schedules(spark):
 def test_hash_randomness(spark):
     r = spark.range(20_000).select(F.avg(u01(F.col("id"), "x")).alias("m"), F.min(u01(F.col("id"), "x")).alias("lo"), F.max(u01(F.col("id"), "x")).alias("hi"), F.countDistinct(pick(F.col("id"), "y", 7)).alias("n")).first()
     assert abs(r.m - 0.5) < 0.01 and 0 <= r.lo and r.hi < 1 and r.n == 7
+
+
+def test_tokenizer_files(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from loomwright.functions.tokenizer import encode
+
+    path = P.path("word_bpe_49k.json")
+    got = values(spark, ["A  dog &amp;amp; cat", "a dog & cat", None, ""], lambda t: encode(t, path))
+    assert got[0] == got[1] and len(got[0]) == 4 and got[2:] == [None, []]
