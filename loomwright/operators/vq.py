@@ -47,7 +47,7 @@ def assign_large(vectors: DataFrame, codebook: DataFrame, id_col: str = "vec_id"
         for b in batches:
             if b.num_rows:
                 v = np.array(b.column(1).to_pylist(), np.float64)
-                d = norms[None, :] - 2 * np.einsum("ij,kj->ik", v, w)
+                d = norms[None, :] - 2 * v @ w.T
                 at = d.argmin(axis=1)
                 dist = d[np.arange(len(v)), at] + np.einsum("ij,ij->i", v, v)
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(codes[at], pa.int32()), pa.array(dist)], ["id", "code", "dist"])
