@@ -70,7 +70,7 @@ def column_generation(demand: np.ndarray, capacity: int, max_columns: int = 20_0
         value, pattern = price(y, capacity)
         if value <= 1 + 1e-9:
             break
-        direction = inverse @ pattern[rows]
+        direction = np.einsum("ij,j->i", inverse, pattern[rows].astype(float))  # no threaded BLAS beside the JVM
         up = direction > 1e-9
         ratio = np.full(len(rows), np.inf)
         ratio[up] = amounts[up] / direction[up]
@@ -82,7 +82,7 @@ def column_generation(demand: np.ndarray, capacity: int, max_columns: int = 20_0
         inverse = inverse - np.outer(direction, pivot)
         inverse[out] = pivot
         cols[out] = pattern
-        if step % 200 == 199:  # a Newton step against the drift of repeated updates; einsum, as threaded BLAS may stall beside the JVM
+        if step % 200 == 199:  # a Newton step against the drift of repeated updates
             off = 2 * np.eye(len(rows)) - np.einsum("ij,jk->ik", cols[:, rows].T.astype(float), inverse)
             inverse = np.einsum("ij,jk->ik", inverse, off)
             amounts = np.maximum(np.einsum("ij,j->i", inverse, demand[rows].astype(float)), 0)
