@@ -10,9 +10,11 @@ IGNORE = -100
 _BUCKETS = 31_997
 
 
-def word_ids(text: Column) -> Column:
-    """Ids of the words between single spaces, 3 + md5 modulo 31,997: a stand-in for a vocabulary, equal in DuckDB."""
+def word_ids(text: Column, most: int | None = None) -> Column:
+    """Ids of the words between single spaces, 3 + md5 modulo 31,997: a stand-in for a vocabulary, equal in DuckDB. With
+    ``most``, of the first words only, as a caller that truncates needs no more."""
     words = F.filter(F.split(text, " ", -1), lambda w: w != "")
+    words = words if most is None else F.slice(words, 1, most)
     return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % _BUCKETS + 3).cast("int"))
 
 

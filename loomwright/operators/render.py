@@ -120,10 +120,16 @@ def text_of(segments: Column) -> Column:
     return F.array_join(F.transform(segments, lambda s: s["text"]), "")
 
 
-def tokens_and_labels(segments: Column, tokenize: Tokenize) -> tuple[Column, Column]:
-    """Ids of the segments with begin and end, and labels: -100 but for supervised segments and the end."""
-    ids = F.flatten(F.transform(segments, lambda s: tokenize(s["text"])))
-    labels = F.flatten(F.transform(segments, lambda s: F.when(s["supervised"], tokenize(s["text"])).otherwise(A.ignored(tokenize(s["text"])))))
+def _bounded(tokenize: Tokenize, length: int) -> Tokenize:
+    """The tokenizer for a result that is cut to ``length``: a part needs no more ids than that, and is cut either way."""
+    return (lambda c: A.word_ids(c, length)) if tokenize is A.word_ids else tokenize
+
+
+def tokens_and_labels(parts: Column) -> tuple[Column, Column]:
+    """Ids of tokenized segments (structs of ids and supervised) between begin and end, and labels: -100 but for supervised
+    segments and the end."""
+    ids = F.flatten(F.transform(parts, lambda p: p["ids"]))
+    labels = F.flatten(F.transform(parts, lambda p: F.when(p["supervised"], p["ids"]).otherwise(A.ignored(p["ids"]))))
     bos, eos = F.array(F.lit(A.BOS_ID)), F.array(F.lit(A.EOS_ID))
     return F.concat(bos, ids, eos), F.concat(F.array(F.lit(A.IGNORE)), labels, eos)
 
@@ -131,10 +137,12 @@ def tokens_and_labels(segments: Column, tokenize: Tokenize) -> tuple[Column, Col
 def finish(df: DataFrame, segments: Column, length: int, tokenize: Tokenize = A.word_ids) -> DataFrame:
     """``df`` with text, input_ids, attention_mask, labels (all ``length`` long) and truncated; rows whose segments are
     null get nulls, and filter_flag false. Cutting to the length may remove the end id."""
-    ids, labels = tokens_and_labels(F.col("_s"), tokenize)
-    df = df.withColumn("_s", segments).withColumn("_i", ids).withColumn("_l", labels)
+    tokenize = _bounded(tokenize, length)
+    parts = F.transform("_s", lambda s: F.struct(tokenize(s["text"]).alias("ids"), s["supervised"].alias("supervised")))
+    ids, labels = tokens_and_labels(F.col("_p"))
+    df = df.withColumn("_s", segments).withColumn("_p", parts).withColumn("_i", ids).withColumn("_l", labels)
     return df.select(
-        *[c for c in df.columns if c not in ("_s", "_i", "_l", *OUTPUTS)],
+        *[c for c in df.columns if c not in ("_s", "_p", "_i", "_l", *OUTPUTS)],
         text_of(F.col("_s")).alias("text"),
         A.pad_truncate(F.col("_i"), length).alias("input_ids"),
         A.attention(F.size("_i"), length).alias("attention_mask"),
@@ -147,7 +155,8 @@ def finish(df: DataFrame, segments: Column, length: int, tokenize: Tokenize = A.
 def finish_text(df: DataFrame, text: Column, length: int, tokenize: Tokenize = A.word_ids, masked: Column | None = None, keep: Column | None = None) -> DataFrame:
     """As finish(), for one text between begin and end in which every id is supervised but pads (by id, so unknown words
     that share the pad's id are ignored too) and the first ``masked`` ids."""
-    df = df.withColumn("_t", text).withColumn("_i", F.concat(F.array(F.lit(A.BOS_ID)), tokenize(F.col("_t")), F.array(F.lit(A.EOS_ID))))
+    ids = _bounded(tokenize, length)(F.col("_t"))
+    df = df.withColumn("_t", text).withColumn("_i", F.concat(F.array(F.lit(A.BOS_ID)), ids, F.array(F.lit(A.EOS_ID))))
     ids = A.pad_truncate(F.col("_i"), length)
     labels = A.mask_id(ids)
     flag = F.col("_t").isNotNull() & (F.lit(True) if keep is None else keep)
