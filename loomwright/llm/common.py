@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.session import discard, durable, scratch_path, shared_dir, ship  # noqa: F401
+from loomwright.session import discard, durable, scratch_path, ship  # noqa: F401
 
 #: Rows of one Arrow batch: with whole documents in the rows, the default of 10,000 can be over a gigabyte.
 BATCH_ROWS = 2000
@@ -67,7 +66,3 @@ def unpack(df: DataFrame, docs: DataFrame, replace: dict[str, Column] | None = N
     replace, add = replace or {}, add or {}
     keep = [(replace[c] if c in replace else F.col("row")[c]).alias(c) for c in docs.columns if c not in add]
     return df.select(*keep, *[v.alias(k) for k, v in add.items()])
-
-
-def safe(name: str) -> str:
-    return "`" + re.sub("`", "``", name) + "`"

@@ -9,8 +9,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct pieces that one worker remembers; then it starts anew (about 150 MB).
-CACHE_PIECES = 600_000
+#: Distinct pieces in each of the two generations that one worker remembers (about 80 MB each).
+CACHE_PIECES = 300_000
 
 _BYTE_PIECE = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 #: White space outside space and \t to \r: a byte-level text that has any is encoded as a whole.
@@ -45,13 +45,19 @@ class Encoder:
         self.alphabet = byte_alphabet()
         self.space = chr(self.alphabet[32])
         self.cache: dict[bytes, bytes] = {}
+        self.aged: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.known_aged: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, by the tokenizer's model."""
+        packed = self.known_aged.get(part)
+        if packed is not None:
+            self.known[part] = packed
+            return packed
         mapped = part.replace(" ", self.space) if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
         ids = [t.id for t in self.model.tokenize(mapped)]
         packed = self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
@@ -74,28 +80,33 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, four bytes each."""
-        cache, out = self.cache, []
+        out = []
         for t in texts:
             if not self.bytes_level:
-                ws = t.split()
+                ws = t.lower().split()  # this vocabulary is lower case
             elif _ODD_SPACE.search(t) and _OTHER_SPACE.search(t.decode("utf-8", "replace")):
                 out.append(self._plain(t.decode("utf-8", "replace")))
                 continue
             else:
                 ws = _BYTE_PIECE.findall(t)
+            cache = self.cache
             got = list(map(cache.get, ws))
             if None in got:
+                aged = self.aged
                 for i, ids in enumerate(got):
                     if ids is None:
                         w = ws[i]
                         ids = cache.get(w)
                         if ids is None:
-                            ids = cache[w] = self._piece(w)
+                            ids = aged.get(w)
+                            if ids is None:
+                                ids = self._piece(w)
+                            cache[w] = ids
                         got[i] = ids
-                if len(cache) > CACHE_PIECES:
-                    cache.clear()
+                if len(cache) > CACHE_PIECES:  # pieces in use come back from the generation before
+                    self.cache, self.aged = {}, cache
                 if len(self.known) > CACHE_PIECES:
-                    self.known.clear()
+                    self.known, self.known_aged = {}, self.known
             out.append(b"".join(got))
         return out
 

@@ -11,7 +11,7 @@ FILES = {"bytes": "byte_bpe_50k.json", "words": "word_bpe_49k.json"}
 
 def texts():
     r = random.Random(7)
-    bits = ["the", " ", "  ", "\n", "\n\n", "\t", " \n ", "É", "é", "́x", "don't", "'s", "42", "日本語", "<|endoftext|>", " ", "　", "\x1c", "\x85", "\x00", "🙂", "İ", "ΑΣ", "-", "--", "of.\nThe", "\r\n", "ﬁ", "a\x0bb", "naïve_x", "Straße", "Ŀ", "ĳ", "x²", "½", "ª", "µ", "×", "l'll", "IT'S", "Æ", "ÿ", "Œ"]
+    bits = ["the", " ", "  ", "\n", "\n\n", "\t", " \n ", "É", "é", "́x", "don't", "'s", "42", "日本語", "<|endoftext|>", " ", "　", "\x1c", "\x85", "\x00", "🙂", "İ", "ΑΣ", "-", "--", "of.\nThe", "\r\n", "ﬁ", "a\x0bb", "naïve_x", "Straße", "Ŀ", "ĳ", "x²", "½", "ª", "µ", "×", "l'll", "IT'S", "Æ", "ÿ", "Œ", "I\u0307", "E\u0301", "\u212a", "\u212b", "É.", "É,", "Ab.", "...", ",.", "A.B"]
     return ["", " ", "\n", "x", *("".join(r.choice(bits) for _ in range(r.randrange(1, 40))) for _ in range(600))]
 
 
