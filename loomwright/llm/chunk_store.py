@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from loomwright.llm.common import durable, map_arrow, prepare, raw
 from loomwright.llm.tokens import encoder, tokenizer_path
 
-#: Ids in the rolling window, and mean, least and most ids of a chunk.
+#: Ids in the rolling window, and mean (a power of two), least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 128, 4096
 #: Ids of the documents that one manifest covers, about.
 STRETCH_IDS = 1 << 24
@@ -33,17 +33,20 @@ STRETCH_IDS = 1 << 24
 _SEEN = 300_000
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: where the rolling hash of the last WINDOW ids is 0 modulo MEAN, but no chunk
-    under LEAST ids (the last aside) or over MOST."""
-    n = len(ids)
+def rolling_hits(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the rolling hash of the last WINDOW ids is 0 modulo MEAN."""
     g = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     g ^= g >> np.uint64(29)
     g *= np.uint64(0xBF58476D1CE4E5B9)
     total = np.cumsum(g)
-    total[WINDOW:] -= total[:-WINDOW].copy() if n > WINDOW else 0
-    total ^= total >> np.uint64(32)
-    hits = (np.flatnonzero(total % np.uint64(MEAN) == 0) + 1).tolist()
+    rolled = total.copy()
+    rolled[WINDOW:] -= total[:-WINDOW] if len(ids) > WINDOW else 0
+    rolled ^= rolled >> np.uint64(32)
+    return np.flatnonzero(rolled & np.uint64(MEAN - 1) == 0) + 1
+
+
+def cut_ends(hits: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids: at hits, but no chunk under LEAST ids (the last aside) or over MOST."""
     ends, last = [], 0
     for h in [*hits, n]:
         while h - last > MOST:
@@ -57,6 +60,21 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    return cut_ends(rolling_hits(ids).tolist(), len(ids))
+
+
+def cut_many(streams: list[bytes]) -> list[list[int]]:
+    """cut_points() of several id streams (4 bytes an id) in one pass. A hash that reaches back over a stream's beginning
+    lies in its first WINDOW ids, where no chunk can end, as LEAST is more."""
+    sizes = [len(x) // 4 for x in streams]
+    hits = rolling_hits(np.frombuffer(b"".join(streams), "<u4"))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.searchsorted(hits, starts, side="right").tolist()
+    flat = hits.tolist()
+    return [cut_ends([h - s for h in flat[i:j]], n) for s, n, i, j in zip(starts.tolist(), sizes, at, at[1:])]
+
+
 def chunk_key(ids: bytes) -> bytes:
     return hashlib.blake2b(ids, digest_size=16).digest()
 
@@ -76,21 +94,18 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def _blobs(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int, wide: bool) -> DataFrame:
     """Rows of both kinds from one pass over the texts: chunks (key, payload), and recipes (key of all columns, payload)."""
-    store = "<u4" if wide else "<u2"
+    store, size = ("<u4", 4) if wide else ("<u2", 2)
 
     def split(batches):
         enc, seen = encoder(path, "words"), set()
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            texts = enc.encode(b.column(1).to_pylist())
-            for doc, data in zip(b.column(0).to_pylist(), texts):
-                data += end
-                ids = np.frombuffer(data, "<u4")
-                entries, at = [], 0
-                small = ids.astype(store).tobytes()
-                size = len(small) // len(ids)
-                for e in cut_points(ids):
+            texts = [x + end for x in enc.encode(b.column(1).to_pylist())]
+            for doc, data, ends in zip(b.column(0).to_pylist(), texts, cut_many(texts)):
+                entries, at, n = [], 0, len(data) // 4
+                small = np.frombuffer(data, "<u4").astype(store).tobytes()
+                for e in ends:
                     key = chunk_key(data[4 * at : 4 * e])
                     entries.append(key + (e - at).to_bytes(4, "little"))
                     if key not in seen:
@@ -100,7 +115,7 @@ def _blobs(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int,
                         rows.append(("chunk", key, None, None, small[size * at : size * e]))
                     at = e
                 joined = b"".join(entries)
-                rows.append(("recipe", leaf_hash(doc, len(ids), joined), doc, len(ids), joined))
+                rows.append(("recipe", leaf_hash(doc, n, joined), doc, n, joined))
             if rows:
                 kind, key, doc, n, payload = zip(*rows)
                 yield pa.RecordBatch.from_arrays(

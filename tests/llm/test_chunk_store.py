@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from loomwright.llm.chunk_store import LEAST, MOST, cut_points, decode_store, merkle_root, read_store, shift_crc, verify_manifests, write_store
+from loomwright.llm.chunk_store import LEAST, MOST, cut_many, cut_points, decode_store, merkle_root, read_store, shift_crc, verify_manifests, write_store
 from loomwright.llm.tokens import tokenizer_path
 
 
@@ -74,6 +74,8 @@ def test_cutting_and_checksums():
     moved = cut_points(np.concatenate([r.integers(0, 49408, 777), ids]))
     assert len({len(ids) - e for e in ends} & {len(ids) + 777 - e for e in moved}) > 0.8 * len(ends)
     assert cut_points(np.zeros(10_000, np.int64))[-1] == 10_000 and cut_points(np.array([2])) == [1]
+    streams = [r.integers(0, 49408, n).astype("<u4") for n in (1, 15, 16, 17, 127, 5000, 2, 9000)]
+    assert cut_many([x.tobytes() for x in streams]) == [cut_points(x) for x in streams]
     parts = [r.bytes(4 * int(n)) for n in (1, 5, 1000, 70_000, 3)]
     after = np.array([sum(map(len, parts[i + 1 :])) for i in range(5)])
     assert np.bitwise_xor.reduce(shift_crc(np.array([zlib.crc32(p) for p in parts]), after)) == zlib.crc32(b"".join(parts))
