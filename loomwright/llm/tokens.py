@@ -11,11 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces in each of the two generations that one worker remembers (about 100 MB each).
-CACHE_PIECES = 400_000
+#: Distinct pieces in each of the two generations that one worker remembers (about 90 MB each).
+CACHE_PIECES = 350_000
 
 #: Bytes of text whose words are numbered together.
-STRETCH_BYTES = 16_000_000
+STRETCH_BYTES = 4_000_000
 
 _BYTE_PIECE = " ?[^ \\t-\\r]+|[ \\t-\\r]+(?![^ \\t-\\r])|[ \\t-\\r]"
 #: White space outside space and \t to \r: a byte-level text that has any is encoded as a whole.
