@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 #: Distinct pieces in each of the two generations that one worker remembers (about 90 MB each).
 CACHE_PIECES = 350_000
 
-#: Bytes of text whose words are numbered together.
-STRETCH_BYTES = 4_000_000
+#: Bytes of text whose words are numbered together (a single text may have more, up to a gigabyte).
+STRETCH_BYTES = 8_000_000
 
 _BYTE_PIECE = " ?[^ \\t-\\r]+|[ \\t-\\r]+(?![^ \\t-\\r])|[ \\t-\\r]"
 #: White space outside space and \t to \r: a byte-level text that has any is encoded as a whole.
@@ -111,13 +111,14 @@ class Encoder:
         words = pc.ascii_split_whitespace(pc.ascii_lower(col))
         flat = words.flatten().dictionary_encode()
         got = self._look_up(flat.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        ids, first, at = np.frombuffer(b"".join(got), "<u4"), np.cumsum(sizes) - sizes, flat.indices.to_numpy()
+        sizes = np.fromiter(map(len, got), np.int32, len(got)) // 4
+        ids, first, at = np.frombuffer(b"".join(got), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes, flat.indices.to_numpy()
         n = sizes[at]
-        ends = np.cumsum(n)
-        place = np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        ends = np.cumsum(n, dtype=np.int32)
+        place = np.repeat(first[at] - (ends - n), n)
+        place += np.arange(len(place), dtype=np.int32)
         data = ids[place].tobytes()
-        cuts = (4 * np.concatenate([[0], ends])[words.offsets.to_numpy()]).tolist()
+        cuts = (4 * np.concatenate([[0], ends]).astype(np.int64)[words.offsets.to_numpy()]).tolist()
         return [data[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def _encode_bytes(self, t: bytes) -> bytes:
