@@ -8,16 +8,11 @@ import struct
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
-#: Distinct pieces in each of the two generations that one worker remembers (about 90 MB each).
-CACHE_PIECES = 350_000
+#: Distinct pieces that one worker remembers; then it starts anew (about 150 MB).
+CACHE_PIECES = 600_000
 
-#: Bytes of text whose words are numbered together (a single text may have more, up to a gigabyte).
-STRETCH_BYTES = 8_000_000
-
-_BYTE_PIECE = " ?[^ \\t-\\r]+|[ \\t-\\r]+(?![^ \\t-\\r])|[ \\t-\\r]"
+_BYTE_PIECE = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 #: White space outside space and \t to \r: a byte-level text that has any is encoded as a whole.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 #: First bytes that such characters can have in UTF-8.
@@ -46,31 +41,25 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.bytes_level = pieces == "bytes"
-        self.cut = re.compile(_BYTE_PIECE)
         self.parts = re.compile(_BYTE_PARTS if self.bytes_level else _WORD_PARTS)
         self.alphabet = byte_alphabet()
         self.space = chr(self.alphabet[32])
-        self.cache: dict[str, bytes] = {}
-        self.aged: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}
-        self.known_aged: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token, by the tokenizer's model."""
-        packed = self.known_aged.get(part)
-        if packed is not None:
-            self.known[part] = packed
-            return packed
         mapped = part.replace(" ", self.space) if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
         ids = [t.id for t in self.model.tokenize(mapped)]
         packed = self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
         return packed
 
-    def _piece(self, text: str) -> bytes:
+    def _piece(self, word: bytes) -> bytes:
         known = self.known
+        text = word.decode("utf-8", "replace")
         if not self.bytes_level:
             # most new words are letters alone, or with a comma or period behind them
             core, mark = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
@@ -83,62 +72,32 @@ class Encoder:
         parts = self.parts.findall(text if self.bytes_level else text.lower())
         return b"".join([known.get(p) or self._part(p) for p in parts])
 
-    def _look_up(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces; new ones are encoded, and pieces in use come back from the generation before."""
-        cache, aged = self.cache, self.aged
-        got = list(map(cache.get, pieces))
-        if None in got:
-            for i, ids in enumerate(got):
-                if ids is None:
-                    w = pieces[i]
-                    ids = aged.get(w)
-                    if ids is None:
-                        ids = self._piece(w) if w else b""
-                    got[i] = cache[w] = ids
-            if len(cache) > CACHE_PIECES:
-                self.cache, self.aged = {}, cache
-            if len(self.known) > CACHE_PIECES:
-                self.known, self.known_aged = {}, self.known
-        return got
-
-    def _encode_words(self, texts: list[bytes]) -> list[bytes]:
-        """Texts of a vocabulary in lower case without white space: words are split and numbered in columns, each distinct
-        one is looked up once, and ids are gathered by the numbers."""
-        try:
-            col = pa.array(texts, pa.binary()).cast(pa.string())
-        except pa.ArrowInvalid:  # bytes that are no UTF-8
-            col = pa.array([t.decode("utf-8", "replace") for t in texts])
-        words = pc.ascii_split_whitespace(pc.ascii_lower(col))
-        flat = words.flatten().dictionary_encode()
-        got = self._look_up(flat.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, got), np.int32, len(got)) // 4
-        ids, first, at = np.frombuffer(b"".join(got), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes, flat.indices.to_numpy()
-        n = sizes[at]
-        ends = np.cumsum(n, dtype=np.int32)
-        place = np.repeat(first[at] - (ends - n), n)
-        place += np.arange(len(place), dtype=np.int32)
-        data = ids[place].tobytes()
-        cuts = (4 * np.concatenate([[0], ends]).astype(np.int64)[words.offsets.to_numpy()]).tolist()
-        return [data[i:j] for i, j in zip(cuts, cuts[1:])]
-
-    def _encode_bytes(self, t: bytes) -> bytes:
-        text = t.decode("utf-8", "replace")
-        if _ODD_SPACE.search(t) and _OTHER_SPACE.search(text):
-            return self._plain(text)
-        return b"".join(self._look_up(self.cut.findall(text)))
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, four bytes each."""
-        if self.bytes_level:
-            return [self._encode_bytes(t) for t in texts]
-        out, held, size = [], [], 0
+        cache, out = self.cache, []
         for t in texts:
-            held.append(t)
-            size += len(t)
-            if size > STRETCH_BYTES:
-                out += self._encode_words(held)
-                held, size = [], 0
-        return out + self._encode_words(held) if held else out
+            if not self.bytes_level:
+                ws = t.split()
+            elif _ODD_SPACE.search(t) and _OTHER_SPACE.search(t.decode("utf-8", "replace")):
+                out.append(self._plain(t.decode("utf-8", "replace")))
+                continue
+            else:
+                ws = _BYTE_PIECE.findall(t)
+            got = list(map(cache.get, ws))
+            if None in got:
+                for i, ids in enumerate(got):
+                    if ids is None:
+                        w = ws[i]
+                        ids = cache.get(w)
+                        if ids is None:
+                            ids = cache[w] = self._piece(w)
+                        got[i] = ids
+                if len(cache) > CACHE_PIECES:
+                    cache.clear()
+                if len(self.known) > CACHE_PIECES:
+                    self.known.clear()
+            out.append(b"".join(got))
+        return out
 
 
 def byte_alphabet() -> dict[int, int]:
