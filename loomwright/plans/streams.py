@@ -91,7 +91,11 @@ def collate(spark, sf):
     return out.select(F.col("batch").cast("long").alias("batch"), F.array_join(F.col("doc_id").cast("array<string>"), " ").alias("ids"), F.array_join("lang", " ").alias("langs"))
 
 
-@query("epoch_plan", "SELECT 8::BIGINT AS num_batches, 2::BIGINT AS worker_batches, 1024::BIGINT AS num_samples WHERE (SELECT count(*) FROM documents) = 1000")
+@query(
+    "epoch_plan",
+    """WITH w AS (SELECT round_even(count(*) / 128.0, 0) AS w FROM documents), e AS (SELECT round_even(w / 4.0, 0)::BIGINT AS e FROM w)
+    SELECT e * 4 AS num_batches, e AS worker_batches, e * 4 * 128 AS num_samples FROM e""",
+)
 def epoch_plan(spark, sf):
     """Batches of 32 over 4 ranks with 4 workers each."""
     n = _docs(spark, sf).count()

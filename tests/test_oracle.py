@@ -26,11 +26,7 @@ def duck():
     return c
 
 
-#: This one's SQL names the row count of the driver's scale.
-AT_OTHER_SCALE = {"epoch_plan"}
-
-
-@pytest.mark.parametrize("name", [n for n in catalog.ORACLES if n not in AT_OTHER_SCALE])
+@pytest.mark.parametrize("name", list(catalog.ORACLES))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     got, cols = df.collect(), sorted(df.columns)
