@@ -2,8 +2,9 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from loomwright.llm.toxicity import Features, nnpu, score_toxicity
+from loomwright.llm.toxicity import Features, fit, held_out, nnpu, score_toxicity
 
 
 def corpus(n=900, seed=3):
@@ -41,6 +42,17 @@ def test_held_out_accuracy_and_isolation(spark):
     assert again == {i: x.score for i, x in by.items()}
 
 
+def test_model_does_not_depend_on_the_partitions(spark):
+    """At one or two rows a task, a minimum of two within each task would leave no feature at all."""
+    rows = corpus(300)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc long, toxic int").where(~held_out(F.col("doc")))
+    w, b = fit(df.coalesce(1), labels)
+    many_w, many_b = fit(df.repartition(150), labels)
+    assert np.count_nonzero(w) > 10
+    assert b == many_b and (w == many_w).all()
+
+
 def test_no_labels_and_empty(spark):
     df = spark.createDataFrame([(i, t) for i, t, _ in corpus(30)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
