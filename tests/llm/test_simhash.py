@@ -112,3 +112,31 @@ def test_drop_near_duplicates(spark):
     assert got.columns == df.columns
     assert sorted(x.doc_id for x in got.collect() if x.doc_id is not None) == [*range(20), 31]
     assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def jaccard(x, y, k=5):
+    sets = [{tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (x, y)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def isolated_pairs(ms, seed):
+    """Pairs of 400 random words; in the second, the last m words are others."""
+    r = random.Random(seed)
+    out = []
+    for m in ms:
+        w = ["w%d" % r.randrange(50_000) for _ in range(400)]
+        out.append((" ".join(w), " ".join(w[: 400 - m] + ["v%d" % r.randrange(50_000) for _ in range(m)])))
+    return out
+
+
+def dropped(spark, pairs):
+    rows = [(i, t) for i, t in enumerate(t for p in pairs for t in p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {i for i, _ in rows} - {x.doc_id for x in drop_near_duplicates(df).collect()}
+
+
+def test_every_pair_at_the_similarity_is_found(spark):
+    """Similarities of 0.80 to 0.85, isolated, so that no third document links them."""
+    pairs = isolated_pairs([32 + i % 13 for i in range(300)], 21)
+    assert all(0.8 <= jaccard(*p) < 0.852 for p in pairs)
+    assert dropped(spark, pairs) == {2 * i + 1 for i in range(300)}
