@@ -140,3 +140,35 @@ def test_every_pair_at_the_similarity_is_found(spark):
     pairs = isolated_pairs([32 + i % 13 for i in range(300)], 21)
     assert all(0.8 <= jaccard(*p) < 0.852 for p in pairs)
     assert dropped(spark, pairs) == {2 * i + 1 for i in range(300)}
+
+
+def test_only_exact_near_copies_go(spark, monkeypatch):
+    """Pairs of 0.70 to 0.795, pairs whose only common part is one phrase repeated many times, and a group split in chunks."""
+    import loomwright.llm.simhash as sh
+
+    r = random.Random(22)
+    pairs = isolated_pairs([46 + i % 23 for i in range(100)], 23)
+    for _ in range(40):
+        phrase = " ".join("p%d" % r.randrange(9000) for _ in range(8))
+        pair = []
+        for _ in range(2):
+            w = ["w%d" % r.randrange(50_000) for _ in range(2120)]
+            for at in sorted(r.sample(range(2120), 110), reverse=True):
+                w.insert(at, phrase)
+            pair.append(" ".join(w))
+        pairs.append(tuple(pair))
+    assert all(jaccard(*p) < 0.8 for p in pairs)
+    assert dropped(spark, pairs) == set()
+
+    monkeypatch.setattr(sh, "GROUP_ROWS", 3)
+    base = isolated_pairs([60], 24)[0]
+    family = [(" ".join(base[0].split()[: 400 - i] + [f"u{i}"] * i), " ".join(base[0].split()[:370] + [f"x{i}"] * 30)) for i in range(1, 12)]
+    flat = [t for p in family for t in p]
+    label, changed = list(range(len(flat))), True
+    while changed:
+        changed = False
+        for i, x in enumerate(flat):
+            for j, y in enumerate(flat):
+                if label[j] < label[i] and jaccard(x, y) >= 0.8:
+                    label[i], changed = label[j], True
+    assert dropped(spark, family) == {i for i, x in enumerate(label) if x != i}
