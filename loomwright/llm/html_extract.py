@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import deque
 from dataclasses import dataclass
+from itertools import islice, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import prepare
+from loomwright.llm.common import durable, prepare
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*)>""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
@@ -151,46 +153,77 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-#: Two pages that share more than this part of their unmarked lines are copies: the shared lines are no template.
+#: On a host of two pages, these are copies if they share more than this part of their unmarked lines: those are no template.
 COPY_SHARE = 0.7
 
 
-def main_text(page: list[Block], neighbour: list[Block] | None) -> str:
+def main_text(page: list[Block], neighbour: list[Block] | None, second: list[Block] | None = None) -> str:
     """The blocks that stay: none marked as something else; where a page has an article or main element, those in it;
-    elsewhere those not shared with the neighbour, unless the pages are copies of each other."""
+    elsewhere those not shared with both neighbours: what only one of them has is a passage or a copy. A page without
+    a line of its own is one of several copies and stays whole. Without a second neighbour COPY_SHARE decides."""
     own = [x for x in page if not x.other]
     if any(x.article for x in own):
         return "\n".join(x.text for x in own if x.article)
     if neighbour:
-        gone = shared_lines([x.text for x in own], [x.text for x in neighbour if not x.other])
-        if len(gone) <= COPY_SHARE * len(own):
-            own = [x for i, x in enumerate(own) if i not in gone]
+        gone = sorted(shared_lines([x.text for x in own], [x.text for x in neighbour if not x.other]))
+        if second is not None:
+            both = shared_lines([own[i].text for i in gone], [x.text for x in second if not x.other])
+            gone = [i for k, i in enumerate(gone) if k in both]
+        if len(gone) < len(own) if second is not None else len(gone) <= COPY_SHARE * len(own):
+            drop = set(gone)
+            own = [x for i, x in enumerate(own) if i not in drop]
     return "\n".join(x.text for x in own)
 
 
-def _nearest(path: str, before: str | None, after: str | None) -> int:
-    """-1 or 1 for the neighbour with the longer common beginning of its path (equal: the one before), 0 for none."""
+def _common(path: str, other: str) -> int:
+    n = 0
+    for x, y in zip(path, other):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _text(now: tuple, others: list[tuple]) -> str:
+    """The main text of a page (page_id, url, host, path, html, blocks) by the two of ``others`` on its host with the
+    longest common beginning of their paths (equal: the earlier in the list)."""
+    near = sorted((x for x in others if x[2] == now[2] != ""), key=lambda x: -_common(now[3], x[3]))
+    return main_text(now[5], *[x[5] for x in near[:2]] or [None])
+
+
+#: Pages before and after a page among which its neighbours are sought.
+_REACH = 2
+
 
-    def common(other):
-        if other is None:
-            return -1
-        n = 0
-        for x, y in zip(path, other):
-            if x != y:
-                break
-            n += 1
-        return n
+def _windows(batches):
+    """(page, place, pages after it among the next 2 * _REACH, others within reach: nearest first) for each sorted row."""
+    ahead, past, place = deque(), deque(maxlen=_REACH), 0
 
-    x, y = common(before), common(after)
-    return 0 if x < 0 and y < 0 else -1 if x >= y else 1
+    def first():
+        nonlocal place
+        now = ahead.popleft()
+        sides = zip_longest(reversed(past), islice(ahead, _REACH))
+        got = now, place, len(ahead), [x for pair in sides for x in pair if x is not None]
+        past.append(now)
+        place += 1
+        return got
+
+    for b in batches:
+        for page_id, url, h, p, c in zip(*(x.to_pylist() for x in b.columns[:5])):
+            ahead.append((page_id, url, h, p, c, page_blocks(c.decode("utf-8", "replace"))))
+            if len(ahead) > 2 * _REACH:
+                yield first()
+    while ahead:
+        yield first()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each page, blocks joined by newlines ("" if there is none).
 
     Pages are sorted by host, path and id over all partitions (a range partitioning, so that a hot host spreads), and
-    each is compared with the one before or after it on its host that has the longer common path; at a partition's
-    edge, with the one that is there. Only three pages are held at a time. Null or empty html gives an empty text; a
+    each is compared with the two of the four around it on its host that have the longest common paths. The pages at a
+    partition's edges go on with their html and are compared in a second pass, with those of the neighbouring
+    partitions, so the text does not depend on the partitions. Null or empty html gives an empty text; a
     null url or one without a host has no neighbour; repeated rows are pages of their own, and copies of each other.
     Other columns are not read. An empty table gives an empty table.
     """
@@ -200,32 +233,40 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("h"), path.alias("p"), F.coalesce(html_col, F.lit("")).cast("binary").alias("c"))
     src = src.repartitionByRange("h", "p", "page_id").sortWithinPartitions("h", "p", "page_id")
 
-    def run(batches):
-        before = now = None
+    def texts(batches, edges: bool):
         out = []
 
         def batch():
-            cols = [pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[i] for r in out], pa.string()) for i in (1, 2))]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+            cols = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
             out.clear()
-            return pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text"])
-
-        def finish(after):
-            if now is None:
-                return
-            same = lambda x: x is not None and x[2] == now[2] != ""
-            side = _nearest(now[3], before[3] if same(before) else None, after[3] if same(after) else None)
-            out.append((now[0], now[1], main_text(now[4], before[4] if side < 0 else after[4] if side > 0 else None)))
-
-        for b in batches:
-            for page_id, url, h, p, c in zip(*(x.to_pylist() for x in b.columns)):
-                new = (page_id, url, h, p, page_blocks(c.decode("utf-8", "replace")))
-                finish(new)
-                before, now = now, new
-            if out:
+            return pa.RecordBatch.from_arrays(cols, ["page_id", "url", "h", "p", "c", "text"])
+
+        for now, place, after, others in _windows(batches):
+            least = min(place, after)
+            done = not edges or least >= _REACH
+            out.append((*now[:4], now[4] if edges and least < 2 * _REACH else None, _text(now, others) if done else None))
+            if len(out) >= 500:
                 yield batch()
-        finish(None)
         if out:
             yield batch()
 
-    made = src.mapInArrow(run, "page_id long, url string, text string")
-    return made.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    schema = "page_id long, url string, h string, p string, c binary, text string"
+    made = durable(src.select("page_id", "url", "h", "p", "c").mapInArrow(lambda b: texts(b, True), schema), "page-texts")
+    # the rows that carry html are all those within reach of one without text
+    edge = made.where("c IS NOT NULL").repartition("h").sortWithinPartitions("h", "p", "page_id")
+
+    def second(batches):
+        flags = deque()
+
+        def noted():
+            for b in batches:
+                flags.extend(b.column(5).is_null().to_pylist())
+                yield b
+
+        for b in texts(noted(), False):
+            yield b.filter(pa.array([flags.popleft() for _ in range(b.num_rows)]))
+
+    rest = edge.mapInArrow(second, schema)
+    both = made.where("text IS NOT NULL").select("page_id", "url", "text").union(rest.select("page_id", "url", "text"))
+    return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -56,3 +56,25 @@ def test_differencing_between_nearest_urls(spark):
     assert got[100][1] == got[101][1] == "same\ntext" and got[103] == ("nonsense", "", 0) and got[None][1] == "z"
     assert got[104][1].split("\n") == ["Home | About", "Breaking: read this", "alone", "All rights reserved"]
     assert extract(df.limit(0)).count() == 0 and len(got) == len(rows)
+
+
+def test_long_template_and_partition_edges(spark):
+    """Ten unmarked template blocks around three of the page's own, two sections, copies; a page or two in each partition."""
+    template = {s: [f"{s} line {k}" for k in range(10)] for s in ("news", "blog")}
+    html = lambda s, own: "".join(f"<p>{x}</p>" for x in [*template[s][:5], *own, *template[s][5:]])
+    rows, want = [], {}
+    for i in range(12):
+        own = [f"own {i // 2 if i < 2 else i} {k}" for k in range(3)]  # pages 0 and 1 are copies
+        s = "news" if i >= 6 else "blog"
+        rows.append((i, f"https://a.example/{s}/{i:02}", html(s, own)))
+        want[i] = "\n".join(own)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 3, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert {x.page_id: x.text for x in extract(df).collect()} == want
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
