@@ -97,7 +97,7 @@ def _blobs(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int,
     store, size = ("<u4", 4) if wide else ("<u2", 2)
 
     def split(batches):
-        enc, seen = encoder(path, "words"), set()
+        enc, seen = encoder(path), set()
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []

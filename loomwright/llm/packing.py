@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,25 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.llm.common import durable, map_arrow, prepare, raw
-from loomwright.llm.tokens import byte_alphabet, tokenizer_path
+from loomwright.llm.tokens import encoder, tokenizer_path
 
 #: Buckets within a class of lengths, by a hash of the document, in which pieces are ranked.
 RANK_BUCKETS = 1024
 
 
-@lru_cache(4)
-def byte_level_encoder(path: str):
-    """A fast encoder with the vocabulary of a byte-level ``tokenizers`` file, whose ids follow the merges: same ids."""
-    import public_tokenizers
-    import tiktoken
-
-    spec = json.load(open(path, encoding="utf-8"))
-    special = {t["content"] for t in spec["added_tokens"]}
-    back = {c: b for b, c in byte_alphabet().items()}
-    ranks = {bytes(back[ord(c)] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def price(duals: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The best pattern under the duals: how many pieces of each size 1..len(duals) fill ``capacity`` (unbounded
     knapsack by dynamic programming over the capacity)."""
@@ -143,10 +128,10 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, length: i
     names = ["doc", "start", "n", "crc", "total", *(["ids"] if keep_ids else [])]
 
     def cut(b: pa.RecordBatch):
-        enc, end = byte_level_encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         cols = [[] for _ in names]
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids = enc.encode_to_numpy(t.decode("utf-8", "replace"), disallowed_special=()).astype("<u4").tobytes() + end
+        for d, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
+            ids += end
             for at in range(0, len(ids), 4 * length):
                 part = ids[at : at + 4 * length]
                 for c, v in zip(cols, (d, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -25,22 +26,52 @@ _WORD_PARTS = f"'s|'t|'re|'ve|'m|'ll|'d|{_LETTERS}+|\\d|(?:[^\\s\\w]|_)+"
 _BYTE_PARTS = f"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTERS}+| ?\\d+| ?(?:[^\\s\\w]|_)+"
 
 
-class Encoder:
-    """Little-endian unsigned 32-bit ids of texts, equal to those of ``tokenizers`` for each whole text.
+#: The two ways of cutting a text that are known here, as the vocabulary files state them (fixed values).
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_KNOWN = {
+    "words": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {**_BYTE_LEVEL, "use_regex": False}],
+        },
+    ),
+    "bytes": (None, {**_BYTE_LEVEL, "use_regex": True}),
+}
+
+
+def cutting(spec: dict) -> str:
+    """Where the tokenizer of a file may be cut: at white space ("words"), as the byte-level pattern cuts next to it
+    ("bytes"), or nowhere that is known here ("whole")."""
+    exact = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not spec.get("truncation") and not spec.get("padding") and not spec["model"].get("ignore_merges")
+    plain = all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+    way = [k for k, v in _KNOWN.items() if v == (spec["normalizer"], spec["pre_tokenizer"])]
+    return way[0] if way and exact and plain else "whole"
+
 
-    Texts are cut where no token can cross: at white space for a vocabulary that drops it (``pieces="words"``), or
-    as the byte-level pattern cuts next to ASCII white space (``pieces="bytes"``). A new piece of plain letters goes
-    straight to the tokenizer's model, without its offset bookkeeping; any other goes through the whole tokenizer.
+class Encoder:
+    """Little-endian unsigned 32-bit ids of texts, equal to those of ``tokenizers`` for each whole text with
+    add_special_tokens=False, the file as it is: the text of an added token in a document becomes that token's id.
+
+    Texts are cut where no token can cross: at white space for a vocabulary that drops it, or as the byte-level pattern
+    cuts next to ASCII white space. A new piece of plain letters goes straight to the tokenizer's model, without its
+    offset bookkeeping; any other goes through the whole tokenizer. Whole texts go through it where an added token
+    stands in them, and all texts where the file cuts in a way that is not known here. ``added_as_text`` makes the
+    library read added tokens as ordinary text instead.
     """
 
-    def __init__(self, path: str, pieces: str):
+    def __init__(self, path: str, added_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = added_as_text
         self.model = self.tok.model
-        self.bytes_level = pieces == "bytes"
+        self.cuts = cutting(spec)
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        self.bytes_level = self.cuts == "bytes"
         self.parts = re.compile(_BYTE_PARTS if self.bytes_level else _WORD_PARTS)
         self.alphabet = byte_alphabet()
         self.space = chr(self.alphabet[32])
@@ -76,6 +107,9 @@ class Encoder:
         """The ids of each text, four bytes each."""
         cache, out = self.cache, []
         for t in texts:
+            if self.cuts == "whole" or any(a in t for a in self.added):
+                out.append(self._plain(t.decode("utf-8", "replace")))
+                continue
             if not self.bytes_level:
                 ws = t.split()
             elif _ODD_SPACE.search(t) and _OTHER_SPACE.search(t.decode("utf-8", "replace")):
@@ -108,9 +142,9 @@ def byte_alphabet() -> dict[int, int]:
 
 
 @lru_cache(4)
-def encoder(path: str, pieces: str) -> Encoder:
+def encoder(path: str, added_as_text: bool = False) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(path, pieces)
+    return Encoder(path, added_as_text)
 
 
 def tokenizer_path(name: str) -> str:

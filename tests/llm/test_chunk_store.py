@@ -13,7 +13,7 @@ from loomwright.llm.tokens import tokenizer_path
 
 def corpus():
     r = random.Random(5)
-    vocab = [f"word{i}" for i in range(200)] + ["É", "日本", "don't", "42"]
+    vocab = [f"word{i}" for i in range(200)] + ["É", "日本", "don't", "42", "<|endoftext|>", "x<|startoftext|>y"]
     docs = [" ".join(r.choice(vocab) for _ in range(int(r.paretovariate(0.7)) % 4000)) for _ in range(60)]
     docs[7] = docs[3] + "\n" + docs[5] * 3
     docs[9] = " ".join(r.choice(vocab) for _ in range(3000)) + docs[7]
@@ -27,7 +27,6 @@ def test_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     write_store(df, path)
     plain = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     want, at = [], 0
     for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
