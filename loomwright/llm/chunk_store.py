@@ -4,10 +4,10 @@ A store is a folder with three tables:
 
 * ``blobs/kind=chunk``: each distinct chunk once: key (BLAKE2b-128 of its ids as little-endian unsigned 32-bit
   integers) and payload (the ids as little-endian unsigned integers of 16 bits, or 32 where the vocabulary needs it);
-* ``recipes``: for each document in ascending id: start, n_tokens, entries (20 bytes for each chunk: key, number of
-  ids) and leaf (BLAKE2b-256 of id, n_tokens and entries);
-* ``manifests``: for each stretch of documents its number, documents, ids and the Merkle root of its leaves, and as
-  number -1 the root of those roots.
+* ``recipes``: for each document in ascending id: its number, start, n_tokens, entries (20 bytes for each chunk: key,
+  number of ids) and leaf (BLAKE2b-256 of id, n_tokens and entries);
+* ``manifests/level=0``: for each FAN documents their number, documents, ids and the Merkle root of their leaves;
+  ``level=1`` the same for each FAN of those, and so on up to the one root of the store.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from loomwright.llm.tokens import encoder, tokenizer_path
 
 #: Ids in the rolling window, and mean (a power of two), least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 128, 4096
-#: Ids of the documents that one manifest covers, about.
-STRETCH_IDS = 1 << 24
+#: Leaves or roots under one row of a manifest level.
+FAN = 4096
 #: Chunk keys that a task remembers, not to send a chunk twice.
 _SEEN = 300_000
 
@@ -136,16 +136,16 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, id_col
     """
     spark = docs.sparkSession
     prepare(spark)
-    blobs = _blobs(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), id_col, text_col, end_id, wide).repartition("key")
+    blobs = _blobs(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), id_col, text_col, end_id, wide).repartition("key").sortWithinPartitions("key")
 
     def once(batches):
-        seen = set()
+        last = None
         for b in batches:
             keep = []
             for kind, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keep.append(kind == "recipe" or key not in seen)
+                keep.append(kind == "recipe" or key != last)
                 if kind == "chunk":
-                    seen.add(key)
+                    last = key
             yield b.filter(pa.array(keep, pa.bool_()))
 
     blobs.mapInArrow(once, blobs.schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/blobs")
@@ -154,39 +154,43 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, id_col
     recipes = spark.read.parquet(f"{path}/blobs/kind=recipe").select("doc", "n", F.col("key").alias("leaf"), F.col("payload").alias("entries"))
     order = [F.col("doc").asc_nulls_last(), "leaf"]
     dealt = durable(recipes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ordered-recipes")
-    sums = {r.part: r.n for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    base, total = [], 0
-    for p in sorted(sums):
-        base.append((p, total))
-        total += sums[p]
-    bases = spark.createDataFrame(base, "part int, base long")
+    base, docs_before, ids_before = [], 0, 0
+    for r in dealt.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n").alias("ids")).orderBy("part").collect():
+        base.append((r.part, docs_before, ids_before))
+        docs_before, ids_before = docs_before + r.docs, ids_before + r.ids
+    bases = spark.createDataFrame(base, "part int, docs_before long, ids_before long")
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.sum("n").over(inside) - F.col("n"))
-    placed.select("doc", "start", F.col("n").alias("n_tokens"), "entries", "leaf").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    manifests = _manifests(spark.read.parquet(f"{path}/recipes"))
-    top = spark.createDataFrame([_root_of_roots(manifests)], manifests.schema)
-    manifests.union(top).write.parquet(f"{path}/manifests")
+    placed = dealt.join(F.broadcast(bases), "part").withColumn("start", F.col("ids_before") + F.sum("n").over(inside) - F.col("n"))
+    placed = placed.withColumn("number", F.col("docs_before") + F.count("*").over(inside) - 1)
+    placed.select("number", "doc", "start", F.col("n").alias("n_tokens"), "entries", "leaf").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    level, below = 0, _leaves(spark, path)
+    while True:
+        _level(below).write.parquet(f"{path}/manifests/level={level}")
+        below = _stored_level(spark, path, level)
+        if below.count() == 1:
+            break
+        level += 1
 
 
-def _manifests(recipes: DataFrame) -> DataFrame:
-    """(stretch, docs, ids, root) of each stretch of documents, in the order of their starts."""
+def _leaves(spark: SparkSession, path: str) -> DataFrame:
+    recipes = spark.read.parquet(f"{path}/recipes")
+    return recipes.select("number", F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("ids"), F.col("leaf").alias("root"))
 
-    @F.arrow_udf("binary")
-    def root(leaves: pa.Array) -> pa.Array:
-        return pa.array([merkle_root(x) for x in leaves.to_pylist()], pa.binary())
 
-    per = recipes.groupBy(F.floor(F.col("start") / STRETCH_IDS).alias("stretch")).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "leaf"))).alias("l"))
-    return per.select("stretch", "docs", "ids", root(F.col("l.leaf")).alias("root"))
+def _stored_level(spark: SparkSession, path: str, level: int) -> DataFrame:
+    return spark.read.schema("number long, docs long, ids long, root binary").parquet(f"{path}/manifests/level={level}")
 
 
-def _root_of_roots(manifests: DataFrame) -> tuple:
-    """One row for the whole store; the driver reads a root for each STRETCH_IDS ids, one after the other."""
-    docs = ids = 0
-    roots = []
-    for r in manifests.orderBy("stretch").toLocalIterator():
-        docs, ids = docs + r.docs, ids + r.ids
-        roots.append(bytes(r.root))
-    return (-1, docs, ids, merkle_root(roots))
+def _level(below: DataFrame) -> DataFrame:
+    """(number, docs, ids, root) over each FAN rows of the level below: a row never holds more than FAN hashes."""
+
+    @F.arrow_udf("binary")
+    def root(hashes: pa.Array) -> pa.Array:
+        return pa.array([merkle_root(x) for x in hashes.to_pylist()], pa.binary())
+
+    rows = below.select(F.floor(F.col("number") / FAN).cast("long").alias("up"), "number", "docs", "ids", "root")
+    per = rows.groupBy("up").agg(F.sum("docs").alias("docs"), F.sum("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("number", "root"))).alias("l"))
+    return per.select(F.col("up").alias("number"), "docs", "ids", root(F.col("l.root")).alias("root"))
 
 
 @lru_cache(1)
@@ -273,14 +277,20 @@ def _chunks(spark: SparkSession, path: str, wide: bool) -> DataFrame:
 
 
 def verify_manifests(spark: SparkSession, path: str) -> None:
-    """Recompute all Merkle roots from the recipes as they are on disk; a difference raises ValueError."""
-    kept = {r.stretch: (r.docs, r.ids, bytes(r.root)) for r in spark.read.parquet(f"{path}/manifests").collect()}
-    now = _manifests(spark.read.parquet(f"{path}/recipes"))
-    found = {r.stretch: (r.docs, r.ids, bytes(r.root)) for r in now.toLocalIterator()}
-    roots = [found[k][2] for k in sorted(found)]
-    found[-1] = (sum(x[0] for x in found.values()), sum(x[1] for x in found.values()), merkle_root(roots))
-    if kept != found:
-        raise ValueError(f"manifests differ at {sorted(k for k in kept.keys() | found.keys() if kept.get(k) != found.get(k))[:5]}")
+    """Recompute every level from the one below as it is on disk, from the recipes up; a difference raises ValueError.
+
+    Levels are compared by a join; a few rows that differ and counts reach the driver.
+    """
+    level, below = 0, _leaves(spark, path)
+    while True:
+        kept = _stored_level(spark, path, level)
+        now = _level(below).select("number", F.struct("docs", "ids", "root").alias("now"))
+        both = now.join(kept.select("number", F.struct("docs", "ids", "root").alias("kept")), "number", "full")
+        if wrong := both.where(~F.col("now").eqNullSafe(F.col("kept"))).select("number").limit(5).collect():
+            raise ValueError(f"manifests differ on level {level} at {sorted(r.number for r in wrong)}")
+        if kept.count() == 1:
+            return
+        level, below = level + 1, kept
 
 
 def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:

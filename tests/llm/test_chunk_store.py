@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomwright.llm.chunk_store import LEAST, MOST, cut_many, cut_points, decode_store, merkle_root, read_store, shift_crc, verify_manifests, write_store
@@ -47,7 +48,7 @@ def test_damage_is_found(spark, tmp_path):
         path = tmp_path / part.replace("/", "-")
         write_store(df, f"file://{path}")
         spark.read.parquet(f"file://{path}/{part}").createOrReplaceTempView("t")
-        change = "doc + 1000 as doc, start, n_tokens, entries, leaf" if part == "recipes" else "key, doc, n, concat(payload, x'0000') as payload"
+        change = "number, doc + 1000 as doc, start, n_tokens, entries, leaf" if part == "recipes" else "key, doc, n, concat(payload, x'0000') as payload"
         spark.sql(f"select {change} from t").write.parquet(f"file://{path}-new")
         os.rename(path / part, f"{path}-old")
         os.rename(f"{path}-new", path / part)
@@ -85,3 +86,26 @@ def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     write_store(df, f"file://{tmp_path}/s")
     assert read_store(spark, f"file://{tmp_path}/s").count() == 0 and decode_store(spark, f"file://{tmp_path}/s").count() == 0
+
+
+def test_levels_of_manifests(spark, tmp_path, monkeypatch):
+    """Three documents under a row: several levels up to one root, found again on reading; a changed middle level is noticed."""
+    monkeypatch.setattr("loomwright.llm.chunk_store.FAN", 3)
+    df = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(40)] + [(99, "")] * 20, "doc_id long, text string").repartition(5)
+    path = f"file://{tmp_path}/s"
+    write_store(df, path)
+    levels = sorted(os.listdir(tmp_path / "s/manifests"))
+    assert levels == [f"level={k}" for k in range(4)]
+    counts = [spark.read.parquet(f"{path}/manifests/{x}").count() for x in levels]
+    assert counts == [20, 7, 3, 1]
+    leaves = [bytes(r.leaf) for r in spark.read.parquet(f"{path}/recipes").orderBy("number").collect()]
+    while len(leaves) > 1:
+        leaves = [merkle_root(leaves[i : i + 3]) for i in range(0, len(leaves), 3)]
+    top = spark.read.parquet(f"{path}/manifests/level=3").first()
+    assert (top.number, top.docs, bytes(top.root)) == (0, 60, leaves[0])
+    assert read_store(spark, path).count() == 60
+    spark.read.parquet(f"{path}/manifests/level=1").withColumn("ids", F.col("ids") + F.when(F.col("number") == 2, 1).otherwise(0)).write.parquet(f"{path}/new")
+    os.rename(tmp_path / "s/manifests/level=1", tmp_path / "old")
+    os.rename(tmp_path / "s/new", tmp_path / "s/manifests/level=1")
+    with pytest.raises(ValueError, match=r"level 1 at \[2\]"):
+        verify_manifests(spark, path)
