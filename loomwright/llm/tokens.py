@@ -18,6 +18,7 @@ _BYTE_PIECE = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 #: First bytes that such characters can have in UTF-8.
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1[\x9a\xa0]|\xe2[\x80\x81]|\xe3\x80|\xef\xbb")
+_ODD_BYTES = b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3\xef"
 #: Pieces of ASCII and Latin letters, in which lower-casing and composing are the same everywhere.
 _PLAIN = re.compile("[ -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131\u0139-\u0148\u014a-\u017e]+")
 #: How the two vocabularies' own pre-tokenizers cut such a piece (fixed patterns, with \w for letters and digits).
@@ -49,6 +50,9 @@ def cutting(spec: dict) -> str:
     return way[0] if way and exact and plain else "whole"
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, equal to those of ``tokenizers`` for each whole text with
     add_special_tokens=False, the file as it is: the text of an added token in a document becomes that token's id.
@@ -68,7 +72,7 @@ class Encoder:
             spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = added_as_text
-        self.model = self.tok.model
+        self.tokenize = self.tok.model.tokenize
         self.cuts = cutting(spec)
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         self.bytes_level = self.cuts == "bytes"
@@ -77,55 +81,73 @@ class Encoder:
         self.space = chr(self.alphabet[32])
         self.cache: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.marks = {m: self._ids(m) for m in ".,"} if self.cuts != "whole" else {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
+    def _ids(self, part: str) -> bytes:
         """Ids of one pre-token, by the tokenizer's model."""
         mapped = part.replace(" ", self.space) if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.model.tokenize(mapped)]
-        packed = self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        ids = [t.id for t in self.tokenize(mapped)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: str) -> bytes:
+        packed = self.known[part] = self._ids(part)
         return packed
 
+    def _letters(self, word: bytes, text: str) -> bytes:
+        """Ids of letters alone, behind a space in a byte-level vocabulary; other cases of a word share those of its lower case."""
+        if not self.bytes_level and not text.islower():
+            text = text.lower()
+            word = text.encode()
+            if ids := self.cache.get(word):
+                return ids
+        ids = self.cache[word] = self._ids(text)
+        return ids
+
     def _piece(self, word: bytes) -> bytes:
-        known = self.known
         text = word.decode("utf-8", "replace")
-        if not self.bytes_level:
-            # most new words are letters alone, or with a comma or period behind them
-            core, mark = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
-            if core.isalpha() and (core.isascii() or _PLAIN.fullmatch(core)):
-                core = core.lower()
-                ids = known.get(core) or self._part(core)
-                return ids + (known.get(mark) or self._part(mark)) if mark else ids
+        # most new words are letters alone, or with a comma or period behind them
+        mark = self.marks.get(text[-1])
+        core = text if mark is None else text[:-1]
+        letters = core[1:] if self.bytes_level and core[:1] == " " else core
+        if letters.isalpha() and (letters.isascii() or _PLAIN.fullmatch(letters)):
+            if mark is None:
+                return self._letters(word, core)
+            word = word[:-1]
+            return (self.cache.get(word) or self._letters(word, core)) + mark
         if text[-1] == " " or not _PLAIN.fullmatch(text):
             return self._plain(text)
         parts = self.parts.findall(text if self.bytes_level else text.lower())
+        known = self.known
         return b"".join([known.get(p) or self._part(p) for p in parts])
 
+    def _is_odd(self, t: bytes) -> bool:
+        """Whether a byte-level text has white space beside space and \\t to \\r."""
+        return len(t.translate(None, _ODD_BYTES)) < len(t) and _ODD_SPACE.search(t) is not None and _OTHER_SPACE.search(t.decode("utf-8", "replace")) is not None
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, four bytes each."""
-        cache, out = self.cache, []
+        cache, out, words = self.cache, [], self.cuts == "words"
         for t in texts:
-            if self.cuts == "whole" or any(a in t for a in self.added):
-                out.append(self._plain(t.decode("utf-8", "replace")))
-                continue
-            if not self.bytes_level:
-                ws = t.split()
-            elif _ODD_SPACE.search(t) and _OTHER_SPACE.search(t.decode("utf-8", "replace")):
+            if self.cuts == "whole" or any(a in t for a in self.added) or not words and self._is_odd(t):
                 out.append(self._plain(t.decode("utf-8", "replace")))
                 continue
-            else:
-                ws = _BYTE_PIECE.findall(t)
+            ws = t.split() if words else _BYTE_PIECE.findall(t)
             got = list(map(cache.get, ws))
             if None in got:
-                for i, ids in enumerate(got):
-                    if ids is None:
+                i = -1
+                try:
+                    while True:
+                        i = got.index(None, i + 1)
                         w = ws[i]
                         ids = cache.get(w)
                         if ids is None:
                             ids = cache[w] = self._piece(w)
                         got[i] = ids
+                except ValueError:  # no place left without ids
+                    pass
                 if len(cache) > CACHE_PIECES:
                     cache.clear()
                 if len(self.known) > CACHE_PIECES:
