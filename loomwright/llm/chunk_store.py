@@ -136,19 +136,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, id_col
     """
     spark = docs.sparkSession
     prepare(spark)
-    blobs = _blobs(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), id_col, text_col, end_id, wide).repartition("key").sortWithinPartitions("key")
-
-    def once(batches):
-        last = None
-        for b in batches:
-            keep = []
-            for kind, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keep.append(kind == "recipe" or key != last)
-                if kind == "chunk":
-                    last = key
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    blobs.mapInArrow(once, blobs.schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/blobs")
+    blobs = _blobs(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), id_col, text_col, end_id, wide)
+    first = F.row_number().over(Window.partitionBy("key").orderBy("kind"))
+    once = blobs.withColumn("copy", first).where("kind = 'recipe' OR copy = 1").drop("copy")
+    once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/blobs")
     if _is_empty(spark, path):
         return
     recipes = spark.read.parquet(f"{path}/blobs/kind=recipe").select("doc", "n", F.col("key").alias("leaf"), F.col("payload").alias("entries"))
