@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import durable, map_arrow, prepare, raw
+from loomwright.llm.common import durable, map_arrow, named, prepare, raw
 from loomwright.llm.tokens import encoder, tokenizer_path
 
 #: Ids in the rolling window, and mean (a power of two), least and most ids of a chunk.
@@ -122,7 +122,7 @@ def _blobs(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int,
                     [pa.array(kind), pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(payload, pa.binary())], ["kind", "key", "doc", "n", "payload"]
                 )
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc"), raw(text_col).alias("t"))
+    src = docs.select(named(id_col).cast("long").alias("doc"), raw(text_col).alias("t"))
     return src.mapInArrow(split, "kind string, key binary, doc long, n long, payload binary")
 
 

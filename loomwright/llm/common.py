@@ -30,15 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def raw(text: str | Column) -> Column:
     """A text column as UTF-8 bytes, null as empty: Python then splits it without decoding."""
-    c = F.col(text) if isinstance(text, str) else text
+    c = named(text) if isinstance(text, str) else text
     return F.coalesce(c, F.lit("")).cast("binary")
 
 
 def word_count(text: str | Column) -> Column:
     """Number of maximal runs of characters outside space and \\t-\\r (null: 0)."""
-    c = F.col(text) if isinstance(text, str) else text
+    c = named(text) if isinstance(text, str) else text
     return F.coalesce(F.regexp_count(c, F.lit(_NON_SPACE)), F.lit(0)).cast("long")
 
 
@@ -58,7 +63,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | lis
 
 def pack(docs: DataFrame, **keys: Column) -> DataFrame:
     """The input rows as one struct column ``row`` beside named working columns, so that no name can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
+    return docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
 
 
 def unpack(df: DataFrame, docs: DataFrame, replace: dict[str, Column] | None = None, add: dict[str, Column] | None = None) -> DataFrame:

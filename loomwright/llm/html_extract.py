@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import prepare
+from loomwright.llm.common import named, prepare
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*)>""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
@@ -338,10 +338,10 @@ def _windows(rows):
 
 
 def _key_parts(url_col: str, id_col: str):
-    url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
+    url = F.coalesce(named(url_col), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    return host.alias("h"), path.alias("p"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("k")
+    return host.alias("h"), path.alias("p"), F.coalesce(named(id_col).cast("long"), F.lit(-(1 << 63))).alias("k")
 
 
 #: Pages of a bucket, about: what one task sorts and compares.
@@ -405,7 +405,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     prepare(spark)
     buckets = _buckets(pages, url_col, id_col)
     bounds = spark.sparkContext.broadcast(tuple(zip(*buckets)) if buckets else ((), (), ()))
-    src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), *_key_parts(url_col, id_col), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary").alias("c"))
+    src = pages.select(named(id_col).cast("long").alias("page_id"), named(url_col).alias("url"), *_key_parts(url_col, id_col), F.coalesce(named(html_col), F.lit("")).cast("binary").alias("c"))
 
     def split(batches):
         first, lo, hi = bounds.value

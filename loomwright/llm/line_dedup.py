@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import SPACE, durable, map_arrow, pack, prepare, raw, unpack
+from loomwright.llm.common import SPACE, durable, map_arrow, named, pack, prepare, raw, unpack
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -31,7 +31,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
             out_d += [d] * len(ks)
         return pa.RecordBatch.from_arrays([pa.array(out_k, pa.binary()), pa.array(out_d, pa.int64())], ["k", "doc"])
 
-    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), raw(text_col).alias("t"))
+    src = docs.where(named(id_col).isNotNull()).select(named(id_col).cast("long").alias("doc"), raw(text_col).alias("t"))
     return map_arrow(src, keys, "k binary, doc long")
 
 
@@ -71,7 +71,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n.append(len(lines) - len(left))
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["text", "n"])
 
-    rows = pack(docs, doc=F.col(id_col).cast("long"), t=F.coalesce(F.col(text_col), F.lit("")))
+    rows = pack(docs, doc=named(id_col).cast("long"), t=F.coalesce(named(text_col), F.lit("")))
     rows = rows.join(drops, "doc", "left")
     rows = rows.withColumn("made", reassemble(F.when(F.col("ks").isNotNull(), F.col("t").cast("binary")), F.col("ks")))
     return unpack(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import durable, pack, prepare, unpack, word_count
+from loomwright.llm.common import durable, named, pack, prepare, unpack, word_count
 
 WEIGHTS = (5, 2, 1)
 TOTAL_PERCENT = 150
@@ -66,7 +66,7 @@ def plan_mix(
     which adaptive execution splits where a source is hot.
     """
     prepare(docs.sparkSession)
-    rows = pack(docs, source=F.col(source_col).cast("string"), size=word_count(text_col), u=coin(F.col(id_col), seed))
+    rows = pack(docs, source=named(source_col).cast("string"), size=word_count(text_col), u=coin(named(id_col), seed))
     targets = durable(source_targets(rows.select("source", "size"), weights, total_percent, max_repeats).withColumnRenamed("source", "source2"), "targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
@@ -80,6 +80,6 @@ def plan_mix(
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus itself: each document as often as plan_mix() takes it, the input's columns unchanged."""
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s"))
+    marked = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), named(id_col).alias("i"), named(text_col).alias("t"), named(source_col).alias("s"))
     planned = plan_mix(marked, "i", "t", "s", **options)
     return planned.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import durable, map_arrow, prepare, raw
+from loomwright.llm.common import durable, map_arrow, named, prepare, raw
 from loomwright.llm.tokens import encoder, tokenizer_path
 
 #: Buckets within a class of lengths, by a hash of the document, in which pieces are ranked.
@@ -138,7 +138,7 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, length: i
                     c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, cols)], names)
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc"), raw(text_col).alias("t"))
+    src = docs.select(named(id_col).cast("long").alias("doc"), raw(text_col).alias("t"))
     return map_arrow(src, cut, "doc long, start long, n long, crc long, total long" + ", ids binary" * keep_ids)
 
 

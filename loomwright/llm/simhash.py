@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import durable, map_arrow, pack, prepare, raw, unpack
+from loomwright.llm.common import durable, map_arrow, named, pack, prepare, raw, unpack
 from loomwright.llm.components import connected_components
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -332,12 +332,12 @@ def simhash_groups(
         data = np.ascontiguousarray(fp).tobytes()
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([data[i : i + 8 * words] for i in range(0, len(data), 8 * words)], pa.binary())], ["doc", "fp"])
 
-    own = durable(map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), raw(text_col).alias("t")), prints, "doc long, fp binary"), "fingerprints")
+    own = durable(map_arrow(docs.select(named(id_col).cast("long").alias("doc"), raw(text_col).alias("t")), prints, "doc long, fp binary"), "fingerprints")
     nodes = durable(own.where("doc IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("node")), "nodes")
     found = near_components(nodes, distance, radius, widths)
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    named = durable(named, "components")
-    return own.join(named, "fp", "left").select("doc", "fp", F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))
+    labelled = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    labelled = durable(labelled, "components")
+    return own.join(labelled, "fp", "left").select("doc", "fp", F.when(F.col("doc").isNotNull(), F.col("component")).alias("component"))
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -457,7 +457,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     input's columns come back unchanged.
     """
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), raw(text_col).alias("t")).where("doc IS NOT NULL")
+    texts = docs.select(named(id_col).cast("long").alias("doc"), raw(text_col).alias("t")).where("doc IS NOT NULL")
 
     def marks(b: pa.RecordBatch):
         sets = shingle_sets(b.column(1).to_pylist(), shingle)
@@ -473,9 +473,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     close = connected_components(_bucket_links(nodes))
     cands = durable(map_arrow(close.join(texts, F.col("node") == F.col("doc")).select("component", "node", "t"), whole, "component long, node long, set binary"), "candidates")
     found = connected_components(_verified_links(cands, similarity))
-    named = nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    gone = durable(own.select("doc", "key").join(named, "key").where("doc != component").select("doc").distinct(), "near-copies")
-    rows = pack(docs, doc=F.col(id_col).cast("long"))
+    labelled = nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    gone = durable(own.select("doc", "key").join(labelled, "key").where("doc != component").select("doc").distinct(), "near-copies")
+    rows = pack(docs, doc=named(id_col).cast("long"))
     return unpack(rows.join(gone, "doc", "left_anti"), docs)
 
 

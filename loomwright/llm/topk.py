@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import durable, prepare, scratch_path
+from loomwright.llm.common import durable, named, prepare, scratch_path
 
 #: Candidates that are searched at a time.
 CANDIDATE_BLOCK = 8192
@@ -158,9 +158,9 @@ def top_k(
     """
     spark = vectors.sparkSession
     prepare(spark)
-    ok = F.forall(F.col(f"`{vector_col}`"), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != F.lit(math.inf)))
-    good = vectors.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{vector_col}`").isNotNull() & F.coalesce(ok, F.lit(False)))
-    good = good.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.monotonically_increasing_id().alias("row"))
+    ok = F.forall(named(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != F.lit(math.inf)))
+    good = vectors.where(named(id_col).isNotNull() & named(vector_col).isNotNull() & F.coalesce(ok, F.lit(False)))
+    good = good.select(named(id_col).cast("long").alias("id"), named(vector_col).cast("array<double>").alias("v"), F.monotonically_increasing_id().alias("row"))
     good = durable(good, "vectors")  # from here on, a row keeps its number
     asks = good.where(F.pmod("id", F.lit(every)) == 0)
     n, dims = asks.agg(F.count("*"), F.max(F.size("v"))).first()
