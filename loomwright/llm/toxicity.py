@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import map_arrow, pack, prepare, raw, unpack
+from loomwright.llm.common import durable, named, pack, prepare, raw, unpack
 
 #: Hashed features of one level.
 DIMS = 1 << 18
-#: Labelled and unlabelled documents that a model is fitted on, at most (about, for the unlabelled).
-MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
-#: Features that enter the classifiers.
-MAX_FEATURES = 800
-#: Share of the positives that must have a feature.
-MIN_SHARE = 0.02
+#: Confirmed toxic documents that the classifiers are fitted on, at most; of more, the smallest by hash are taken.
+MAX_POSITIVE = 3_000
+#: Features that enter the classifiers, the best by gain, and the share of the positives that must have one.
+MAX_FEATURES, MIN_SHARE = 800, 0.02
+#: Unlabelled documents of a group, about: each group has classifiers of its own, whose weights are averaged.
+GROUP_DOCUMENTS = 10_000
 #: A document is predicted toxic from this score on.
 THRESHOLD = 0.7
 
@@ -28,6 +30,8 @@ _BEGINNINGS = (5, 6, 7, 8)
 _LEVELS = 3
 _CACHE = 400_000
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
+#: Weights are summed over groups as whole multiples of this, so that no order of adding matters.
+_UNIT = 2.0**-30
 
 
 def held_out(id_col: Column) -> Column:
@@ -36,14 +40,21 @@ def held_out(id_col: Column) -> Column:
 
 
 class Features:
-    """Hashed features of texts: each distinct word and its beginnings, those shared by two distinct words, and by three."""
+    """Hashed features of texts: each distinct word and its beginnings, those shared by two distinct words, and by three.
 
-    def __init__(self, dims: int = DIMS):
-        self.dims, self.cache = dims, {}
+    With ``wanted`` (sorted feature numbers) only those are looked for, and a text's features are places in ``wanted``.
+    """
+
+    def __init__(self, dims: int = DIMS, wanted: np.ndarray | None = None):
+        self.dims, self.cache, self.place = dims, {}, None
+        if wanted is not None:
+            self.place = np.full(_LEVELS * dims, -1, np.int32)
+            self.place[wanted] = np.arange(len(wanted))
+            self.known = (self.place.reshape(_LEVELS, dims) >= 0).any(axis=0)
 
     def _word(self, w: bytes) -> bytes:
-        parts = [w + b"$", *(w[:n] for n in _BEGINNINGS if len(w) >= n)]
-        return np.array([zlib.crc32(p) % self.dims for p in parts], "<i4").tobytes()
+        ids = np.array([zlib.crc32(p) % self.dims for p in (w + b"$", *(w[:n] for n in _BEGINNINGS if len(w) >= n))], "<i4")
+        return (ids if self.place is None else ids[self.known[ids]]).tobytes()
 
     def of(self, text: bytes) -> np.ndarray:
         """Feature numbers: below ``dims`` present, then for each further level of sharing as many."""
@@ -56,31 +67,40 @@ class Features:
         if len(cache) > _CACHE:
             cache.clear()
         ids, n = np.unique(np.frombuffer(b"".join(got), "<i4"), return_counts=True)
-        return np.concatenate([ids[n > k] + np.int32(k * self.dims) for k in range(_LEVELS)])
+        found = np.concatenate([ids[n > k] + np.int32(k * self.dims) for k in range(_LEVELS)])
+        if self.place is None:
+            return found
+        at = self.place[found]
+        return np.sort(at[at >= 0])
 
 
-def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 0) -> tuple[np.ndarray, float]:
+def nnpu(
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, weights: np.ndarray | None = None, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 0
+) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier of least non-negative PU risk under the logistic loss.
 
     The risk is prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]); where the bracket is negative, the step
-    goes up it instead, so that the model does not learn unlabelled positives as negatives. Adam over all rows, with
-    an l2 penalty; each classifier sees its own random three quarters of the unlabelled rows.
+    goes up it instead, so that the model does not learn unlabelled positives as negatives. ``weights`` says how many
+    documents an unlabelled row stands for. Adam over all rows, with an l2 penalty; each classifier sees its own random
+    three quarters of the unlabelled rows.
     """
     r = np.random.default_rng(seed)
-    unlabelled = [unlabelled[i] for i in np.sort(r.permutation(len(unlabelled))[: max(1, math.ceil(0.75 * len(unlabelled)))])]
-    rows = positive + unlabelled
+    many = np.ones(len(unlabelled)) if weights is None else weights.astype(float)
+    some = np.sort(r.permutation(len(unlabelled))[: max(1, math.ceil(0.75 * len(unlabelled)))])
+    rows = positive + [unlabelled[i] for i in some]
     n = np.array([len(x) for x in rows])
     col, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), n)
     is_p = np.arange(len(rows)) < len(positive)
+    share = np.concatenate([np.full(len(positive), 1 / len(positive)), many[some] / many[some].sum()])  # of a row in its mean
     w, b = np.zeros(size), math.log(prior / (1 - prior))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
         g = np.bincount(row, w[col], len(rows)) + b
         s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-        soft = np.logaddexp(0, g)  # l(-g)
-        negative = soft[~is_p].mean() - prior * soft[is_p].mean()
-        as_negative = np.where(is_p, -prior * s / is_p.sum(), s / (~is_p).sum())
-        slope = -as_negative if negative < 0 else as_negative + np.where(is_p, prior * (s - 1) / is_p.sum(), 0.0)
+        soft = np.logaddexp(0, g) * share  # l(-g)
+        negative = soft[~is_p].sum() - prior * soft[is_p].sum()
+        as_negative = np.where(is_p, -prior * s, s) * share
+        slope = -as_negative if negative < 0 else as_negative + np.where(is_p, prior * (s - 1) * share, 0.0)
         grad = np.append(np.bincount(col, slope[row], size) + decay * w, slope.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -88,86 +108,145 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, pr
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: int = DIMS, prior: float | None = None, classifiers: int = 3) -> tuple[np.ndarray, float]:
-    """(weights over 3 * dims features, bias), the mean of some nnPU classifiers.
+@dataclass(frozen=True)
+class Model:
+    """Feature numbers in use, their weights, and the bias."""
+
+    use: np.ndarray
+    weights: np.ndarray
+    bias: float
+
 
-    ``labels`` has doc and toxic; rows held out must be gone from it. Positives are at most MAX_POSITIVE of the
-    confirmed toxic documents, the smallest by hash; unlabelled text is a hash sample of about MAX_UNLABELLED of all
-    documents not held out. Without a ``prior`` it is the toxic share of the labels given. Features are chosen by how
-    much more positives have them than unlabelled text does. Only the sample's rows go to Python.
+_NOTHING = Model(np.zeros(0, np.int64), np.zeros(0), -10.0)
+
+
+def _count(src: DataFrame, dims: int, wanted: Broadcast | None) -> DataFrame:
+    """(f, n): how many rows have each (wanted) feature, summed over tasks, and their number as f = -1. A task sends one
+    row for a feature that it saw."""
+
+    def count(batches):
+        made = Features(dims, wanted and wanted.value)
+        of, n = np.zeros(_LEVELS * dims if wanted is None else len(wanted.value), np.int64), 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                of[made.of(t)] += 1
+            n += b.num_rows
+        at = np.flatnonzero(of)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(of[at], n))], ["f", "n"])
+
+    return src.select("t").mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+
+
+def _fit_groups(rows: DataFrame, positive: list[np.ndarray], size: int, prior: float, classifiers: int) -> tuple[np.ndarray, float, int]:
+    """Sums of weights and biases over the classifiers of all groups of ``rows`` (g, f, n), and how many there are."""
+    shared = rows.sparkSession.sparkContext.broadcast(positive)
+
+    def fit(batches):
+        total, fits = np.zeros(size + 1, np.int64), 0
+        group, held, many = None, [], []
+
+        def work():
+            nonlocal total, fits
+            for k in range(classifiers if held else 0):
+                w, b = nnpu(shared.value, held, size, prior, np.array(many), seed=classifiers * group + k)
+                total = total + np.round(np.append(w, b) / _UNIT).astype(np.int64)
+                fits += 1
+
+        for batch in batches:
+            for g, f, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != group:
+                    work()
+                    group, held, many = g, [], []
+                held.append(np.frombuffer(f, "<u2").astype(np.int64))
+                many.append(n)
+        work()
+        if fits:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64())), pa.array([fits], pa.int64())], ["total", "fits"])
+
+    total, fits = [0] * (size + 1), 0
+    for r in rows.repartition("g").sortWithinPartitions("g", "f").mapInArrow(fit, "total array<long>, fits long").toLocalIterator():
+        total, fits = [a + b for a, b in zip(total, r.total)], fits + r.fits
+    return np.array(total[:-1], float) * _UNIT, total[-1] * _UNIT, fits
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    dims: int = DIMS,
+    prior: float | None = None,
+    classifiers: int = 2,
+    max_positive: int = MAX_POSITIVE,
+    max_features: int = MAX_FEATURES,
+    group_documents: int = GROUP_DOCUMENTS,
+) -> Model:
+    """The mean of the nnPU classifiers of all groups of unlabelled text.
+
+    ``labels`` has doc and toxic; rows held out must be gone from it. Positives are at most ``max_positive`` of the
+    confirmed toxic documents, the smallest by hash; unlabelled text is every other document not held out, without a
+    bound. Without a ``prior`` it is the toxic share of the labels given. Features are chosen by how much more positives
+    have them than all unlabelled text does. Unlabelled documents are dealt into groups of about ``group_documents`` by
+    a hash; those of a group with equal features are one weighted row before they are shuffled. Every group is fitted in
+    one task together with the positives, and a task sends the sum of its groups' weights.
     """
+    spark = docs.sparkSession
     known = labels.where("doc IS NOT NULL AND toxic IS NOT NULL").groupBy("doc").agg(F.max("toxic").alias("toxic"))
     total, toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     if not toxic:
-        return np.zeros(_LEVELS * dims), -10.0
+        return _NOTHING
     prior = min(max(prior or toxic / total, 1e-3), 0.5)
-    chosen = known.where("toxic = 1").orderBy(F.xxhash64("doc"), "doc").limit(MAX_POSITIVE).select("doc", F.lit(True).alias("p"))
-    src = docs.select(F.col(id_col).cast("long").alias("doc"), raw(text_col).alias("t")).where(~held_out(F.col("doc")))
-    every = max(1, math.ceil(docs.count() / MAX_UNLABELLED))
-    src = src.join(F.broadcast(chosen), "doc", "left")
-    src = src.where(F.col("p") | (F.pmod(F.xxhash64("doc", F.lit("unlabelled")), F.lit(every)) == 0))
-    src = src.select(F.coalesce("p", F.lit(False)).alias("p"), "t")
+    chosen = known.where("toxic = 1").orderBy(F.xxhash64("doc"), "doc").limit(max_positive).select("doc", F.lit(True).alias("p"))
+    src = docs.select(named(id_col).cast("long").alias("doc"), raw(text_col).alias("t")).where(~held_out(F.col("doc")))
+    src = src.join(F.broadcast(chosen), "doc", "left").select("doc", F.coalesce("p", F.lit(False)).alias("p"), "t")
+    of_p = {r.f: r.n for r in _count(src.where("p"), dims, None).where("n >= 3 OR f = -1").toLocalIterator()}
+    n_p = of_p.pop(-1, 0)
+    wanted = np.array(sorted(f for f, n in of_p.items() if n >= MIN_SHARE * n_p), np.int64)
+    if not len(wanted):
+        return _NOTHING
+    of_u = {r.f: r.n for r in _count(src.where("NOT p"), dims, spark.sparkContext.broadcast(wanted)).toLocalIterator()}
+    n_u = of_u.pop(-1, 0)
+    if not n_u:
+        return _NOTHING
+    p, u = (np.array([of.get(k, 0) for k in keys], float) for of, keys in ((of_p, wanted.tolist()), (of_u, range(len(wanted)))))
+    pooled = (p + u + 1) / (n_p + n_u + 1)
+    gain = (p / n_p - u / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
+    best = np.argsort(-gain, kind="stable")[:max_features]
+    use = np.sort(wanted[best[gain[best] > 4]])
+    in_use = spark.sparkContext.broadcast(use)
 
-    def count(batches):
-        made, of = Features(dims), np.zeros((2, _LEVELS * dims), np.int64)
-        n = np.zeros(2, np.int64)
+    def rows(batches):
+        made = Features(dims, in_use.value)
         for b in batches:
-            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                of[int(p), made.of(t)] += 1
-                n[int(p)] += 1
-        at = np.flatnonzero(of.sum(axis=0))  # also what this task saw once: the minimum holds for the sum over tasks
-        cols = [np.append(at, -1), np.append(of[1, at], n[1]), np.append(of[0, at], n[0])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["f", "p", "u"])
-
-    p, u = np.zeros(_LEVELS * dims), np.zeros(_LEVELS * dims)
-    n_p = n_u = 0
-    for r in src.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("f < 0 OR p >= 2").toLocalIterator():
-        if r.f < 0:
-            n_p, n_u = r.p, r.u
-        else:
-            p[r.f], u[r.f] = r.p, r.u
-    if not n_p or not n_u:
-        return np.zeros(_LEVELS * dims), -10.0
-    share_p, share_u = p / n_p, u / n_u
-    pooled = (p + u + 1) / (n_p + n_u + 1)
-    gain = np.where(p >= max(3, MIN_SHARE * n_p), (share_p - share_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12), 0)
-    use = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
-    use = np.sort(use[gain[use] > 4])
-    place = np.full(_LEVELS * dims, -1)
-    place[use] = np.arange(len(use))
-
-    def rows(b: pa.RecordBatch):
-        made, out = Features(dims), []
-        for t in b.column(1).to_pylist():
-            f = place[made.of(t)]
-            out.append(f[f >= 0].astype("<i4").tobytes())
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["p", "f"])
-
-    sample = sorted((bool(r.p), bytes(r.f)) for r in map_arrow(src, rows, "p boolean, f binary").collect())
-    positive, unlabelled = ([np.frombuffer(f, "<i4").astype(np.int64) for q, f in sample if q == want] for want in (True, False))
-    fits = [nnpu(positive, unlabelled, len(use), prior, seed=k) for k in range(classifiers)]
-    weights = np.zeros(_LEVELS * dims)
-    weights[use] = np.mean([w for w, _ in fits], axis=0)
-    return weights, float(np.mean([b for _, b in fits]))
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, dims: int = DIMS, prior: float | None = None) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([made.of(t).astype("<u2").tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["p", "g", "f"])
+
+    groups = max(1, math.ceil(n_u / group_documents))
+    made = src.select("p", F.pmod(F.xxhash64("doc", F.lit("group")), F.lit(groups)).alias("g"), "t").mapInArrow(rows, "p boolean, g long, f binary")
+    made = durable(made.groupBy("p", "g", "f").agg(F.count("*").alias("n")), "toxicity-rows")
+    positive = [np.frombuffer(f, "<u2").astype(np.int64) for f in sorted(bytes(r.f) for r in made.where("p").collect() for _ in range(r.n))]
+    weights, bias, fits = _fit_groups(made.where("NOT p").select("g", "f", "n"), positive, len(use), prior, classifiers)
+    return Model(use, weights / fits, float(bias / fits))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, dims: int = DIMS, prior: float | None = None, **options) -> DataFrame:
     """The input's columns with held_out (boolean), score (double, 0 to 1) and predicted (int); such names are replaced.
 
     Scores depend on the text alone. Null and empty texts have no features and get the score of the bias, repeated
     rows get equal scores, a null id is not held out and has no label. Labels that are null are ignored; of several for
     an id the largest counts; without any confirmed toxic label every score is near 0. An empty table gives an
-    empty table. Whole texts are scored in one pass without a shuffle.
+    empty table. Whole texts are scored in one pass without a shuffle. ``options`` are those of fit().
     """
     prepare(docs.sparkSession)
     learn = labels.select(F.col("doc_id").cast("long").alias("doc"), "toxic").where(~held_out(F.col("doc")))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, learn, id_col, text_col, dims, prior))
-    made = Features(dims)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, learn, id_col, text_col, dims, prior, **options))
+    made: list[Features] = []
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        w, b = model.value
-        return pa.array([1 / (1 + math.exp(-min(max(float(w[made.of(t)].sum()) + b, -30), 30))) for t in text.to_pylist()], pa.float64())
+        m = model.value
+        if not made:
+            made.append(Features(dims, m.use))
+        return pa.array([1 / (1 + math.exp(-min(max(float(m.weights[made[0].of(t)].sum()) + m.bias, -30), 30))) for t in text.to_pylist()], pa.float64())
 
-    rows = pack(docs, i=F.col(id_col), t=raw(text_col)).withColumn("score", score("t"))
+    rows = pack(docs, i=named(id_col), t=raw(text_col)).withColumn("score", score("t"))
     return unpack(rows, docs, add={"held_out": held_out(F.col("i")), "score": F.col("score"), "predicted": (F.col("score") >= threshold).cast("int")})

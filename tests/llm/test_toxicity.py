@@ -47,10 +47,38 @@ def test_model_does_not_depend_on_the_partitions(spark):
     rows = corpus(300)
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc long, toxic int").where(~held_out(F.col("doc")))
-    w, b = fit(df.coalesce(1), labels)
-    many_w, many_b = fit(df.repartition(150), labels)
-    assert np.count_nonzero(w) > 10
-    assert b == many_b and (w == many_w).all()
+    one, many = fit(df.coalesce(1), labels, group_documents=40), fit(df.repartition(150), labels, group_documents=40)
+    assert np.count_nonzero(one.weights) > 10
+    assert one.bias == many.bias and (one.use == many.use).all() and (one.weights == many.weights).all()
+
+
+def test_all_unlabelled_text_counts(spark):
+    """Counts of the features, and the groups' rows, against a loop over every document that is not held out."""
+    rows = corpus(300)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc long, toxic int").where(~held_out(F.col("doc")))
+    free = [(i, t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    made = Features()
+    pos, unl = [set(made.of(t.encode()).tolist()) for _, t, x in free if x], [set(made.of(t.encode()).tolist()) for _, t, x in free if not x]
+    gain = {}
+    for f in {f for s in pos for f in s}:
+        p, u = sum(f in s for s in pos), sum(f in s for s in unl)
+        if p >= max(3, 0.02 * len(pos)):
+            pool = (p + u + 1) / (len(free) + 1)
+            gain[f] = (p / len(pos) - u / len(unl)) / np.sqrt(pool * (1 - pool) * (1 / len(pos) + 1 / len(unl)) + 1e-12)
+    model = fit(df, labels)
+    assert model.use.tolist() == sorted(f for f, g in gain.items() if g > 4)
+    sure = fit(df, labels, max_positive=len(pos), max_features=5)
+    assert sure.use.tolist() == sorted(sorted(gain, key=lambda f: (-gain[f], f))[:5])
+
+
+def test_weighted_rows_stand_for_documents():
+    r = np.random.default_rng(1)
+    pos = [r.choice(20, 4, replace=False) for _ in range(30)]
+    once = [r.choice(20, 3, replace=False) for _ in range(50)]
+    w1, b1 = nnpu(pos, once, 20, 0.2, np.full(50, 3), steps=50)
+    w2, b2 = nnpu(pos, once, 20, 0.2, steps=50)
+    assert np.allclose(w1, w2) and np.isclose(b1, b2)
 
 
 def test_no_labels_and_empty(spark):
@@ -68,4 +96,7 @@ def test_risk_does_not_go_below_zero():
     w, b = nnpu(pos, unl, 40, 0.1, steps=300)
     assert w[0] + b > 0 > w[1] + b
     f = Features()
+    some = f.of(b"moron scum moron losers losing")
+    part = Features(wanted=np.sort(some)[::2])
+    assert np.sort(some)[::2].tolist() == np.sort(some)[::2][part.of(b"moron scum moron losers losing")].tolist() and len(part.of(b"other")) == 0
     assert len(f.of(b"")) == 0 and (f.of(b"Word word, WORD") == f.of(b"word")).all()
