@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import pack, prepare, raw, unpack
+from loomwright.llm.common import durable, named, pack, prepare, raw, unpack
 
 #: Buckets of the n-gram multinomials; the model that is sent to the executors has as many doubles.
 BUCKETS = 1 << 16
-#: Documents of the trusted set at most; of more, those with the smallest hashed ids are taken.
-MAX_TRUSTED = 50_000
+#: Trusted ids up to which they are sent to every executor (64 MB); more are joined.
+BROADCAST_IDS = 4_000_000
 #: A document is kept if its mean log ratio for an n-gram is at least this.
 THRESHOLD = -0.35
 
@@ -81,11 +81,10 @@ def base_counts(text: bytes, words: list[bytes], h: np.ndarray) -> tuple[int, in
 
 @dataclass(frozen=True)
 class Model:
-    """N-gram counts of all documents and of the trusted ones, by bucket, and the trusted ids."""
+    """N-gram counts of all documents and of the trusted ones, by bucket."""
 
     every: np.ndarray
     trusted: np.ndarray
-    ids: frozenset
 
     def ratio(self, b: np.ndarray, trusted: bool) -> float:
         """The mean log-likelihood ratio of a document's n-grams, trusted multinomial to corpus multinomial.
@@ -105,20 +104,28 @@ class Model:
         return float((np.log(kept) - np.log(every)).mean() - sums)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> Model:
-    """Counts over every whole document; each task sends one row for a bucket at most. ``trusted`` holds ids in a column
-    ``doc``."""
-    ids = trusted.where("doc IS NOT NULL").select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(max_trusted)
-    chosen = frozenset(r.doc for r in ids.collect())
-    known = docs.sparkSession.sparkContext.broadcast(chosen)
+def mark_trusted(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``rows`` (with a column ``d``, the id) and a boolean ``good``: whether the id is among ``trusted`` (column ``doc``).
+
+    The ids are written and counted: up to BROADCAST_IDS they go to every executor, 16 bytes each, and texts don't move;
+    beyond, rows are joined by id.
+    """
+    ids = durable(trusted.select(F.col("doc").cast("long").alias("known")).where("known IS NOT NULL").distinct(), "trusted")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, F.col("d") == F.col("known"), "left").withColumn("good", F.col("known").isNotNull()).drop("known")
+
+
+def fit(rows: DataFrame, buckets: int = BUCKETS) -> Model:
+    """Counts over every whole document of ``rows`` (t binary, good boolean); each task sends one row for a bucket at most."""
 
     def count(batches):
         of, trusted_of = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for b in batches:
             parts = {False: [], True: []}
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for good, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = t.split()
-                parts[d in known.value].append(ngram_buckets(words, _hashes(words), buckets))
+                parts[good].append(ngram_buckets(words, _hashes(words), buckets))
             for trust, xs in parts.items():
                 if xs:
                     c = np.bincount(np.concatenate(xs), minlength=buckets)
@@ -129,42 +136,41 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(of[at]), pa.array(trusted_of[at])], ["b", "n", "t"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc"), raw(text_col).alias("t"))
-    rows = src.mapInArrow(count, "b long, n long, t long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
+    found = rows.select("good", "t").mapInArrow(count, "b long, n long, t long").groupBy("b").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
     of, trusted_of = np.zeros(buckets), np.zeros(buckets)
-    for r in rows:
+    for r in found:
         of[r.b], trusted_of[r.b] = r.n, r.t
-    return Model(of, trusted_of, chosen)
+    return Model(of, trusted_of)
 
 
-def score_quality(
-    docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED
-) -> DataFrame:
+def score_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """The input's columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), llr (double),
     base_failed and kept (boolean); such names in the input are replaced.
 
     ``llr`` is the mean over a document's n-grams (words, pairs of words, word endings) of the log ratio, the document
     itself left out of the counts; a document without words, and all where nothing is trusted, have 0.
     base_failed: under 20 words, or over 30 % of them in repeated 8-word windows. kept: not base_failed, and llr at
-    least ``threshold``. Nulls are empty texts, which fail; repeated rows are counted and scored each; a null id is
-    never trusted. An empty table gives an empty table. The text is read twice and never shuffled.
+    least ``threshold``. ``trusted`` holds ids in a column ``doc``, all of which count. Nulls are empty texts, which
+    fail; repeated rows are counted and scored each; a null id is never trusted. An empty table gives an empty table.
+    The text is read twice, and never shuffled while the trusted ids can be broadcast.
     """
     prepare(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, trusted, id_col, text_col, buckets, max_trusted))
+    marked = mark_trusted(pack(docs, t=raw(text_col), d=named(id_col).cast("long")), trusted)
+    model = docs.sparkSession.sparkContext.broadcast(fit(marked, buckets))
     fields = [*[T.StructField(c, T.LongType()) for c in BASE_FIELDS], T.StructField("llr", T.DoubleType())]
 
     @F.arrow_udf(T.StructType(fields))
-    def judge(text: pa.Array, doc: pa.Array) -> pa.Array:
+    def judge(text: pa.Array, good: pa.Array) -> pa.Array:
         rows, m = [], model.value
-        for t, d in zip(text.to_pylist(), doc.to_pylist()):
+        for t, g in zip(text.to_pylist(), good.to_pylist()):
             words = t.split()
             h = _hashes(words)
-            llr = m.ratio(ngram_buckets(words, h, buckets), d in m.ids)
+            llr = m.ratio(ngram_buckets(words, h, buckets), g)
             rows.append((*base_counts(t, words, h), llr))
         cols = zip(*rows) if rows else [[]] * 6
         return pa.StructArray.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.float64()) for i, c in enumerate(cols)], [f.name for f in fields])
 
-    rows = pack(docs, t=raw(text_col), d=F.col(id_col).cast("long")).withColumn("q", judge("t", "d"))
+    rows = marked.withColumn("q", judge("t", "good"))
     failed = base_failed(F.col("q.n_words"), F.col("q.n_repeat_words"))
     add = {f.name: F.col("q")[f.name] for f in fields}
     return unpack(rows, docs, add=add | {"base_failed": failed, "kept": ~failed & (F.col("q.llr") >= threshold)})

@@ -1,8 +1,14 @@
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
-from loomwright.llm.quality import repeat_words, score_quality, trusted_ids
+import pytest
+
+from loomwright.llm import quality
 from loomwright.llm.quality import _hashes as hashes
+from loomwright.llm.quality import repeat_words, score_quality, trusted_ids
 
 
 def brute(text):
@@ -41,6 +47,63 @@ def test_base_counts_against_brute_force(spark):
         assert x.kept == (not x.base_failed and x.llr >= -0.35)
 
 
+M = (1 << 64) - 1
+ODD, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+
+
+def mixed(word, seed=1):
+    h = (zlib.crc32(word if isinstance(word, bytes) else word.encode()) + seed) * ODD & M
+    return (h ^ h >> 29) * MIX & M
+
+
+def bucket(h, size):
+    return (h >> 40) % size
+
+
+def grams(text, size):
+    """Buckets of a text's words, pairs and endings, in whole numbers of Python, and as many times as they occur."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    out = Counter()
+    for w in words:
+        out[bucket(mixed(w), size)] += 1
+        out[bucket(mixed(w.encode()[-3:], 1 << 33), size)] += 1
+    for a, b in zip(words, words[1:]):
+        p = (mixed(a) * ODD + mixed(b)) & M
+        out[bucket(0 if mixed(a) == mixed(b) else (p ^ p >> 31) * MIX & M, size)] += 1
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_ratio_against_a_plain_count(spark, monkeypatch, broadcast):
+    """llr and kept for every document, from Counters over all other documents."""
+    if not broadcast:
+        monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    size = 97
+    rows = [(i, t) for i, t in enumerate(texts())] + [(10, texts()[9]), (None, "river bank and stone " * 9)]
+    good = {i for i in range(0, 60, 3)} | {500}
+    df = spark.createDataFrame([(i, t, True) for i, t in rows], "doc_id long, text string, good boolean")
+    labels = spark.createDataFrame([(i, 1) for i in sorted(good)] * 2 + [(None, 1), (4, 0)], "doc_id long, quality int")
+    of = [grams(t, size) for _, t in rows]
+    every, trusted = Counter(), Counter()
+    for (i, _), g in zip(rows, of):
+        every.update(g)
+        if i in good:
+            trusted.update(g)
+    total, liked = sum(every.values()), sum(trusted.values())
+    share, want = liked / total, []
+    for (i, t), g in zip(rows, of):
+        n, own = sum(g.values()), i in good
+        x = sum(k * (math.log(trusted[b] - k * own + share) - math.log(every[b] - k + 1)) for b, k in g.items()) / n if n else 0.0
+        x -= (math.log(liked - own * n + share * size) - math.log(total - n + size)) if n else 0.0
+        c = brute(t)
+        want.append((i, t, round(x, 9), not (c[0] < 20 or 100 * c[4] > 30 * c[0]) and x >= -0.35))
+    got = [(x.doc_id, x.text, round(x.llr, 9), x.kept) for x in score_quality(df, trusted_ids(labels), buckets=size).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert [x[:2] + x[3:] for x in sorted(got, key=key)] == [x[:2] + x[3:] for x in sorted(want, key=key)]
+    assert [x[2] for x in sorted(got, key=key)] == pytest.approx([x[2] for x in sorted(want, key=key)], abs=1e-8)
+    assert all(x.good for x in score_quality(df, trusted_ids(labels)).collect())
+
+
 def test_separates_junk_and_handles_empty_tables(spark):
     r = random.Random(2)
     clean = [" ".join(r.choice(["river", "stone", "of", "the", "and", "walked", "a"]) for _ in range(60)) for _ in range(120)]
