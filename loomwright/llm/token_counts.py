@@ -14,7 +14,9 @@ from loomwright.llm.common import pack, prepare, raw, unpack
 from loomwright.llm.tokens import tokenizer_path
 
 #: Distinct pre-tokens whose counts one worker remembers; then it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
+#: Nodes that a worker's trie grows to before it starts anew, and characters of a pre-token that it holds.
+TRIE_NODES, TRIE_DEPTH = 600_000, 64
 
 SPACE_MARK = "▁"
 
@@ -22,97 +24,129 @@ SPACE_MARK = "▁"
 class UnigramTrie:
     """Counts of the pieces on the best path (greatest sum of log-probabilities) through pre-tokens.
 
-    A character that is no piece is written as its UTF-8 bytes, ``byte_score`` each. Of equally good paths, the one
-    whose last piece is longest counts, and so on from the end.
+    A node of the trie is a prefix of the pre-tokens met so far and holds the forward score of the best path through
+    it and that path's number of pieces; at a pre-token's last node that is its terminal count. A prefix is scored
+    once, whichever batch it comes in. A character that is no piece is written as its UTF-8 bytes, ``byte_score``
+    each. Of equally good paths, the one whose last piece is longest counts, and so on from the end.
     """
 
-    def __init__(self, pieces: dict[str, float], byte_score: float | None = None):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+    def __init__(self, pieces: dict[str, float], byte_score: float | None = None, nodes: int = TRIE_NODES, depth: int = TRIE_DEPTH):
         self.byte_score = min(pieces.values(), default=0.0) - 10 if byte_score is None else byte_score
+        self.pieces, self.nodes, self.depth = pieces, nodes, depth
+        #: Every ending of a piece, with the score if it is one itself: the search for pieces that end at a place stops
+        #: at the first ending that no piece has.
+        self.endings: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(len(p))} | pieces
         self.visited = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.child: dict[int, int] = {}
+        self.best, self.pieces_to = [0.0], [0]
+
+    def count(self, word: str) -> int:
+        """The terminal count of a pre-token; prefixes that the trie lacks are scored and, up to its depth, added."""
+        if len(self.best) > self.nodes:
+            self._clear()
+        child, best, pieces_to = self.child, self.best, self.pieces_to
+        node, path_best, path_count = 0, [0.0], [0]
+        for i, c in enumerate(word):
+            nxt = child.get(node << 21 | ord(c)) if i < self.depth else None
+            if nxt is None:
+                top, n = self._score(word, i, path_best, path_count)
+                self.visited += 1
+                if i < self.depth:
+                    nxt = child[node << 21 | ord(c)] = len(best)
+                    best.append(top)
+                    pieces_to.append(n)
+            else:
+                top, n = best[nxt], pieces_to[nxt]
+            node = nxt
+            path_best.append(top)
+            path_count.append(n)
+        return path_count[-1]
+
+    def _score(self, word: str, i: int, best: list[float], count: list[int]) -> tuple[float, int]:
+        """Forward score and number of pieces of word[: i + 1] from those of its prefixes."""
+        endings, top, n = self.endings, -math.inf, 0
+        if word[i] not in self.pieces:
+            size = len(word[i].encode("utf-8", "replace"))
+            top, n = best[i] + size * self.byte_score, count[i] + size
+        start = i
+        while start >= 0 and (got := endings.get(word[start : i + 1], False)) is not False:
+            if got is not None and best[start] + got >= top:
+                top, n = best[start] + got, count[start] + 1
+            start -= 1
+        return top, n
 
     def counts(self, words: list[str]) -> dict[str, int]:
-        """Counts of the distinct words. In sorted order they are the trie read depth first: the stacks hold the forward
-        score and the count of each node on the path from the root, a word keeps those of the prefix that it shares
-        with the one before and pushes its own, and its last node holds its terminal count."""
-        pieces, longest, out = self.pieces, self.longest, {}
-        best, count, before = [0.0], [0], ""
-        for word in sorted(set(words)):
-            at, most = 0, min(len(before), len(word))
-            while at < most and before[at] == word[at]:
-                at += 1
-            del best[at + 1 :], count[at + 1 :]
-            for i in range(at, len(word)):
-                top, n = -math.inf, 0
-                for start in range(max(0, i + 1 - longest), i + 1):
-                    score = pieces.get(word[start : i + 1])
-                    if score is not None and best[start] + score > top:
-                        top, n = best[start] + score, count[start] + 1
-                if word[i] not in pieces:
-                    size = len(word[i].encode("utf-8", "replace"))
-                    if best[i] + size * self.byte_score > top:
-                        top, n = best[i] + size * self.byte_score, count[i] + size
-                best.append(top)
-                count.append(n)
-            self.visited += len(word) - at
-            out[word] = count[-1]
-            before = word
-        return out
+        return {w: self.count(w) for w in dict.fromkeys(words)}
+
 
+def load_pieces(path: str, scores: str = "zipf") -> dict[str, float]:
+    """The pieces of a sentencepiece file with log-probabilities.
 
-def load_pieces(path: str) -> dict[str, float]:
-    """The pieces of a sentencepiece file with log-probabilities: its own where it is a unigram model; a merge
-    vocabulary has ranks for scores, which give Zipf's law, 1 / (rank + 1) normalised."""
+    ``scores="file"`` takes the file's own, as a unigram model has them. ``scores="zipf"`` is for a merge vocabulary,
+    whose scores are only ranks: probabilities 1 / (rank + 1), normalised.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     own = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    scores = {sp.id_to_piece(i): sp.get_score(i) for i in own}
-    if all(s == round(s) for s in scores.values()):
-        total = sum(1 / (r + 1) for r in range(len(own)))
-        ranked = sorted(scores, key=lambda p: (-scores[p], p))
-        scores = {p: -math.log((r + 1) * total) for r, p in enumerate(ranked)}
-    return scores
+    found = {sp.id_to_piece(i): sp.get_score(i) for i in own}
+    if scores == "file":
+        return found
+    if scores != "zipf":
+        raise ValueError(f"scores must be 'zipf' or 'file', not {scores!r}")
+    total = sum(1 / (r + 1) for r in range(len(found)))
+    ranked = sorted(found, key=lambda p: (-found[p], p))
+    return {p: -math.log((r + 1) * total) for r, p in enumerate(ranked)}
 
 
 class _Counter:
-    def __init__(self, path: str):
-        self.trie, self.cache = UnigramTrie(load_pieces(path)), {}
+    def __init__(self, path: str, scores: str):
+        self.trie, self.cache = UnigramTrie(load_pieces(path, scores)), {}
 
     def of(self, texts: list[bytes]) -> list[tuple[int, int]]:
-        cut = [t.split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = {w for ws in cut for w in ws if w not in self.cache}
-        if new:
-            named = {w: SPACE_MARK + w.decode("utf-8", "replace") for w in new}
-            counts = self.trie.counts(list(named.values()))
-            self.cache.update((w, counts[s]) for w, s in named.items())
-        return [(len(ws), sum(map(self.cache.__getitem__, ws))) for ws in cut]
+        cache, count, out = self.cache, self.trie.count, []
+        for t in texts:
+            words = t.split()
+            got = list(map(cache.get, words))
+            if None in got:
+                for i, n in enumerate(got):
+                    if n is None:
+                        w = words[i]
+                        n = cache.get(w)
+                        if n is None:
+                            n = cache[w] = count(SPACE_MARK + w.decode("utf-8", "replace"))
+                        got[i] = n
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+            out.append((len(words), sum(got)))
+        return out
 
 
 @lru_cache(2)
-def _counter(path: str) -> _Counter:
-    return _Counter(path)
+def _counter(path: str, scores: str) -> _Counter:
+    return _Counter(path, scores)
 
 
-def count_tokens(docs: DataFrame, model: str | None = None, text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, model: str | None = None, text_col: str = "text", scores: str = "zipf") -> DataFrame:
     """The input's columns with n_pretokens and n_tokens (long); such names in the input are replaced.
 
     Pre-tokens are runs of characters outside space and \\t-\\r, each behind the space mark; n_tokens is the sum of
-    their pieces on the best unigram path. Nulls and texts without words count 0, a pre-token can be of any length,
-    repeated rows are counted each, an empty table gives an empty table.
+    their pieces on the best unigram path, with the probabilities that ``scores`` names (see load_pieces). Nulls and
+    texts without words count 0, a pre-token can be of any length, repeated rows are counted each, an empty table
+    gives an empty table.
 
-    Every task builds tries of the distinct pre-tokens that it has not met yet and remembers their terminal counts up
-    to a bound, so neither words nor texts are shuffled and nothing grows with the corpus.
+    Every worker inserts the distinct pre-tokens that it meets in a trie that it keeps from batch to batch, up to a
+    bound, and remembers their terminal counts, so neither words nor texts are shuffled and nothing grows with the corpus.
     """
     prepare(docs.sparkSession)
     path = model or tokenizer_path("piece_bpe_32k.model")
 
     @F.arrow_udf(T.StructType([T.StructField("p", T.LongType()), T.StructField("n", T.LongType())]))
     def count(text: pa.Array) -> pa.Array:
-        rows = _counter(path).of(text.to_pylist())
+        rows = _counter(path, scores).of(text.to_pylist())
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["p", "n"])
 
     rows = pack(docs, t=raw(text_col)).withColumn("c", count("t"))

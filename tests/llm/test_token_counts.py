@@ -30,6 +30,12 @@ def test_prefixes_are_scored_once():
     trie = UnigramTrie({"a": -1.0, "b": -1.0, "ab": -1.5})
     trie.counts(["abab", "ababa", "ababb", "abab"])
     assert trie.visited == 6
+    trie.counts(["abab", "ababab"])  # another batch goes on in the same trie
+    assert trie.visited == 7
+    small = UnigramTrie({"a": -1.0, "b": -1.0, "ab": -1.5}, nodes=3, depth=4)
+    words = ["abab", "ababa", "ba" * 40, "é" + "ab" * 9, "abab"]
+    assert small.counts(words) == UnigramTrie({"a": -1.0, "b": -1.0, "ab": -1.5}).counts(words)
+    assert len(small.best) <= 3 + 4 + 1
 
 
 def test_against_an_independent_unigram_model(spark):
