@@ -1,41 +1,186 @@
-"""Every registered query over tables of nulls, empty and very long texts, ties and repeated rows, and over empty tables."""
+"""Every registered query over tables of nulls, empty and very long texts, ties, repeated rows and odd column names, with the
+values that the contracts define; and over empty tables."""
 
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+import corpus_pipeline
+from loomwright.llm.html_extract import page_lines
+from loomwright.llm.tokens import tokenizer_path
+from tests.llm.test_line_dedup import brute as brute_lines
+from tests.llm.test_mixing import brute_targets
+from tests.llm.test_quality import brute as brute_counts
+from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_topk import brute as brute_topk
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, size long"
 NAMES = [n for n in entry.queries() if n.startswith("op")] + ["pipeline"]
+LONG = "word of a long text " * 15_000
+DOCS = [(None, None, None, None, None), (1, None, "en", None, 0), (1, None, "en", None, 0), (2, "", "en", "a", 0), (3, " \n\t\r\n", "en", "a", 5), (4, LONG, "en", "b", len(LONG))]
+DOCS += [(5, LONG, "en", "b", len(LONG)), (6, "x" * 300_000, None, "b", 3), (None, "some text without an id", "fr", "a", 9), (7, "a <|endofTEXT|> b <|endoftext|>", "en", "a", 1)]
+DOCS += [(10 + i, f"a plain line of text here\nand line number {i} of {i * 7} with enough words to pass the rules of length {i} maybe so", "de", "c", 9) for i in range(30)]
+LABELS = [(None, 1, 1), (1, None, None), (10, 1, 0), (11, 0, 1), (12, 1, 0), (12, 1, 1), (999, 1, 0), (13, 1, None)]
+VECTORS = [(None, [1.0, 2.0]), (0, None), (50, [1.0, None]), (100, []), (150, [1.0, 2.0]), (150, [1.0, 2.0]), (151, [1.0, 2.0]), (152, [0.0, 0.0]), (153, [3e38, -3e38])]
+PAGES = [(None, None, None), (1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (2, "http://h/x", None), (3, "http://h/x", ""), (4, "http://h/x", "<article>" + "<p>p</p>" * 20_000), (5, "::::", "<<<>>> &#xZZ; &amp")]
+SCHEMAS = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "embeddings": "vec_id long, embedding array<float>", "pages": "page_id long, url string, html string"}
+TABLES = {"documents": DOCS, "labels": LABELS, "embeddings": VECTORS, "pages": PAGES}
 
 
-def tables(spark, path, empty):
-    long = "word of a long text " * 15_000
-    docs = [(None, None, None, None, None, None, None), (1, None, "en", None, 0, "r", 1), (1, None, "en", None, 0, "r", 1), (2, "", "en", "a", 0, "r", 1), (3, " \n\t\r\n", "en", "a", 5, "r", 1), (4, long, "en", "b", len(long), "r", 1)]
-    docs += [(5, long, "en", "b", len(long), "r", 1), (6, "x" * 300_000, None, "b", 3, None, None), (None, "some text without an id", "fr", "a", 9, "r", 1)]
-    docs += [(10 + i, f"a plain line of text here\nand line number {i} of {i * 7} with enough words to pass the rules of length {i} maybe so", "de", "c", 9, "r", 1) for i in range(30)]
-    labels = [(None, 1, 1), (1, None, None), (10, 1, 0), (11, 0, 1), (12, 1, 0), (12, 1, 1), (999, 1, 0), (13, 1, None)]
-    vectors = [(None, [1.0, 2.0], 1), (0, None, None), (50, [1.0, None], 1), (100, [], 1), (150, [1.0, 2.0], 1), (150, [1.0, 2.0], 1), (151, [1.0, 2.0], 1), (152, [0.0, 0.0], 1)]
-    pages = [(None, None, None), (1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (2, "http://h/x", None), (3, "http://h/x", ""), (4, "http://h/x", "<article>" + "<p>p</p>" * 20_000), (5, "::::", "<<<>>> &#xZZ; &amp")]
-    for name, rows, schema in (("documents", docs, DOCS), ("labels", labels, "doc_id long, quality int, toxic int"), ("embeddings", vectors, "vec_id long, embedding array<float>, label int"), ("pages", pages, "page_id long, url string, html string")):
-        spark.createDataFrame([] if empty else rows, schema).write.parquet(f"{path}/{name}.parquet")
-    return {"documents": len(docs), "pages": len(pages)}
+def with_odd_columns(df):
+    """Names that operators use themselves, and such as need quotes."""
+    odd = ["row", "doc", "t", "d", "size", "score", "c", "meta.url", "a`b", "with space", "component"]
+    return df.withColumns({c: F.lit(f"kept {c}") for c in odd})
 
 
 @pytest.fixture(scope="module", params=[False, True], ids=["odd", "empty"])
 def sf(request, spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("sf")
-    return f"file://{path}", request.param, tables(spark, f"file://{path}", request.param)
+    path = f"file://{tmp_path_factory.mktemp('sf')}"
+    for name, rows in TABLES.items():
+        with_odd_columns(spark.createDataFrame([] if request.param else rows, SCHEMAS[name])).write.parquet(f"{path}/{name}.parquet")
+    return path, request.param
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def key(x):
+    return (x is None, x or 0)
+
+
+def op1(rows):
+    want = [(i, n, gone, hashlib.sha256(t.encode()).hexdigest()) for i, n, gone, t in brute_lines([r[:2] for r in DOCS])]
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in rows), key=repr) == sorted(want, key=repr)
+
+
+def op2(rows):
+    plain, at, want = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), 0, {}
+    for r in rows:
+        want.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [key(r.doc_id) for r in sorted(rows, key=lambda r: r.start)] == sorted(key(r[0]) for r in DOCS)
+    made = {}
+    for i, t, *_ in DOCS:
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        made.setdefault(i, []).append((len(ids), zlib.crc32(ids.tobytes())))
+    assert {i: sorted(v) for i, v in want.items()} == {i: sorted(v) for i, v in made.items()}
+
+
+def op3(rows):
+    assert sorted(key(r.doc_id) for r in rows) == sorted(key(r[0]) for r in DOCS)
+    of = {}
+    for r in rows:
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        of.setdefault(r.doc_id, set()).add(r.score)
+    assert len(of[1]) == 1 and of[1] == of[2] == of[3] and of[4] == of[5]
+
+
+def op4(rows):
+    sizes, names = [(i, s, len(words(t))) for i, t, _, s, _ in DOCS], {}
+    for _, s, n in sizes:
+        names[s] = names.get(s, 0) + n
+    targets = brute_targets(names)
+    by = Counter((i, s) for i, s, _ in sizes)
+    assert sorted(key(r.doc_id) for r in rows) == sorted(key(i) for i, _, _ in sizes)
+    for r in rows:
+        s = next(s for i, s, n in sizes if i == r.doc_id and n == r.size)
+        assert r.source_size == names[s] and r.target == pytest.approx(targets[s]) and r.taken <= 2 * r.size and (not r.size or r.taken % r.size == 0)
+    assert by[(1, None)] == 2
+
+
+def op5(rows):
+    want = sorted(((i, *brute_counts(t)) for i, t, *_ in DOCS if t != LONG), key=repr)
+    assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows if r.doc_id not in (4, 5)), key=repr) == want
+    long = [r for r in rows if r.doc_id in (4, 5)]
+    assert [(r.n_words, r.word_chars, r.n_repeat_words, r.base_failed, r.kept) for r in long] == [(75_000, 15 * 15_000, 75_000, True, False)] * 2
+    assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and r.kept <= (not r.base_failed) for r in rows)
+
+
+def op6(rows):
+    assert sorted(((r.doc_id, r.n_pretokens) for r in rows), key=repr) == sorted(((i, len(words(t))) for i, t, *_ in DOCS), key=repr)
+    assert all((r.n_tokens > 0) == (r.n_pretokens > 0) and r.n_tokens >= r.n_pretokens for r in rows)
+
+
+def op7(rows):
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows) == brute_topk([(i, None if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v in VECTORS])
+
+
+def op8(rows):
+    want = {None: "", 1: "a", 2: "", 3: "", 4: "\n".join(["p"] * 20_000), 5: "\n".join(page_lines(PAGES[-1][2])[0])}
+    assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in rows), key=repr) == sorted(((i, u, want[i], len(want[i])) for i, u, _ in PAGES), key=repr)
+    assert "&" in want[5]
+
+
+def check_packed(rows, docs):
+    """Every id of (doc_id, text) in exactly one piece, sequences without gaps, at most 1024 long."""
+    plain, by, seq = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), {}, {}
+    for i, t in docs:
+        by.setdefault(i, []).append(np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4"))
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(pieces) == set(by)
+    for i, texts in by.items():
+        got = Counter((s, n, c, total) for s, n, c, total in pieces[i])
+        want = Counter()
+        for ids in texts:
+            for s, n in {(s, n) for s, n, _, total in pieces[i] if total == len(ids)}:
+                part = ids[s : s + n]
+                if (s, n, zlib.crc32(part.tobytes()), len(ids)) in got:
+                    want[(s, n, zlib.crc32(part.tobytes()), len(ids))] += 1
+        assert got == want and sum(n for _, n, _, _ in pieces[i]) == sum(map(len, texts))
+    for parts in seq.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 1024
+
+
+def op9(rows):
+    check_packed(rows, [r[:2] for r in DOCS])
+
+
+def op10(rows):
+    fps = {r[1]: brute_fp(r[1], 3) for r in DOCS}
+    want = brute_components([(i, fps[t]) for i, t, *_ in DOCS if i is not None], 3)
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in rows), key=repr) == sorted(((i, f"{fps[t]:016x}", want.get(i)) for i, t, *_ in DOCS), key=repr)
+
+
+def pipeline(rows):
+    kept = {i: t for i, t, *_ in DOCS if i is not None and i >= 10}
+    assert {r.doc_id for r in rows} <= set(kept) and min(r.doc_id for r in rows) == 10
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_on_odd_tables(spark, sf, name):
-    path, empty, n = sf
-    rows = entry.queries()[name](spark, path).collect()
+    path, empty = sf
+    df = entry.queries()[name](spark, path)
+    rows = df.collect()
     if empty:
-        assert rows == []
-    elif name == "op7_exact_topk":
-        assert {(r.query_id, r.rank, r.vec_id) for r in rows} == {(150, 1, 151), (150, 2, 152)}
-    elif name == "op8_html_extraction":
-        assert len(rows) == n["pages"]
-    elif name not in ("op9_packing", "pipeline"):
-        assert len(rows) == n["documents"]
+        assert rows == [] and df.columns
+    else:
+        globals()[name.split("_")[0]](rows)
+
+
+def test_stages_keep_every_column(spark, sf):
+    """All but the last stage return the columns of the documents, odd names among them, with their values."""
+    path, empty = sf
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert bool(rows) != empty and all(r["meta.url"] == "kept meta.url" and r["a`b"] == "kept a`b" and r["row"] == "kept row" and r["score"] == "kept score" for r in rows)
+        docs = spark.createDataFrame(rows, docs.schema)
