@@ -15,8 +15,8 @@ from loomwright.llm.common import durable, named, pack, prepare, raw, unpack
 
 #: Buckets of the n-gram multinomials; the model that is sent to the executors has as many doubles.
 BUCKETS = 1 << 16
-#: Trusted ids up to which they are sent to every executor (64 MB); more are joined.
-BROADCAST_IDS = 4_000_000
+#: Trusted ids up to which they are sent to every executor (about 50 MB); more are joined.
+BROADCAST_IDS = 500_000
 #: A document is kept if its mean log ratio for an n-gram is at least this.
 THRESHOLD = -0.35
 
@@ -107,7 +107,7 @@ class Model:
 def mark_trusted(rows: DataFrame, trusted: DataFrame) -> DataFrame:
     """``rows`` (with a column ``d``, the id) and a boolean ``good``: whether the id is among ``trusted`` (column ``doc``).
 
-    The ids are written and counted: up to BROADCAST_IDS they go to every executor, 16 bytes each, and texts don't move;
+    The ids are written and counted: up to BROADCAST_IDS they go to every executor, about 100 bytes each, and texts don't move;
     beyond, rows are joined by id.
     """
     ids = durable(trusted.select(F.col("doc").cast("long").alias("known")).where("known IS NOT NULL").distinct(), "trusted")
