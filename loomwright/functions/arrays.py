@@ -59,6 +59,24 @@ def frame_indices(length: Column, frames: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda i: F.floor((edge(i) + edge(i + 1)) / 2).cast("int"))
 
 
+def uniform_frames(length: Column, frames: int) -> Column:
+    """``frames`` places of [0, length) at even steps from 0."""
+    return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda i: F.floor(i * length / frames).cast("int"))
+
+
+def headtail_frames(length: Column, frames: int, key: Column) -> Column:
+    """Half of the frames from the first half of [0, length), half from the second, none twice, in order: those places that
+    come first by a hash of the key and the place. A half that is shorter gives all it has."""
+    half = F.floor(length / 2).cast("int")
+
+    def some(lo: Column, hi: Column) -> Column:
+        at = F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
+        order = F.array_sort(F.transform(at, lambda i: F.struct(F.md5(F.concat(key.cast("string"), F.lit(":"), i.cast("string"))).alias("h"), i.alias("i"))))
+        return F.array_sort(F.transform(F.slice(order, 1, frames // 2), lambda x: x["i"]))
+
+    return F.concat(some(F.lit(0), half), some(half, length.cast("int")))
+
+
 def pad_to_longest(ids: Column, longest: Column, pad: int = PAD_ID) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad), longest - F.size(ids)))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,28 +18,31 @@ def group_adjacent(df: DataFrame, part: str, order: str, key: str) -> DataFrame:
 
 
 def group_members(members: DataFrame, suffixes: set[str] | None = None) -> DataFrame:
-    """(shard, key, data map<suffix, payload>) from (shard, ord, member, payload): neighbours of one key are one sample; a
-    suffix (lower-cased) that comes again begins the next. A shard is one group, as it is one file."""
-
-    def groups(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, key, have = [], None, {}
-        for name, payload in zip(pdf.sort_values("ord")["member"], pdf.sort_values("ord")["payload"]):
-            base = name.rsplit("/", 1)[-1]
-            if "." not in base:
-                continue
-            stem, suffix = name[: len(name) - len(base)] + base.split(".", 1)[0], base.split(".", 1)[1].lower()
-            if suffixes is not None and suffix not in suffixes:
-                continue
-            if stem != key or suffix in have:
-                if have:
-                    out.append((key, have))
-                key, have = stem, {}
-            have[suffix] = payload
-        if have:
-            out.append((key, have))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]] * len(out), "n": range(len(out)), "key": [k for k, _ in out], "data": [h for _, h in out]})
-
-    return members.select("shard", "ord", "member", "payload").groupBy("shard").applyInPandas(groups, "shard string, n long, key string, data map<string,binary>")
+    """(shard, n, key, data map<suffix, payload>) from (shard, ord, member, payload): neighbours of one key are one sample; a
+    suffix (lower-cased) that comes again begins the next. n is the place of a sample's first member in its shard.
+
+    Members without a suffix don't count. A run of neighbours with one key is folded in a row; nothing else of a shard is
+    held together.
+    """
+    base = F.element_at(F.split("member", "/", -1), -1)
+    rows = members.select("shard", "ord", "member", "payload", base.alias("base")).where(F.contains("base", F.lit(".")))
+    rows = rows.withColumn("stem", F.concat(F.substr("member", F.lit(1), F.length("member") - F.length("base")), F.substring_index("base", ".", 1)))
+    rows = rows.withColumn("suffix", F.lower(F.substr("base", F.length(F.substring_index("base", ".", 1)) + 2)))
+    if suffixes is not None:
+        rows = rows.where(F.col("suffix").isin(*suffixes))
+    runs = group_adjacent(rows, "shard", "ord", "stem").groupBy("shard", "group_no").agg(F.first("stem").alias("key"), F.array_sort(F.collect_list(F.struct("ord", "suffix", "payload"))).alias("r"))
+
+    def step(acc, s):
+        again = F.exists(acc["have"], lambda h: h == s)
+        g = F.when(again, F.element_at(acc["g"], -1) + 1).otherwise(F.coalesce(F.get(acc["g"], F.size(acc["g"]) - 1), F.lit(0)))
+        return F.struct(F.when(again, F.array(s)).otherwise(F.concat(acc["have"], F.array(s))).alias("have"), F.concat(acc["g"], F.array(g)).alias("g"))
+
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("have"), F.expr("cast(array() as array<int>)").alias("g"))
+    parts = F.aggregate(F.transform("r", lambda x: x["suffix"]), start, step, lambda acc: acc["g"])
+    numbered = runs.withColumn("g", parts).select("shard", "key", "r", "g", F.explode(F.array_distinct("g")).alias("one"))
+    own = F.filter("r", lambda x, i: F.col("g")[i] == F.col("one"))
+    data = F.map_from_entries(F.transform(own, lambda x: F.struct(x["suffix"], x["payload"])))
+    return numbered.select("shard", own[0]["ord"].cast("long").alias("n"), "key", data.alias("data"))
 
 
 def first_present(data: Column, *names: str) -> Column:
@@ -64,6 +66,24 @@ def decode_member(ext: Column, payload: Column) -> Column:
     return F.when(ext.isin("txt", "json"), F.decode(payload, "UTF-8"))
 
 
+def decode_base64(text: Column) -> Column:
+    """The bytes that a base64 text stands for; null where it is none."""
+    return F.try_to_binary(text, F.lit("base64"))
+
+
+def encode_base64(data: Column) -> Column:
+    """Bytes as base64 text without line breaks."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
+def drop_undecodable(images: Column, texts: Column, ok: Column) -> Column:
+    """Interleaved slots (structs of image and text) without those whose image could not be decoded (``ok``, an array of
+    flags, is false there): the slot's text goes with its image. Slots without an image stay."""
+    slots = F.arrays_zip(images.alias("image"), texts.alias("text"), ok.alias("ok"))
+    kept = F.filter(slots, lambda s: s["image"].isNull() | F.coalesce(s["ok"], F.lit(False)))
+    return F.transform(kept, lambda s: F.struct(s["image"].alias("image"), s["text"].alias("text")))
+
+
 def caption_source(text: Column, metadata: Column, from_metadata: bool, key: str = "top_caption") -> Column:
     return F.get_json_object(metadata, f"$.{key}") if from_metadata else text
 

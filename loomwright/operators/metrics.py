@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.vectors import total
+from loomwright.operators.numbering import prefix
 
 
 def soft_accuracy(predicted: Column, answers: Column) -> Column:
@@ -67,67 +68,132 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
-def bleu(df: DataFrame, candidate: str, reference: str, most: int = 4) -> DataFrame:
-    """bleu1..bleu4 of a corpus of one candidate and one reference each: clipped n-gram precisions, brevity penalty."""
-    words = df.select(F.filter(F.split(candidate, " "), lambda w: w != "").alias("c"), F.filter(F.split(reference, " "), lambda w: w != "").alias("r"))
-    count = lambda a, g: F.size(F.filter(a, lambda x: x == g))
-    clipped = lambda c, r: F.aggregate(F.array_distinct(c), F.lit(0), lambda a, g: a + F.least(count(c, g), count(r, g)))
-    sums = []
-    for n in range(1, most + 1):
-        c, r = ngrams(F.col("c"), n), ngrams(F.col("r"), n)
-        sums += [F.sum(clipped(c, r)).alias(f"m{n}"), F.sum(F.size(c)).alias(f"t{n}")]
-    t = words.agg(*sums, F.sum(F.size("c")).alias("cl"), F.sum(F.size("r")).alias("rl"))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def _captions(df: DataFrame, key: str, candidate: str, references: str) -> DataFrame:
+    """(k, c, rs): words of the candidate and of each reference; ``references`` is a text or an array of texts."""
+    many = df.schema[references].dataType.typeName() == "array"
+    texts = F.col(references) if many else F.array(F.col(references))
+    return df.select(F.col(key).alias("k"), _words(F.coalesce(F.col(candidate), F.lit(""))).alias("c"), F.transform(F.filter(texts, lambda t: t.isNotNull()), _words).alias("rs"))
+
+
+def _gram_counts(words: DataFrame, col: str, most: int, *keys: str) -> DataFrame:
+    """(keys, n, g, f): how often each n-gram of an array of words occurs. A long text is spread over rows before it is counted."""
+    of_size = lambda n: F.transform(ngrams(F.col(col), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+    flat = words.select(*keys, F.explode(F.concat(*[of_size(n) for n in range(1, most + 1)])).alias("s"))
+    return flat.groupBy(*keys, "s.n", "s.g").agg(F.count("*").alias("f"))
+
+
+def bleu(df: DataFrame, key: str, candidate: str, references: str, most: int = 4) -> DataFrame:
+    """bleu1..bleu4 of a corpus: n-gram precisions clipped by the reference that has most, and a brevity penalty by the
+    references closest in length (of two, the shorter). ``key`` is unique; references are a text or an array of texts."""
+    words = _captions(df, key, candidate, references)
+    c = _gram_counts(words, "c", most, "k")
+    r = _gram_counts(words.select("k", F.posexplode("rs").alias("p", "r")), "r", most, "k", "p").groupBy("k", "n", "g").agg(F.max("f").alias("m"))
+    hits = c.join(r, ["k", "n", "g"]).groupBy("n").agg(F.sum(F.least("f", "m")).alias("m"))
+    closest = F.array_min(F.transform("rs", lambda r: F.struct(F.abs(F.size(r) - F.size("c")).alias("d"), F.size(r).alias("n"))))["n"]
+    sizes = [F.sum(F.greatest(F.size("c") - n + 1, F.lit(0))).alias(f"t{n}") for n in range(1, most + 1)]
+    t = words.agg(*sizes, F.sum(F.size("c")).alias("cl"), F.sum(F.coalesce(closest, F.lit(0))).alias("rl"))
+    t = t.crossJoin(hits.agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("m"))), F.lit(0)).alias(f"m{n}") for n in range(1, most + 1)]))  # one row each
     brevity = F.when(F.col("cl") < F.col("rl"), F.exp(1 - F.col("rl") / F.col("cl"))).otherwise(1.0)
     logs = [F.ln((F.col(f"m{n}") + 1e-15) / (F.col(f"t{n}") + 1e-9)) for n in range(1, most + 1)]
     return t.select(*[(brevity * F.exp(sum(logs[:n]) / n)).alias(f"bleu{n}") for n in range(1, most + 1)])
 
 
-def rouge_l(candidate: list[str], reference: list[str], beta: float = 1.2) -> float:
-    """The F-score of the longest common subsequence."""
-    if not candidate or not reference:
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """The length of the longest common subsequence, by bit-parallel rows."""
+    where: dict[str, int] = {}
+    for j, w in enumerate(b):
+        where[w] = where.get(w, 0) | 1 << j
+    mask = v = (1 << len(b)) - 1
+    for w in a:
+        u = v & where.get(w, 0)
+        v = (v + u | v - u) & mask
+    return len(b) - v.bit_count()
+
+
+def rouge_l(candidate: list[str], references: list[list[str]], beta: float = 1.2) -> float:
+    """The F-score of the longest common subsequence: greatest precision and greatest recall over the references."""
+    found = [(lcs_length(candidate, r), len(r)) for r in references if r]
+    if not candidate or not found:
         return 0.0
-    row = [0] * (len(reference) + 1)
-    for c in candidate:
-        last = 0
-        for j, r in enumerate(reference, 1):
-            last, row[j] = row[j], last + 1 if c == r else max(row[j], row[j - 1])
-    p, q = row[-1] / len(candidate), row[-1] / len(reference)
+    p, q = max(n / len(candidate) for n, _ in found), max(n / size for n, size in found)
     return (1 + beta**2) * p * q / (q + beta**2 * p) if p and q else 0.0
 
 
-def rouge_l_mean(df: DataFrame, candidate: str, reference: str) -> DataFrame:
+def rouge_l_mean(df: DataFrame, candidate: str, references: str) -> DataFrame:
     @F.arrow_udf("double")
-    def score(c: pa.Array, r: pa.Array) -> pa.Array:
-        return pa.array([rouge_l((x or "").split(), (y or "").split()) for x, y in zip(c.to_pylist(), r.to_pylist())], pa.float64())
+    def score(c: pa.Array, rs: pa.Array) -> pa.Array:
+        return pa.array([rouge_l(x or [], y or []) for x, y in zip(c.to_pylist(), rs.to_pylist())], pa.float64())
+
+    words = _captions(df, candidate, candidate, references)
+    return words.select(score("c", "rs").alias("s")).agg(F.avg("s").alias("rouge_l"))
+
+
+def meteor(candidate: list[str], reference: list[str]) -> float:
+    """The original score of equal words alone (stems, synonyms and paraphrases need word lists): 10PR / (R + 9P) less half the
+    cube of chunks over matches. A word is matched behind the match before it where it can be, else with its first free place."""
+    free: dict[str, list[int]] = {}
+    for j, w in enumerate(reference):
+        free.setdefault(w, []).append(j)
+    places = []
+    for w in candidate:
+        left = free.get(w)
+        if left:
+            follow = places[-1] + 1 if places and places[-1] is not None else -1
+            at = follow if follow in left else left[0]
+            left.remove(at)
+            places.append(at)
+        else:
+            places.append(None)
+    found = sum(x is not None for x in places)
+    if not found:
+        return 0.0
+    chunks = sum(x is not None and (i == 0 or places[i - 1] is None or x != places[i - 1] + 1) for i, x in enumerate(places))
+    p, r = found / len(candidate), found / len(reference)
+    return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / found) ** 3)
+
 
-    return df.select(score(candidate, reference).alias("s")).agg(F.avg("s").alias("rouge_l"))
+def meteor_mean(df: DataFrame, candidate: str, references: str) -> DataFrame:
+    """The mean over captions of the best score against any reference."""
+
+    @F.arrow_udf("double")
+    def score(c: pa.Array, rs: pa.Array) -> pa.Array:
+        return pa.array([max((meteor(x or [], r) for r in y or []), default=0.0) for x, y in zip(c.to_pylist(), rs.to_pylist())], pa.float64())
 
+    words = _captions(df, candidate, candidate, references)
+    return words.select(score("c", "rs").alias("s")).agg(F.avg("s").alias("meteor"))
 
-def cider(df: DataFrame, key: str, candidate: str, reference: str, most: int = 4, sigma: float = 6.0) -> DataFrame:
-    """(key, cider): ten times the mean over n of the clipped tf-idf cosine, with a Gaussian penalty for length; document
-    frequencies count the references that hold an n-gram."""
-    words = df.select(F.col(key).alias("k"), F.filter(F.split(candidate, " "), lambda w: w != "").alias("c"), F.filter(F.split(reference, " "), lambda w: w != "").alias("r"))
+
+def cider(df: DataFrame, key: str, candidate: str, references: str, most: int = 4, sigma: float = 6.0) -> DataFrame:
+    """(key, cider): ten times the mean over references and n of the clipped tf-idf cosine, with a Gaussian penalty for
+    length; document frequencies count the captions of which a reference holds an n-gram. ``key`` is unique."""
+    words = _captions(df, key, candidate, references)
     docs = words.count()
-    of_size = lambda col, n: F.transform(ngrams(F.col(col), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-    grams = lambda col: F.flatten(F.array(*[of_size(col, n) for n in range(1, most + 1)]))
-    counts = lambda col: words.select("k", F.explode(grams(col)).alias("s")).groupBy("k", "s.n", "s.g").agg(F.count("*").alias(f"f{col}"))
-    c, r = counts("c"), counts("r")
+    refs = words.select("k", F.size("c").alias("nc"), F.posexplode("rs").alias("p", "r"))
+    c, r = _gram_counts(words, "c", most, "k").withColumnRenamed("f", "fc"), _gram_counts(refs, "r", most, "k", "p").withColumnRenamed("f", "fr")
     df_of = r.groupBy("n", "g").agg(F.countDistinct("k").alias("d"))
-    both = c.join(r, ["k", "n", "g"], "full").join(df_of, ["n", "g"], "left")
     idf = F.lit(float(np.log(max(docs, 1)))) - F.ln(F.greatest(F.coalesce("d", F.lit(1)), F.lit(1)))
-    x, y = F.coalesce("fc", F.lit(0)) * idf, F.coalesce("fr", F.lit(0)) * idf
-    per = both.select("k", "n", x.alias("x"), y.alias("y")).groupBy("k", "n").agg(F.sum(F.least("x", "y") * F.col("y")).alias("xy"), F.sqrt(F.sum(F.col("x") ** 2)).alias("nx"), F.sqrt(F.sum(F.col("y") ** 2)).alias("ny"))
-    cos = F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("xy") / F.col("nx") / F.col("ny")).otherwise(0.0)
-    score = per.groupBy("k").agg(F.sum(cos).alias("s"))
-    gap = F.exp(-((F.size("c") - F.size("r")) ** 2) / (2 * sigma**2))
-    return words.join(score, "k", "left").select(F.col("k").alias(key), (10 * F.coalesce("s", F.lit(0.0)) / most * gap).alias("cider"))
+    weighed = lambda rows, f: rows.join(df_of, ["n", "g"], "left").withColumn("w", F.col(f) * idf).drop("d", f)
+    x, y = weighed(c, "fc").withColumnRenamed("w", "x"), weighed(r, "fr").withColumnRenamed("w", "y")
+    nx = x.groupBy("k", "n").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("nx"))
+    ny = y.groupBy("k", "p", "n").agg(F.sqrt(F.sum(F.col("y") ** 2)).alias("ny"))
+    xy = x.join(y, ["k", "n", "g"]).groupBy("k", "p", "n").agg(F.sum(F.least("x", "y") * F.col("y")).alias("xy"))
+    cos = xy.join(nx, ["k", "n"]).join(ny, ["k", "p", "n"]).withColumn("cos", F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("xy") / F.col("nx") / F.col("ny")).otherwise(0.0))
+    per = cos.groupBy("k", "p").agg(F.sum("cos").alias("s"))
+    gap = F.exp(-((F.col("nc") - F.size("r")) ** 2) / (2 * sigma**2))
+    score = refs.join(per, ["k", "p"], "left").groupBy("k").agg(F.avg(F.coalesce("s", F.lit(0.0)) * gap).alias("s"))
+    return words.select("k").join(score, "k", "left").select(F.col("k").alias(key), (10 * F.coalesce("s", F.lit(0.0)) / most).alias("cider"))
 
 
 # --- distributions ----------------------------------------------------------------------------------------------------
 
 
 def moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, mean, covariance with ddof 1): each task sends one n, sum and sum of products, whatever its rows."""
+    """(n, mean, covariance with ddof 1): each task sends a row of d numbers for each dimension, and one for the sums, whatever
+    its rows; equal rows are added up in tasks, and the driver reads the d + 1 of the square matrix that it needs."""
 
     def part(batches):
         n, s, ss = 0, None, None
@@ -138,14 +204,27 @@ def moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
                 ss = x.T @ x + (0 if ss is None else ss)
                 n += len(x)
         if n:
-            flat = np.concatenate([[n], s, ss.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "x"])
-
-    rows = df.where(F.col(vec).isNotNull()).select(vec).mapInArrow(part, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    flat = np.array([r.x for r in sorted(rows, key=lambda r: r.i)])
-    n = int(flat[0])
-    d = int((np.sqrt(4 * len(flat) - 3) - 1) / 2)
-    s, ss = flat[1 : d + 1], flat[d + 1 :].reshape(d, d)
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(s))), pa.array([np.append(s, n), *ss])], ["i", "x"])
+
+    def added(batches):
+        at, held = None, None
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+                x = x.values.to_numpy()
+                if i != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([held])], ["i", "x"])
+                    at, held = i, x
+                else:
+                    held = held + x
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([held])], ["i", "x"])
+
+    schema = "i long, x array<double>"
+    sums = df.where(F.col(vec).isNotNull()).select(vec).mapInArrow(part, schema).repartition("i").sortWithinPartitions("i").mapInArrow(added, schema)
+    rows = {r.i: np.array(r.x) for r in sums.toLocalIterator()}
+    s, n = rows[-1][:-1], int(rows[-1][-1])
+    ss = np.stack([rows[i] for i in range(len(s))])
     return n, s / n, (ss - np.outer(s, s) / n) / max(n - 1, 1)
 
 
@@ -189,23 +268,41 @@ def inception_score(df: DataFrame, probs: str, split: Column) -> DataFrame:
 # --- meters -----------------------------------------------------------------------------------------------------------
 
 
-def lower_median(values: Column) -> Column:
+def _middle(values: Column) -> Column:
     return F.element_at(F.array_sort(values), F.floor((F.size(values) - 1) / 2).cast("int") + 1)
 
 
-def meter_window(df: DataFrame, meter: str, order: list[str], value: str, size: int = 20) -> DataFrame:
-    """avg, lower median, max and last over the last ``size`` values of each meter, and the average since its start."""
-    w = Window.partitionBy(meter).orderBy(*order)
-    last = w.rowsBetween(-(size - 1), 0)
-    return df.select(
+def lower_median(df: DataFrame, meter: str, value: str) -> DataFrame:
+    """(meter, median): the lower of the middle values of each meter, by the places of its sorted values; a meter of any
+    size is spread over as many tasks as its rows need. Nulls don't count."""
+    rows = df.where(F.col(value).isNotNull()).select(meter, value)
+    placed = prefix(rows, [value], within=meter, place="_place")
+    middle = rows.groupBy(F.col(meter).alias("_m")).agg(F.floor((F.count("*") - 1) / 2).alias("_at"))
+    return placed.join(middle, F.col(meter).eqNullSafe(F.col("_m")) & (F.col("_place") == F.col("_at"))).select(meter, F.col(value).alias("median"))
+
+
+def meter_window(df: DataFrame, meter: str, order: list[str], value: str, size: int = 20, stretch: int = 100_000) -> DataFrame:
+    """avg, lower median, max and last over the last ``size`` values of each meter, and the average since its start.
+
+    A meter is cut into stretches of rows, each of which also sees the ``size`` - 1 rows before it; averages since the
+    start come from running sums with an offset for each partition. So a meter of any size has no window of its own.
+    """
+    rows = prefix(df, order, within=meter, value=F.coalesce(F.col(value).cast("double"), F.lit(0.0)), place="_place", running="_sum", counted=F.col(value))
+    at = F.floor(F.col("_place") / stretch)
+    last = F.col("_place") % stretch >= stretch - (size - 1)
+    own, behind = F.struct(at.alias("s"), F.lit(True).alias("home")), F.struct((at + 1).alias("s"), F.lit(False).alias("home"))
+    rows = rows.withColumn("_in", F.explode(F.when(last, F.array(own, behind)).otherwise(F.array(own))))
+    w = Window.partitionBy(meter, "_in.s").orderBy("_place").rowsBetween(-(size - 1), 0)
+    seen = rows.select(
         "*",
-        F.avg(value).over(last).alias("window_avg"),
-        lower_median(F.collect_list(value).over(last)).alias("window_median"),
-        F.max(value).over(last).alias("window_max"),
+        F.avg(value).over(w).alias("window_avg"),
+        _middle(F.collect_list(value).over(w)).alias("window_median"),
+        F.max(value).over(w).alias("window_max"),
         F.col(value).alias("last_value"),
-        F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("global_avg"),
-        F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("global_n"),
+        (F.col("_sum") / F.when(F.col("_sum_n") > 0, F.col("_sum_n"))).alias("global_avg"),
+        F.col("_sum_n").alias("global_n"),
     )
+    return seen.where("_in.home").drop("_in", "_place", "_sum", "_sum_n")
 
 
 def best_checkpoint(df: DataFrame, metric: str = "agg_metrics", order: str = "epoch") -> DataFrame:

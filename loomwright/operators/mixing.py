@@ -117,5 +117,20 @@ def weighted_pick(df: DataFrame, group: str, item: str, weight: str, salt: str =
 
 
 def sample_rows(df: DataFrame, key: str, n: int, salt: str = "sample") -> DataFrame:
-    """The n rows first in hash order; with fewer rows, draws with replacement."""
+    """The n rows first in hash order; with fewer rows than n (but any), n draws with replacement."""
+    if 0 < df.count() < n:
+        return draw_rows(df, key, n)
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{salt}"))), key).limit(n)
+
+
+def draw_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n draws with replacement from the rows numbered in the order of ``key``: the row drawn, as often as it is."""
+    return resample(prefix(df, [key], place="_drawn"), "_drawn", n, seed).drop("draw", "_drawn")
+
+
+def sampler(df: DataFrame, key: str, replacement: bool, n: int | None = None, seed: int = 0) -> DataFrame:
+    """A random sampler: all rows (or n) with ``draw``, their place: in the order of a hash, or drawn with replacement."""
+    total = df.count() if n is None else n
+    if replacement:
+        return resample(prefix(df, [key], place="_drawn"), "_drawn", total, seed).drop("_drawn")
+    return prefix(df.withColumn("_h", shuffle_key(F.col(key), seed)), ["_h", key], place="draw").where(F.col("draw") < total).drop("_h")

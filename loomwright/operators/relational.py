@@ -18,6 +18,11 @@ def unfinished(left: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return left.join(done, key, "left_anti")
 
 
+def existing(annotations: DataFrame, files: DataFrame, path: str, *order: str) -> DataFrame:
+    """The first annotation of each path that is among the files."""
+    return members(first_wins(annotations, path, *order), files.select(path).distinct(), path)
+
+
 def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """a joined with b on the key; ids that only one of them has raise ValueError."""
     only = a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti").union(b.select(key).distinct().join(a.select(key).distinct(), key, "left_anti"))
@@ -53,18 +58,18 @@ def without_contained(texts: Column) -> Column:
 
 def unused_captions(df: DataFrame) -> DataFrame:
     """(question, answer, caption) from rows (question, place, answer, captions): in order, each answer takes its first
-    caption that no answer of the question took before, or none."""
-    import pandas as pd
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for r in pdf.sort_values("place").itertuples():
-            c = next((c for c in (r.captions if r.captions is not None else []) if c not in used), None)
-            used.add(c)
-            out.append((r.question, r.answer, c))
-        return pd.DataFrame(out, columns=["question", "answer", "caption"])
-
-    return df.groupBy("question").applyInPandas(pick, "question string, answer string, caption string")
+    caption that no answer of the question took before, or none. A fold over the answers of one question."""
+    none = F.slice(F.array(F.lit("")), 1, 0)
+    rows = F.array_sort(F.collect_list(F.struct("place", "answer", F.coalesce("captions", none).alias("captions"))))
+
+    def step(acc, x):
+        c = F.get(F.filter(x["captions"], lambda c: ~F.exists(acc["used"], lambda u: u == c)), 0)
+        used = F.when(c.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(c)))
+        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["answer"].alias("answer"), c.alias("caption")))).alias("out"))
+
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("used"), F.expr("cast(array() as array<struct<answer:string,caption:string>>)").alias("out"))
+    per = df.groupBy("question").agg(rows.alias("r"))
+    return per.select("question", F.explode(F.aggregate("r", start, step, lambda acc: acc["out"])).alias("o")).select("question", "o.answer", "o.caption")
 
 
 def ragged(df: DataFrame, batch: str, order: str, answers: str) -> DataFrame:

@@ -100,6 +100,8 @@ FIRST_IMAGE, SECOND_IMAGE = "This is the first image.", "This is the second imag
 NO_QUESTIONS, QUESTION, ANSWER = "Image Descriptions", "Question: ", "Answer: "
 NOISY_SUFFIX = "\nQA_GT_caption_based_noisy"
 END_OF_CHUNK = "<|endofchunk|>"
+REASON_HEAD = "Please reason the answer of the questions according to the given contexts.\n"
+REASON_EXAMPLES = "\nAnswer:yes\nQuestion:Is this a toilet?\nAnswer:no\n"
 # ----------------------------------------------------------------------------------------------------------------------
 
 Tokenize = Callable[[Column], Column]
@@ -371,6 +373,28 @@ def video_question(ids: Column, question: Column, answer: Column) -> Column:
     return F.array(_asked(frames(ids), F.trim(question)), segment(ensure_period(F.replace(F.trim(answer), F.lit(NOISY_SUFFIX), F.lit(""))), True))
 
 
+def context_captions(answers: Column, captions: Column, places: Column, most: int = 30) -> Column:
+    """Captions for a question, one after the other: the answers are gone through from the last, ``most`` steps around, and
+    each gives its first caption (``places``: for each answer its captions' places; null: the first caption) not taken yet."""
+    n = F.size(answers)
+
+    def step(acc, k):
+        own = F.coalesce(places[F.pmod(n - 1 - k, n).cast("int")], F.array(F.lit(0)))
+        c = F.get(F.filter(own, lambda p: ~F.exists(acc, lambda a: a == p)), 0)
+        return F.when(c.isNull(), acc).otherwise(F.concat(acc, F.array(c)))
+
+    taken = F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.expr("cast(array() as array<int>)"), step)
+    return F.array_join(F.transform(taken, lambda p: captions[p]), "")
+
+
+def reason_prompt(question: Column, answers: Column, questions: Column, captions: Column, places: Column, most: int = 30) -> Column:
+    """The whole prompt for answering a question from captions: contexts, one generated question answered yes and a fixed one
+    answered no, and the question itself."""
+    contexts = context_captions(answers, captions, places, most)
+    examples = F.concat(F.lit("Question:"), F.element_at(questions, -1), F.lit(REASON_EXAMPLES))
+    return F.concat(F.lit(REASON_HEAD + "Contexts:"), contexts, F.lit("\n"), examples, F.lit("Question:"), question, F.lit("\nAnswer:"))
+
+
 def chunked_caption(text: Column, eos: str = "</s>") -> Column:
     return F.concat(F.lit("<image>"), text, F.lit(END_OF_CHUNK + eos))
 

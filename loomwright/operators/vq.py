@@ -104,8 +104,13 @@ def ema_step(vectors: DataFrame, codebook: DataFrame, decay: float = 0.99, id_co
 
 
 def remap(assigned: DataFrame, used: DataFrame, unknown: int = -1) -> DataFrame:
-    """Codes as places in the list of used codes (code, place); others get ``unknown``."""
-    return assigned.join(F.broadcast(used), "code", "left").select("id", "code", F.coalesce("place", F.lit(unknown)).alias("place"))
+    """Codes as places in the list of used codes (code, place), which is as small as a codebook; others get ``unknown``."""
+    return assigned.join(_small(used), "code", "left").select("id", "code", F.coalesce("place", F.lit(unknown)).alias("place"))
+
+
+def unmap(places: DataFrame, used: DataFrame) -> DataFrame:
+    """The inverse of remap(): (id, place, code) for places in the list of used codes; others have a null code."""
+    return places.join(_small(used), "place", "left").select("id", "place", "code")
 
 
 def commitment(assigned: DataFrame, beta: float = 0.25) -> DataFrame:

@@ -204,9 +204,15 @@ def interleave_cap(spark, sf):
     return _items(spark, sf).select("conv_id", _shown(R.cap_images(F.col("items"), 2)).alias("items"))
 
 
-@query("interleave_swap")
+#: In a run of images those at its 1st, 3rd, ... place change places with the item behind them.
+_SWAPPED = """, r AS (SELECT *, role = 'user' AS image, k - row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY k) AS run FROM i),
+o AS (SELECT *, image AND (row_number() OVER (PARTITION BY conv_id, image, run ORDER BY k)) % 2 = 1 AS moves, count(*) OVER (PARTITION BY conv_id) AS n FROM r),
+p AS (SELECT *, CASE WHEN moves AND k < n THEN k + 1 WHEN lag(moves) OVER (PARTITION BY conv_id ORDER BY k) THEN k - 1 ELSE k END AS place FROM o)"""
+
+
+@query("interleave_swap", _ITEMS + _SWAPPED + " SELECT conv_id, string_agg(CASE WHEN image THEN '#' || turn ELSE md5(text) END, ' ' ORDER BY place) AS items FROM p GROUP BY conv_id")
 def interleave_swap(spark, sf):
-    """Sequential state, compared with a loop in the tests."""
+    """Images change places with the items behind them, pair by pair."""
     return _items(spark, sf).select("conv_id", _shown(R.swap_images(F.col("items"))).alias("items"))
 
 

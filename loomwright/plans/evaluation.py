@@ -91,29 +91,24 @@ def vq_loss(spark, sf):
 
 
 _DOT = _SUM.format(a="q.e", e="q.e[i] * t.e[i]")
-_SCORES = f"{_V}, {_U}, s AS (SELECT q.vec_id AS i, t.vec_id AS j, {_DOT} AS score, q.label = t.label AS hit FROM u q, u t WHERE q.vec_id % 10 = 0 AND t.vec_id % 10 <> 0)"
+_SCORES = f"{_V}, {_U}, s AS (SELECT q.vec_id AS i, t.vec_id AS j, {_DOT} AS score, q.label = t.label AS hit FROM u q, u t WHERE q.vec_id % 20 = 0 AND t.vec_id <> q.vec_id)"
 
 
-def _scores(spark, sf):
+def _sides(spark, sf):
+    """Each vector whose id is divisible by 20 as a query, against all vectors but itself."""
     v = _vectors(spark, sf)
-    return R.scores(v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("i"), "vec"), v.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("j"), "vec"))
-
-
-def _truth(spark, sf):
-    v = _vectors(spark, sf)
-    return v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("i"), "label").join(v.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("j"), "label"), "label").select("i", "j")
+    return v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "i"), v.withColumnRenamed("vec_id", "j")
 
 
 @query("topk_scores", f"WITH {_SCORES} SELECT i, j, k::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS k FROM s) WHERE k <= 8")
 def topk_scores(spark, sf):
-    """Each tenth vector against all others."""
-    return R.top_k(_scores(spark, sf), 8).select("i", "j", "rank")
+    return R.top_k(*_sides(spark, sf), 8, same=True).select("i", "j", "rank")
 
 
-@query("topk_filled", f"WITH {_SCORES} SELECT i, sum((k <= 8)::INTEGER)::BIGINT AS kept, round(min(CASE WHEN k <= 8 THEN score ELSE -100 END), 6) AS lowest FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS k FROM s) GROUP BY i")
+@query("topk_filled", f"WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS k FROM s) SELECT i, count(*) FILTER (k <= 8) AS kept, count(*) FILTER (k > 8) AS filled, -100.0::DOUBLE AS fill, round(sum(score) FILTER (k <= 8), 6) AS kept_sum FROM r GROUP BY i")
 def topk_filled(spark, sf):
-    out = R.filled_top_k(_scores(spark, sf), 8)
-    return out.groupBy("i").agg(F.sum((F.col("score") != -100).cast("long")).alias("kept"), F.round(F.min("score"), 6).alias("lowest"))
+    kept, filled = R.filled_top_k(*_sides(spark, sf), 8, same=True)
+    return kept.groupBy("i").agg(F.count("*").alias("kept"), F.round(F.sum("score"), 6).alias("kept_sum")).join(filled, "i").select("i", "kept", "filled", "fill", "kept_sum")
 
 
 _RECALL = ", ".join(f"round(100 * avg((rank <= {k})::INTEGER), 6) AS {{p}}{k}" for k in (1, 5, 10))
@@ -127,10 +122,33 @@ _RECALL = ", ".join(f"round(100 * avg((rank <= {k})::INTEGER), 6) AS {{p}}{k}" f
     SELECT *, round((txt_r1 + txt_r5 + txt_r10) / 3, 4) AS agg_metrics FROM x, y""",
 )
 def recall_at_k(spark, sf):
-    r = R.recall_report(_scores(spark, sf), _truth(spark, sf))
+    """Vectors of one label are true partners."""
+    r = R.recall_report(*_sides(spark, sf), "label", same=True)
     return r.select(*[F.round(f"{p}{k}", 6).alias(f"{p}{k}") for p in ("txt_r", "img_r") for k in (1, 5, 10)], F.round("agg_metrics", 4).alias("agg_metrics"))
 
 
+@query(
+    "best_ranks",
+    f"""WITH {_SCORES}, a AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS ri, row_number() OVER (PARTITION BY j ORDER BY score DESC, i) AS rj FROM s)
+    SELECT 'i' AS side, i AS id, min(ri) AS rank FROM a WHERE hit GROUP BY i UNION ALL SELECT 'j', j, min(rj) FROM a WHERE hit GROUP BY j""",
+)
+def best_ranks(spark, sf):
+    """The rank of each side's best true partner."""
+    return R.best_ranks(*_sides(spark, sf), "label", same=True)
+
+
+@query(
+    "two_stage_rank",
+    """WITH c AS (SELECT l_orderkey AS question, l_linenumber AS answer, max(l_extendedprice) AS score, min(l_quantity) AS loss FROM lineitem GROUP BY ALL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, answer) AS k FROM c)
+    SELECT question, arg_min(answer, {'l': loss, 'a': answer}) AS answer FROM f WHERE k <= 3 GROUP BY question""",
+)
+def two_stage_rank(spark, sf):
+    """Three candidates by a first score, the one of least loss among them."""
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("question"), F.col("l_linenumber").alias("answer")).agg(F.max("l_extendedprice").alias("score"), F.min("l_quantity").alias("loss"))
+    return R.two_stage(li.select("question", "answer", "score"), li.select("question", "answer", "loss"), 3)
+
+
 _ZERO = f"""{_V}, {_U}, f AS (SELECT label, i, avg(e[i]) AS m FROM u, range(1, 65) t(i) WHERE vec_id % 2 = 0 GROUP BY label, i), g AS (SELECT label, list(m ORDER BY i) AS e FROM f GROUP BY label),
 w AS (SELECT label, list_transform(e, lambda x: x / sqrt(list_reduce(list_transform(e, lambda z: z * z), lambda p, r: p + r))) AS e FROM g),
 z AS (SELECT q.vec_id, q.label, t.label AS c, {_DOT} AS s FROM u q, w t), b AS (SELECT vec_id, label, c, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) AS k FROM z)"""
@@ -152,27 +170,29 @@ def zero_shot_acc(spark, sf):
     return z.agg(F.round(100 * F.avg((F.col("predicted") == F.col("label")).cast("double")), 6).alias("accuracy"))
 
 
-@query("classification_acc", "SELECT round(100 * avg((list_position(embedding[1:10], list_max(embedding[1:10])) - 1 = label)::INTEGER), 6) AS accuracy FROM embeddings")
+@query("classification_acc", "SELECT round(100 * avg((list_position(embedding, list_max(embedding)) - 1 = label)::INTEGER), 6) AS accuracy FROM embeddings")
 def classification_acc(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.slice("embedding", 1, 10).alias("logits"), "label")
+    """Whole vectors stand for logits."""
+    e = table(spark, sf, "embeddings").select(F.col("embedding").alias("logits"), "label")
     return E.classification_accuracy(e, "logits", "label").select(F.round("accuracy", 6).alias("accuracy"))
 
 
-_SQUARE = f"{_V}, {_U}, s AS (SELECT q.vec_id AS i, t.vec_id AS j, {_DOT} / 0.07::DOUBLE AS z FROM u q, u t WHERE q.vec_id < 64 AND t.vec_id < 64)"
-_SIDE = "(SELECT avg(lse - 0.9 * own - 0.1 * m) AS l FROM (SELECT max(z) + ln(sum(exp(z - t))) AS lse, sum(CASE WHEN i = j THEN z END) AS own, avg(z) AS m FROM (SELECT *, max(z) OVER (PARTITION BY {k}) AS t FROM s) GROUP BY {k}))"
+_SQUARE = f"{_V}, {_U}, s AS (SELECT q.vec_id // 64 AS batch, q.vec_id AS i, t.vec_id AS j, {_DOT} AS score, {_DOT} / 0.07::DOUBLE AS z FROM u q JOIN u t ON q.vec_id // 64 = t.vec_id // 64)"
+_SIDE = "(SELECT batch, avg(lse - 0.9 * own - 0.1 * m) AS l FROM (SELECT batch, max(z) + ln(sum(exp(z - t))) AS lse, sum(CASE WHEN i = j THEN z END) AS own, avg(z) AS m FROM (SELECT *, max(z) OVER (PARTITION BY {k}) AS t FROM s) GROUP BY batch, {k}) GROUP BY batch)"
 
 
 def _square(spark, sf):
-    v = _vectors(spark, sf).where("vec_id < 64")
-    return R.scores(v.select(F.col("vec_id").alias("i"), "vec"), v.select(F.col("vec_id").alias("j"), "vec"))
+    """All vectors in batches of 64 by id."""
+    v = _vectors(spark, sf).select(F.floor(F.col("vec_id") / 64).cast("long").alias("batch"), "vec_id", F.col("vec").alias("a"), F.col("vec").alias("b"))
+    return R.in_batch_scores(v, "batch", "vec_id")
 
 
-@query("contrastive_loss", f"WITH {_SQUARE} SELECT round(((SELECT l FROM {_SIDE.format(k='i')}) + (SELECT l FROM {_SIDE.format(k='j')})) / 2, 6) AS loss")
+@query("contrastive_loss", f"WITH {_SQUARE} SELECT batch::BIGINT AS batch, round((a.l + b.l) / 2, 6) AS loss FROM {_SIDE.format(k='i')} a JOIN {_SIDE.format(k='j')} b USING (batch)")
 def contrastive_loss(spark, sf):
-    return R.contrastive_loss(_square(spark, sf)).select(F.round("loss", 6).alias("loss"))
+    return R.contrastive_loss(_square(spark, sf)).select("batch", F.round("loss", 6).alias("loss"))
 
 
-@query("hard_negatives", f"WITH {_SQUARE}, p AS (SELECT i, j, exp(z * 0.07) / sum(exp(z * 0.07)) OVER (PARTITION BY i) + 1e-4 AS w FROM s) SELECT i, j, round(CASE WHEN i = j THEN 0 ELSE w END, 9) AS weight FROM p")
+@query("hard_negatives", f"WITH {_SQUARE}, p AS (SELECT i, j, exp(score) / sum(exp(score)) OVER (PARTITION BY i) + 1e-4 AS w FROM s) SELECT i, j, round(CASE WHEN i = j THEN 0 ELSE w END, 9) AS weight FROM p")
 def hard_negatives(spark, sf):
     return R.in_batch_negatives(_square(spark, sf)).select("i", "j", F.round("weight", 9).alias("weight"))
 
@@ -229,22 +249,22 @@ def candidate_answers(spark, sf):
     return out.select(F.array_join("candidates", "|").alias("candidates"))
 
 
-_PROBS = f"{_V}, p AS (SELECT vec_id, vec_id % 4 AS s, list_transform(e[1:10], lambda x: exp(x - list_max(e[1:10]))) AS x FROM v), n AS (SELECT vec_id, s, list_transform(x, lambda y: y / list_sum(x)) AS p FROM p)"
+_PROBS = f"{_V}, p AS (SELECT vec_id, vec_id % 4 AS s, list_transform(e, lambda x: exp(x - list_max(e))) AS x FROM v), n AS (SELECT vec_id, s, list_transform(x, lambda y: y / list_sum(x)) AS p FROM p)"
 
 
 @query(
     "inception_score",
-    f"""WITH {_PROBS}, f AS (SELECT vec_id, s, i, p[i] AS p FROM n, range(1, 11) t(i)), g AS (SELECT *, avg(p) OVER (PARTITION BY s, i) AS q FROM f),
+    f"""WITH {_PROBS}, f AS (SELECT vec_id, s, i, p[i] AS p FROM n, range(1, 65) t(i)), g AS (SELECT *, avg(p) OVER (PARTITION BY s, i) AS q FROM f),
     e AS (SELECT s, exp(sum(p * (ln(p) - ln(q))) / count(DISTINCT vec_id)) AS e FROM g GROUP BY s) SELECT round(avg(e), 9) AS is_mean, round(stddev_pop(e), 9) AS is_std FROM e""",
 )
 def inception_score(spark, sf):
-    d = _vectors(spark, sf).select("vec_id", V.softmax(F.slice("vec", 1, 10)).alias("p"))
+    d = _vectors(spark, sf).select("vec_id", V.softmax(F.col("vec")).alias("p"))
     return E.inception_score(d, "p", F.col("vec_id") % 4).select(F.round("is_mean", 9).alias("is_mean"), F.round("is_std", 9).alias("is_std"))
 
 
 @query("entropy", f"WITH {_PROBS} SELECT vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9) AS entropy FROM n")
 def entropy(spark, sf):
-    return _vectors(spark, sf).select("vec_id", F.round(V.entropy(V.softmax(F.slice("vec", 1, 10))), 9).alias("entropy"))
+    return _vectors(spark, sf).select("vec_id", F.round(V.entropy(V.softmax(F.col("vec"))), 9).alias("entropy"))
 
 
 @query("fid")
@@ -254,23 +274,57 @@ def fid(spark, sf):
     return spark.createDataFrame([(round(E.fid(v.where("vec_id % 2 = 0").select("vec"), v.where("vec_id % 2 = 1").select("vec")), 6),)], "fid double")
 
 
-@query("bleu")
+def _captions(spark, sf):
+    """Each document as a caption, and as its references the text without its first two words, and without its first and last."""
+    w = F.filter(F.split("text", " "), lambda x: x != "")
+    n = F.size("w")
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("c"), w.alias("w"))
+    cut = lambda at, less: F.array_join(F.slice("w", at, F.greatest(n - less, F.lit(0))), " ")
+    return d.select("doc_id", "c", F.array(cut(3, 2), cut(2, 2)).alias("r"))
+
+
+#: w (doc_id, p: 0 the caption, 1 and 2 its references, ws: words) and g (doc_id, p, n, g, f: counts of n-grams).
+_GRAMS = """d AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, 0 AS p, ws FROM d UNION ALL SELECT doc_id, 1, coalesce(ws[3:], []) FROM d UNION ALL SELECT doc_id, 2, coalesce(ws[2:greatest(len(ws) - 1, 1)], []) FROM d),
+o AS (SELECT doc_id, p, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+g AS (SELECT doc_id, p, n, array_to_string(list_slice(ws, pos, pos + n - 1), ' ') AS g, count(*) AS f FROM o, range(1, 5) t(n) WHERE pos + n - 1 <= len(ws) GROUP BY ALL)"""
+
+
+@query(
+    "bleu",
+    f"""WITH {_GRAMS}, m AS (SELECT c.n, sum(least(c.f, r.f)) AS m FROM g c JOIN (SELECT doc_id, n, g, max(f) AS f FROM g WHERE p > 0 GROUP BY ALL) r ON c.doc_id = r.doc_id AND c.n = r.n AND c.g = r.g WHERE c.p = 0 GROUP BY c.n),
+    t AS (SELECT n, sum(f) AS t FROM g WHERE p = 0 GROUP BY n),
+    l AS (SELECT sum(len(c.ws)) AS cl, sum(list_min([{{'d': abs(len(a.ws) - len(c.ws)), 'n': len(a.ws)}}, {{'d': abs(len(b.ws) - len(c.ws)), 'n': len(b.ws)}}]).n) AS rl FROM w c JOIN w a ON a.doc_id = c.doc_id AND a.p = 1 JOIN w b ON b.doc_id = c.doc_id AND b.p = 2 WHERE c.p = 0),
+    x AS (SELECT t.n, ln((coalesce(m.m, 0) + 1e-15::DOUBLE) / (t.t + 1e-9::DOUBLE)) AS x FROM t LEFT JOIN m ON m.n = t.n), b AS (SELECT CASE WHEN cl < rl THEN exp(1 - rl / cl::DOUBLE) ELSE 1.0::DOUBLE END AS b FROM l)
+    SELECT {', '.join(f"round((SELECT b FROM b) * exp(sum(x) FILTER (n <= {k}) / {k}), 6) AS bleu{k}" for k in (1, 2, 3, 4))} FROM x""",
+)
 def bleu(spark, sf):
-    """The first twenty words of each document against its words 3 to 22; the tests compare with a loop."""
-    d = table(spark, sf, "documents").select(F.array_join(F.slice(F.split("text", " "), 1, 20), " ").alias("c"), F.array_join(F.slice(F.split("text", " "), 3, 20), " ").alias("r"))
-    return E.bleu(d, "c", "r").select(*[F.round(f"bleu{n}", 6).alias(f"bleu{n}") for n in range(1, 5)])
+    return E.bleu(_captions(spark, sf), "doc_id", "c", "r").select(*[F.round(f"bleu{n}", 6).alias(f"bleu{n}") for n in range(1, 5)])
 
 
 @query("rouge_l")
 def rouge_l(spark, sf):
-    d = table(spark, sf, "documents").select(F.array_join(F.slice(F.split("text", " "), 1, 20), " ").alias("c"), F.array_join(F.slice(F.split("text", " "), 3, 20), " ").alias("r"))
-    return E.rouge_l_mean(d, "c", "r").select(F.round("rouge_l", 6).alias("rouge_l"))
+    """Longest common subsequences of whole texts have no SQL; the tests compare with a table of lengths."""
+    return E.rouge_l_mean(_captions(spark, sf), "c", "r").select(F.round("rouge_l", 6).alias("rouge_l"))
+
+
+@query("meteor")
+def meteor(spark, sf):
+    """Sequential matching; the tests compare with worked examples."""
+    return E.meteor_mean(_captions(spark, sf), "c", "r").select(F.round("meteor", 6).alias("meteor"))
 
 
-@query("cider")
+@query(
+    "cider",
+    f"""WITH {_GRAMS}, f AS (SELECT n, g, count(DISTINCT doc_id) AS d FROM g WHERE p > 0 GROUP BY ALL), i AS (SELECT ln((SELECT count(*) FROM documents)::DOUBLE) AS n),
+    x AS (SELECT g.doc_id, g.p, g.n, g.g, g.f * ((SELECT n FROM i) - ln(coalesce(f.d, 1)::DOUBLE)) AS w FROM g LEFT JOIN f ON f.n = g.n AND f.g = g.g),
+    z AS (SELECT doc_id, p, n, sqrt(sum(w * w)) AS o FROM x GROUP BY ALL),
+    s AS (SELECT r.doc_id, r.p, r.n, sum(least(c.w, r.w) * r.w) AS s FROM x c JOIN x r ON r.doc_id = c.doc_id AND r.n = c.n AND r.g = c.g WHERE c.p = 0 AND r.p > 0 GROUP BY ALL),
+    k AS (SELECT s.doc_id, s.p, sum(CASE WHEN a.o > 0 AND b.o > 0 THEN s.s / a.o / b.o ELSE 0 END) AS k FROM s JOIN z a ON a.doc_id = s.doc_id AND a.n = s.n AND a.p = 0 JOIN z b ON b.doc_id = s.doc_id AND b.n = s.n AND b.p = s.p GROUP BY ALL)
+    SELECT c.doc_id, round(avg(10 * coalesce(k.k, 0) / 4 * exp(-pow(len(c.ws) - len(r.ws), 2) / 72.0::DOUBLE)), 6) AS cider FROM w c JOIN w r ON r.doc_id = c.doc_id AND r.p > 0 LEFT JOIN k ON k.doc_id = r.doc_id AND k.p = r.p WHERE c.p = 0 GROUP BY c.doc_id""",
+)
 def cider(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 20), " ").alias("c"), F.array_join(F.slice(F.split("text", " "), 3, 20), " ").alias("r"))
-    return E.cider(d, "doc_id", "c", "r").select("doc_id", F.round("cider", 6).alias("cider"))
+    return E.cider(_captions(spark, sf), "doc_id", "c", "r").select("doc_id", F.round("cider", 6).alias("cider"))
 
 
 _METER = "FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), g AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
@@ -290,7 +344,7 @@ def meter_global(spark, sf):
 
 @query("lower_median", "SELECT event_type, list_sort(list(value))[((count(*) - 1) // 2)::INTEGER + 1] AS median FROM events GROUP BY 1")
 def lower_median(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(E.lower_median(F.collect_list("value")).alias("median"))
+    return E.lower_median(table(spark, sf, "events"), "event_type", "value")
 
 
 @query("dataset_sizes", "SELECT sum(n)::BIGINT AS total, round(avg(n), 6) AS mean_size FROM (SELECT count(*) AS n FROM documents GROUP BY source)")

@@ -26,16 +26,16 @@ def tar_roundtrip(spark, sf):
     return samples.select("key", F.md5(text("txt")).alias("text_md5"), text("lang").alias("lang"))
 
 
-@query("tar_rejects", "SELECT count(*)::BIGINT AS rejected, sum((doc_id % 10 = 0)::INTEGER)::BIGINT AS shards FROM documents WHERE doc_id % 10 = 0")
+@query("tar_rejects", "SELECT doc_id::VARCHAR AS key, CASE WHEN doc_id % 10 <> 0 THEN md5(text) END AS text_md5, doc_id % 10 = 0 AS rejected FROM documents")
 def tar_rejects(spark, sf):
-    """Each tenth document's shard is cut in the middle: its error is a row, the others' members all come through."""
-    d = table(spark, sf, "documents").where("doc_id % 10 < 2").select("doc_id", "text")
-    tars = shards.pack_tar(d.repartition("doc_id"), "doc_id", {"txt": "text"}, per_shard=1)
-    members = shards.expand_tar(tars.select(F.concat_ws("-", "part", "shard").alias("path"), "content"))
-    keys = shards.samples(members).select("shard", F.regexp_replace("member", r"\..*", "").cast("long").alias("doc_id"))
-    cut = tars.select(F.concat_ws("-", "part", "shard").alias("shard"), "content").join(keys.where("doc_id % 10 = 0"), "shard")
-    broken = shards.rejects(shards.expand_tar(cut.select(F.col("shard").alias("path"), F.expr("substring(content, 1, 520)").alias("content"))))
-    return broken.agg(F.count("*").alias("rejected"), F.countDistinct("shard").alias("shards"))
+    """A shard for each document, each tenth of them cut inside its header: its error is a row, the others come through."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    tars = shards.pack_tar(d, "doc_id", {"txt": "text"}, per_shard=1)
+    name = F.regexp_extract(F.decode(F.substring("content", 1, 30), "US-ASCII"), r"^(\d+)", 1)  # a header begins with the member's name
+    files = tars.select(name.alias("path"), F.when(name.cast("long") % 10 == 0, F.substring("content", 1, 300)).otherwise(F.col("content")).alias("content"))
+    members = shards.expand_tar(files)
+    whole = shards.samples(members).select(F.regexp_replace("member", r"\..*", "").alias("key"), F.md5("payload").alias("text_md5"), F.lit(False).alias("rejected"))
+    return whole.unionByName(shards.rejects(members).select(F.col("shard").alias("key"), F.lit(None).cast("string").alias("text_md5"), F.lit(True).alias("rejected")))
 
 
 @query("sample_keys", "SELECT doc_id, md5(doc_id::VARCHAR) AS key FROM documents")
@@ -87,9 +87,13 @@ def dataset_vqa(spark, sf):
     return D.load("coco_vqa", a, "doc_id", "val").select("instance_id", "image", "text_input", "question_id")
 
 
-@query("catalog_names")
+def _names_sql(kind: str, names) -> str:
+    return " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{n}' AS name" for n in names)
+
+
+@query("catalog_names", f"{_names_sql('dataset', D.DATASETS)} UNION ALL {_names_sql('pipeline', P.PIPELINES)}")
 def catalog_names(spark, sf):
-    """What is registered, by kind."""
+    """What is registered, by kind, against what is declared."""
     from loomwright.plans.registry import REGISTRY
 
     rows = [(k, n) for k in ("dataset", "pipeline") for n in REGISTRY.names(k)]

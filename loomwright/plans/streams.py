@@ -22,10 +22,11 @@ def _docs(spark, sf, *cols):
     return table(spark, sf, "documents").select("doc_id", *cols)
 
 
-@query("concat", "SELECT doc_id, lang FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang FROM documents WHERE lang IN ('fr', 'de')")
+@query("concat", "SELECT doc_id, lang FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang FROM documents WHERE lang IS DISTINCT FROM 'en' UNION ALL SELECT doc_id, 'label' FROM labels")
 def concat(spark, sf):
+    """The documents of one language, those of all others, and the labels."""
     d = _docs(spark, sf, "lang")
-    return M.concat(d.where("lang = 'en'"), d.where("lang IN ('fr', 'de')"))
+    return M.concat(d.where("lang = 'en'"), d.where(~F.col("lang").eqNullSafe("en")), table(spark, sf, "labels").select("doc_id", F.lit("label").alias("lang")))
 
 
 @query("concat_common", "SELECT doc_id, n FROM (SELECT doc_id, n_chars AS n FROM documents UNION ALL SELECT doc_id, toxic AS n FROM labels)")
@@ -124,6 +125,26 @@ def sample_rows(spark, sf):
     return M.sample_rows(_docs(spark, sf), "doc_id", 100)
 
 
+@query("sample_rows_short", f"WITH r AS (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) - 1 AS k FROM region) SELECT r.r_regionkey AS regionkey FROM range(0, 20) t(id) JOIN r ON r.k = floor({u01_sql("'0/' || id", 'draw')} * (SELECT count(*) FROM region))::BIGINT")
+def sample_rows_short(spark, sf):
+    """Twenty of a table that has fewer: drawn with replacement."""
+    return M.sample_rows(table(spark, sf, "region").select(F.col("r_regionkey").alias("regionkey")), "regionkey", 20)
+
+
+@query("sampler", "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':3'), doc_id) - 1 AS draw FROM documents")
+def sampler(spark, sf):
+    """Without replacement: every row once, in the order of a hash."""
+    return M.sampler(_docs(spark, sf), "doc_id", False, seed=3).select("doc_id", "draw")
+
+
+_REDRAW = u01_sql("'3/' || id", "draw")
+
+
+@query("sampler_replacement", f"WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents) SELECT id AS draw, n.doc_id FROM range(0, (SELECT count(*) FROM documents)) t(id) JOIN n ON n.k = floor({_REDRAW} * (SELECT count(*) FROM documents))::BIGINT")
+def sampler_replacement(spark, sf):
+    return M.sampler(_docs(spark, sf), "doc_id", True, seed=3).select("draw", "doc_id")
+
+
 @query("instance_id", "SELECT doc_id, (row_number() OVER (ORDER BY source, doc_id) - 1)::VARCHAR AS instance_id FROM documents")
 def instance_id(spark, sf):
     return S.instance_ids(_docs(spark, sf, "source"), "source", "doc_id").select("doc_id", "instance_id")
@@ -244,12 +265,20 @@ def distinct_ordered(spark, sf):
     return g.select("source", F.array_join(F.array_distinct(F.transform("items", lambda x: x["lang"])), " ").alias("langs"))
 
 
-@query("substring_dedup")
+#: Items of five groups, and behind them the same again without a word at each end, which the whole ones contain.
+_CONTAINED = """t AS (SELECT item_id % 5 AS g, item_id AS k, text FROM benchmark UNION ALL SELECT item_id % 5, 1000000000 + item_id, array_to_string(string_split(text, ' ')[2:-2], ' ') FROM benchmark),
+l AS (SELECT g, list([text] ORDER BY k) AS l FROM t GROUP BY g)"""
+
+
+@query("substring_dedup", f"WITH {_CONTAINED} SELECT g, md5(array_to_string(list_reduce(l, lambda kept, t: CASE WHEN len(list_filter(kept, lambda k: contains(k, t[1]))) > 0 THEN kept ELSE list_concat(kept, t) END), '|')) AS kept_md5 FROM l")
 def substring_dedup(spark, sf):
-    """Benchmark items without those contained in one kept before; order-dependent, compared with a loop in the tests."""
-    b = table(spark, sf, "benchmark").withColumn("g", F.col("item_id") % 5)
-    g = J.grouped(b.withColumn("text", F.substring("text", 1, 12)), "g", "item_id", "text")
-    return g.select("g", F.array_join(J.without_contained(F.transform("items", lambda x: x["text"])), "|").alias("kept"))
+    """Whole texts without those contained in one kept before, in order."""
+    b = table(spark, sf, "benchmark")
+    w = F.split("text", " ", -1)
+    inner = b.select((F.col("item_id") + 1_000_000_000).alias("k"), F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), " ").alias("text"), (F.col("item_id") % 5).alias("g"))
+    t = b.select(F.col("item_id").alias("k"), "text", (F.col("item_id") % 5).alias("g")).unionByName(inner)
+    g = J.grouped(t, "g", "k", "text")
+    return g.select("g", F.md5(F.array_join(J.without_contained(F.transform("items", lambda x: x["text"])), "|")).alias("kept_md5"))
 
 
 @query("qa_last_wins", "SELECT o_custkey AS custkey, max(o_orderkey) AS orderkey, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1")
@@ -265,10 +294,9 @@ def img_index(spark, sf):
     return g.select("orderkey", F.array_join(F.transform("items", lambda x: x["l_partkey"].cast("string")), " ").alias("parts"), F.size("items").cast("long").alias("n"))
 
 
-@query("txt2img", "SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1)::VARCHAR AS txt_id, l_orderkey AS orderkey FROM lineitem WHERE l_orderkey <= 100")
+@query("txt2img", "SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1)::VARCHAR AS txt_id, l_orderkey AS orderkey FROM lineitem")
 def txt2img(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_orderkey <= 100")
-    return S.instance_ids(rows, "l_orderkey", "l_linenumber", "l_partkey").select(F.col("instance_id").alias("txt_id"), F.col("l_orderkey").alias("orderkey"))
+    return S.instance_ids(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey").select(F.col("instance_id").alias("txt_id"), F.col("l_orderkey").alias("orderkey"))
 
 
 @query("ragged_collate", "WITH a AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS a FROM lineitem GROUP BY 1) SELECT (l_orderkey // 64)::BIGINT AS batch, md5(array_to_string(flatten(list(a ORDER BY l_orderkey)), ' ')) AS answers_md5, array_to_string(list(len(a) ORDER BY l_orderkey), ' ') AS n_answers FROM a GROUP BY 1")
@@ -286,7 +314,12 @@ def split_catalog(spark, sf):
     return d.groupBy(F.col("lang").alias("split")).agg(F.array_join(F.array_sort(F.collect_set("source")), " ").alias("datasets"))
 
 
-@query("crc_name")
+#: crc32 by its table of 256 steps, over the bytes of a text.
+_CRC = """s AS (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) r(i)),
+b AS (SELECT page_id, list_transform(range(1, octet_length(encode(url)) + 1), lambda i: ('0x' || substr(hex(encode(url)), 2 * i - 1, 2))::BIGINT) AS b FROM pages)"""
+
+
+@query("crc_name", f"WITH {_CRC} SELECT page_id, lpad(xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[((xor(c, x)) & 255) + 1])), 4294967295)::VARCHAR, 10, '0') AS name FROM b, s")
 def crc_name(spark, sf):
     from loomwright.sources.sinks import url_file_name
 

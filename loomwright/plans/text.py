@@ -32,11 +32,11 @@ def question_clean(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.question_clean(F.col("text")).alias("question"))
 
 
-@query("blank_filter", f"SELECT doc_id FROM documents WHERE trim(substr(text, 1 + (doc_id % 40)::INTEGER, 2), {q(X.BLANK_CHARS)}) = ''")
+@query("blank_filter", f"SELECT doc_id, trim(text, {q(X.BLANK_CHARS)}) = '' AS blank, list_transform(string_split(text, ' ')[1:3], lambda w: (trim(w, {q(X.BLANK_CHARS)}) = '')::VARCHAR).array_to_string(' ') AS blank_words FROM documents")
 def blank_filter(spark, sf):
-    """Documents whose two characters at a place that the id gives are blank."""
-    d = table(spark, sf, "documents")
-    return d.where(X.is_blank(F.substr("text", (1 + F.col("doc_id") % 40).cast("int"), F.lit(2)))).select("doc_id")
+    """Whether a whole text is blank, and whether its first words are."""
+    first = F.transform(F.slice(F.split("text", " ", -1), 1, 3), lambda w: X.is_blank(w).cast("string"))
+    return table(spark, sf, "documents").select("doc_id", X.is_blank(F.col("text")).alias("blank"), F.array_join(first, " ").alias("blank_words"))
 
 
 _FIRST = "array_to_string(string_split(text, ' ')[1:8], ' ')"

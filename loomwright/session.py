@@ -37,11 +37,14 @@ def get_session(app: str = "loomwright", cpus: int | str = "*", **conf) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local run has one of its own; on a
+    cluster that is an error, as no folder of one machine would do."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{LOCAL_CHECKPOINTS}"
-        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
@@ -54,13 +57,35 @@ def _remove(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+#: Scratch paths of this program that have not been removed, with their serial numbers, and the next one.
+_scratch: dict[str, tuple[int, SparkSession]] = {}
+_serial = 0
+
+
 def scratch_path(spark: SparkSession, name: str = "t") -> str:
-    """A fresh path in the shared folder, removed when the program ends."""
+    """A fresh path in the shared folder, removed by release(), or when the program ends."""
+    global _serial
     path = f"{shared_dir(spark)}/loomwright/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _scratch[path] = (_serial, spark)
+    _serial += 1
     return path
 
 
+def scratch_mark() -> int:
+    """A mark for release(): scratch tables made from now on."""
+    return _serial
+
+
+@atexit.register
+def release(since: int = 0) -> None:
+    """Remove the scratch tables made since a mark, once the results that read them are written or shown. Long sessions
+    call this; a program's end does it anyway."""
+    for path, (serial, spark) in list(_scratch.items()):
+        if serial >= since:
+            _remove(spark, path)
+            _scratch.pop(path, None)
+
+
 def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
@@ -72,6 +97,7 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table written by durable() that nothing will read again."""
+    _scratch.pop(df._durable_path, None)
     _remove(df.sparkSession, df._durable_path)
 
 

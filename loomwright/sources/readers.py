@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.operators.numbering import prefix
 from loomwright.sources.paths import brace_expand
 
 
@@ -92,9 +93,8 @@ def read_image_folder(spark: SparkSession, root: str, mask: str = "*.{jpg,jpeg,p
     if not labelled:
         return out
     named = out.withColumn("class", F.element_at(F.split("path", "/"), 1))
-    classes = sorted(r["class"] for r in named.select("class").distinct().collect())
-    number = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, i)])
-    return named.withColumn("label", number[F.col("class")])
+    numbers = prefix(named.select("class").distinct(), ["class"], place="label")
+    return named.join(numbers.select("class", F.col("label").cast("int").alias("label")), "class").select("path", "content", "class", "label")
 
 
 def dataset_size(shards: DataFrame, sizes: DataFrame, strict: bool = True) -> int:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import struct
 import tarfile
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,13 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBERS = "shard string, ord int, member string, ext string, payload binary, error string"
+#: Bytes of members that a task holds before it hands them on.
+_HELD_BYTES = 16 << 20
+
+
+def _member_rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["shard", "ord", "member", "ext", "payload", "error"]).astype({"ord": "int32"})
 
 
 def read_tar(spark: SparkSession, path: str | list[str], mask: str = "*.tar", exts: tuple[str, ...] | None = None, tolerant: bool = True, recursive: bool = True) -> DataFrame:
     """(shard, ord, member, ext, payload, error): the files of tar shards, one task for whole shards.
 
     A shard that breaks off gives the members read so far and one row with the error alone, or fails the job
-    (``tolerant=False``). ``exts`` leaves other members' bytes unread."""
+    (``tolerant=False``). ``exts`` leaves other members' bytes unread. A shard is at most the 2 GB that a row can hold; its
+    members are handed on as they are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", mask).option("recursiveFileLookup", str(recursive).lower()).load(path)
     return expand_tar(files, exts, tolerant)
 
@@ -29,7 +38,7 @@ def expand_tar(files: DataFrame, exts: tuple[str, ...] | None = None, tolerant:
     def members(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for shard, content in zip(pdf["path"], pdf["content"]):
-                rows, ord_ = [], 0
+                rows, held, ord_ = [], 0, 0
                 try:
                     with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
                         for info in tar:
@@ -41,14 +50,46 @@ def expand_tar(files: DataFrame, exts: tuple[str, ...] | None = None, tolerant:
                                 if len(payload) < info.size:
                                     raise tarfile.ReadError(f"{info.name} is cut off")
                                 rows.append((shard, ord_, info.name, ext, payload, None))
+                                held += len(payload)
                             ord_ += 1
+                            if held >= _HELD_BYTES:
+                                yield _member_rows(rows)
+                                rows, held = [], 0
                         if content[257:262] == b"ustar" and 0 < len(content) - tar.offset < 512:  # plain tars end on whole blocks
                             raise tarfile.ReadError("a header is cut off")
                 except Exception as e:  # any damage ends the shard, as its framing is lost
                     if not tolerant:
                         raise
                     rows.append((shard, ord_, None, None, None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(rows, columns=["shard", "ord", "member", "ext", "payload", "error"]).astype({"ord": "int32"})
+                yield _member_rows(rows)
+
+    return files.select("path", "content").mapInPandas(members, MEMBERS)
+
+
+def expand_archive(files: DataFrame, tolerant: bool = True) -> DataFrame:
+    """The members of zip files and the one member of gz files (path and content), as expand_tar() gives those of tars. A gz
+    file's member has its name without ".gz"; other files are a reject row, as broken ones are."""
+
+    def members(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                rows, ord_ = [], 0
+                name = path.rsplit("/", 1)[-1]
+                try:
+                    if content[:2] == b"\x1f\x8b":
+                        member = name[:-3] if name.endswith(".gz") else name
+                        rows.append((path, 0, member, member.partition(".")[2].lower(), gzip.decompress(content), None))
+                    else:
+                        with zipfile.ZipFile(io.BytesIO(content)) as z:
+                            for info in z.infolist():
+                                if not info.is_dir():
+                                    rows.append((path, ord_, info.filename, info.filename.rsplit("/", 1)[-1].partition(".")[2].lower(), z.read(info), None))
+                                    ord_ += 1
+                except Exception as e:
+                    if not tolerant:
+                        raise
+                    rows.append((path, ord_, None, None, None, f"{type(e).__name__}: {e}"))
+                yield _member_rows(rows)
 
     return files.select("path", "content").mapInPandas(members, MEMBERS)
 

@@ -1,11 +1,13 @@
+import functools
 import json
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import image_tokens
-from loomwright.operators import assemble, curate, dialog, metrics, mixing, relational, vq
+from loomwright.operators import assemble, curate, dialog, metrics, mixing, relational, retrieval, vq
 from loomwright.operators import render as R
 
 
@@ -168,14 +170,82 @@ def test_distances(spark):
 
 def test_overlap(spark):
     df = spark.createDataFrame([(0, "a b c d e", "a b c d e"), (1, "x y z w", "x q z w v")], "k int, c string, r string")
-    b = metrics.bleu(df, "c", "r").first()
+    b = metrics.bleu(df, "k", "c", "r").first()
     assert b.bleu1 == pytest.approx(8 / 9 * np.exp(1 - 10 / 9), rel=1e-6) and b.bleu1 > b.bleu2 > b.bleu3
-    assert metrics.rouge_l("a b c".split(), "a c".split()) == pytest.approx((1 + 1.44) * (2 / 3) / (1 + 1.44 * 2 / 3))
+    assert metrics.rouge_l("a b c".split(), ["a c".split()]) == pytest.approx((1 + 1.44) * (2 / 3) / (1 + 1.44 * 2 / 3))
     c = {r.k: r.cider for r in metrics.cider(df, "k", "c", "r").collect()}
     assert c[0] == pytest.approx(10) and 0 < c[1] < 5
 
 
+def test_several_references(spark):
+    many = spark.createDataFrame([(0, "a b c d e", ["q r", "a b c d e"]), (1, "x y z w", ["x q z w v", "x y z"]), (2, None, []), (3, "a b", None)], "k int, c string, r array<string>")
+    b = metrics.bleu(many.where("k < 2"), "k", "c", "r").first()
+    # all words are matched; lengths 5 and 4 against the closest references, 5 and 3
+    assert b.bleu1 == pytest.approx(9 / 9, rel=1e-6) and b.bleu4 == pytest.approx(np.exp(np.mean(np.log([9 / 9, 7 / 7, 4 / 5, 2 / 3]))), rel=1e-6)
+    c = {r.k: r.cider for r in metrics.cider(many, "k", "c", "r").collect()}
+    assert 4.9 < c[0] <= 5.01 and 0 < c[1] < 10 and c[2] == 0
+    assert metrics.rouge_l("a b c".split(), ["a".split(), "b c d e".split()]) == pytest.approx((1 + 1.44) * (2 / 3) / (1 + 1.44 * 2 / 3))
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        x, y = (list(r.choice(list("abcd"), int(n))) for n in r.integers(0, 12, 2))
+        t = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                t[i + 1, j + 1] = t[i, j] + 1 if p == q else max(t[i, j + 1], t[i + 1, j])
+        assert metrics.lcs_length(x, y) == t[-1, -1]
+    assert metrics.meteor("the cat sat".split(), "the cat sat".split()) == pytest.approx(1 - 0.5 / 27)
+    assert metrics.meteor("a b c d".split(), "c d a b".split()) == pytest.approx(1 - 0.5 * (2 / 4) ** 3) and metrics.meteor(["a"], ["b"]) == 0
+    assert metrics.meteor("the the cat".split(), "the cat".split()) == pytest.approx(10 * (2 / 3) / (1 + 9 * 2 / 3) * (1 - 0.5 * (2 / 2) ** 3))
+    assert metrics.meteor_mean(many, "c", "r").first().meteor > 0.4 and metrics.rouge_l_mean(many, "c", "r").first().rouge_l > 0.4
+
+
+def test_ranks_in_both_directions(spark):
+    r = np.random.default_rng(2)
+    v, g = r.integers(-2, 3, (60, 4)).astype(float) + 0.5, r.integers(0, 5, 60)
+    df = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, g))], "id long, vec array<double>, label int")
+    q, t = df.where("id % 3 = 0").withColumnRenamed("id", "i"), df.withColumnRenamed("id", "j")
+    u = [[x / math.sqrt(functools.reduce(lambda a, y: a + y * y, row, 0.0)) for x in row] for row in v.tolist()]
+    s = {(i, j): functools.reduce(lambda a, k: a + u[i][k] * u[j][k], range(4), 0.0) for i in range(0, 60, 3) for j in range(60) if i != j}
+    want = {}
+    for side, own, other in (("i", 0, 1), ("j", 1, 0)):
+        for x in {k[own] for k in s}:
+            order = [k[other] for k in sorted((k for k in s if k[own] == x), key=lambda k: (-s[k], k[other]))]
+            hits = [n + 1 for n, o in enumerate(order) if g[o] == g[x]]
+            if hits:
+                want[(side, x)] = hits[0]
+    for block in (7, 4096):
+        got = {(x.side, x.id): x.rank for x in retrieval.best_ranks(q, t, "label", same=True, block=block).collect()}
+        assert got == want
+        top = {(x.i, x["rank"]): x.j for x in retrieval.top_k(q, t, 3, same=True, block=block).collect()}
+        assert all(top[(i, n + 1)] == j for i in range(0, 60, 3) for n, j in enumerate([k[1] for k in sorted((k for k in s if k[0] == i), key=lambda k: (-s[k], k[1]))][:3]))
+    empty = retrieval.best_ranks(q.limit(0), t, "label")
+    assert empty.count() == 0
+
+
+def test_short_tables_are_drawn_with_replacement(spark):
+    few = spark.createDataFrame([(7,), (8,), (9,)], "k long")
+    got = [x.k for x in mixing.sample_rows(few, "k", 10).collect()]
+    assert len(got) == 10 and set(got) <= {7, 8, 9} and mixing.sample_rows(few, "k", 2).count() == 2
+    assert mixing.sample_rows(few.limit(0), "k", 5).count() == 0
+    assert sorted(x.draw for x in mixing.sampler(few, "k", False).collect()) == [0, 1, 2] and mixing.sampler(few, "k", True, 8).count() == 8
+    used = spark.createDataFrame([(5, 0), (9, 1)], "code int, place int")
+    assert {x.place: x.code for x in vq.unmap(spark.createDataFrame([(1, 0), (2, 1), (3, -1)], "id long, place int"), used).collect()} == {0: 5, 1: 9, -1: None}
+
+
 def test_meters(spark):
     df = spark.createDataFrame([("m", i, v) for i, v in enumerate([1.0, 5.0, 3.0, 9.0])], "m string, i int, v double")
     last = metrics.meter_window(df, "m", ["i"], "v", 4).orderBy("i").collect()[-1]
     assert (last.window_median, last.global_avg, last.window_max) == (3.0, 4.5, 9.0)
+    r = np.random.default_rng(1)
+    rows = [(m, i, None if r.random() < 0.1 else float(r.integers(0, 50))) for m in ("a", "b", None) for i in range(int(r.integers(30, 60)))]
+    df = spark.createDataFrame(rows, "m string, i int, v double")
+    for x in metrics.meter_window(df, "m", ["i"], "v", 5, stretch=7).collect():
+        seen = [v for m, i, v in rows if m == x.m and i <= x.i]
+        last = [v for v in seen[-5:] if v is not None]
+        assert x.window_avg == (pytest.approx(np.mean(last)) if last else None) and x.window_max == max(last, default=None)
+        assert x.window_median == (sorted(last)[(len(last) - 1) // 2] if last else None)
+        known = [v for v in seen if v is not None]
+        assert x.global_n == len(known) and x.global_avg == (pytest.approx(np.mean(known)) if known else None)
+    for x in metrics.lower_median(df, "m", "v").collect():
+        known = sorted(v for m, _, v in rows if m == x.m and v is not None)
+        assert x.median == known[(len(known) - 1) // 2]
