@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from loomwright.plans import dialog, evaluation, sourcing, streams, text  # noqa: F401
+    from loomwright.plans import dialog, evaluation, samples, sourcing, streams, text  # noqa: F401
 
 
 _load()
