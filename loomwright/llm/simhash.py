@@ -30,8 +30,8 @@ _HASHES = 1 << 19
 BANDS, BAND_ROWS = 32, 5
 #: Shingle hashes whose minima are taken at a time, so that they stay in a core's cache.
 _MINIMA = 1 << 15
-#: Rows of a component of candidates that one task compares; larger ones are split into pairs of chunks, all of them compared.
-GROUP_ROWS = 1024
+#: Rows of a component of candidates that one task compares, and about how many rows of a larger one all its others are compared with.
+GROUP_ROWS, REPRESENTATIVES = 1024, 16
 
 
 def shingles(text: bytes, k: int) -> list[bytes]:
@@ -368,8 +368,9 @@ def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = BAND_ROWS)
     return out
 
 
-def jaccard_links(sets: list[np.ndarray], node: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the pairs whose exact Jaccard is ``similarity`` or more, by breadth-first search."""
+def jaccard_links(sets: list[np.ndarray], node: np.ndarray, similarity: float, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs whose exact Jaccard is ``similarity`` or more, by breadth-first search. Rows of
+    one ``label`` are known to be connected: they are reached together, and no link between them is looked for."""
     n = np.array([len(x) for x in sets])
     doc = np.repeat(np.arange(len(sets)), n)
     _, inverse, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -377,20 +378,46 @@ def jaccard_links(sets: list[np.ndarray], node: np.ndarray, similarity: float) -
     at = np.append(0, np.cumsum(n))
     left, out = np.argsort(node, kind="stable"), []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        mates = left[:1] if label is None else left[label[left] == label[left[0]]]
+        queue, left = mates.tolist(), left[~np.isin(left, mates)]
         while queue and len(left):
             x = queue.pop()
             own = inverse[at[x] : at[x + 1]]
             shared = np.bincount(np.concatenate([holders[e - m : e] for e, m in zip(ends[own].tolist(), many[own].tolist())]), minlength=len(sets))[left] if len(own) else np.zeros(len(left), np.int64)
             near = shared >= similarity * (n[x] + n[left] - shared) - 1e-9
             if near.any():
-                got = left[near]
-                out += zip(node[got].tolist(), repeat(int(node[x])))
+                out += zip(node[left[near]].tolist(), repeat(int(node[x])))
+                got = left[near] if label is None else left[np.isin(label[left], label[left[near]])]
                 queue += got.tolist()
-                left = left[~near]
+                left = left[~np.isin(left, got)]
     return out
 
 
+class Representatives:
+    """Some sets of a large component, against which all its others are compared."""
+
+    def __init__(self, node: list[int], sets: list[np.ndarray], similarity: float):
+        self.node, self.similarity, self.n = node, similarity, np.array([len(x) for x in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.values, self.owner = every[order], np.repeat(np.arange(len(sets)), self.n)[order]
+        self.joined: set[tuple[int, int]] = set()
+
+    def links(self, node: int, x: np.ndarray) -> list[tuple[int, int]]:
+        """A link to the first representative that is near, and, the first time, links between it and the others that are."""
+        lo, hi = np.searchsorted(self.values, x), np.searchsorted(self.values, x, side="right")
+        many = hi - lo
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(self.owner[at], minlength=len(self.n))
+        near = np.flatnonzero(shared >= self.similarity * (len(x) + self.n - shared) - 1e-9).tolist()
+        out = [(node, self.node[near[0]])] if near else []
+        for r in near[1:]:
+            if (near[0], r) not in self.joined:
+                self.joined.add((near[0], r))
+                out.append((self.node[r], self.node[near[0]]))
+        return out
+
+
 def _bucket_links(nodes: DataFrame) -> DataFrame:
     """(a, b): each node and another that shares a band key, so that all nodes of a bucket are connected."""
 
@@ -414,39 +441,69 @@ def _bucket_links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(link, "a long, b long")
 
 
-def _verified_links(cands: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): spanning links of the exact near copies within each component of ``cands`` (component, node, set).
-
-    A component of over GROUP_ROWS rows is split into pairs of chunks, all of them compared.
-    """
-    sizes = cands.groupBy("component").count().where(F.col("count") > GROUP_ROWS).select("component", F.ceil(F.col("count") / GROUP_ROWS).alias("chunks"))
-    split = cands.join(sizes, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    split = split.withColumn("c", F.pmod(F.xxhash64("node"), "chunks")).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    keys = ["component", "lo", "hi"]
-    split = split.select("component", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "node", "set")
-    dealt = split.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "node", "set")
+def _grouped(rows: DataFrame, keys: list[str], work) -> DataFrame:
+    """(a, b) links that ``work(rows of one group)`` gives for each group of ``keys``; rows come sorted by keys and by what
+    follows them."""
+    rest = [c for c in rows.columns if c not in keys]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *rest[:-1]).select(*keys, *rest)
 
     def run(batches):
         held, key = [], None
 
-        def work():
-            if len(held) > 1:
-                links = jaccard_links([np.frombuffer(x, np.uint64) for _, x in held], np.array([v for v, _ in held], np.int64), similarity)
-                if links:
-                    a, b = zip(*links)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def done():
+            if links := work(held) if len(held) > 1 else []:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for *k, v, x in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != key:
-                    yield from work()
-                    held, key = [], k
-                held.append((v, x))
-        yield from work()
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                if row[: len(keys)] != key:
+                    yield from done()
+                    held, key = [], row[: len(keys)]
+                held.append(row[len(keys) :])
+        yield from done()
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _sets(rows: list[tuple]) -> list[np.ndarray]:
+    return [np.frombuffer(r[-1], np.uint64) for r in rows]
+
+
+def _verified_links(cands: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): spanning links of the exact near copies within each component of ``cands`` (component, node, set).
+
+    A component of up to GROUP_ROWS rows is searched in one task. Of a larger one, about REPRESENTATIVES rows are dealt to
+    as many tasks as its rows need, and each row is compared with those: a group of near copies of any size is connected by
+    that, at a cost in proportion to it. Only components that are then still in several parts are split into pairs of
+    chunks, all of them compared, but for rows that are in one part already.
+    """
+    sizes = durable(cands.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).withColumn("chunks", F.ceil(F.col("n") / GROUP_ROWS)), "large-components")
+    plain = _grouped(cands.join(sizes.select("component"), "component", "left_anti").select("component", "node", "set"), ["component"], lambda rows: jaccard_links(_sets(rows), np.array([r[0] for r in rows], np.int64), similarity))
+    if sizes.isEmpty():
+        return plain
+    large = cands.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+    some = large.where(F.pmod(F.xxhash64("node", F.lit("representative")), "n") < REPRESENTATIVES).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = some.select("component", "chunk", F.lit(0).alias("kind"), "node", "set").union(large.select("component", "chunk", F.lit(1).alias("kind"), "node", "set"))
+
+    def compare(rows):
+        first = [r for r in rows if r[0] == 0]
+        if not first:
+            return []
+        known = Representatives([r[1] for r in first], _sets(first), similarity)
+        return [link for r in rows if r[0] == 1 for link in known.links(r[1], np.frombuffer(r[2], np.uint64))]
+
+    found = durable(_grouped(dealt, ["component", "chunk"], compare), "representative-links")
+    parts = connected_components(found).withColumnRenamed("component", "part")
+    marked = durable(large.join(parts, "node", "left").select("component", "node", "chunk", "chunks", F.coalesce("part", "node").alias("part"), "set"), "large-groups")
+    several = marked.groupBy("component").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("component")
+    split = marked.join(several, "component").withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    split = split.select("component", F.least("chunk", "d").alias("lo"), F.greatest("chunk", "d").alias("hi"), "node", "part", "set")
+    rest = _grouped(split, ["component", "lo", "hi"], lambda rows: jaccard_links(_sets(rows), np.array([r[0] for r in rows], np.int64), similarity, np.array([r[1] for r in rows], np.int64)))
+    return plain.union(found).union(rest)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without those that have a near copy of smaller id linked to them, directly or through others.
 

@@ -172,3 +172,37 @@ def test_only_exact_near_copies_go(spark, monkeypatch):
                 if label[j] < label[i] and jaccard(x, y) >= 0.8:
                     label[i], changed = label[j], True
     assert dropped(spark, family) == {i for i, x in enumerate(label) if x != i}
+
+
+def brute_labels(texts):
+    label, changed = list(range(len(texts))), True
+    while changed:
+        changed = False
+        for i, x in enumerate(texts):
+            for j, y in enumerate(texts):
+                if label[j] < label[i] and jaccard(x, y) >= 0.8:
+                    label[i], changed = label[j], True
+    return label
+
+
+def test_large_groups_by_representatives(spark, monkeypatch):
+    """A group around one text, a chain whose ends are far apart, and two groups that one text joins; in chunks of eight."""
+    import loomwright.llm.simhash as sh
+
+    monkeypatch.setattr(sh, "GROUP_ROWS", 8)
+    monkeypatch.setattr(sh, "REPRESENTATIVES", 3)
+    r = random.Random(30)
+    words = lambda n: ["w%d" % r.randrange(50_000) for _ in range(n)]
+    centre, texts = words(300), []
+    for i in range(40):
+        w = list(centre)
+        w[r.randrange(300)] = f"u{i}"
+        w[r.randrange(300)] = f"v{i}"
+        texts.append(" ".join(w))
+    chain = words(900)
+    texts += [" ".join(chain[k : k + 300]) for k in range(0, 600, 20)]
+    a, b = words(300), words(300)
+    texts += [" ".join(a[: 300 - i % 5] + [f"a{i}"] * (i % 5)) for i in range(20)] + [" ".join(a[:160] + b[160:300 - i % 4] + [f"b{i}"] * (i % 4)) for i in range(20)]
+    texts += [" ".join(a[:270] + b[270:]), " ".join(a[:215] + b[215:])]
+    label = brute_labels(texts)
+    assert len(set(label)) < 20 and dropped(spark, [(t,) for t in texts]) == {i for i, x in enumerate(label) if x != i}
