@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -20,8 +21,8 @@ DIMS = 1 << 18
 MAX_POSITIVE = 3_000
 #: Features that enter the classifiers, the best by gain, and the share of the positives that must have one.
 MAX_FEATURES, MIN_SHARE = 800, 0.02
-#: Unlabelled documents of a group, about: each group has classifiers of its own, whose weights are averaged.
-GROUP_DOCUMENTS = 10_000
+#: Unlabelled documents of a group, about, and least number of groups: each has a classifier, whose weights are averaged.
+GROUP_DOCUMENTS, LEAST_GROUPS = 10_000, 3
 #: A document is predicted toxic from this score on.
 THRESHOLD = 0.7
 
@@ -30,6 +31,7 @@ _BEGINNINGS = (5, 6, 7, 8)
 _LEVELS = 3
 _CACHE = 400_000
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
+_PACK = [struct.Struct(f"<{n}i").pack for n in range(len(_BEGINNINGS) + 2)]
 #: Weights are summed over groups as whole multiples of this, so that no order of adding matters.
 _UNIT = 2.0**-30
 
@@ -50,24 +52,32 @@ class Features:
         if wanted is not None:
             self.place = np.full(_LEVELS * dims, -1, np.int32)
             self.place[wanted] = np.arange(len(wanted))
-            self.known = (self.place.reshape(_LEVELS, dims) >= 0).any(axis=0)
+            self.known = (self.place.reshape(_LEVELS, dims) >= 0).any(axis=0).tobytes()
 
     def _word(self, w: bytes) -> bytes:
-        ids = np.array([zlib.crc32(p) % self.dims for p in (w + b"$", *(w[:n] for n in _BEGINNINGS if len(w) >= n))], "<i4")
-        return (ids if self.place is None else ids[self.known[ids]]).tobytes()
+        dims = self.dims
+        ids = [zlib.crc32(w + b"$") % dims]
+        ids += [zlib.crc32(w[:n]) % dims for n in _BEGINNINGS if len(w) >= n]
+        if self.place is not None:
+            ids = [i for i in ids if self.known[i]]
+        return _PACK[len(ids)](*ids)
 
     def of(self, text: bytes) -> np.ndarray:
         """Feature numbers: below ``dims`` present, then for each further level of sharing as many."""
-        cache, got = self.cache, []
-        for w in set(text.translate(_KEEP).split()):
-            ids = cache.get(w)
-            if ids is None:
-                ids = cache[w] = self._word(w)
-            got.append(ids)
-        if len(cache) > _CACHE:
-            cache.clear()
+        cache, words = self.cache, list(set(text.translate(_KEEP).split()))
+        got = list(map(cache.get, words))
+        if None in got:
+            i = -1
+            try:
+                while True:
+                    i = got.index(None, i + 1)
+                    got[i] = cache[words[i]] = self._word(words[i])
+            except ValueError:  # no place left without features
+                pass
+            if len(cache) > _CACHE:
+                cache.clear()
         ids, n = np.unique(np.frombuffer(b"".join(got), "<i4"), return_counts=True)
-        found = np.concatenate([ids[n > k] + np.int32(k * self.dims) for k in range(_LEVELS)])
+        found = np.concatenate([ids, *(ids[n > k] + np.int32(k * self.dims) for k in range(1, _LEVELS))])
         if self.place is None:
             return found
         at = self.place[found]
@@ -75,25 +85,23 @@ class Features:
 
 
 def nnpu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, weights: np.ndarray | None = None, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 0
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, weights: np.ndarray | None = None, steps: int = 400, rate: float = 0.05, decay: float = 1e-3
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier of least non-negative PU risk under the logistic loss.
 
     The risk is prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]); where the bracket is negative, the step
     goes up it instead, so that the model does not learn unlabelled positives as negatives. ``weights`` says how many
-    documents an unlabelled row stands for. Adam over all rows, with an l2 penalty; each classifier sees its own random
-    three quarters of the unlabelled rows.
+    documents an unlabelled row stands for. Adam over all rows, with an l2 penalty; the mean of the last third of the steps
+    counts, as steps up the bracket and down the risk take turns.
     """
-    r = np.random.default_rng(seed)
     many = np.ones(len(unlabelled)) if weights is None else weights.astype(float)
-    some = np.sort(r.permutation(len(unlabelled))[: max(1, math.ceil(0.75 * len(unlabelled)))])
-    rows = positive + [unlabelled[i] for i in some]
+    rows = positive + unlabelled
     n = np.array([len(x) for x in rows])
     col, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), n)
     is_p = np.arange(len(rows)) < len(positive)
-    share = np.concatenate([np.full(len(positive), 1 / len(positive)), many[some] / many[some].sum()])  # of a row in its mean
+    share = np.concatenate([np.full(len(positive), 1 / len(positive)), many / many.sum()])  # of a row in its mean
     w, b = np.zeros(size), math.log(prior / (1 - prior))
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
+    m, v, mean, last = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1), max(1, steps // 3)
     for t in range(1, steps + 1):
         g = np.bincount(row, w[col], len(rows)) + b
         s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
@@ -105,7 +113,9 @@ def nnpu(
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+        if t > steps - last:
+            mean += np.append(w, b) / last
+    return mean[:-1], float(mean[-1])
 
 
 @dataclass(frozen=True)
@@ -137,7 +147,7 @@ def _count(src: DataFrame, dims: int, wanted: Broadcast | None) -> DataFrame:
     return src.select("t").mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
 
-def _fit_groups(rows: DataFrame, positive: list[np.ndarray], size: int, prior: float, classifiers: int) -> tuple[np.ndarray, float, int]:
+def _fit_groups(rows: DataFrame, positive: list[np.ndarray], size: int, prior: float) -> tuple[np.ndarray, float, int]:
     """Sums of weights and biases over the classifiers of all groups of ``rows`` (g, f, n), and how many there are."""
     shared = rows.sparkSession.sparkContext.broadcast(positive)
 
@@ -147,8 +157,8 @@ def _fit_groups(rows: DataFrame, positive: list[np.ndarray], size: int, prior: f
 
         def work():
             nonlocal total, fits
-            for k in range(classifiers if held else 0):
-                w, b = nnpu(shared.value, held, size, prior, np.array(many), seed=classifiers * group + k)
+            if held:
+                w, b = nnpu(shared.value, held, size, prior, np.array(many))
                 total = total + np.round(np.append(w, b) / _UNIT).astype(np.int64)
                 fits += 1
 
@@ -164,7 +174,7 @@ def _fit_groups(rows: DataFrame, positive: list[np.ndarray], size: int, prior: f
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64())), pa.array([fits], pa.int64())], ["total", "fits"])
 
     total, fits = [0] * (size + 1), 0
-    for r in rows.repartition("g").sortWithinPartitions("g", "f").mapInArrow(fit, "total array<long>, fits long").toLocalIterator():
+    for r in rows.repartition("g").sortWithinPartitions("g", "f").mapInArrow(fit, "total array<long>, fits long").collect():  # one of each task
         total, fits = [a + b for a, b in zip(total, r.total)], fits + r.fits
     return np.array(total[:-1], float) * _UNIT, total[-1] * _UNIT, fits
 
@@ -176,12 +186,11 @@ def fit(
     text_col: str = "text",
     dims: int = DIMS,
     prior: float | None = None,
-    classifiers: int = 2,
     max_positive: int = MAX_POSITIVE,
     max_features: int = MAX_FEATURES,
     group_documents: int = GROUP_DOCUMENTS,
 ) -> Model:
-    """The mean of the nnPU classifiers of all groups of unlabelled text.
+    """The mean of the nnPU classifiers of all groups of unlabelled text, one for each group.
 
     ``labels`` has doc and toxic; rows held out must be gone from it. Positives are at most ``max_positive`` of the
     confirmed toxic documents, the smallest by hash; unlabelled text is every other document not held out, without a
@@ -220,11 +229,11 @@ def fit(
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([made.of(t).astype("<u2").tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["p", "g", "f"])
 
-    groups = max(1, math.ceil(n_u / group_documents))
+    groups = max(LEAST_GROUPS, math.ceil(n_u / group_documents))
     made = src.select("p", F.pmod(F.xxhash64("doc", F.lit("group")), F.lit(groups)).alias("g"), "t").mapInArrow(rows, "p boolean, g long, f binary")
     made = durable(made.groupBy("p", "g", "f").agg(F.count("*").alias("n")), "toxicity-rows")
     positive = [np.frombuffer(f, "<u2").astype(np.int64) for f in sorted(bytes(r.f) for r in made.where("p").collect() for _ in range(r.n))]
-    weights, bias, fits = _fit_groups(made.where("NOT p").select("g", "f", "n"), positive, len(use), prior, classifiers)
+    weights, bias, fits = _fit_groups(made.where("NOT p").select("g", "f", "n"), positive, len(use), prior)
     return Model(use, weights / fits, float(bias / fits))
 
 
