@@ -16,7 +16,7 @@ from loomwright.llm.tokens import tokenizer_path
 #: Distinct pre-tokens whose counts one worker remembers; then it starts anew.
 CACHE_WORDS = 400_000
 #: Nodes that a worker's trie grows to before it starts anew, and characters of a pre-token that it holds.
-TRIE_NODES, TRIE_DEPTH = 600_000, 64
+TRIE_NODES, TRIE_DEPTH = 1_000_000, 64
 
 SPACE_MARK = "▁"
 
@@ -48,36 +48,39 @@ class UnigramTrie:
         if len(self.best) > self.nodes:
             self._clear()
         child, best, pieces_to = self.child, self.best, self.pieces_to
-        node, path_best, path_count = 0, [0.0], [0]
-        for i, c in enumerate(word):
-            nxt = child.get(node << 21 | ord(c)) if i < self.depth else None
+        node, known = 0, 0
+        path_best, path_count = [0.0], [0]
+        for c in word:
+            nxt = child.get(node << 21 | ord(c))
             if nxt is None:
-                top, n = self._score(word, i, path_best, path_count)
-                self.visited += 1
-                if i < self.depth:
-                    nxt = child[node << 21 | ord(c)] = len(best)
-                    best.append(top)
-                    pieces_to.append(n)
-            else:
-                top, n = best[nxt], pieces_to[nxt]
-            node = nxt
+                break
+            node, known = nxt, known + 1
+            path_best.append(best[node])
+            path_count.append(pieces_to[node])
+        pieces, endings, depth = self.pieces, self.endings, self.depth
+        for i in range(known, len(word)):
+            c = word[i]
+            top, n = -math.inf, 0
+            if c not in pieces:
+                size = len(c.encode("utf-8", "replace"))
+                top, n = path_best[i] + size * self.byte_score, path_count[i] + size
+            start, got = i, endings.get(c, False)
+            while got is not False:
+                if got is not None and path_best[start] + got >= top:
+                    top, n = path_best[start] + got, path_count[start] + 1
+                start -= 1
+                if start < 0:
+                    break
+                got = endings.get(word[start : i + 1], False)
             path_best.append(top)
             path_count.append(n)
+            if i < depth:
+                child[node << 21 | ord(c)] = node = len(best)
+                best.append(top)
+                pieces_to.append(n)
+        self.visited += len(word) - known
         return path_count[-1]
 
-    def _score(self, word: str, i: int, best: list[float], count: list[int]) -> tuple[float, int]:
-        """Forward score and number of pieces of word[: i + 1] from those of its prefixes."""
-        endings, top, n = self.endings, -math.inf, 0
-        if word[i] not in self.pieces:
-            size = len(word[i].encode("utf-8", "replace"))
-            top, n = best[i] + size * self.byte_score, count[i] + size
-        start = i
-        while start >= 0 and (got := endings.get(word[start : i + 1], False)) is not False:
-            if got is not None and best[start] + got >= top:
-                top, n = best[start] + got, count[start] + 1
-            start -= 1
-        return top, n
-
     def counts(self, words: list[str]) -> dict[str, int]:
         return {w: self.count(w) for w in dict.fromkeys(words)}
 
