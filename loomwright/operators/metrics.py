@@ -287,7 +287,8 @@ def meter_window(df: DataFrame, meter: str, order: list[str], value: str, size:
     A meter is cut into stretches of rows, each of which also sees the ``size`` - 1 rows before it; averages since the
     start come from running sums with an offset for each partition. So a meter of any size has no window of its own.
     """
-    rows = prefix(df, order, within=meter, value=F.coalesce(F.col(value).cast("double"), F.lit(0.0)), place="_place", running="_sum", counted=F.col(value))
+    sums = {"_sum": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "_sum_n": F.col(value).isNotNull().cast("long")}
+    rows = prefix(df, order, within=meter, sums=sums, place="_place")
     at = F.floor(F.col("_place") / stretch)
     last = F.col("_place") % stretch >= stretch - (size - 1)
     own, behind = F.struct(at.alias("s"), F.lit(True).alias("home")), F.struct((at + 1).alias("s"), F.lit(False).alias("home"))

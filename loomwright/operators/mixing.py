@@ -32,7 +32,7 @@ def race(df: DataFrame, stream: str, order: str, weights: dict[str, float], salt
     live stream in proportion to the weights. An order column that is a batch makes weights count batches."""
     rate = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])[F.col(stream)]
     wait = -F.ln(u01(F.col(order), salt) + 1e-12) / rate
-    return prefix(df, [order], within=stream, value=wait, place="_place", running="arrival").drop("_place")
+    return prefix(df, [order], within=stream, sums={"arrival": wait}, place="_place").drop("_place")
 
 
 def mix(streams: dict[str, DataFrame], mode: str = "concat", weights: list[float] | None = None, order: str = "key") -> DataFrame:
