@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import durable, named, pack, prepare, unpack, word_count
+from loomwright.operators.numbering import prefix
 
 WEIGHTS = (5, 2, 1)
 TOTAL_PERCENT = 150
@@ -28,18 +29,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total_p
     Sources in code-point order, null last, weigh ``weights``, repeating, and share ``total_percent`` of all sizes. A
     target stops at ``max_repeats`` times its source's size and the excess is shared by weight among the others, until
     none is above: sources are filled in the order of limit / weight, and all after the last full one get the same
-    amount for a unit of weight. The windows run over one row for each source, not over documents.
+    amount for a unit of weight. Sources are numbered and added up by range partitions, so there can be any number of
+    them; three numbers reach the driver.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("k", (F.row_number().over(by_name) - 1) % len(weights))
-    per = per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("k") + 1)).withColumn("cap", (max_repeats * F.col("source_size")).cast("double"))
-    every, fill = Window.partitionBy(F.lit(0)), Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("total", F.sum("source_size").over(every) * F.lit(total_percent / 100)).withColumn("all_w", F.sum("w").over(every))
-    per = per.withColumn("rate", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    level = F.max(F.when(F.col("cap") / F.col("w") >= F.col("rate"), F.col("rate"))).over(every)
-    target = F.least("cap", F.col("w") * F.coalesce(level, F.lit(float("inf"))))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_z", F.col("source").isNull())
+    per = prefix(per, ["_z", "source"], place="_k")
+    per = per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_k") % len(weights) + 1).cast("int"))).withColumn("cap", (max_repeats * F.col("source_size")).cast("double"))
+    per = durable(prefix(per.withColumn("_f", F.col("cap") / F.col("w")), ["_f", "_z", "source"], sums={"caps": F.col("cap"), "ws": F.col("w")}, place="_k"), "source-sizes")
+    size, all_w = per.agg(F.sum("source_size"), F.sum("w")).first()
+    # what is left for the sources from this one on, for a unit of their weight
+    left = (F.lit(float(size or 0)) * F.lit(total_percent / 100) - (F.col("caps") - F.col("cap"))) / (F.lit(float(all_w or 0)) - (F.col("ws") - F.col("w")))
+    level = per.where(F.col("_f") >= left).agg(F.max(left)).first()[0]
+    target = F.least("cap", F.col("w") * F.lit(float("inf") if level is None else level))
     return per.select("source", "source_size", target.alias("target"))
 
 
