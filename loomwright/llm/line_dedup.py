@@ -46,10 +46,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Only 16-byte keys are counted, pre-aggregated before the shuffle (smallest and largest id, so that one
     hot line is one row per task). The join back is between two exchanges, which adaptive execution can
-    split where a line is hot. The text itself moves once, to meet its dropped keys.
+    split where a line is hot. Keys are written once, for both. The text itself moves once, to meet its dropped keys.
     """
     prepare(docs.sparkSession)
-    keys = _keys(docs, id_col, text_col, min_chars)
+    keys = durable(_keys(docs, id_col, text_col, min_chars), "line-keys")
     if min_docs == 2:
         found = keys.groupBy("k").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last")
     else:
