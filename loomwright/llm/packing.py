@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 from loomwright.llm.common import durable, map_arrow, named, prepare, raw
 from loomwright.llm.tokens import encoder, tokenizer_path
 
-#: Buckets within a class of lengths, by a hash of the document, in which pieces are ranked.
-RANK_BUCKETS = 1024
+#: Pieces that are ranked together, about, and the least and most buckets, by a hash of the document, that a class of lengths
+#: has for that; as many counts for each class reach the driver and are sent to the tasks.
+BUCKET_PIECES, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 256, 16_384
 
 
 def price(duals: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -162,9 +163,11 @@ def pack_documents(
         raise ValueError("grain must divide length")
     pieces = durable(cut_pieces(docs, tokenizer or tokenizer_path("byte_bpe_50k.json"), id_col, text_col, length, end_id, keep_ids), "pieces")
     # class 0 holds full pieces, class c those of over (c - 1) * grain ids
-    pieces = pieces.withColumn("c", F.when(F.col("n") == length, 0).otherwise(F.ceil(F.col("n") / grain)).cast("int")).withColumn("b", F.pmod(F.xxhash64("doc", "start"), F.lit(RANK_BUCKETS)).cast("int"))
+    pieces = pieces.withColumn("c", F.when(F.col("n") == length, 0).otherwise(F.ceil(F.col("n") / grain)).cast("int"))
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, pieces.count() // BUCKET_PIECES))
+    pieces = pieces.withColumn("b", F.pmod(F.xxhash64("doc", "start"), F.lit(buckets)).cast("int"))
     classes = length // grain
-    counts = np.zeros((classes + 1, RANK_BUCKETS), np.int64)
+    counts = np.zeros((classes + 1, buckets), np.int64)
     for r in pieces.groupBy("c", "b").count().toLocalIterator():
         counts[r["c"], r["b"]] = r["count"]
     slots = Slots(counts[1:].sum(axis=1), classes)
