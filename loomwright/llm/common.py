@@ -12,6 +12,7 @@ from loomwright.session import discard, durable, scratch_path, ship  # noqa: F40
 
 #: Rows of one Arrow batch: with whole documents in the rows, the default of 10,000 can be over a gigabyte.
 BATCH_ROWS = 2000
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 #: The white space that the contracts name: space and \t to \r.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -20,9 +21,10 @@ _NON_SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the code and bound the Arrow batches."""
+    """Ship the code, and bound the Arrow batches unless the session has a bound of its own."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
