@@ -16,9 +16,7 @@ from pyspark.sql import types as T
 def _load(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def tidy(text: str) -> str:
@@ -27,7 +25,8 @@ def tidy(text: str) -> str:
 
 
 def encode(text: Column, path: str, clean: bool = True) -> Column:
-    """array<int> of a text's ids without special tokens; null stays null. Pass it to the renderers as ``tokenize``."""
+    """array<int> of a text's ids as the file's tokenizer gives them, with no special tokens added around; the text of a
+    special token inside it is that token. Null stays null. Pass it to the renderers as ``tokenize``."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(col: pa.Array) -> pa.Array:
