@@ -257,12 +257,14 @@ def fid(a: DataFrame, b: DataFrame, vec: str = "vec") -> float:
 
 
 def inception_score(df: DataFrame, probs: str, split: Column) -> DataFrame:
-    """(mean, std) over splits of exp(mean KL(p(y|x) || p(y))); std of the population."""
+    """(mean, std) over splits of exp(mean KL(p(y|x) || p(y))); std of the population. The divergence needs but two sums and a
+    count for each split and class, so rows are aggregated before they are shuffled."""
     flat = df.select(split.alias("s"), F.posexplode(probs).alias("y", "p"))
-    w = Window.partitionBy("s", "y")
-    kl = F.when(F.col("p") > 0, F.col("p") * (F.ln("p") - F.ln("q"))).otherwise(0.0)
-    per = flat.withColumn("q", F.avg("p").over(w)).groupBy("s").agg(F.exp(F.sum(kl) / F.sum((F.col("y") == 0).cast("long"))).alias("e"))
-    return per.agg(F.avg("e").alias("is_mean"), F.stddev_pop("e").alias("is_std"))
+    own = F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p")).otherwise(0.0))
+    per = flat.groupBy("s", "y").agg(own.alias("h"), F.sum("p").alias("p"), F.count("*").alias("n"))
+    kl = F.col("h") - F.when(F.col("p") > 0, F.col("p") * F.ln(F.col("p") / F.col("n"))).otherwise(0.0)
+    split_scores = per.groupBy("s").agg(F.exp(F.sum(kl) / F.max("n")).alias("e"))
+    return split_scores.agg(F.avg("e").alias("is_mean"), F.stddev_pop("e").alias("is_std"))
 
 
 # --- meters -----------------------------------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.functions.vectors import as_double, dot, l2norm, total
+from loomwright.functions.vectors import as_double, bind, dot, l2norm, logsumexp, total
 from loomwright.session import durable, scratch_path
 
 #: Queries of a block, items that are scored at a time, and classes that are sent to every task.
@@ -221,18 +221,13 @@ def in_batch_scores(rows: DataFrame, batch: str, id_col: str, a: str = "a", b: s
     return per.select("batch", F.transform("r", lambda x: x["i"]).alias("ids"), table.alias("table"))
 
 
-def _logsumexp(z: Column) -> Column:
-    top = F.array_max(z)
-    return top + F.ln(total(F.transform(z, lambda x: F.exp(x - top))))
-
-
 def contrastive_loss(square: DataFrame, temperature: float = 0.07, smoothing: float = 0.1) -> DataFrame:
     """(batch, loss): the symmetric loss of each batch of in_batch_scores(), whose pairs are on the diagonal."""
     n = F.size("ids")
     z = square.select("batch", "ids", F.transform("table", lambda r: F.transform(r, lambda x: x / temperature)).alias("z"))
 
     def side(row: Callable[[Column], Column]) -> Column:
-        each = lambda i: _logsumexp(row(i)) - (1 - smoothing) * F.col("z")[i][i] - smoothing * total(row(i)) / n
+        each = lambda i: logsumexp(row(i)) - (1 - smoothing) * F.col("z")[i][i] - smoothing * total(row(i)) / n
         return total(F.transform(F.sequence(F.lit(0), n - 1), each)) / n
 
     return z.select("batch", ((side(lambda i: F.col("z")[i]) + side(lambda i: F.transform("z", lambda r: r[i]))) / 2).alias("loss"))
@@ -241,6 +236,7 @@ def contrastive_loss(square: DataFrame, temperature: float = 0.07, smoothing: fl
 def in_batch_negatives(square: DataFrame) -> DataFrame:
     """(batch, i, j, weight): weights of the negatives of each row of a batch: softmax of its scores plus 1e-4, the diagonal 0."""
     row = square.select("batch", "ids", F.posexplode("table").alias("p", "s"))
-    e = row.withColumn("e", F.transform("s", lambda x: F.exp(x - F.array_max("s"))))
-    out = e.select("batch", F.col("ids")[F.col("p")].alias("i"), "ids", F.posexplode(F.transform("e", lambda x: x / total(F.col("e")) + 1e-4)).alias("q", "w"))
+    e = row.withColumn("e", bind(F.array_max("s"), lambda m: F.transform("s", lambda x: F.exp(x - m))))
+    weights = bind(total(F.col("e")), lambda t: F.transform("e", lambda x: x / t + 1e-4))
+    out = e.select("batch", F.col("ids")[F.col("p")].alias("i"), "ids", F.posexplode(weights).alias("q", "w"))
     return out.select("batch", "i", F.col("ids")[F.col("q")].alias("j"), F.when(F.col("i") == F.col("ids")[F.col("q")], 0.0).otherwise(F.col("w")).alias("weight"))
