@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import discard, durable
@@ -24,13 +24,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Self-loops and nulls are ignored, repeated edges count once, and no edges give an empty table. Every
     round is written to the shared folder, so that plans stay short and lost executors lose one round at
-    most. Only a count and a checksum reach the driver. Rounds grow with the logarithm of the longest path.
+    most. Only a count and a checksum, taken as a round is written, reach the driver. Rounds grow with the logarithm of the longest path.
     """
-    now = durable(edges.toDF("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+
+    def written(df: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        return durable(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges"), seen.get
+
+    now, mark = written(edges.toDF("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
-        nxt = durable(_star(now), "edges")
-        seen = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if not mark.get("n"):
+            break
+        nxt, seen = written(_star(now))
         discard(now)
         now = nxt
         if seen == mark:

@@ -164,23 +164,18 @@ def test_only_exact_near_copies_go(spark, monkeypatch):
     base = isolated_pairs([60], 24)[0]
     family = [(" ".join(base[0].split()[: 400 - i] + [f"u{i}"] * i), " ".join(base[0].split()[:370] + [f"x{i}"] * 30)) for i in range(1, 12)]
     flat = [t for p in family for t in p]
-    label, changed = list(range(len(flat))), True
-    while changed:
-        changed = False
-        for i, x in enumerate(flat):
-            for j, y in enumerate(flat):
-                if label[j] < label[i] and jaccard(x, y) >= 0.8:
-                    label[i], changed = label[j], True
+    label = brute_labels(flat)
     assert dropped(spark, family) == {i for i, x in enumerate(label) if x != i}
 
 
 def brute_labels(texts):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
     label, changed = list(range(len(texts))), True
     while changed:
         changed = False
-        for i, x in enumerate(texts):
-            for j, y in enumerate(texts):
-                if label[j] < label[i] and jaccard(x, y) >= 0.8:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if label[j] < label[i] and len(x & y) >= 0.8 * len(x | y):
                     label[i], changed = label[j], True
     return label
 
