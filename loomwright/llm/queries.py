@@ -18,6 +18,8 @@ def _query(fn):
 
 @_query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines dropped, and the sha256 of what stays. A null text is one empty line; rows that repeat an id
+    are one document and keep what the smallest id keeps; a row without an id keeps all."""
     from loomwright.llm.line_dedup import dedup_lines
 
     out = dedup_lines(table(spark, sf_dir, "documents"))
@@ -38,6 +40,8 @@ FROM marked GROUP BY doc_id
 
 @_query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: fingerprint and smallest linked id. Null texts have no words and the fingerprint zero, which links; a row
+    without an id has a fingerprint and no component; equal fingerprints are one node."""
     from loomwright.llm.simhash import hex_fingerprint, simhash_groups
 
     out = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, bits=64, distance=3)
@@ -46,6 +50,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: words, its source's words and target, and the words taken. A null text has none; null sources are one source,
+    last; rows that repeat an id get the same coin."""
     from loomwright.llm.mixing import plan_mix
 
     return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -67,6 +73,8 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 
 @_query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: the base counts and both verdicts. Null texts have no words and fail; repeated rows count each; a null id is
+    never trusted. ``llr`` is 0 where there are no words or nothing is trusted."""
     from loomwright.llm.quality import score_quality, trusted_ids
 
     out = score_quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
@@ -75,6 +83,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece: where its ids lie. A null text is its end id alone; repeated rows and null ids are documents of their own;
+    pieces of equal length and hash are ranked by id, start and checksum."""
     from loomwright.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
@@ -82,6 +92,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query: its five best. Vectors that are null or hold a null or non-finite component take no part, nor do null ids;
+    rows that repeat an id are vectors of their own; ties go to the smaller id."""
     from loomwright.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"))
@@ -98,6 +110,8 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 
 @_query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: score and verdict from the text alone. Null and empty texts get the score of the bias; repeated rows get equal
+    scores; a null id is not held out."""
     from loomwright.llm.toxicity import score_toxicity
 
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -105,6 +119,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: pre-tokens and tokens, both 0 for a null text; repeated rows are counted each."""
     from loomwright.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_pretokens", "n_tokens")
@@ -112,6 +127,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, from the store's files: start, ids and checksum. A null text is its end id alone; repeated rows are
+    documents of their own, next to each other; null ids come last."""
     from loomwright.llm.chunk_store import read_store, write_store
     from loomwright.llm.common import scratch_path
 
@@ -123,10 +140,12 @@ def op2_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its main text, "" for null or empty html. A null url has no neighbour; repeated rows are copies of each other."""
     from loomwright.llm.html_extract import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
+
 #: For pages whose article stands in one article element of h1 and p blocks, as all of the driver's do.
 ORACLES["op8_html_extraction"] = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS a FROM pages),
