@@ -344,8 +344,8 @@ def _key_parts(url_col: str, id_col: str):
     return host.alias("h"), path.alias("p"), F.coalesce(named(id_col).cast("long"), F.lit(-(1 << 63))).alias("k")
 
 
-#: Pages of a bucket, about: what one task sorts and compares.
-BUCKET_PAGES = 20_000
+#: Pages of a bucket, about: what one task sorts and compares; and the most buckets (a few keys of each are sent to the tasks).
+BUCKET_PAGES, MOST_BUCKETS = 5_000, 100_000
 
 
 def _buckets(pages: DataFrame, url_col: str, id_col: str) -> list[tuple]:
@@ -353,7 +353,7 @@ def _buckets(pages: DataFrame, url_col: str, id_col: str) -> list[tuple]:
     bucket of the pages sorted by (host, path, id). Only keys are sorted, and 2 * REACH of each bucket reach the driver."""
     spark = pages.sparkSession
     keys = pages.select(*_key_parts(url_col, id_col))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() // BUCKET_PAGES + 1)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(keys.count() // BUCKET_PAGES + 1, MOST_BUCKETS))
     dealt = keys.repartitionByRange(n, "h", "p", "k").sortWithinPartitions("h", "p", "k")
 
     def edges(batches):
