@@ -417,6 +417,77 @@ def reason_prompt(spark, sf):
     return _docs(spark, sf, "lang", "source").select("doc_id", F.md5(made).alias("prompt_md5"))
 
 
+@query(
+    "fetch_report",
+    """SELECT page_id, CASE page_id % 10 WHEN 0 THEN 404 WHEN 2 THEN NULL WHEN 3 THEN 503 ELSE 200 END::INTEGER AS status, CASE page_id % 10 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 1 END::INTEGER AS tries,
+    CASE WHEN page_id % 10 = 2 THEN 'TimeoutError: no answer' END AS error, CASE WHEN page_id % 10 NOT IN (0, 2, 3) THEN md5('http://x/' || page_id) END AS payload_md5 FROM pages WHERE page_id % 4 <> 0""",
+)
+def fetch_report(spark, sf):
+    """What is not done yet is fetched: some URLs are gone, some answer the second time, some never, some are overloaded."""
+    from loomwright.sources.fetch import fetch
+
+    def get(url, attempt):
+        k = int(url.rsplit("/", 1)[-1]) % 10
+        if k == 2 or k == 1 and attempt == 1:
+            raise TimeoutError("no answer")
+        return {0: 404, 3: 503}.get(k, 200), url.encode()
+
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.lit("http://x/"), F.col("page_id").cast("string")).alias("url"))
+    report = fetch(J.unfinished(p, p.where("page_id % 4 = 0").select("page_id"), "page_id"), "page_id", "url", get, wait=0.0)
+    return report.select("page_id", "status", "tries", "error", F.md5("payload").alias("payload_md5"))
+
+
+@query("image_sizes", "SELECT doc_id, (100 + doc_id % 300)::INTEGER AS width, (120 + doc_id % 170)::INTEGER AS height FROM documents")
+def image_sizes(spark, sf):
+    """Width and height from the headers of image members."""
+    n, number = F.col("doc_id"), lambda c: F.lpad(F.hex(c), 8, "0")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(100 + n % 300), number(120 + n % 170), F.lit("0802000000")))
+    return shards.with_image_size(_docs(spark, sf, png.alias("payload"))).select("doc_id", "width", "height")
+
+
+@query("encode_images", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), d AS (SELECT v.vec_id AS id, c.vec_id AS code, list_reduce(list_transform(range(1, len(v.e) + 1), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i])), lambda x, y: x + y) AS d FROM v, (SELECT * FROM v WHERE vec_id < 32) c) SELECT id, arg_min(code, {'d': d, 'c': code})::INTEGER AS code FROM d GROUP BY id")
+def encode_images(spark, sf):
+    """A model in the loop: loaded once for each task, it turns batches of vectors into codes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomwright.operators.batch import encode_batches
+
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    words = [list(r.v) for r in v.where("id < 32").orderBy("id").collect()]
+
+    def encode(w, b):
+        x, d = np.array(b.column(1).to_pylist()), 0.0
+        for k in range(w.shape[1]):
+            d = d + (x[:, [k]] - w[None, :, k]) ** 2
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(d.argmin(axis=1), pa.int32())], ["id", "code"])
+
+    return encode_batches(v, lambda: np.array(words), encode, "id long, code int", 64)
+
+
+_RGB = "list_transform(range(0, 8 * 6 * 3), lambda i: (doc_id * 31 + i * 7) % 256)"
+
+
+@query(
+    "pixel_values",
+    f"""WITH d AS (SELECT doc_id, {_RGB} AS p FROM documents),
+    c AS (SELECT doc_id, list_transform(range(0, 48), lambda i: p[(((1 + i // 12) * 8 + 2 + (i % 12) // 3) * 3 + i % 3) + 1]) AS c, list_transform(range(0, 36), lambda i: p[((floor((i // 12 + 0.5) * 2)::INTEGER * 8 + floor(((i % 12) // 3 + 0.5) * 2)::INTEGER) * 3 + i % 3) + 1]) AS r,
+      list_transform(range(0, 144), lambda i: p[(((i // 24) * 8 + 7 - (i % 24) // 3) * 3 + i % 3) + 1]) AS f FROM d)
+    SELECT doc_id, {joined_sql('c')} AS cropped, {joined_sql('r')} AS resized, {joined_sql('f')} AS flipped,
+      round(list_reduce(list_transform(range(0, 48), lambda i: (c[i + 1] / 255.0::DOUBLE - [0.5, 0.4, 0.3][i % 3 + 1]) / [0.2, 0.3, 0.4][i % 3 + 1] * (i + 1)), lambda a, b: a + b), 6) AS weighed FROM c""",
+)
+def pixel_values(spark, sf):
+    """Crop, resize, flip and normalise raw images of 8 x 6 pixels."""
+    from loomwright.functions import pixels as px
+
+    p = F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: ((F.col("doc_id") * 31 + i * 7) % 256).cast("int"))
+    d = _docs(spark, sf, p.alias("p"))
+    d = d.select("doc_id", px.crop(F.col("p"), 8, 2, 1, 4, 4).alias("c"), px.resize_nearest(F.col("p"), 8, 6, 4, 3).alias("r"), px.flip(F.col("p"), 8, 6).alias("f"))
+    n = px.normalise(F.col("c"), (0.5, 0.4, 0.3), (0.2, 0.3, 0.4))
+    weighed = F.aggregate(F.transform(n, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return d.select("doc_id", A.joined(F.col("c")).alias("cropped"), A.joined(F.col("r")).alias("resized"), A.joined(F.col("f")).alias("flipped"), F.round(weighed, 6).alias("weighed"))
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 
@@ -490,6 +561,17 @@ _WEIGHTS = "(CASE WHEN answers[1] = answers[2] THEN ['1.0000'] ELSE ['0.6667', '
 _CAPTION, _QUESTION = _CLEAN.replace("text", "caption"), _ASKED.replace("text", "question")
 _ALL_ANSWERS = {"answers": f"array_to_string({_DISTINCT}, '|')", "weights": f"array_to_string({_WEIGHTS}, '|')"}
 
+@query("web_dataset", f"SELECT 'image_text' AS type, md5(text) AS image_md5, {_CLEAN.replace('text', 'lang')} AS caption FROM documents WHERE lang IS NOT NULL AND doc_id % 6 <> 5")
+def web_dataset(spark, sf):
+    """A web dataset from tar shards of image and JSON members; samples whose JSON is broken or missing are left out."""
+    d = _docs(spark, sf, "text", "lang").where("lang IS NOT NULL")
+    meta = F.when(F.col("doc_id") % 6 != 5, F.to_json(F.struct(F.col("lang").alias("caption")))).otherwise(F.when(F.col("doc_id") % 12 == 5, F.lit("{broken")))
+    tars = shards.pack_tar(d.select("doc_id", "text", meta.alias("meta")), "doc_id", {"jpg": "text", "json": "meta"}, per_shard=64)
+    members = shards.samples(shards.expand_tar(tars.select(F.concat_ws("-", "part", "shard").alias("path"), "content"), exts=("jpg", "json")))
+    samples = S.group_members(members, {"jpg", "json"}).select(F.col("key").cast("long").alias("n"), F.col("data")["jpg"].alias("image"), F.get_json_object(F.decode(F.col("data")["json"], "UTF-8"), "$.caption").alias("caption"))
+    return D.load("laion400M_multi", samples.where("caption IS NOT NULL"), "n").select("type", F.md5("image").alias("image_md5"), "caption")
+
+
 #: What a sample has, by kind, in SQL over the annotations.
 _KIND_SQL: dict[str, dict[str, str]] = {
     "caption": {"image": "image", "image_id": "(SELECT id FROM first_image f WHERE f.image = a.image)", "text_input": _CAPTION},

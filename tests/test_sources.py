@@ -108,3 +108,42 @@ def test_sinks(spark, tmp_path):
     tars = shards.pack_tar(spark.createDataFrame([("k", "text", bytearray(b"\x00"))], "k string, t string, b binary"), "k", {"txt": "t", "bin": "b"})
     members = shards.expand_tar(tars.select(F.lit("x").alias("path"), "content")).collect()
     assert [(m.member, bytes(m.payload)) for m in members] == [("k.txt", b"text"), ("k.bin", b"\x00")]
+
+
+def test_fetching(spark):
+    from loomwright.sources.fetch import fetch, http_get
+
+    def get(url, attempt):
+        if url == "late" and attempt < 3:
+            raise OSError("reset")
+        if url == "never":
+            raise ValueError("bad url")
+        return {"gone": 404, "busy": 503}.get(url, 200), url.encode()
+
+    df = spark.createDataFrame([("a", "ok"), ("b", "late"), ("c", "never"), ("d", "gone"), ("e", "busy"), ("f", None)], "name string, link string")
+    got = {r.name: (r.status, r.tries, r.error, r.payload and bytes(r.payload)) for r in fetch(df, "name", "link", get, wait=0.0).collect()}
+    assert got["a"] == (200, 1, None, b"ok") and got["b"] == (200, 3, None, b"late") and got["c"] == (None, 3, "ValueError: bad url", None)
+    assert got["d"] == (404, 1, None, None) and got["e"] == (503, 3, None, None) and got["f"][0] is None and "Error" in got["f"][2]
+    assert fetch(df.limit(0), "name", "link", get).count() == 0
+    with pytest.raises(Exception):
+        http_get("http://127.0.0.1:9/nothing", 1, timeout=0.2)
+
+
+def test_archives(spark):
+    import gzip
+    import zipfile
+
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("d/a.TXT", "one")
+        z.writestr("b", "")
+        z.mkdir("empty")
+    files = [("x/z.zip", buf.getvalue()), ("x/y.json.gz", gzip.compress(b"{}")), ("x/cut.zip", buf.getvalue()[:40]), ("x/cut.gz", gzip.compress(b"abc" * 99)[:20]), ("x/no.txt", b"plain")]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")
+    got = {}
+    for r in shards.expand_archive(df).collect():
+        got.setdefault(r.shard, []).append((r.member, r.ext, r.payload if r.payload is None else bytes(r.payload), r.error is None))
+    assert got["x/z.zip"] == [("d/a.TXT", "txt", b"one", True), ("b", "", b"", True)] and got["x/y.json.gz"] == [("y.json", "json", b"{}", True)]
+    assert all(len(got[p]) == 1 and not got[p][0][3] for p in ("x/cut.zip", "x/cut.gz", "x/no.txt"))
+    with pytest.raises(Exception):
+        shards.expand_archive(df, tolerant=False).collect()
