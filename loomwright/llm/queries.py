@@ -154,3 +154,37 @@ b AS (SELECT page_id, url, list_transform(string_split_regex(regexp_replace(a, '
 t AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM t
 """
+
+
+@_query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector of 64 finite components: its cluster, distance and sums. Other vectors take no part; rows that repeat an id are
+    vectors of their own; a row without an id is clustered, but begins no centroid before those with one."""
+    from loomwright.llm.clustering import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64)
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Lloyd's rounds unrolled: distances of all to all centroids, the nearest, and exact floors of the means."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+        WHERE len(embedding) = {dims} AND NOT list_contains(list_transform(embedding, lambda x: coalesce(NOT isfinite(x::DOUBLE), true)), true))""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1)::INTEGER AS k, e FROM v QUALIFY k < {k})",
+    ]
+    nearest = "SELECT v.r, arg_min({{k: c.k, d: list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))}}, (list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::HUGEINT * 1000 + c.k)) AS m FROM v CROSS JOIN {c} c GROUP BY v.r"
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED ({nearest.format(c=f'c{i}')})")
+        if i < rounds:
+            parts.append(
+                f"""c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(n.e, c.e) AS e FROM c{i} c LEFT JOIN (
+                SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY p)::BIGINT[] AS e FROM (
+                  SELECT a.m.k AS k, p, sum(v.e[p])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i} a JOIN v USING (r), range(1, {dims + 1}) t(p) GROUP BY ALL) GROUP BY k) n USING (k))"""
+            )
+    return (
+        f"WITH {', '.join(parts)} SELECT v.vec_id, a.m.k::INTEGER AS cluster, a.m.d::BIGINT AS distance, (sum(a.m.d) OVER (PARTITION BY a.m.k))::BIGINT AS cluster_inertia, (sum(a.m.d) OVER ())::BIGINT AS inertia,"
+        f" sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.k = a.m.k"
+    )
+
+
+ORACLES["op13_centroid_clustering"] = _clustering_sql()
