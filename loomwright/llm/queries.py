@@ -188,3 +188,57 @@ def _clustering_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
 
 
 ORACLES["op13_centroid_clustering"] = _clustering_sql()
+
+
+@_query
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: base counts, base spans hashed, all spans listed. Null texts have none; repeated rows are searched each; spans
+    that begin together are listed by kind."""
+    from loomwright.llm.pii import BASE, find_pii, listed
+
+    out = find_pii(table(spark, sf_dir, "documents")).select("doc_id", "spans")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind))
+    counts = [of(k).cast("long").alias(f"n_{k}") for k in BASE]
+    base = listed(F.filter("spans", lambda s: s["rank"] < len(BASE)))
+    return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _pii_sql() -> str:
+    from loomwright.llm.pii import BASE, BEFORE, BEHIND, CHECKSUM, CONTEXT, KINDS
+
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    number = "regexp_replace(m, '[^0-9]', '', 'g')"
+    worth = "CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END"
+    checks = {
+        "email": "true",
+        "ip": "list_max(list_transform(string_split(m, '.'), lambda p: p::DOUBLE)) <= 255",
+        "card": f"CASE WHEN length({number}) BETWEEN 14 AND 19 THEN list_sum(list_transform(string_split(reverse({number}), ''), lambda c, i: {worth})) % 10 = 0 ELSE false END",
+        "phone": f"length({number}) BETWEEN 10 AND 15",
+        "iban": "CASE WHEN length(replace(m, ' ', '')) BETWEEN 15 AND 34 THEN list_reduce([0] || list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(m, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, x: (a * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1 ELSE false END",
+        "ssn": "NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')",
+        "tel": "true",
+    }
+    parts = []
+    for rank, k in enumerate(KINDS):
+        near = low.format(f"right(before, {BEFORE}) || chr(10) || left(behind, {BEHIND})")
+        score = f"{k.score + CHECKSUM * k.checksum} + CASE WHEN regexp_matches({near}, '(?:^|[^a-z0-9])(?:{k.words})(?:[^a-z0-9]|$)') THEN {CONTEXT} ELSE 0 END"
+        apart = "AND NOT regexp_matches(right(before, 1) || '|' || left(behind, 1), '[A-Za-z0-9]')" if k.alone else ""
+        parts.append(
+            f"""SELECT r, {rank} AS rank, '{k.name}' AS kind, stop - length(m) AS start, stop FROM (
+            SELECT *, sum(length(before) + length(m)) OVER (PARTITION BY r ORDER BY i) AS stop FROM (
+              SELECT r, unnest(m) AS m, unnest(g[1:len(m)]) AS before, unnest(g[2:]) AS behind, generate_subscripts(m, 1) AS i
+              FROM (SELECT r, regexp_extract_all(t, '{k.plain}') AS m, string_split_regex(t, '{k.plain}') AS g FROM d)))
+            WHERE {checks[k.name]} {apart} AND {score} >= {k.least}"""
+        )
+    n = len(BASE)
+    counts = ", ".join(f"count(s.r) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    text = "coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank){}, '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), s0 AS ({' UNION ALL '.join(parts)}),
+s1 AS (SELECT *, max(CASE WHEN rank < {n} THEN stop END) OVER (PARTITION BY r ORDER BY start, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s0),
+s AS (SELECT * FROM s1 WHERE rank < {n} OR reach IS NULL OR stop > reach)
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256({text.format(f' FILTER (rank < {n})')}) AS base_sha256, {text.format('')} AS spans FROM d LEFT JOIN s USING (r) GROUP BY d.r
+"""
+
+
+ORACLES["op12_pii"] = _pii_sql()
