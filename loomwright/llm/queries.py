@@ -242,3 +242,12 @@ SELECT any_value(doc_id) AS doc_id, {counts}, sha256({text.format(f' FILTER (ran
 
 
 ORACLES["op12_pii"] = _pii_sql()
+
+
+@_query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per word: its form and root. Null and empty texts have no words; a null id is the empty text in the hash; repeated rows
+    count each; of near words as frequent as each other the smallest is the form."""
+    from loomwright.llm.spelling import group_variants, words_of
+
+    return group_variants(words_of(table(spark, sf_dir, "documents")))
