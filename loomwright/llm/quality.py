@@ -44,25 +44,35 @@ def ngram_buckets(words: list[bytes], h: np.ndarray, buckets: int = BUCKETS) ->
     return ((every >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def repeat_words(h: np.ndarray, window: int = _WINDOW) -> int:
-    """Words inside windows of ``window`` words that occur twice or more, the first occurrence included."""
-    n = len(h) - window + 1
+def _windows(words: list[bytes], window: int) -> np.ndarray:
+    """A number for each window of ``window`` words, equal for equal windows alone: numbers of words, then of pairs of windows of
+    half the length (they overlap where the length is no power of two)."""
+    number: dict[bytes, int] = {}
+    at = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    size = 1
+    while size < window:
+        step = min(size, window - size)
+        at = np.unique(at[:-step] * (int(at.max()) + 1) + at[step:], return_inverse=True)[1]
+        size += step
+    return at
+
+
+def repeat_words(words: list[bytes], h: np.ndarray, window: int = _WINDOW) -> int:
+    """Words inside windows of ``window`` words that occur twice or more, the first occurrence included. ``h`` are hashes of the
+    words: a text of whose windows no two have equal hashes has none; any other is compared word for word."""
+    n = len(words) - window + 1
     if n < 2:
         return 0
     w = h[:n].copy()
     for j in range(1, window):
         w *= _ODD
         w += h[j : j + n]
-    w ^= w >> np.uint64(32)
-    order = np.argsort(w)
-    s = w[order]
-    same = s[1:] == s[:-1]
-    if not same.any():
+    w.sort()
+    if not (w[1:] == w[:-1]).any():
         return 0
-    twice = np.zeros(n, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    edge = np.zeros(len(h) + 1, np.int64)
+    at = _windows(words, window)
+    twice = np.bincount(at)[at] > 1
+    edge = np.zeros(len(words) + 1, np.int64)
     edge[:n] += twice
     edge[window : window + n] -= twice
     return int((np.cumsum(edge[:-1]) > 0).sum())
@@ -75,7 +85,7 @@ def base_counts(text: bytes, words: list[bytes], h: np.ndarray) -> tuple[int, in
         len(b"".join(words).decode("utf-8", "replace")),
         len(text) - len(text.translate(None, _SYMBOLS)),
         len(lines) - len(set(lines)),
-        repeat_words(h),
+        repeat_words(words, h),
     )
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwright.llm import quality
 from loomwright.llm.quality import _hashes as hashes
@@ -118,5 +119,26 @@ def test_separates_junk_and_handles_empty_tables(spark):
 
 def test_repeat_words_over_long_texts():
     words = [b"%d" % i for i in range(30_000)]
-    assert repeat_words(hashes(words)) == 0
-    assert repeat_words(hashes(words + words[100:110])) == 20
+    assert repeat_words(words, hashes(words)) == 0
+    again = words + words[100:110]
+    assert repeat_words(again, hashes(again)) == 20
+
+
+def test_words_of_one_hash_are_two_words(spark):
+    """plumless and buckeroo have the same crc32."""
+    same = "a b c d e f g"
+    text = f"{same} plumless h i j k {same} buckeroo " + " ".join(f"w{i}" for i in range(16))
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo") and len(text.split()) == 36
+    df = spark.createDataFrame([(1, text), (2, text.replace("buckeroo", "plumless"))], "doc_id long, text string")
+    got = {x.doc_id: x for x in score_quality(df, df.select(F.col("doc_id").alias("doc"))).collect()}
+    assert (got[1].n_repeat_words, got[1].base_failed) == (0, False) and got[2].n_repeat_words == 16
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 5, 8, 13])
+def test_repeat_words_against_counts_of_windows(window):
+    r = random.Random(window)
+    for _ in range(300):
+        words = [r.choice([b"plumless", b"buckeroo", b"x", b"y"]) for _ in range(r.randrange(60))]
+        windows = [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
+        many = Counter(windows)
+        assert repeat_words(words, hashes(words), window) == len({i + j for i, w in enumerate(windows) if many[w] > 1 for j in range(window)})
