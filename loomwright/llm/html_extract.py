@@ -34,14 +34,16 @@ _RESUME = re.compile(r"<(?=/?(?:html|body|article|main|section|div|p|h[1-6]|ul|o
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that begin a block; all others, unknown ones among them, run on inside a line.
 _BLOCK = {
-    "address", "article", "aside", "blockquote", "body", "button", "canvas", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "address", "article", "aside", "blockquote", "body", "canvas", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "noscript", "object", "ol", "optgroup", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "template", "tfoot", "th", "thead",
     "tr", "ul", "video", "audio",
 }
 #: Blocks that hold a line rather than other blocks.
 _LINE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "blockquote", "pre", "figcaption", "caption", "legend", "summary", "address"}
+#: Those of them that are text themselves: what they are called says nothing of what they hold.
+_TEXT = _LINE - {"li", "dd", "td"}
 #: Elements that are never part of an article, nor shown as text of it.
-_OTHER = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "search", "noscript", "template", "object", "canvas", "video", "audio"}
+_OTHER = {"head", "nav", "footer", "aside", "form", "select", "menu", "dialog", "fieldset", "search", "noscript", "template", "object", "canvas", "video", "audio"}
 _ARTICLE = {"article", "main"}
 #: Words in a class, id or role by which an element says that it is no part of the article.
 _OTHER_WORDS = {
@@ -50,6 +52,9 @@ _OTHER_WORDS = {
     "share", "sharing", "social", "newsletter", "subscribe", "subscription", "signup", "login", "search", "pagination", "pager", "toolbar", "skip", "copyright", "disclaimer", "tracking",
 }
 _COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus"}
+#: Names by which a container inside an article says that it holds comments, an advert or buttons: whole ones that no subject has.
+_INSIDE_NAMES = _COMMENT_WORDS | {"comment-list", "comment-thread", "comments-area", "comments-section", "comment-section", "user-comments", "reader-comments", "disqus_thread"}
+_INSIDE_NAMES |= {"ad", "ads", "advert", "advertisement", "sponsored", "share-buttons", "sharing-buttons", "social-share", "related-posts", "related-articles", "newsletter-signup", "cookie-notice"}
 _HEADER_WORDS = {"header", "topbar"}
 #: Words of those that an element inside a line may go by.
 _INLINE_WORDS = {"ad", "ads", "advert", "advertisement", "sponsored"}
@@ -84,8 +89,11 @@ def _attributes(attrs: str) -> tuple[bool, list[str]]:
 
 def _spoken_against(tag: str, names: list[str], in_article: bool) -> str | None:
     """How an element says that it is none of the article: by a whole name ("name"), or where it holds blocks also by a
-    part of one ("part")."""
-    words = _OTHER_WORDS | _COMMENT_WORDS if in_article else _OTHER_WORDS | _COMMENT_WORDS | _HEADER_WORDS
+    part of one ("part"). Inside an article, where names are about the subject as well, only whole names of _INSIDE_NAMES count,
+    and not on elements that are text themselves."""
+    if in_article:
+        return "name" if tag not in _TEXT and not _INSIDE_NAMES.isdisjoint(names) else None
+    words = _OTHER_WORDS | _COMMENT_WORDS | _HEADER_WORDS
     for name in names:
         if name in words:
             return "name"
@@ -120,7 +128,7 @@ class _Page:
         top = self.stack[-1]
         hidden, names = _attributes(attrs) if attrs else (False, [])
         if tag not in _BLOCK:
-            out = top.inline_out or hidden or any(n in _INLINE_WORDS for n in names)
+            out = top.inline_out or hidden or tag == "button" or any(n in _INLINE_WORDS for n in names)
             if not attrs.endswith("/") and tag not in _VOID:
                 self.stack.append(_Element(tag, top.other, top.article, top.words, out))
             return

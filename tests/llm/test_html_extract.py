@@ -158,3 +158,28 @@ def test_long_template_and_partition_edges(spark):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<p class="notice">Important body</p>', '<p class="share">Share price rose</p>', '<section id="social-science"><p>Of people</p></section>', '<section id="search-algorithms"><p>Trees</p></section>', '<section class="comment-policy"><p>Be kind</p></section>',
+        '<div class="ad-astra">To the stars</div>', '<ul class="menu"><li>Soup of the day</li></ul>', '<figure class="social-graph"><figcaption>Friends</figcaption></figure>', '<div class="alert">Flood expected</div>', '<p class="ad">For sale in 1901</p>',
+    ],
+)
+def test_names_inside_an_article_are_about_its_subject(inside):
+    want = re.sub("<[^>]*>", "", inside)
+    assert texts(f'<div class="notice">site</div><article><h1>T</h1>{inside}<p>end</p></article>') == f"T\n{want}\nend"
+    assert texts(f"<main><h1>T</h1><div>{inside}</div></main>") == f"T\n{want}"
+
+
+def test_comments_and_buttons_inside_an_article():
+    assert texts('<article><p>a</p><ol class="comment-list"><li>b</li></ol><div class="comments"><p>c</p></div><ul><li class="comment">d</li></ul></article>') == "a"
+    assert texts("<article><p>press <button>here</button> to go on</p></article>") == "press to go on"
+
+
+def test_two_articles_none_and_nested():
+    assert texts("<article><p>one</p></article><article><p>two</p></article>") == "one\ntwo"
+    assert texts('<article><p>one</p><article class="quoted"><p>inner</p></article><p>two</p></article>') == "one\ninner\ntwo"
+    assert texts('<main><p>m</p><article><p>a</p></article></main><div class="sidebar">s</div>') == "m\na"
+    assert texts('<div class="alert">news</div><div class="story"><p>told</p></div>') == "told"
