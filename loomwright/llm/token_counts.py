@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from loomwright.llm.common import pack, prepare, raw, unpack
 from loomwright.llm.tokens import tokenizer_path
 
-#: Distinct pre-tokens whose counts one worker remembers; then it starts anew.
+#: Distinct pre-tokens whose counts one worker remembers; then it starts anew. Longer ones than this are not remembered, so that
+#: their number bounds the bytes.
 CACHE_WORDS = 400_000
+CACHE_WORD_BYTES = 64
 #: Nodes that a worker's trie grows to before it starts anew, and characters of a pre-token that it holds.
 TRIE_NODES, TRIE_DEPTH = 1_000_000, 64
 
@@ -120,7 +122,9 @@ class _Counter:
                         w = words[i]
                         n = cache.get(w)
                         if n is None:
-                            n = cache[w] = count(SPACE_MARK + w.decode("utf-8", "replace"))
+                            n = count(SPACE_MARK + w.decode("utf-8", "replace"))
+                            if len(w) <= CACHE_WORD_BYTES:
+                                cache[w] = n
                         got[i] = n
                 if len(cache) > CACHE_WORDS:
                     cache.clear()

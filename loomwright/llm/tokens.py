@@ -10,8 +10,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct pieces that one worker remembers; then it starts anew (about 150 MB).
+#: Distinct pieces that one worker remembers; then it starts anew (about 150 MB). Longer pieces than this are never kept, so
+#: that a number of pieces bounds the bytes.
 CACHE_PIECES = 600_000
+CACHE_PIECE_BYTES = 64
 
 _BYTE_PIECE = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 #: White space outside space and \t to \r: a byte-level text that has any is encoded as a whole.
@@ -93,7 +95,9 @@ class Encoder:
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _part(self, part: str) -> bytes:
-        packed = self.known[part] = self._ids(part)
+        packed = self._ids(part)
+        if len(part) <= CACHE_PIECE_BYTES:
+            self.known[part] = packed
         return packed
 
     def _letters(self, word: bytes, text: str) -> bytes:
@@ -103,7 +107,9 @@ class Encoder:
             word = text.encode()
             if ids := self.cache.get(word):
                 return ids
-        ids = self.cache[word] = self._ids(text)
+        ids = self._ids(text)
+        if len(word) <= CACHE_PIECE_BYTES:
+            self.cache[word] = ids
         return ids
 
     def _piece(self, word: bytes) -> bytes:
@@ -144,7 +150,9 @@ class Encoder:
                         w = ws[i]
                         ids = cache.get(w)
                         if ids is None:
-                            ids = cache[w] = self._piece(w)
+                            ids = self._piece(w)
+                            if len(w) <= CACHE_PIECE_BYTES:
+                                cache[w] = ids
                         got[i] = ids
                 except ValueError:  # no place left without ids
                     pass

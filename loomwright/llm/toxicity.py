@@ -19,8 +19,9 @@ from loomwright.llm.common import durable, named, pack, prepare, raw, unpack
 DIMS = 1 << 18
 #: Confirmed toxic documents that the classifiers are fitted on, at most; of more, the smallest by hash are taken.
 MAX_POSITIVE = 3_000
-#: Features that enter the classifiers, the best by gain, and the share of the positives that must have one.
-MAX_FEATURES, MIN_SHARE = 800, 0.02
+#: Features that enter the classifiers, the best by gain; the share of the positives that must have one; and the gain, in standard
+#: deviations, under which a difference of shares counts as chance. README has the results without the last two.
+MAX_FEATURES, MIN_SHARE, MIN_GAIN = 800, 0.02, 4.0
 #: Unlabelled documents of a group, about, and least number of groups: each has a classifier, whose weights are averaged.
 GROUP_DOCUMENTS, LEAST_GROUPS = 10_000, 3
 #: A document is predicted toxic from this score on.
@@ -29,7 +30,8 @@ THRESHOLD = 0.7
 _BEGINNINGS = (5, 6, 7, 8)
 #: A beginning that 1, 2 or 3 distinct words of a text share has as many features.
 _LEVELS = 3
-_CACHE = 400_000
+#: Distinct words whose features a worker remembers, and the longest of them in bytes.
+_CACHE, _CACHE_BYTES = 400_000, 64
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _PACK = [struct.Struct(f"<{n}i").pack for n in range(len(_BEGINNINGS) + 2)]
 #: Weights are summed over groups as whole multiples of this, so that no order of adding matters.
@@ -71,7 +73,9 @@ class Features:
             try:
                 while True:
                     i = got.index(None, i + 1)
-                    got[i] = cache[words[i]] = self._word(words[i])
+                    got[i] = self._word(words[i])
+                    if len(words[i]) <= _CACHE_BYTES:
+                        cache[words[i]] = got[i]
             except ValueError:  # no place left without features
                 pass
             if len(cache) > _CACHE:
@@ -188,6 +192,8 @@ def fit(
     prior: float | None = None,
     max_positive: int = MAX_POSITIVE,
     max_features: int = MAX_FEATURES,
+    min_share: float = MIN_SHARE,
+    min_gain: float = MIN_GAIN,
     group_documents: int = GROUP_DOCUMENTS,
 ) -> Model:
     """The mean of the nnPU classifiers of all groups of unlabelled text, one for each group.
@@ -195,7 +201,8 @@ def fit(
     ``labels`` has doc and toxic; rows held out must be gone from it. Positives are at most ``max_positive`` of the
     confirmed toxic documents, the smallest by hash; unlabelled text is every other document not held out, without a
     bound. Without a ``prior`` it is the toxic share of the labels given. Features are chosen by how much more positives
-    have them than all unlabelled text does. Unlabelled documents are dealt into groups of about ``group_documents`` by
+    have them than all unlabelled text does: at least ``min_share`` of the positives have one, its gain is over ``min_gain``, and the
+    ``max_features`` best enter. Unlabelled documents are dealt into groups of about ``group_documents`` by
     a hash; those of a group with equal features are one weighted row before they are shuffled. Every group is fitted in
     one task together with the positives, and a task sends the sum of its groups' weights.
     """
@@ -204,13 +211,16 @@ def fit(
     total, toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     if not toxic:
         return _NOTHING
-    prior = min(max(prior or toxic / total, 1e-3), 0.5)
+    if prior is None:
+        prior = min(max(toxic / total, 1e-3), 0.5)
+    elif not 0 < prior < 1:
+        raise ValueError(f"a prior of {prior} is no share between 0 and 1")
     chosen = known.where("toxic = 1").orderBy(F.xxhash64("doc"), "doc").limit(max_positive).select("doc", F.lit(True).alias("p"))
     src = docs.select(named(id_col).cast("long").alias("doc"), raw(text_col).alias("t")).where(~held_out(F.col("doc")))
     src = src.join(F.broadcast(chosen), "doc", "left").select("doc", F.coalesce("p", F.lit(False)).alias("p"), "t")
     of_p = {r.f: r.n for r in _count(src.where("p"), dims, None).where("n >= 3 OR f = -1").toLocalIterator()}
     n_p = of_p.pop(-1, 0)
-    wanted = np.array(sorted(f for f, n in of_p.items() if n >= MIN_SHARE * n_p), np.int64)
+    wanted = np.array(sorted(f for f, n in of_p.items() if n >= min_share * n_p), np.int64)
     if not len(wanted):
         return _NOTHING
     of_u = {r.f: r.n for r in _count(src.where("NOT p"), dims, spark.sparkContext.broadcast(wanted)).toLocalIterator()}
@@ -221,7 +231,7 @@ def fit(
     pooled = (p + u + 1) / (n_p + n_u + 1)
     gain = (p / n_p - u / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
     best = np.argsort(-gain, kind="stable")[:max_features]
-    use = np.sort(wanted[best[gain[best] > 4]])
+    use = np.sort(wanted[best[gain[best] > min_gain]])
     in_use = spark.sparkContext.broadcast(use)
 
     def rows(batches):

@@ -15,10 +15,15 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from loomwright.llm.html_extract import page_lines
 from loomwright.llm.tokens import tokenizer_path
+from tests.llm.test_clustering import brute as brute_clusters
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_mixing import brute_targets
+from tests.llm.test_pii import BASE
+from tests.llm.test_pii import brute as brute_pii
 from tests.llm.test_quality import brute as brute_counts
 from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_spelling import brute as brute_spelling
+from tests.llm.test_spelling import brute_words
 from tests.llm.test_topk import brute as brute_topk
 
 NAMES = [n for n in entry.queries() if n.startswith("op")] + ["pipeline"]
@@ -28,6 +33,7 @@ DOCS += [(5, LONG, "en", "b", len(LONG)), (6, "x" * 300_000, None, "b", 3), (Non
 DOCS += [(10 + i, f"a plain line of text here\nand line number {i} of {i * 7} with enough words to pass the rules of length {i} maybe so", "de", "c", 9) for i in range(30)]
 LABELS = [(None, 1, 1), (1, None, None), (10, 1, 0), (11, 0, 1), (12, 1, 0), (12, 1, 1), (999, 1, 0), (13, 1, None)]
 VECTORS = [(None, [1.0, 2.0]), (0, None), (50, [1.0, None]), (100, []), (150, [1.0, 2.0]), (150, [1.0, 2.0]), (151, [1.0, 2.0]), (152, [0.0, 0.0]), (153, [3e38, -3e38])]
+VECTORS += [(None, [0.5] * 64), (200, [float(i) for i in range(64)]), (201, [float(i) for i in range(64)]), (201, [float(-i) for i in range(64)]), (202, [3e38] * 64), (203, [None] + [1.0] * 63), (204, [0.001] * 64)]
 PAGES = [(None, None, None), (1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (2, "http://h/x", None), (3, "http://h/x", ""), (4, "http://h/x", "<article>" + "<p>p</p>" * 20_000), (5, "::::", "<<<>>> &#xZZ; &amp")]
 SCHEMAS = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "embeddings": "vec_id long, embedding array<float>", "pages": "page_id long, url string, html string"}
 TABLES = {"documents": DOCS, "labels": LABELS, "embeddings": VECTORS, "pages": PAGES}
@@ -157,6 +163,28 @@ def op10(rows):
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in rows), key=repr) == sorted(((i, f"{fps[t]:016x}", want.get(i)) for i, t, *_ in DOCS), key=repr)
 
 
+def op11(rows):
+    docs = [r[:2] for r in DOCS if r[0] != 6]
+    got = {tuple(r) for r in rows}
+    assert got == set(brute_spelling(brute_words(docs))) and len(rows) == len(got)
+
+
+def op12(rows):
+    def want(i, t):
+        spans = brute_pii(t)
+        listed = lambda own: ",".join(f"{k}:{a}:{b}" for a, _, b, k in own)
+        base = [s for s in spans if s[3] in BASE]
+        return (i, *(sum(s[3] == k for s in base) for k in BASE), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans))
+
+    brief = {i: t if i != 6 else "x" for i, t in ((r[0], r[1]) for r in DOCS)}  # Python's expressions take minutes over one long run
+    assert sorted((tuple(r) for r in rows), key=repr) == sorted((want(i, brief.get(i, t) if i == 6 else t) for i, t, *_ in DOCS), key=repr)
+
+
+def op13(rows):
+    floats = [(i, None if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v in VECTORS]
+    assert sorted((tuple(r) for r in rows), key=repr) == brute_clusters(floats)
+
+
 def pipeline(rows):
     kept = {i: t for i, t, *_ in DOCS if i is not None and i >= 10}
     assert {r.doc_id for r in rows} <= set(kept) and min(r.doc_id for r in rows) == 10

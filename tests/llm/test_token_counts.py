@@ -51,3 +51,12 @@ def test_against_an_independent_unigram_model(spark):
         if len(x.text or "") < 50_000:
             assert x.n_tokens == sum(len(other.encode("▁" + w).ids) for w in words)
     assert count_tokens(df.limit(0)).count() == 0
+
+
+def test_long_words_are_not_remembered():
+    from loomwright.llm.token_counts import _Counter
+    from loomwright.llm.tokens import tokenizer_path
+
+    counter = _Counter(tokenizer_path("piece_bpe_32k.model"), "zipf")
+    word = b"ab" * 5_000
+    assert counter.of([word, word + b" ab"])[0][1] == counter.of([word])[0][1] and all(len(w) <= 64 for w in counter.cache) and counter.cache

@@ -54,3 +54,16 @@ def test_unknown_files_are_encoded_whole(tmp_path):
         assert e.cuts == "whole"
         for t in [*ADDED, *texts()[:80]]:
             assert np.frombuffer(e.encode([t.encode()])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_without_spaces_leave_no_cache(name):
+    """20 MB of pieces of 100 kB; what is kept is bounded by bytes, not by their number."""
+    own, r = Encoder(tokenizer_path(name)), random.Random(3)
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    texts = ["".join(r.choices("abcdefghij", k=200)) * 500 for _ in range(200)]
+    for i, t in enumerate(texts[:3] if name.startswith("word") else texts):
+        got = own.encode([t.encode()])[0]
+        if i == 0:
+            assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert sum(len(k) + len(v) for c in (own.cache, own.known) for k, v in c.items()) < 10 << 20
