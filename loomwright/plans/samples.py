@@ -499,25 +499,46 @@ def _stream_of(spark, df, parts: int):
     return path, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{path}/in")
 
 
-@query("meter_stream", "SELECT event_type AS meter, count(value) AS n, round(avg(value), 6) AS global_avg FROM events GROUP BY 1")
+_RING = "FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), g AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+
+
+@query(
+    "meter_stream",
+    f"""SELECT event_id, event_type AS meter, count(value) OVER g AS n, round(avg(value) OVER w, 6) AS window_avg, list_sort(list(value) OVER w)[((len(list(value) OVER w) - 1) // 2)::INTEGER + 1] AS window_median,
+    max(value) OVER w AS window_max, value AS last_value, round(sum(value) OVER g, 2) AS global_sum {_RING}""",
+)
 def meter_stream(spark, sf):
-    """Running meters over several micro-batches: the last state of each."""
+    """Running meters over three parts of a stream, each a run that goes on from the checkpoint of the one before: every
+    column of the ring, for every event."""
     from loomwright.streaming.meters import meter_stream as meters
+    from loomwright.streaming.meters import rocksdb_state
 
-    path, rows = _stream_of(spark, table(spark, sf, "events").select("event_type", "event_id", "value"), 3)
-    out = meters(rows, "event_type", "event_id", "value")
-    q = out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/c").foreachBatch(lambda df, e: df.write.mode("append").parquet(f"{path}/out")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = spark.read.parquet(f"{path}/out").groupBy("meter").agg(F.max_by(F.struct("n", "global_avg"), "n").alias("s"))
-    return last.select("meter", "s.n", F.round("s.global_avg", 6).alias("global_avg"))
+    path, events = scratch_path(spark, "meters"), table(spark, sf, "events").select("event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    part = F.when(F.col("ts") < "2024-01-11", 0).when(F.col("ts") < "2024-01-21", 1).otherwise(2)
+    for i in range(3):
+        events.where(part == i).write.mode("append").parquet(f"{path}/in")
+        out = meters(spark.readStream.schema(events.schema).parquet(f"{path}/in"), "event_type", "event_id", "value", "ts")
+        with rocksdb_state(spark):
+            q = out.writeStream.outputMode("append").option("checkpointLocation", f"{path}/c").option("path", f"{path}/out").format("parquet").trigger(availableNow=True).start()
+        q.awaitTermination()
+    rows = spark.read.parquet(f"{path}/out").where("NOT idle")
+    return rows.select(F.col("o").cast("long").alias("event_id"), "meter", "n", F.round("window_avg", 6).alias("window_avg"), "window_median", "window_max", "last_value", F.round(F.col("global_avg") * F.col("n"), 2).alias("global_sum"))
 
 
 @query("windowed_totals", "SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(value) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_totals(spark, sf):
+    """Daily totals of a stream in three runs: what each batch changed, the last of it for each window."""
     from loomwright.streaming.meters import windowed_totals as totals
 
-    w = totals(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "1 day")
-    return w.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 4).alias("total"))
+    path, events = scratch_path(spark, "windows"), table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    part = F.when(F.col("ts") < "2024-01-11", 0).when(F.col("ts") < "2024-01-21", 1).otherwise(2)
+    for i in range(3):
+        events.where(part == i).write.mode("append").parquet(f"{path}/in")
+        w = totals(spark.readStream.schema(events.schema).parquet(f"{path}/in"), "ts", "event_type", "value", "1 day")
+        write = lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+        w.writeStream.outputMode("update").option("checkpointLocation", f"{path}/c").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{path}/out").groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "epoch").alias("s"))
+    return last.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "s.n", F.round("s.total", 4).alias("total"))
 
 
 @query("shard_stream", f"SELECT doc_id, {joined_sql(f'list_slice([1] || {A.word_ids_sql(chr(116))} || [2] || list_transform(range(0, 16), lambda i: 0), 1, 16)')} AS input_ids FROM (SELECT doc_id, text AS t FROM documents) WHERE trim(t, {q(X.BLANK_CHARS)}) <> ''")
@@ -530,23 +551,39 @@ def shard_stream(spark, sf):
     return spark.read.parquet(f"{path}/out").select("doc_id", A.joined(F.col("input_ids")).alias("input_ids"))
 
 
-_BOOK = "list_transform(range(1, 65), lambda i: 0.99::DOUBLE * v.e[i] + (1 - 0.99::DOUBLE) * m[i])"
+_CODES, _DECAY, _DEAD = 32, 0.9, 0.95
+_NORM = "list_transform({0}, lambda u: u / sqrt(list_inner_product({0}, {0})))"
 
 
-@query(
-    "codebook_stream",
-    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), f AS (SELECT i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY i), g AS (SELECT list(m ORDER BY i) AS m FROM f)
-    SELECT 0 AS code, array_to_string(list_transform({_BOOK}, lambda x: printf('%.4f', round(x, 4) + 0.0)), ' ') AS vec FROM v, g WHERE vec_id = 0""",
-)
+def _book_sql(batches: int = 3) -> str:
+    """The codebook folded over batches: nearest words, counts and means, moving averages, and words for dead codes."""
+    parts = [f"z AS MATERIALIZED (SELECT vec_id, {_NORM.format('e')} AS e FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings))", f"b0 AS MATERIALIZED (SELECT vec_id::INTEGER AS code, e AS w, 1.0::DOUBLE AS size FROM z WHERE vec_id < {_CODES})"]
+    for i in range(batches):
+        new = _NORM.format("x")
+        parts.append(f"a{i} AS MATERIALIZED (SELECT z.vec_id, arg_min(b.code, list_sum(list_transform(list_zip(z.e, b.w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS code FROM z, b{i} b WHERE z.vec_id % {batches} = {i} GROUP BY z.vec_id)")
+        parts.append(f"m{i} AS MATERIALIZED (SELECT code, max(n) AS n, list(m ORDER BY k) AS m FROM (SELECT code, k, avg(z.e[k]) AS m, count(*) AS n FROM a{i} a JOIN z USING (vec_id), range(1, 65) t(k) GROUP BY ALL) GROUP BY code)")
+        step = f"list_transform(list_zip(b.w, {_NORM.format('m.m')}), lambda p: {_DECAY}::DOUBLE * p[1] + (1 - {_DECAY}::DOUBLE) * p[2])"
+        parts.append(f"v{i} AS MATERIALIZED (SELECT code, CASE WHEN x IS NULL THEN w ELSE {new} END AS w, size FROM (SELECT b.code, b.w, CASE WHEN m.m IS NOT NULL THEN {step} END AS x, {_DECAY}::DOUBLE * b.size + (1 - {_DECAY}::DOUBLE) * coalesce(m.n, 0) AS size FROM b{i} b LEFT JOIN m{i} m USING (code)))")
+        parts.append(f"s{i} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(vec_id || ':{i}'), vec_id) AS place, e FROM z WHERE vec_id % {batches} = {i})")
+        parts.append(f"d{i} AS MATERIALIZED (SELECT code, row_number() OVER (ORDER BY code) AS place FROM v{i} WHERE size < {_DEAD})")
+        parts.append(f"b{i + 1} AS MATERIALIZED (SELECT v.code, coalesce(s.e, v.w) AS w, CASE WHEN s.e IS NOT NULL THEN {_DEAD}::DOUBLE ELSE v.size END AS size FROM v{i} v LEFT JOIN d{i} d USING (code) LEFT JOIN s{i} s USING (place))")
+    return f"WITH {', '.join(parts)} SELECT code, array_to_string(list_transform(w, lambda x: printf('%.4f', round(x, 4) + 0.0)), ' ') AS vec, round(size, 6) AS size FROM b{batches}"
+
+
+@query("codebook_stream", _book_sql())
 def codebook_stream(spark, sf):
-    """A codebook of one word that follows one micro-batch."""
+    """A codebook of 32 words that follows three micro-batches, each a run that goes on from the last one's checkpoint."""
     from loomwright.streaming.meters import follow_codebook
 
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    path, rows = _stream_of(spark, v, 1)
-    follow_codebook(rows, v.where("vec_id = 0").select(F.lit(0).alias("code"), "vec"), f"{path}/book", f"{path}/c").awaitTermination()
+    first = v.where(F.col("vec_id") < _CODES).select(F.col("vec_id").cast("int").alias("code"), "vec")
+    path = scratch_path(spark, "codebook")
+    for i in range(3):
+        v.where(F.col("vec_id") % 3 == i).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(v.schema).parquet(f"{path}/in")
+        follow_codebook(stream, first, f"{path}/book", f"{path}/c", _DECAY, _DEAD).awaitTermination()
     shown = F.array_join(F.transform("vec", lambda x: F.format_string("%.4f", F.round(x, 4) + 0.0)), " ")
-    return spark.read.parquet(f"{path}/book/epoch=0").select("code", shown.alias("vec"))
+    return spark.read.parquet(f"{path}/book/epoch=2").select("code", shown.alias("vec"), F.round("size", 6).alias("size"))
 
 
 # --- datasets and pipelines -------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from loomwright.functions import arrays as A
@@ -11,31 +13,101 @@ from loomwright.plans import datasets as D
 from loomwright.plans import pipelines as P
 from loomwright.plans.catalog import query
 from loomwright.plans.common import image_ids, image_ids_sql, image_tokens_sql, joined_sql, table
-from loomwright.sources import shards
+from loomwright.session import scratch_path
+from loomwright.sources import shards, tars
 from loomwright.sources.sinks import merge_results, sample_key
+from loomwright.streaming import ingest
 
 
 @query("tar_roundtrip", "SELECT doc_id::VARCHAR AS key, md5(text) AS text_md5, lang FROM documents")
 def tar_roundtrip(spark, sf):
     """Documents written as tar shards of 100 samples, read back, and their members grouped to samples."""
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    tars = shards.pack_tar(d, "doc_id", {"txt": "text", "lang": "lang"}, per_shard=100)
-    files = tars.select(F.concat_ws("-", "part", "shard").alias("path"), "content")
-    samples = S.group_members(shards.samples(shards.expand_tar(files)))
+    path = scratch_path(spark, "shards")
+    tars.write_shards(table(spark, sf, "documents"), path, "doc_id", {"txt": "text", "lang": "lang"}, per_shard=100)
+    samples = S.group_members(shards.samples(tars.read_shards(spark, path)))
     text = lambda name: F.decode(F.col("data")[name], "UTF-8")
     return samples.select("key", F.md5(text("txt")).alias("text_md5"), text("lang").alias("lang"))
 
 
-@query("tar_rejects", "SELECT doc_id::VARCHAR AS key, CASE WHEN doc_id % 10 <> 0 THEN md5(text) END AS text_md5, doc_id % 10 = 0 AS rejected FROM documents")
+@query("tar_ranges", "SELECT coalesce(source, 'none') AS shard, doc_id::VARCHAR AS key, md5(text) AS text_md5, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INTEGER AS ord FROM documents WHERE text IS NOT NULL")
+def tar_ranges(spark, sf):
+    """A shard for each source, read in ranges of about 16 kB: most shards are cut, and some documents are larger than a range."""
+    path, d = scratch_path(spark, "ranges"), table(spark, sf, "documents")
+    tars.write_shards(d, path, "doc_id", {"txt": "text"}, shard=F.coalesce("source", F.lit("none")))
+    m = tars.read_shards(spark, path, split_bytes=16 << 10)
+    return m.select(F.regexp_extract("shard", r"([^/]*)\.tar$", 1).alias("shard"), F.regexp_replace("member", r"\..*", "").alias("key"), F.md5("payload").alias("text_md5"), "ord")
+
+
+#: A member is a header of 512 bytes and its bytes up to a multiple of 512; behind all of them, a file is zeros up to a multiple of 10,240 bytes.
+_TAR_LAYOUT = """m AS (SELECT doc_id, doc_id // 20 AS s, text, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL),
+placed AS (SELECT *, sum(512 + (n + 511) // 512 * 512) OVER (PARTITION BY s ORDER BY doc_id) AS nxt, sum(512 + (n + 511) // 512 * 512) OVER (PARTITION BY s) AS total FROM m),
+cut AS (SELECT *, CASE WHEN s % 3 = 0 THEN ((total + 1024 + 10239) // 10240 * 10240) * 3 // 5 ELSE 1e18::BIGINT END AS cut, nxt - (n + 511) // 512 * 512 + n AS stop FROM placed),
+kept AS (SELECT * FROM cut WHERE stop <= cut)"""
+
+
+@query(
+    "tar_rejects",
+    f"""WITH {_TAR_LAYOUT} SELECT s::VARCHAR AS shard, doc_id::VARCHAR AS key, md5(text) AS text_md5, false AS rejected FROM kept
+    UNION ALL SELECT s::VARCHAR, NULL, NULL, true FROM (SELECT s, any_value(cut) AS cut, count(*) AS n FROM cut GROUP BY s) c LEFT JOIN (SELECT s, max(nxt) AS nxt, count(*) AS k FROM kept GROUP BY s) k USING (s) WHERE cut > coalesce(nxt, 0) AND coalesce(k, 0) < n""",
+)
 def tar_rejects(spark, sf):
-    """A shard for each document, each tenth of them cut inside its header: its error is a row, the others come through."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    tars = shards.pack_tar(d, "doc_id", {"txt": "text"}, per_shard=1)
-    name = F.regexp_extract(F.decode(F.substring("content", 1, 30), "US-ASCII"), r"^(\d+)", 1)  # a header begins with the member's name
-    files = tars.select(name.alias("path"), F.when(name.cast("long") % 10 == 0, F.substring("content", 1, 300)).otherwise(F.col("content")).alias("content"))
-    members = shards.expand_tar(files)
-    whole = shards.samples(members).select(F.regexp_replace("member", r"\..*", "").alias("key"), F.md5("payload").alias("text_md5"), F.lit(False).alias("rejected"))
-    return whole.unionByName(shards.rejects(members).select(F.col("shard").alias("key"), F.lit(None).cast("string").alias("text_md5"), F.lit(True).alias("rejected")))
+    """Shards of twenty documents, each third of them broken off after three fifths of its bytes: their whole members come
+    through in ranges, and the damage of each is one row."""
+    path = scratch_path(spark, "broken")
+    tars.write_shards(table(spark, sf, "documents"), f"{path}/whole", "doc_id", {"txt": "text"}, shard=F.floor(F.col("doc_id") / 20))
+    cut_shards(spark, f"{path}/whole", f"{path}/cut")
+    m = tars.read_shards(spark, f"{path}/cut", split_bytes=32 << 10)
+    shard = F.regexp_extract("shard", r"([^/]*)\.tar$", 1).alias("shard")
+    return m.select(shard, F.regexp_replace("member", r"\..*", "").alias("key"), F.md5("payload").alias("text_md5"), F.col("error").isNotNull().alias("rejected"))
+
+
+def cut_shards(spark, source: str, target: str) -> None:
+    """Copies of shards by tasks; those whose number is divisible by three get three fifths of their bytes."""
+
+    def copy(batches):
+        for b in batches:
+            for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                name = path.rsplit("/", 1)[-1]
+                left = size * 3 // 5 if int(name.split(".")[0]) % 3 == 0 else size
+                (src, at), (dst, to) = tars.file_system(path), tars.file_system(f"{target}/{name}")
+                dst.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                with src.open_input_file(at) as f, dst.open_output_stream(to) as out:
+                    while left and (part := f.read(min(left, 1 << 20))):
+                        out.write(part)
+                        left -= len(part)
+                yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    files = spark.createDataFrame(tars.list_shards(source), "path string, size long")
+    files.repartition(8).mapInArrow(copy, "name string").write.format("noop").mode("overwrite").save()
+
+
+@query(
+    "shard_ingest",
+    f"""WITH {_TAR_LAYOUT} SELECT s::VARCHAR AS shard, doc_id::VARCHAR AS key, md5(text) AS text_md5, false AS rejected FROM kept
+    UNION ALL SELECT s::VARCHAR, NULL, NULL, true FROM (SELECT s, any_value(cut) AS cut, count(*) AS n FROM cut GROUP BY s) c LEFT JOIN (SELECT s, max(nxt) AS nxt, count(*) AS k FROM kept GROUP BY s) k USING (s) WHERE cut > coalesce(nxt, 0) AND coalesce(k, 0) < n""",
+)
+def shard_ingest(spark, sf):
+    """A stream of shards, some broken off, that fails in its second batch after its samples are written, and is started again:
+    each sample and each reject once."""
+    path = scratch_path(spark, "ingest")
+    d = table(spark, sf, "documents")
+    tars.write_shards(d, f"{path}/whole", "doc_id", {"txt": "text"}, shard=F.floor(F.col("doc_id") / 20))
+    cut_shards(spark, f"{path}/whole", f"{path}/in")
+    per_batch = -(-len(tars.list_shards(f"{path}/in")) // 4)
+
+    def fail(epoch: int) -> None:
+        if epoch == 1:
+            raise RuntimeError("stopped in the second batch")
+
+    run = lambda hook: ingest.ingest_shards(spark, f"{path}/in", f"{path}/out", f"{path}/c", per_batch=per_batch, split_bytes=32 << 10, after_write=hook)
+    try:
+        run(fail).awaitTermination()
+    except StreamingQueryException:
+        pass
+    run(None).awaitTermination()
+    shard = F.regexp_extract("shard", r"([^/]*)\.tar$", 1).alias("shard")
+    good = ingest.ingested(spark, f"{path}/out").select(shard, "key", F.md5(F.col("data")["txt"]).alias("text_md5"), F.lit(False).alias("rejected"))
+    return good.unionByName(ingest.ingested(spark, f"{path}/out", "rejects").select(shard, F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("text_md5"), F.lit(True).alias("rejected")))
 
 
 @query("sample_keys", "SELECT doc_id, md5(doc_id::VARCHAR) AS key FROM documents")
