@@ -32,6 +32,7 @@ BANDS, BAND_ROWS = 32, 5
 _MINIMA = 1 << 15
 #: Rows of a component of candidates that one task compares, and about how many rows of a larger one all its others are compared with.
 GROUP_ROWS, REPRESENTATIVES = 1024, 16
+GROUP_BYTES = 64 << 20
 
 
 def shingles(text: bytes, k: int) -> list[bytes]:
@@ -418,27 +419,61 @@ class Representatives:
         return out
 
 
-def _bucket_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node and another that shares a band key, so that all nodes of a bucket are connected."""
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(key, node, first): each node of a band key but the smallest, and the smallest."""
 
     def keys(b: pa.RecordBatch):
         k = _as_words(b.column(0))
         return pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(1).to_numpy(), k.shape[1]))], ["key", "node"])
 
-    def link(batches):
-        last = None
+    def others(batches):
+        held = None  # the last key, its smallest node and its last
         for b in batches:
             if b.num_rows:
                 key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-                if last is not None:
-                    key, node = np.append(last[0], key), np.append(last[1], node)
-                first = node[np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))]
-                last = key[-1], first[-1]
-                if (move := first != node).any():
-                    yield pa.RecordBatch.from_arrays([pa.array(node[move]), pa.array(first[move])], ["a", "b"])
+                fresh = np.append(True, key[1:] != key[:-1])
+                first = node[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
+                if held is not None:
+                    first = np.where(key == held[0], held[1], first)
+                again = np.append(held is not None and (key[0], node[0]) == (held[0], held[2]), (key[1:] == key[:-1]) & (node[1:] == node[:-1]))
+                held = key[-1], first[-1], node[-1]
+                if (move := (first != node) & ~again).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(key[move]), pa.array(node[move]), pa.array(first[move])], ["key", "node", "first"])
 
-    dealt = map_arrow(nodes.select("bands", "node"), keys, "key long, node long").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(link, "a long, b long")
+    dealt = map_arrow(nodes.select("bands", "node"), keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(others, "key long, node long, first long")
+
+
+def _near(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    shared = np.intersect1d(x, y, assume_unique=True).size
+    return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+
+
+def star_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): those of the pairs (node, first) whose exact Jaccard is ``similarity`` or more; ``sets`` has node and set.
+
+    A first's set goes once to a task for every GROUP_ROWS of its pairs, or so, and the others stream past it.
+    """
+    large = pairs.groupBy("first").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("first", F.ceil(F.col("n") / GROUP_ROWS).alias("chunks"))
+    dealt = pairs.join(large, "first", "left").select("node", "first", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
+    hubs = dealt.select("first", "chunk").distinct().join(sets, F.col("first") == F.col("node")).select("first", "chunk", F.lit(0).alias("kind"), "node", "set")
+    rows = hubs.union(dealt.join(sets, "node").select("first", "chunk", F.lit(1).alias("kind"), "node", "set"))
+
+    def compare(batches):
+        hub, at = [], None  # an id that is repeated has several sets
+        for b in batches:
+            a, first = [], []
+            for f, chunk, kind, node, x in zip(*(c.to_pylist() for c in b.columns)):
+                own = np.frombuffer(x, np.uint64)
+                if kind == 0:
+                    hub, at = [*hub, own] if at == (f, chunk) else [own], (f, chunk)
+                elif at == (f, chunk) and any(_near(own, x, similarity) for x in hub):
+                    a.append(node)
+                    first.append(f)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(first, pa.int64())], ["a", "b"])
+
+    return rows.repartition("first", "chunk").sortWithinPartitions("first", "chunk", "kind").mapInArrow(compare, "a long, b long")
 
 
 def _grouped(rows: DataFrame, keys: list[str], work) -> DataFrame:
@@ -472,20 +507,23 @@ def _sets(rows: list[tuple]) -> list[np.ndarray]:
 
 
 def _verified_links(cands: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): spanning links of the exact near copies within each component of ``cands`` (component, node, set).
+    """(a, b): true links that connect what true links can connect within each group of ``cands`` (bucket, node, part, set); nodes
+    of one ``part`` are connected already.
 
-    A component of up to GROUP_ROWS rows is searched in one task. Of a larger one, about REPRESENTATIVES rows are dealt to
-    as many tasks as its rows need, and each row is compared with those: a group of near copies of any size is connected by
-    that, at a cost in proportion to it. Only components that are then still in several parts are split into pairs of
+    A group of up to GROUP_ROWS rows and GROUP_BYTES is searched in one task. Of a larger one, about REPRESENTATIVES rows are
+    dealt to as many tasks as its rows need, and each row is compared with those: a group of near copies of any size is
+    connected by that, at a cost in proportion to it. Only groups that are then still in several parts are split into pairs of
     chunks, all of them compared, but for rows that are in one part already.
     """
-    sizes = durable(cands.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).withColumn("chunks", F.ceil(F.col("n") / GROUP_ROWS)), "large-components")
-    plain = _grouped(cands.join(sizes.select("component"), "component", "left_anti").select("component", "node", "set"), ["component"], lambda rows: jaccard_links(_sets(rows), np.array([r[0] for r in rows], np.int64), similarity))
+    need = F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum(F.length("set")) / GROUP_BYTES))
+    sizes = durable(cands.groupBy("bucket").agg(F.count("*").alias("n"), need.alias("chunks")).where("chunks > 1"), "large-buckets")
+    search = lambda rows: jaccard_links(_sets(rows), np.array([r[0] for r in rows], np.int64), similarity, np.array([r[1] for r in rows], np.int64))
+    plain = _grouped(cands.join(sizes.select("bucket"), "bucket", "left_anti").select("bucket", "node", "part", "set"), ["bucket"], search)
     if sizes.isEmpty():
         return plain
-    large = cands.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+    large = cands.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
     some = large.where(F.pmod(F.xxhash64("node", F.lit("representative")), "n") < REPRESENTATIVES).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    dealt = some.select("component", "chunk", F.lit(0).alias("kind"), "node", "set").union(large.select("component", "chunk", F.lit(1).alias("kind"), "node", "set"))
+    dealt = some.select("bucket", "chunk", F.lit(0).alias("kind"), "node", "set").union(large.select("bucket", "chunk", F.lit(1).alias("kind"), "node", "set"))
 
     def compare(rows):
         first = [r for r in rows if r[0] == 0]
@@ -494,22 +532,44 @@ def _verified_links(cands: DataFrame, similarity: float) -> DataFrame:
         known = Representatives([r[1] for r in first], _sets(first), similarity)
         return [link for r in rows if r[0] == 1 for link in known.links(r[1], np.frombuffer(r[2], np.uint64))]
 
-    found = durable(_grouped(dealt, ["component", "chunk"], compare), "representative-links")
-    parts = connected_components(found).withColumnRenamed("component", "part")
-    marked = durable(large.join(parts, "node", "left").select("component", "node", "chunk", "chunks", F.coalesce("part", "node").alias("part"), "set"), "large-groups")
-    several = marked.groupBy("component").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("component")
-    split = marked.join(several, "component").withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    split = split.select("component", F.least("chunk", "d").alias("lo"), F.greatest("chunk", "d").alias("hi"), "node", "part", "set")
-    rest = _grouped(split, ["component", "lo", "hi"], lambda rows: jaccard_links(_sets(rows), np.array([r[0] for r in rows], np.int64), similarity, np.array([r[1] for r in rows], np.int64)))
-    return plain.union(found).union(rest)
+    found = durable(_grouped(dealt, ["bucket", "chunk"], compare), "representative-links")
+    parts = connected_components(found.union(large.where("part != node").select("node", "part"))).withColumnRenamed("component", "now")
+    marked = durable(large.join(parts, "node", "left").select("bucket", "node", "chunk", "chunks", F.coalesce("now", "node").alias("part"), "set"), "large-groups")
+    several = marked.groupBy("bucket").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("bucket")
+    split = marked.join(several, "bucket").withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    split = split.select("bucket", F.least("chunk", "d").alias("lo"), F.greatest("chunk", "d").alias("hi"), "node", "part", "set")
+    return plain.union(found).union(_grouped(split, ["bucket", "lo", "hi"], search))
+
+
+def true_links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of exact Jaccard ``similarity`` or more that connect all nodes which such links between nodes of one bucket
+    connect. ``buckets`` has key, node and first (the smallest node of the key) for all its others, ``sets`` node and set.
+
+    First each node meets the smallest first of its buckets, then those firsts that it is not connected to. A bucket of two is
+    settled by that, and so is one whose other nodes are connected; only in the rest are nodes compared with each other. Nothing
+    is closed over links that are not verified.
+    """
+    pairs = durable(buckets.select("node", "first").distinct(), "bucket-pairs")
+    least = pairs.groupBy("node").agg(F.min("first").alias("first"))
+    one = durable(star_links(least, sets, similarity), "links")
+    part = connected_components(one)
+    of = lambda df, col, name: df.join(part.select(F.col("node").alias(col), F.col("component").alias("c")), col, "left").select(*df.columns, F.coalesce("c", col).alias(name))
+    rest = pairs.join(least.withColumnRenamed("first", "met"), "node").where("first != met").drop("met")
+    rest = of(of(rest, "node", "x"), "first", "y").where("x != y").select("node", "first")
+    links = one.union(durable(star_links(rest, sets, similarity), "links"))
+    part = durable(connected_components(links), "parts")
+    left = of(buckets.select("key", "node"), "node", "part")
+    open_ = left.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    cands = durable(left.join(open_, "key").join(sets, "node").select(F.col("key").alias("bucket"), "node", "part", "set"), "open-buckets")
+    return links.union(_verified_links(cands, similarity))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without those that have a near copy of smaller id linked to them, directly or through others.
 
     Two documents link if the Jaccard of their sets of distinct word shingles is ``similarity`` or more, verified on
-    the sets. Candidates are those connected by buckets of BANDS MinHash bands of BAND_ROWS values each: a pair at 0.8
-    shares one with chance 1 - (1 - 0.8 ** 5) ** 32, over 99.999 %, whatever the number of documents. Documents
+    the sets. Candidates are those that share a bucket of BANDS MinHash bands of BAND_ROWS values each, and only verified
+    links connect anything (see true_links): a pair at 0.8 shares a bucket with chance 1 - (1 - 0.8 ** 5) ** 32, over 99.999 %, whatever the number of documents. Documents
     without words are copies of each other. Rows with a null id stay; rows that repeat an id stay or go together. The
     input's columns come back unchanged.
     """
@@ -522,14 +582,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in band_keys(sets)], pa.binary())], ["doc", "key", "bands"])
 
     def whole(b: pa.RecordBatch):
-        sets = [x.tobytes() for x in shingle_sets(b.column(2).to_pylist(), shingle)]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["component", "node", "set"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1).to_pylist(), shingle)], pa.binary())], ["node", "set"])
 
     own = durable(map_arrow(texts, marks, "doc long, key binary, bands binary"), "shingle-marks")
     nodes = durable(own.groupBy("key").agg(F.min("doc").alias("node"), F.first("bands").alias("bands")), "nodes")
-    close = connected_components(_bucket_links(nodes))
-    cands = durable(map_arrow(close.join(texts, F.col("node") == F.col("doc")).select("component", "node", "t"), whole, "component long, node long, set binary"), "candidates")
-    found = connected_components(_verified_links(cands, similarity))
+    buckets = durable(_buckets(nodes), "buckets")
+    used = buckets.select("node").union(buckets.select("first")).distinct()
+    sets = durable(map_arrow(used.join(texts, F.col("node") == F.col("doc")).select("node", "t"), whole, "node long, set binary"), "candidates")
+    found = connected_components(true_links(buckets, sets, similarity))
     labelled = nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     gone = durable(own.select("doc", "key").join(labelled, "key").where("doc != component").select("doc").distinct(), "near-copies")
     rows = pack(docs, doc=named(id_col).cast("long"))

@@ -201,3 +201,46 @@ def test_large_groups_by_representatives(spark, monkeypatch):
     texts += [" ".join(a[:270] + b[270:]), " ".join(a[:215] + b[215:])]
     label = brute_labels(texts)
     assert len(set(label)) < 20 and dropped(spark, [(t,) for t in texts]) == {i for i, x in enumerate(label) if x != i}
+
+
+def test_links_are_verified_before_anything_is_closed(spark, monkeypatch):
+    """5,000 sets in a chain, each sharing a bucket with the next at a similarity of 0.3: a pair is compared once, and no set is
+    compared with any other of the chain. One near pair in the middle of it is found."""
+    import loomwright.llm.simhash as sh
+
+    n, searched, search = 5000, [], sh._verified_links
+    r = np.random.default_rng(7)
+    own = r.integers(1, 1 << 63, n * 70).astype(np.uint64)
+    sets = [np.unique(own[i * 70 : i * 70 + 130]) for i in range(n)]  # neighbours share 60 of 200
+    sets[2501] = np.unique(np.append(sets[2500][:-3], own[:2]))
+    assert 0.28 < len(np.intersect1d(sets[5], sets[6])) / len(np.union1d(sets[5], sets[6])) < 0.32
+
+    def count(cands, similarity):
+        searched.append(cands.count())
+        return search(cands, similarity)
+
+    monkeypatch.setattr(sh, "_verified_links", count)
+    buckets = spark.createDataFrame([(i, i + 1, i) for i in range(n - 1)], "key long, node long, first long")
+    rows = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, set binary")
+    assert [tuple(x) for x in sh.true_links(buckets, rows, 0.8).collect()] == [(2501, 2500)] and searched == [0]
+    # three to a bucket: only buckets whose others are in two parts are searched
+    buckets = spark.createDataFrame([(i, i + j, i) for i in range(0, n - 2, 2) for j in (1, 2)], "key long, node long, first long")
+    assert sorted(tuple(x) for x in sh.true_links(buckets, rows, 0.8).collect()) == [(2501, 2500)] and 0 < searched[1] <= n
+
+
+def test_buckets_over_batches(spark):
+    """Every node of a band key beside the smallest of it, however rows are cut into batches."""
+    from loomwright.llm.simhash import _buckets
+
+    r = random.Random(3)
+    nodes = [(i, bytearray(b"".join(r.choice(range(12)).to_bytes(8, "little") for _ in range(4)))) for i in range(200)] + [(7, bytearray((5).to_bytes(8, "little") * 4))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = sorted(tuple(x) for x in _buckets(spark.createDataFrame(nodes, "node long, bands binary")).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    of = {}
+    for i, b in nodes:
+        for k in range(4):
+            of.setdefault(int.from_bytes(b[8 * k : 8 * k + 8], "little", signed=True), set()).add(i)
+    assert got == sorted((k, i, min(v)) for k, v in of.items() for i in v if i != min(v))
