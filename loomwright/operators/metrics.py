@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.vectors import total
+from loomwright.operators.meteor import meteor
 from loomwright.operators.numbering import prefix
 
 
@@ -132,30 +133,6 @@ def rouge_l_mean(df: DataFrame, candidate: str, references: str) -> DataFrame:
     return words.select(score("c", "rs").alias("s")).agg(F.avg("s").alias("rouge_l"))
 
 
-def meteor(candidate: list[str], reference: list[str]) -> float:
-    """The original score of equal words alone (stems, synonyms and paraphrases need word lists): 10PR / (R + 9P) less half the
-    cube of chunks over matches. A word is matched behind the match before it where it can be, else with its first free place."""
-    free: dict[str, list[int]] = {}
-    for j, w in enumerate(reference):
-        free.setdefault(w, []).append(j)
-    places = []
-    for w in candidate:
-        left = free.get(w)
-        if left:
-            follow = places[-1] + 1 if places and places[-1] is not None else -1
-            at = follow if follow in left else left[0]
-            left.remove(at)
-            places.append(at)
-        else:
-            places.append(None)
-    found = sum(x is not None for x in places)
-    if not found:
-        return 0.0
-    chunks = sum(x is not None and (i == 0 or places[i - 1] is None or x != places[i - 1] + 1) for i, x in enumerate(places))
-    p, r = found / len(candidate), found / len(reference)
-    return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / found) ** 3)
-
-
 def meteor_mean(df: DataFrame, candidate: str, references: str) -> DataFrame:
     """The mean over captions of the best score against any reference."""
 
