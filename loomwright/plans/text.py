@@ -284,3 +284,12 @@ def request_assemble(spark, sf):
 
     text = F.concat(F.col("lang"), F.lit("<image>"), F.col("source"))
     return table(spark, sf, "documents").select("doc_id", F.md5(assemble_request(text, F.array(X.image_tokens(image_ids(F.col("doc_id")))), True)).alias("text_md5"))
+
+
+@query("bpe_ids")
+def bpe_ids(spark, sf):
+    """The ids of whole texts by merging each distinct word once; tests/test_bpe compares with the library."""
+    from loomwright.functions.bpe import encode_table, vocabulary_path
+
+    out = encode_table(table(spark, sf, "documents").select("doc_id", "text"), vocabulary_path(spark))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_md5"))
