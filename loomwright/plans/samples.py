@@ -22,7 +22,7 @@ from loomwright.plans import pipelines as P
 from loomwright.plans.catalog import query
 from loomwright.plans.common import image_ids, image_ids_sql, image_tokens_sql, joined_sql, pick_sql, q, table
 from loomwright.session import scratch_path
-from loomwright.sources import paths, readers, shards, sinks
+from loomwright.sources import paths, readers, shards, sinks, tars
 
 
 def _docs(spark, sf, *cols):
@@ -488,6 +488,26 @@ def pixel_values(spark, sf):
     return d.select("doc_id", A.joined(F.col("c")).alias("cropped"), A.joined(F.col("r")).alias("resized"), A.joined(F.col("f")).alias("flipped"), F.round(weighed, 6).alias("weighed"))
 
 
+_PNG_BYTES = "text || repeat(' ', ((48 - octet_length(encode(text)) % 48) % 48)::INTEGER)"
+
+
+@query("png_decode", f"SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN 16 END AS width, CASE WHEN doc_id % 10 <> 0 THEN (octet_length(encode({_PNG_BYTES})) // 48)::INTEGER END AS height, CASE WHEN doc_id % 10 <> 0 THEN md5({_PNG_BYTES}) END AS pixels_md5, doc_id % 10 = 0 AS broken FROM documents WHERE text <> ''")
+def png_decode(spark, sf):
+    """The bytes of each text as an image 16 pixels wide under all five row filters, in tar shards, each tenth file cut off:
+    pixels of the members that can be decoded, and rejects."""
+    from loomwright.functions import png
+
+    n = F.octet_length("text")
+    d = _docs(spark, sf, "text").where("text <> ''").withColumn("bytes", F.concat("text", F.repeat(F.lit(" "), F.pmod(48 - n % 48, F.lit(48)))).cast("binary"))
+    made = png.encoded(F.col("bytes"), F.lit(16), F.col("doc_id") % 5)
+    half = lambda c: F.substring(c, F.lit(1), (F.octet_length(c) / 2).cast("int"))
+    images = d.select("doc_id", made.alias("png")).select("doc_id", F.when(F.col("doc_id") % 10 == 0, half(F.col("png"))).otherwise(F.col("png")).alias("png"))
+    path = scratch_path(spark, "images")
+    tars.write_shards(images, path, "doc_id", {"png": "png"}, per_shard=200)
+    got = tars.read_shards(spark, path, exts=("png",)).select(F.regexp_replace("member", r"\..*", "").cast("long").alias("doc_id"), png.decoded(F.col("payload")).alias("p"))
+    return got.select("doc_id", "p.width", "p.height", F.md5("p.pixels").alias("pixels_md5"), F.col("p.error").isNotNull().alias("broken"))
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 
