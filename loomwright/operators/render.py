@@ -399,10 +399,48 @@ def chunked_caption(text: Column, eos: str = "</s>") -> Column:
     return F.concat(F.lit("<image>"), text, F.lit(END_OF_CHUNK + eos))
 
 
-def chunked_document(texts: Column, matched: Column) -> Column:
-    """Sentences with <|endofchunk|><image> before those that an image matches; the first chunk end goes, white space is tidied."""
+_CHUNK_TOKENS = r"<image>|<\|endofchunk\|>|[^\s<]+|<"
+
+
+def chunked_document(texts: Column, matched: Column, eos: str = "</s>") -> Column:
+    """Sentences with <|endofchunk|><image> before one for each image that it matches, joined by spaces; the first chunk end goes, as
+    do spaces before chunk ends and on both sides of images; a chunk end and ``eos`` close the text. ``matched`` has places of
+    sentences, from 0, and those that there are none of don't count."""
     mark = f"{END_OF_CHUNK}<image>"
-    body = F.array_join(F.transform(texts, lambda t, i: F.when(F.array_contains(matched, i), F.concat(F.lit(mark), t)).otherwise(t)), " ")
+    body = F.array_join(F.transform(texts, lambda t, i: F.concat(F.repeat(F.lit(mark), F.size(F.filter(matched, lambda m: m == i))), t)), " ")
     first = F.instr(body, END_OF_CHUNK)
     cut = F.when(first > 0, F.concat(F.substr(body, F.lit(1), first - 1), F.substr(body, first + len(END_OF_CHUNK)))).otherwise(body)
-    return F.trim(F.regexp_replace(cut, r"\s+", " "))
+    for old, new in ((f" {END_OF_CHUNK}", END_OF_CHUNK), ("<image> ", "<image>"), (" <image>", "<image>")):
+        cut = F.replace(cut, F.lit(old), F.lit(new))
+    return F.concat(cut, F.lit(END_OF_CHUNK + eos))
+
+
+def chunk_images(text: Column, max_length: int) -> Column:
+    """How many images are among the first ``max_length`` marks, words and signs of a chunked text."""
+    return F.size(F.filter(F.slice(F.regexp_extract_all(text, F.lit(_CHUNK_TOKENS), F.lit(0)), 1, max_length), lambda t: t == "<image>"))
+
+
+# --- what evaluation asks (fixed values) ------------------------------------------------------------------------------
+DESCRIBE = "Please provide an accurate and concise description of the given {}."
+ONE_WORD = " Please provide an accurate answer consisting of only one word or phrase."
+DIALOG_SYSTEM = "Based on the image caption and dialog history, answer the following question.\n"
+BRIEF_CAPTION = "Generate a caption for this image briefly."
+
+
+def asked(style: str, question: Column) -> Column:
+    """What an evaluation sample asks: a description of its image or video, a question as it is, one to be answered in a word
+    (of a video with a question mark behind it), or one behind the rule for dialogues."""
+    return {
+        "describe_image": lambda: F.lit(DESCRIBE.format("image")),
+        "describe_video": lambda: F.lit(DESCRIBE.format("video")),
+        "caption": lambda: F.lit(BRIEF_CAPTION),
+        "plain": lambda: question,
+        "word": lambda: F.concat(question, F.lit(ONE_WORD)),
+        "word_video": lambda: F.concat(F.when(F.endswith(question, F.lit("?")), question).otherwise(F.concat(question, F.lit("?"))), F.lit(ONE_WORD)),
+        "dialog": lambda: F.concat(F.lit(DIALOG_SYSTEM), question),
+    }[style]()
+
+
+def asked_turns(turns: Column) -> tuple[Column, Column]:
+    """All questions, and all answers, of an array of (q, a), each behind its name, joined by spaces."""
+    return tuple(F.trim(F.array_join(F.transform(turns, lambda t: F.concat(F.lit(mark), t[k], F.lit(" "))), "")) for mark, k in ((QUESTION, "q"), (ANSWER, "a")))

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions import arrays as A
 from loomwright.functions import text as X
 from loomwright.operators import curate as C
 from loomwright.operators import mixing as M
@@ -105,6 +106,15 @@ def _visual(sft):
     return _segments(run)
 
 
+def _chunked(df: DataFrame, key: str, max_length: int, min_similarity: float, max_images: int) -> DataFrame:
+    """Sentences (text_list) and images (structs of data, matched_sim, matched_text_index) as one chunked text, with the number of
+    its images that the first ``max_length`` tokens hold; documents without one go, and half of those with one."""
+    kept = F.slice(C.large_and_matched(F.col("images"), min_similarity), 1, max_images)
+    out = df.withColumn("text", R.chunked_document(F.col("text_list"), F.transform(kept, lambda x: x["matched_text_index"])))
+    out = out.withColumn("num_images", R.chunk_images(F.col("text"), max_length))
+    return out.where(C.keep_by_image_count(F.col("num_images"), F.col(key)))
+
+
 RENDERERS |= {
     "conversation": _conversation(False),
     "conversation_sft": _conversation(True),
@@ -121,6 +131,9 @@ RENDERERS |= {
     "difference": _segments(lambda key, **_: R.difference(F.col("image_ids"), F.col("question"), F.col("answer"), key)),
     "story": _segments(lambda key, reverse_ratio=0.5, **_: R.story(F.col("image_ids"), F.array(*[F.col(f"caption{i}") for i in range(5)]), key, reverse_ratio == 0)),
     "pixels": lambda df, key, **_: df,
+    "pixels_tokens": lambda df, key, max_length=128, **_: df.withColumn("input_ids", A.pad_truncate(A.word_ids(F.col("text"), max_length), max_length)).withColumn("attention_mask", A.attention(F.size(A.word_ids(F.col("text"))), max_length)),
+    "chunked": lambda df, key, max_length=256, min_similarity=0.0, max_images=5, **_: _chunked(df, key, max_length, min_similarity, max_images),
+    "ask": lambda df, key, style="plain", **_: df.withColumn("question", R.asked(style, F.col("question"))),
     "context_json": lambda df, key, **_: df.withColumn("context", R.F.to_json("context")),
 }
 
@@ -135,6 +148,7 @@ FILTERS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
         & C.image_quality_from_metadata(F.col("metadata"), w=F.col("width"), h=F.col("height"), min_similarity=o.get("similarity_thr", 0.2), min_side=o.get("min_resolution", 180), min_aspect=o.get("min_aspect_ratio", 0.666))
     ),
     "eval_any": lambda df, o: df.where(C.any_set_present([F.col("pixel_values"), F.col("text")], [F.col("pixel_values"), F.col("question")], [F.col("source_image"), F.col("instruction")])),
+    "eval_asked": lambda df, o: df.where(C.all_present(F.col("pixel_values"), F.col("question"))),
     "all": lambda df, o: df,
 }
 
@@ -169,18 +183,19 @@ PIPELINES: dict[str, Pipeline] = {
     "sft_conversation": Pipeline("jsonl", "conversation_sft", "rendered_sft", 1, shuffle=False, options={"max_length": 512}),
     "sft_visual": Pipeline(render="visual_sft", options={"max_length": 512}, **_SFT),
     # preprocessing
-    "preprocess_caption": Pipeline("tar", "pixels", "pixels_quality", **_PRE),
-    "preprocess_coco": Pipeline("coco", "pixels", "pixels_text", shards="record", **_PRE),
+    "preprocess_caption": Pipeline("tar", "pixels_tokens", "pixels_quality", options={"max_length": 128}, **_PRE),
+    "preprocess_coco": Pipeline("coco", "pixels_tokens", "pixels_text", options={"max_length": 128}, shards="record", **_PRE),
     "preprocess_interleaved": Pipeline("tar", "pixels", "pixels", shuffle=False),
     "preprocess_retrieval": Pipeline("tar", "context_json", "all", **_PRE),
     "preprocess_instructions": Pipeline("table", "pixels", "all", shuffle=False),
     "preprocess_visual": Pipeline("jsonl", "pixels", "pixels_flag", shards="record", shuffle=False),
     # evaluation
-    "eval_caption": Pipeline("tar", "pixels", "eval_any", **_PRE),
-    "eval_coco": Pipeline("json_list", "pixels", "eval_any", shards="record", **_PRE),
-    "eval_question": Pipeline("json_list", "pixels", "eval_any", shards="record", **_PRE),
+    "eval_caption": Pipeline("tar", "pixels_tokens", "eval_any", options={"max_length": 128}, **_PRE),
+    "eval_coco": Pipeline("json_list", "pixels_tokens", "eval_any", options={"max_length": 128}, shards="record", **_PRE),
+    "eval_question": Pipeline("json_list", "ask", "eval_asked", options={"style": "describe_image"}, shards="record", **_PRE),
+    "preprocess_chunked": Pipeline("json_list", "chunked", "all", options={"max_length": 256, "min_similarity": 0.24}, **_PRE),
     "eval_edit": Pipeline("json_list", "pixels", "eval_any", shards="record", **_PRE),
-    "eval_video": Pipeline("json_list", "pixels", "eval_any", shards="record", **_PRE),
+    "eval_video": Pipeline("json_list", "ask", "eval_asked", options={"style": "describe_video"}, shards="record", **_PRE),
 }
 for _name, _spec in PIPELINES.items():
     REGISTRY.add("pipeline", _name, _spec)

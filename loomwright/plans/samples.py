@@ -740,7 +740,52 @@ _RENDERED: dict[str, str] = {
     "sft_conversation": _said("lang", "text"),
     "sft_visual": _said(f"{_IMG} || lang", _ANSWER),
 }
-_PASSED = ("pretrain_pixels", "preprocess_caption", "preprocess_coco", "preprocess_interleaved", "preprocess_retrieval", "preprocess_instructions", "preprocess_visual", "eval_caption", "eval_coco", "eval_question", "eval_edit", "eval_video")
+_IDS_128 = f"list_slice({A.word_ids_sql('text')} || list_transform(range(0, 128), lambda z: 0), 1, 128)"
+_TOKENS = f"{joined_sql(_IDS_128)} || ':' || least(128, len({A.word_ids_sql('text')}))"
+#: What the others make: tokens and their number, prompts with answers, a context as JSON; the rest hands pixels on.
+_RENDERED |= {n: _TOKENS for n in ("preprocess_caption", "preprocess_coco", "eval_caption", "eval_coco")}
+_RENDERED |= {"eval_question": f"{q(R.DESCRIBE.format('image'))} || '|' || text", "eval_video": f"{q(R.DESCRIBE.format('video'))} || '|' || text", "eval_edit": "lang || '|img'"}
+_RENDERED |= {"preprocess_retrieval": f"'[{{\"image_ids\":[' || array_to_string(list_slice({image_ids_sql('doc_id', 160)}, 33, 64), ',') || '],\"text\":' || CASE WHEN lang IS NULL THEN 'null' ELSE '\"' || lang || '\"' END || '}}]'"}
+_PASSED = ("pretrain_pixels", "preprocess_interleaved", "preprocess_instructions", "preprocess_visual")
+
+_IMAGES = "list_filter(list_transform(range(0, len(s)), lambda i: {i: i, big: i % 3 = 0, sim: ((doc_id * 7 + i * 13) % 100) / 100.0}) || list_transform(range(0, len(s)), lambda i: {i: i, big: i % 5 = 0, sim: ((doc_id + i * 29) % 100) / 100.0}), lambda x: x.big AND x.sim >= 0.24)[1:5]"
+_CHUNKED_SQL = f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, s, {_IMAGES} AS m FROM s),
+b AS (SELECT doc_id, array_to_string(list_transform(s, lambda t, i: repeat('<|endofchunk|><image>', len(list_filter(m, lambda x: x.i = i - 1))) || t), ' ') AS b FROM m),
+t AS (SELECT doc_id, replace(replace(replace(CASE WHEN contains(b, '<|endofchunk|>') THEN left(b, strpos(b, '<|endofchunk|>') - 1) || substr(b, strpos(b, '<|endofchunk|>') + 14) ELSE b END, ' <|endofchunk|>', '<|endofchunk|>'), '<image> ', '<image>'), ' <image>', '<image>') || '<|endofchunk|></s>' AS text FROM b),
+n AS (SELECT *, len(list_filter(regexp_extract_all(text, '<image>|<\\|endofchunk\\|>|[^\\s<]+|<')[1:256], lambda x: x = '<image>'))::INTEGER AS num_images FROM t)
+SELECT doc_id, md5(text) AS text_md5, num_images FROM n WHERE num_images > 1 OR num_images = 1 AND {rng.u01_sql('doc_id', 'single')} >= 0.5"""
+
+
+@query("chunked_document", _CHUNKED_SQL)
+def chunked_document(spark, sf):
+    """The interleaved documents of the pipeline preprocess_chunked: lines as sentences, some of them with one image or two, of
+    which too small and badly matched ones don't count, and at most five."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("text_list"))
+    image = lambda i, every, sim: F.struct(F.repeat(F.lit("x"), F.when(i % every == 0, 11_000).otherwise(10_999)).cast("binary").alias("data"), (F.pmod(sim, F.lit(100)) / 100.0).alias("matched_sim"), i.alias("matched_text_index"))
+    at = F.sequence(F.lit(0), F.size("text_list") - 1)
+    images = F.concat(F.transform(at, lambda i: image(i, 3, F.col("doc_id") * 7 + i * 13)), F.transform(at, lambda i: image(i, 5, F.col("doc_id") + i * 29)))
+    return P.build("preprocess_chunked", d.withColumn("images", images), "doc_id").select("doc_id", F.md5("text").alias("text_md5"), "num_images")
+
+
+_STYLES = {"describe_image": q(R.DESCRIBE.format("image")), "describe_video": q(R.DESCRIBE.format("video")), "caption": q(R.BRIEF_CAPTION), "plain": "lang", "word": f"lang || {q(R.ONE_WORD)}", "word_video": f"lang || '?' || {q(R.ONE_WORD)}", "dialog": f"{q(R.DIALOG_SYSTEM)} || lang"}
+
+
+@query(
+    "evaluation_prompts",
+    " UNION ALL ".join(f"SELECT doc_id, '{k}' AS style, {e} AS question, md5(text) AS answer_md5 FROM documents" for k, e in _STYLES.items())
+    + " UNION ALL SELECT doc_id, 'turns', 'Question: ' || lang || ' Question: ' || source, md5(trim('Answer: ' || text || ' Answer: ' || lang, ' ')) FROM documents",
+)
+def evaluation_prompts(spark, sf):
+    """What evaluation asks about each document in every style, and a whole dialogue as one question."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    rows = None
+    for style in _STYLES:
+        part = d.select("doc_id", F.lit(style).alias("style"), R.asked(style, F.col("lang")).alias("question"), F.md5("text").alias("answer_md5"))
+        rows = part if rows is None else rows.unionByName(part)
+    question, answer = R.asked_turns(F.array(F.struct(F.col("lang").alias("q"), F.col("text").alias("a")), F.struct(F.col("source").alias("q"), F.col("lang").alias("a"))))
+    return rows.unionByName(d.select("doc_id", F.lit("turns").alias("style"), question.alias("question"), F.md5(answer).alias("answer_md5")))
+
+
 _NO_MARKS = "text NOT LIKE '%Image Descriptions%' AND text NOT LIKE '%Question: %' AND text NOT LIKE '%Answer: %' AND text NOT LIKE '%image a%' AND text NOT LIKE '%image b%'"
 
 
@@ -770,9 +815,14 @@ def pipeline_samples(spark, sf):
     }
     out = None
     for name, spec in P.PIPELINES.items():
+        if spec.render == "chunked":
+            continue  # its documents are those of the query chunked_document
         src = base.withColumns(change.get(spec.render, {}))
         made = P.build(name, src, "doc_id", **({"reverse_ratio": 0.5} if name == "sft_story" else {}))
-        shown = "prompt" if spec.render == "few_shot" else "text" if "text" in made.columns else "raw"
+        shown = {
+            "few_shot": F.col("prompt"), "pixels_tokens": F.concat(A.joined(F.col("input_ids")), F.lit(":"), F.size(F.filter("attention_mask", lambda x: x == 1)).cast("string")) if "attention_mask" in made.columns else None,
+            "ask": F.concat_ws("|", "question", "answer"), "context_json": F.col("context"),
+        }.get(spec.render, F.concat_ws("|", "instruction", "source_image") if name == "eval_edit" else F.col("text" if "text" in made.columns else "raw"))
         part = made.select(F.lit(name).alias("pipeline"), "doc_id", F.md5(shown).alias("text_md5"))
         out = part if out is None else out.unionByName(part)
     return out

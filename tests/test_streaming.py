@@ -128,6 +128,7 @@ def test_every_pipeline_builds(spark):
         F.col("id").alias("key"), F.lit("some text").alias("text"), ids.alias("image_ids"), F.lit("Question: q").alias("question"), F.lit("Answer: a").alias("answer"),
         ids.alias("source_image_ids"), ids.alias("target_image_ids"), F.lit("do it").alias("instruction"), F.lit("done").alias("response"), F.array(F.lit("u"), F.lit("a")).alias("data"), F.lit("{}").alias("metadata"),
         F.array(F.struct(ids.alias("image_ids"), F.lit("c").alias("text"))).alias("context"), F.lit("img").alias("source_image"), F.lit(b"x").alias("pixel_values"), F.lit(300).alias("width"), F.lit(300).alias("height"),
+        F.array(F.lit("one"), F.lit("two")).alias("text_list"), F.array(*[F.struct(F.repeat(F.lit("x"), F.lit(12_000)).cast("binary").alias("data"), F.lit(0.5).alias("matched_sim"), F.lit(i).alias("matched_text_index")) for i in (0, 1)]).alias("images"),
         *[F.lit(f"i{i}").alias(f"instruction{i}") for i in range(3)], *[F.lit(f"c{i}").alias(f"caption{i}") for i in range(5)],
     )
     nested = base.withColumn("image_ids", F.array(ids, F.lit(None).cast("array<int>"))).withColumn("texts", F.array(F.lit(None).cast("string"), F.lit("t")))
