@@ -281,6 +281,24 @@ def substring_dedup(spark, sf):
     return g.select("g", F.md5(F.array_join(J.without_contained(F.transform("items", lambda x: x["text"])), "|")).alias("kept_md5"))
 
 
+_INSIDE = """t AS (SELECT source AS g, doc_id AS k, text FROM documents UNION ALL SELECT source, 1000000000 + doc_id, array_to_string(string_split(text, ' ')[2:-2], ' ') FROM documents
+UNION ALL SELECT source, 2000000000 + doc_id, left(text, 12) FROM documents UNION ALL SELECT source, 3000000000 + doc_id, left(text, 40) || doc_id FROM documents)"""
+
+
+@query("contained_texts", f"WITH {_INSIDE} SELECT g, k, md5(text) AS text_md5 FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.g IS NOT DISTINCT FROM t.g AND u.k < t.k AND contains(u.text, t.text)) OR text IS NULL")
+def contained_texts(spark, sf):
+    """Documents, their insides, short beginnings, and beginnings that go on differently, by source: what is inside a text
+    before it goes."""
+    from loomwright.operators.containment import drop_contained
+
+    d = table(spark, sf, "documents").select(F.col("source").alias("g"), F.col("doc_id").alias("k"), "text")
+    w = F.split("text", " ", -1)
+    more = lambda plus, t: d.select("g", (F.col("k") + plus).alias("k"), t.alias("text"))
+    inner = more(1_000_000_000, F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), " "))
+    every = d.union(inner).union(more(2_000_000_000, F.left("text", F.lit(12)))).union(more(3_000_000_000, F.concat(F.left("text", F.lit(40)), F.col("k").cast("string"))))
+    return drop_contained(every, "g", "k", "text").select("g", "k", F.md5("text").alias("text_md5"))
+
+
 @query("qa_last_wins", "SELECT o_custkey AS custkey, max(o_orderkey) AS orderkey, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1")
 def qa_last_wins(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("status"))
