@@ -29,19 +29,42 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total_p
     Sources in code-point order, null last, weigh ``weights``, repeating, and share ``total_percent`` of all sizes. A
     target stops at ``max_repeats`` times its source's size and the excess is shared by weight among the others, until
     none is above: sources are filled in the order of limit / weight, and all after the last full one get the same
-    amount for a unit of weight. Sources are numbered and added up by range partitions, so there can be any number of
-    them; three numbers reach the driver.
+    amount for a unit of weight. Rows are read once, for a written table of sources. Up to BROADCAST_SOURCES of those are
+    filled on the driver; more are numbered and added up by range partitions, and three numbers reach the driver.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_z", F.col("source").isNull())
-    per = prefix(per, ["_z", "source"], place="_k")
+    return _targets(sizes, weights, total_percent, max_repeats)[0]
+
+
+def _targets(sizes: DataFrame, weights: Sequence[float], total_percent: int, max_repeats: int) -> tuple[DataFrame, bool]:
+    """source_targets(), and whether they are few enough to be sent to every executor."""
+    per = durable(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
+    few = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    if few:
+        rows = [(r.source, r.source_size) for r in per.collect()]
+        return sizes.sparkSession.createDataFrame(fill(rows, weights, total_percent, max_repeats), "source string, source_size long, target double"), True
+    per = prefix(per.withColumn("_z", F.col("source").isNull()), ["_z", "source"], place="_k")
     per = per.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_k") % len(weights) + 1).cast("int"))).withColumn("cap", (max_repeats * F.col("source_size")).cast("double"))
-    per = durable(prefix(per.withColumn("_f", F.col("cap") / F.col("w")), ["_f", "_z", "source"], sums={"caps": F.col("cap"), "ws": F.col("w")}, place="_k"), "source-sizes")
+    per = durable(prefix(per.withColumn("_f", F.col("cap") / F.col("w")), ["_f", "_z", "source"], sums={"caps": F.col("cap"), "ws": F.col("w")}, place="_k"), "source-fills")
     size, all_w = per.agg(F.sum("source_size"), F.sum("w")).first()
     # what is left for the sources from this one on, for a unit of their weight
     left = (F.lit(float(size or 0)) * F.lit(total_percent / 100) - (F.col("caps") - F.col("cap"))) / (F.lit(float(all_w or 0)) - (F.col("ws") - F.col("w")))
     level = per.where(F.col("_f") >= left).agg(F.max(left)).first()[0]
     target = F.least("cap", F.col("w") * F.lit(float("inf") if level is None else level))
-    return per.select("source", "source_size", target.alias("target"))
+    return per.select("source", "source_size", target.alias("target")), False
+
+
+def fill(sizes: list[tuple[str | None, int]], weights: Sequence[float], total_percent: int, max_repeats: int) -> list[tuple[str | None, int, float]]:
+    """(source, size, target) of sources of given sizes."""
+    named_ = sorted(sizes, key=lambda r: (r[0] is None, (r[0] or "").encode()))
+    rows = [(s, n, float(weights[i % len(weights)]), float(max_repeats * n)) for i, (s, n) in enumerate(named_)]
+    left, w_left, level = sum(n for _, n in sizes) * (total_percent / 100), sum(w for _, _, w, _ in rows), None
+    for _, _, w, cap in sorted(rows, key=lambda r: r[3] / r[2]):  # equal ones stay in the order of sources
+        if cap / w >= left / w_left:
+            level = left / w_left if level is None else max(level, left / w_left)
+        left, w_left = left - cap, w_left - w
+        if w_left <= 0:
+            break
+    return [(s, n, min(cap, w * (float("inf") if level is None else level))) for s, n, w, cap in rows]
 
 
 def plan_mix(
@@ -68,8 +91,9 @@ def plan_mix(
     """
     prepare(docs.sparkSession)
     rows = pack(docs, source=named(source_col).cast("string"), size=word_count(text_col), u=coin(named(id_col), seed))
-    targets = durable(source_targets(rows.select("source", "size"), weights, total_percent, max_repeats).withColumnRenamed("source", "source2"), "targets")
-    if targets.count() <= BROADCAST_SOURCES:
+    targets, few = _targets(rows.select("source", "size"), weights, total_percent, max_repeats)
+    targets = targets.withColumnRenamed("source", "source2")
+    if few:
         targets = F.broadcast(targets)
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("source2")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

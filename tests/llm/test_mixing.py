@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from loomwright.llm import mixing
 from loomwright.llm.mixing import mix, plan_mix, source_targets
 
 
@@ -25,7 +26,11 @@ def brute_targets(sizes, weights=(5, 2, 1), total=1.5, limit=2):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_targets_against_rounds(spark, seed):
+@pytest.mark.parametrize("few", [True, False])
+def test_targets_against_rounds(spark, seed, few, monkeypatch):
+    """Filled on the driver, and by range partitions where sources are many."""
+    if not few:
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
     r = random.Random(seed)
     names = [None, "", "é", *(f"s{i}" for i in range(r.randrange(1, 9)))]
     sizes = {n: r.choice([0, 3, 10, 500, 10_000]) + r.randrange(50) for n in names}
