@@ -263,9 +263,15 @@ def lower_median(df: DataFrame, meter: str, value: str) -> DataFrame:
 def meter_window(df: DataFrame, meter: str, order: list[str], value: str, size: int = 20, stretch: int = 100_000) -> DataFrame:
     """avg, lower median, max and last over the last ``size`` values of each meter, and the average since its start.
 
-    A meter is cut into stretches of rows, each of which also sees the ``size`` - 1 rows before it; averages since the
-    start come from running sums with an offset for each partition. So a meter of any size has no window of its own.
+    Meters are counted first. Where the largest has ``stretch`` rows or fewer, each is one window. A larger one is cut into
+    stretches, each of which also sees the ``size`` - 1 rows before it; averages since the start then come from running
+    sums with an offset for each partition, so that a meter of any size has no window of its own.
     """
+    most = df.groupBy(meter).count().agg(F.max("count")).first()[0] or 0
+    if most <= stretch:
+        whole = Window.partitionBy(meter).orderBy(*order)
+        x, since = F.col(value).cast("double"), whole.rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *_window_stats(value, whole.rowsBetween(-(size - 1), 0)), F.avg(x).over(since).alias("global_avg"), F.count(x).over(since).alias("global_n"))
     sums = {"_sum": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "_sum_n": F.col(value).isNotNull().cast("long")}
     rows = prefix(df, order, within=meter, sums=sums, place="_place")
     at = F.floor(F.col("_place") / stretch)
@@ -273,16 +279,17 @@ def meter_window(df: DataFrame, meter: str, order: list[str], value: str, size:
     own, behind = F.struct(at.alias("s"), F.lit(True).alias("home")), F.struct((at + 1).alias("s"), F.lit(False).alias("home"))
     rows = rows.withColumn("_in", F.explode(F.when(last, F.array(own, behind)).otherwise(F.array(own))))
     w = Window.partitionBy(meter, "_in.s").orderBy("_place").rowsBetween(-(size - 1), 0)
-    seen = rows.select(
-        "*",
+    since = [(F.col("_sum") / F.when(F.col("_sum_n") > 0, F.col("_sum_n"))).alias("global_avg"), F.col("_sum_n").alias("global_n")]
+    return rows.select("*", *_window_stats(value, w), *since).where("_in.home").drop("_in", "_place", "_sum", "_sum_n")
+
+
+def _window_stats(value: str, w) -> list[Column]:
+    return [
         F.avg(value).over(w).alias("window_avg"),
         _middle(F.collect_list(value).over(w)).alias("window_median"),
         F.max(value).over(w).alias("window_max"),
         F.col(value).alias("last_value"),
-        (F.col("_sum") / F.when(F.col("_sum_n") > 0, F.col("_sum_n"))).alias("global_avg"),
-        F.col("_sum_n").alias("global_n"),
-    )
-    return seen.where("_in.home").drop("_in", "_place", "_sum", "_sum_n")
+    ]
 
 
 def best_checkpoint(df: DataFrame, metric: str = "agg_metrics", order: str = "epoch") -> DataFrame:
