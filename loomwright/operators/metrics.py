@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomwright.functions.vectors import total
 from loomwright.operators.meteor import meteor
 from loomwright.operators.numbering import prefix
+from loomwright.session import durable
 
 
 def soft_accuracy(predicted: Column, answers: Column) -> Column:
@@ -168,69 +169,130 @@ def cider(df: DataFrame, key: str, candidate: str, references: str, most: int =
 # --- distributions ----------------------------------------------------------------------------------------------------
 
 
-def moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, mean, covariance with ddof 1): each task sends a row of d numbers for each dimension, and one for the sums, whatever
-    its rows; equal rows are added up in tasks, and the driver reads the d + 1 of the square matrix that it needs."""
+#: Rows and columns of a tile of a matrix of moments, and rows of vectors that are multiplied at a time.
+TILE, _ROWS_AT_ONCE = 256, 4096
+
+
+def _tiles(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int32()), pa.array([j for _, j, _ in rows], pa.int32()), pa.array([np.ascontiguousarray(x).tobytes() for _, _, x in rows], pa.binary())], ["i", "j", "x"])
+
+
+_TILE = "i int, j int, x binary"
+
+
+def _summed(tiles: DataFrame) -> DataFrame:
+    """(i, j, x): tiles of one place added up, one of them and the sum in memory at a time."""
+
+    def add(batches):
+        at, total = None, None
+        for b in batches:
+            for i, j, x in zip(*(c.to_pylist() for c in b.columns)):
+                own = np.frombuffer(x)
+                if (i, j) != at:
+                    if at is not None:
+                        yield _tiles([(*at, total)])
+                    at, total = (i, j), own.copy()
+                else:
+                    total += own
+        if at is not None:
+            yield _tiles([(*at, total)])
+
+    return tiles.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(add, _TILE)
+
+
+def gram(df: DataFrame, vec: str, tile: int = TILE) -> tuple[int, np.ndarray, DataFrame]:
+    """(n, mean, tiles of the covariance with ddof 1) of a column of vectors of one size; null vectors don't count.
+
+    A task multiplies its vectors a few thousand at a time and sends its sums as tiles; those of one place are added up in the
+    cluster and stay there. The driver gets a mean and a count.
+    """
+    spark = df.sparkSession
 
     def part(batches):
         n, s, ss = 0, None, None
         for b in batches:
-            if b.num_rows:
-                x = np.array(b.column(0).to_pylist(), np.float64)
+            for lo in range(0, b.num_rows, _ROWS_AT_ONCE):
+                lists = b.column(0).slice(lo, _ROWS_AT_ONCE)
+                x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
                 s = x.sum(axis=0) + (0 if s is None else s)
                 ss = x.T @ x + (0 if ss is None else ss)
                 n += len(x)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(s))), pa.array([np.append(s, n), *ss])], ["i", "x"])
+            d = len(s)
+            yield _tiles([(-1, -1, np.append(s, n))])
+            for i in range(0, d, tile):
+                yield _tiles([(i // tile, j // tile, ss[i : i + tile, j : j + tile]) for j in range(0, d, tile)])
+
+    sums = durable(_summed(df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>")).mapInArrow(part, _TILE)), "gram")
+    first = sums.where("i = -1").first()
+    if first is None:
+        raise ValueError("no vectors")
+    own = np.frombuffer(first.x)
+    n, mean = int(own[-1]), own[:-1] / own[-1]
+    shared = spark.sparkContext.broadcast((n, mean))
+
+    def centre(batches):
+        n, mean = shared.value
+        for b in batches:
+            for i, j, x in zip(*(c.to_pylist() for c in b.columns)):
+                a, c = mean[i * tile : (i + 1) * tile], mean[j * tile : (j + 1) * tile]
+                yield _tiles([(i, j, (np.frombuffer(x).reshape(len(a), len(c)) - n * np.outer(a, c)) / max(n - 1, 1))])
 
-    def added(batches):
-        at, held = None, None
+    return n, mean, sums.where("i >= 0").mapInArrow(centre, _TILE)
+
+
+def tile_product(a: DataFrame, b: DataFrame, d: int, tile: int = TILE) -> DataFrame:
+    """Tiles of the product of two d x d matrices of tiles: those of a row meet those of a column, and products are added up."""
+    size = lambda k: min(tile, d - k * tile)
+
+    def multiply(batches):
+        for batch in batches:
+            for i, k, j, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _tiles([(i, j, np.frombuffer(x).reshape(size(i), size(k)) @ np.frombuffer(y).reshape(size(k), size(j)))])
+
+    pairs = a.select("i", F.col("j").alias("k"), "x").join(b.select(F.col("i").alias("k"), "j", F.col("x").alias("y")), "k")
+    return _summed(pairs.select("i", "k", "j", "x", "y").mapInArrow(multiply, _TILE))
+
+
+def tile_trace(tiles: DataFrame, tile: int = TILE) -> float:
+    """The trace of a matrix of tiles, from those on the diagonal."""
+
+    def diagonal(batches):
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
-                x = x.values.to_numpy()
-                if i != at:
-                    if at is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([held])], ["i", "x"])
-                    at, held = i, x
-                else:
-                    held = held + x
-        if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([held])], ["i", "x"])
-
-    schema = "i long, x array<double>"
-    sums = df.where(F.col(vec).isNotNull()).select(vec).mapInArrow(part, schema).repartition("i").sortWithinPartitions("i").mapInArrow(added, schema)
-    rows = {r.i: np.array(r.x) for r in sums.toLocalIterator()}
-    s, n = rows[-1][:-1], int(rows[-1][-1])
-    ss = np.stack([rows[i] for i in range(len(s))])
-    return n, s / n, (ss - np.outer(s, s) / n) / max(n - 1, 1)
-
-
-def root_trace(c1: np.ndarray, c2: np.ndarray, eps: float = 1e-6) -> float:
-    """The trace of the root of c1 c2, from eigenvalues; a ridge where they are not finite, an error where it is not real."""
-    values = np.sqrt(np.linalg.eigvals(c1 @ c2).astype(complex))
-    if not np.isfinite(values).all():
-        ridge = eps * np.eye(len(c1))
-        values = np.sqrt(np.linalg.eigvals((c1 + ridge) @ (c2 + ridge)).astype(complex))
+            yield pa.RecordBatch.from_arrays([pa.array([float(np.trace(m.reshape(int(len(m) ** 0.5), -1))) for m in (np.frombuffer(x) for x in b.column(2).to_pylist())], pa.float64())], ["t"])
+
+    return tiles.where("i = j").mapInArrow(diagonal, "t double").agg(F.sum("t")).first()[0]
+
+
+def root_trace(product: np.ndarray) -> float:
+    """The trace of a root of a product of covariances, from its eigenvalues; an error where it is not real."""
+    values = np.sqrt(np.linalg.eigvals(product).astype(complex))
     if abs(values.sum().imag) > 1e-3:
         raise ValueError(f"imaginary part {values.sum().imag}")
     return float(values.sum().real)
 
 
-def fid(a: DataFrame, b: DataFrame, vec: str = "vec") -> float:
-    """|mu1 - mu2|^2 + tr(c1 + c2 - 2 sqrt(c1 c2)). The d x d eigenvalues are found in one task: a worker's linear algebra
-    has one thread, while a threaded one can stall beside the driver's JVM."""
-    (_, m1, c1), (_, m2, c2) = moments(a, vec), moments(b, vec)
+def fid(a: DataFrame, b: DataFrame, vec: str = "vec", tile: int = TILE) -> float:
+    """|mu1 - mu2|^2 + tr(c1 + c2 - 2 sqrt(c1 c2)).
+
+    Covariances and their product are tables of tiles; the d x d product is put together in the one task that finds its
+    eigenvalues (8 d^2 bytes), and never on the driver. A worker's linear algebra has one thread, while a threaded one can stall
+    beside the driver's JVM.
+    """
+    (_, m1, c1), (_, m2, c2) = gram(a, vec, tile), gram(b, vec, tile)
     d = len(m1)
+    c1, c2 = durable(c1, "covariance"), durable(c2, "covariance")
 
     def root(batches):
+        whole = np.zeros((d, d))
         for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y = (np.frombuffer(z).reshape(d, d) for z in (x, y))
-                yield pa.RecordBatch.from_arrays([pa.array([root_trace(x, y)])], ["t"])
+            for i, j, x in zip(*(c.to_pylist() for c in batch.columns)):
+                at = whole[i * tile : (i + 1) * tile, j * tile : (j + 1) * tile]
+                at[:] = np.frombuffer(x).reshape(at.shape)
+        yield pa.RecordBatch.from_arrays([pa.array([root_trace(whole)])], ["t"])
 
-    both = a.sparkSession.createDataFrame([(bytearray(c1.tobytes()), bytearray(c2.tobytes()))], "x binary, y binary")
-    t = both.mapInArrow(root, "t double").first().t
-    return float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * t)
+    t = tile_product(c1, c2, d, tile).repartition(1).mapInArrow(root, "t double").first().t
+    return float(((m1 - m2) ** 2).sum() + tile_trace(c1, tile) + tile_trace(c2, tile) - 2 * t)
 
 
 def inception_score(df: DataFrame, probs: str, split: Column) -> DataFrame:

@@ -262,6 +262,22 @@ def inception_score(spark, sf):
     return E.inception_score(d, "p", F.col("vec_id") % 4).select(F.round("is_mean", 9).alias("is_mean"), F.round("is_std", 9).alias("is_std"))
 
 
+_COVAR = "SELECT i, j, covar_samp(e[i], e[j]) AS c FROM (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 2 = {}), range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j"
+
+
+@query(
+    "fid_moments",
+    f"""WITH a AS ({_COVAR.format(0)}), b AS ({_COVAR.format(1)}), m AS (SELECT vec_id % 2 AS p, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL)
+    SELECT (SELECT round(sum((x.m - y.m) ** 2), 6) FROM m x JOIN m y USING (i) WHERE x.p = 0 AND y.p = 1) AS mean_gap, (SELECT round(sum(c), 6) FROM a WHERE i = j) AS trace_a, (SELECT round(sum(c), 6) FROM b WHERE i = j) AS trace_b, (SELECT round(sum(a.c * b.c), 6) FROM a JOIN b ON a.i = b.j AND a.j = b.i) AS trace_ab""",
+)
+def fid_moments(spark, sf):
+    """What the distance of distributions is made of, from tables of tiles: means, covariances and their product."""
+    v = _vectors(spark, sf)
+    (_, m1, c1), (_, m2, c2) = (E.gram(v.where(f"vec_id % 2 = {i}").select("vec"), "vec", tile=24) for i in (0, 1))
+    traces = [E.tile_trace(c, 24) for c in (c1, c2, E.tile_product(c1, c2, len(m1), 24))]
+    return spark.createDataFrame([(round(float(((m1 - m2) ** 2).sum()), 6), *[round(t, 6) for t in traces])], "mean_gap double, trace_a double, trace_b double, trace_ab double")
+
+
 @query("entropy", f"WITH {_PROBS} SELECT vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9) AS entropy FROM n")
 def entropy(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.round(V.entropy(V.softmax(F.col("vec"))), 9).alias("entropy"))

@@ -160,14 +160,35 @@ def test_distances(spark):
     r = np.random.default_rng(0)
     a, b = r.normal(size=(200, 3)), r.normal(1, 2, size=(300, 3))
     frame = lambda x: spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>").repartition(4)
-    n, mu, cov = metrics.moments(frame(a), "vec")
-    assert n == 200 and np.allclose(mu, a.mean(0)) and np.allclose(cov, np.cov(a.T))
+    n, mu, tiles = metrics.gram(frame(a), "vec", tile=2)
+    cov = np.zeros((3, 3))
+    for t in tiles.collect():
+        part = cov[2 * t.i : 2 * t.i + 2, 2 * t.j : 2 * t.j + 2]
+        part[:] = np.frombuffer(t.x).reshape(part.shape)
+    assert n == 200 and np.allclose(mu, a.mean(0)) and np.allclose(cov, np.cov(a.T)) and metrics.tile_trace(tiles, 2) == pytest.approx(np.trace(cov))
+    with pytest.raises(ValueError):
+        metrics.gram(frame(a).limit(0), "vec")
     got = metrics.fid(frame(a), frame(b))
     values = np.linalg.eigvals(np.cov(a.T) @ np.cov(b.T))
     want = ((a.mean(0) - b.mean(0)) ** 2).sum() + np.trace(np.cov(a.T)) + np.trace(np.cov(b.T)) - 2 * np.sqrt(values.astype(complex)).sum().real
     assert got == pytest.approx(want) and metrics.fid(frame(a), frame(a)) == pytest.approx(0, abs=1e-6)
 
 
+@pytest.mark.parametrize("d", [64, 300, 2048])
+def test_distances_by_tiles(spark, d):
+    """Few vectors of many dimensions: their covariances' traces, and the distance, follow from their products with each other."""
+    r = np.random.default_rng(d)
+    a, b = r.normal(size=(60, d)), r.normal(0.1, 1.5, size=(70, d))
+    frame = lambda x: spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>").repartition(3)
+    x, y = ((z - z.mean(0)) / np.sqrt(len(z) - 1) for z in (a, b))
+    cross = x @ y.T
+    (_, _, c1), (_, _, c2) = metrics.gram(frame(a), "vec"), metrics.gram(frame(b), "vec")
+    assert metrics.tile_trace(c1) == pytest.approx((x**2).sum()) and metrics.tile_trace(metrics.tile_product(c1, c2, d)) == pytest.approx((cross**2).sum())
+    if d < 2048:  # its eigenvalues take a minute
+        want = ((a.mean(0) - b.mean(0)) ** 2).sum() + (x**2).sum() + (y**2).sum() - 2 * np.linalg.svd(cross, compute_uv=False).sum()
+        assert metrics.fid(frame(a), frame(b)) == pytest.approx(want, rel=1e-5)
+
+
 def test_overlap(spark):
     df = spark.createDataFrame([(0, "a b c d e", "a b c d e"), (1, "x y z w", "x q z w v")], "k int, c string, r string")
     b = metrics.bleu(df, "k", "c", "r").first()
