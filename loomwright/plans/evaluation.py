@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import schedules as L
@@ -379,15 +380,24 @@ def best_checkpoint(spark, sf):
     return E.best_checkpoint(o).select("epoch", "agg_metrics")
 
 
-@query("lr_cosine", "SELECT s AS step, round(CASE WHEN s < 100 THEN s / 100.0::DOUBLE ELSE greatest(0.0, 0.5 * (1.1 + 0.9 * cos(pi() * 0.5 * 2 * (s - 100) / 900.0::DOUBLE))) END, 9) AS rate FROM range(0, 1001) t(s)")
+_STEPS = "(SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS s FROM events)"
+
+
+def _steps(spark, sf):
+    """The events of each type as the logged steps of a run."""
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    return table(spark, sf, "events").select("event_id", (F.row_number().over(w) - 1).alias("s"))
+
+
+@query("lr_cosine", f"SELECT event_id, round(CASE WHEN s < 100 THEN s / 100.0::DOUBLE ELSE greatest(0.0, 0.5 * (1.1 + 0.9 * cos(pi() * 0.5 * 2 * (s - 100) / 900.0::DOUBLE))) END, 9) AS rate FROM {_STEPS}")
 def lr_cosine(spark, sf):
-    return spark.range(1001).select(F.col("id").alias("step"), F.round(L.cosine_with_warmup(F.col("id"), 100, 1000, floor=0.1), 9).alias("rate"))
+    return _steps(spark, sf).select("event_id", F.round(L.cosine_with_warmup(F.col("s"), 100, 1000, floor=0.1), 9).alias("rate"))
 
 
-@query("lr_warmup", "SELECT s AS step, round(least(1e-3, 1e-5 + (1e-3 - 1e-5) * s / 500), 12) AS warmup, round((1e-3 - 1e-5) * 0.5 * (1 + cos(pi() * s / 1000)) + 1e-5, 12) AS cosine, round(greatest(1e-5, 1e-3 * pow(0.99, s)), 12) AS step_decay FROM range(0, 1001) t(s)")
+@query("lr_warmup", f"SELECT event_id, round(least(1e-3, 1e-5 + (1e-3 - 1e-5) * s / 500), 12) AS warmup, round((1e-3 - 1e-5) * 0.5 * (1 + cos(pi() * s / 1000)) + 1e-5, 12) AS cosine, round(greatest(1e-5, 1e-3 * pow(0.99, s)), 12) AS step_decay FROM {_STEPS}")
 def lr_warmup(spark, sf):
-    s = F.col("id")
-    return spark.range(1001).select(s.alias("step"), F.round(L.linear_warmup(s, 500, 1e-5, 1e-3), 12).alias("warmup"), F.round(L.cosine_epochs(s, 1000, 1e-3, 1e-5), 12).alias("cosine"), F.round(L.step_decay(s, 1e-3, 1e-5, 0.99), 12).alias("step_decay"))
+    s = F.col("s")
+    return _steps(spark, sf).select("event_id", F.round(L.linear_warmup(s, 500, 1e-5, 1e-3), 12).alias("warmup"), F.round(L.cosine_epochs(s, 1000, 1e-3, 1e-5), 12).alias("cosine"), F.round(L.step_decay(s, 1e-3, 1e-5, 0.99), 12).alias("step_decay"))
 
 
 @query("image_geometry", "SELECT doc_id, (w - least(w, h)) // 2 AS crop_left, (h - least(w, h)) // 2 AS crop_top, least(w, h) AS side, CASE WHEN w <= h THEN 224 ELSE 224 * w // h END AS new_w, CASE WHEN w <= h THEN 224 * h // w ELSE 224 END AS new_h FROM (SELECT doc_id, 100 + doc_id % 300 AS w, 120 + doc_id % 170 AS h FROM documents)")

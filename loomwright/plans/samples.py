@@ -32,9 +32,13 @@ def _docs(spark, sf, *cols):
 # --- files ------------------------------------------------------------------------------------------------------------
 
 
-@query("brace_paths", "SELECT printf('part-%05d/', i) || x || '.tar' AS path FROM range(8, 21) t(i), (VALUES ('a'), ('b')) v(x)")
+@query("brace_paths", "SELECT source, source || printf('/part-%05d/', i) || x || '.tar' AS path FROM (SELECT source, count(*) // 20 AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), range(0, n + 1) t(i), (VALUES ('a'), ('b')) v(x)")
 def brace_paths(spark, sf):
-    return spark.createDataFrame([(p,) for p in paths.brace_expand("part-{00008..00020}/{a,b}.tar")], "path string")
+    """The shards of each source, from a range as long as the source and two names."""
+    n = table(spark, sf, "documents").where("source IS NOT NULL").groupBy("source").count()
+    last = F.lpad(F.floor(F.col("count") / 20).cast("string"), 5, "0")
+    pattern = F.concat("source", F.lit("/part-{00000.."), last, F.lit("}/{a,b}.tar"))
+    return n.select("source", F.explode(paths.expanded(pattern)).alias("path"))
 
 
 @query("list_files", "SELECT DISTINCT 'lang=' || lang AS folder FROM documents WHERE lang IS NOT NULL")
@@ -204,10 +208,11 @@ def metrics_log(spark, sf):
     return spark.read.schema("split string, n long").json(path).groupBy("split", "n").agg(F.count("*").alias("times"))
 
 
-@query("status_report", "SELECT page_id::VARCHAR AS page_id, '200' AS status FROM pages")
+@query("status_report", "SELECT page_id::VARCHAR AS page_id, CASE WHEN length(coalesce(html, '')) = 0 THEN '204' WHEN contains(url, 'spam') THEN '404' ELSE '200' END AS status FROM pages")
 def status_report(spark, sf):
     path = scratch_path(spark, "report")
-    sinks.write_report(table(spark, sf, "pages").select("page_id", F.lit(200).alias("status")), path)
+    status = F.when(F.coalesce(F.length("html"), F.lit(0)) == 0, 204).when(F.contains("url", F.lit("spam")), 404).otherwise(200)
+    sinks.write_report(table(spark, sf, "pages").select("page_id", status.alias("status")), path)
     return spark.read.csv(path, sep="\t", header=True)
 
 
@@ -508,6 +513,97 @@ def png_decode(spark, sf):
     return got.select("doc_id", "p.width", "p.height", F.md5("p.pixels").alias("pixels_md5"), F.col("p.error").isNotNull().alias("broken"))
 
 
+#: The bytes of each text as rows of 16 pixels: (doc_id, h, y, x, c, v).
+_PIXELS = f"""b AS (SELECT doc_id, hex(encode({_PNG_BYTES})) AS hx, octet_length(encode({_PNG_BYTES})) // 48 AS h FROM documents WHERE text <> ''),
+p AS MATERIALIZED (SELECT doc_id, h, k // 48 AS y, k % 48 // 3 AS x, k % 3 AS c, ('0x' || b)::INTEGER AS v FROM (SELECT doc_id, h, unnest(l) AS b, generate_subscripts(l, 1) - 1 AS k FROM (SELECT doc_id, h, regexp_extract_all(hx, '..') AS l FROM b)))"""
+
+
+def _shown_sql(rows: str) -> str:
+    """md5 of the hexadecimal digits of (doc_id, y, x, c, v)."""
+    return f"SELECT doc_id, md5(string_agg(printf('%02x', v::INTEGER), '' ORDER BY y, x, c)) AS pixels_md5 FROM {rows} GROUP BY doc_id"
+
+
+def _pixels(spark, sf):
+    n = F.octet_length("text")
+    return _docs(spark, sf, "text").where("text <> ''").select("doc_id", F.concat("text", F.repeat(F.lit(" "), F.pmod(48 - n % 48, F.lit(48)))).cast("binary").alias("pixels"))
+
+
+def _changed(spark, sf, work):
+    from loomwright.functions import images
+
+    made = images.transformed(F.col("pixels"), F.lit(16), work, F.col("doc_id"))
+    return _pixels(spark, sf).select("doc_id", F.md5(F.lower(F.hex(made))).alias("pixels_md5"))
+
+
+def _taps_sql(name: str, n: str, size: int) -> str:
+    """(n, i, k, w): whole weights of the samples k of n that make the new sample i of ``size``."""
+    return f"""{name}0 AS (SELECT n, i, n::DOUBLE / {size} AS scale, greatest(n::DOUBLE / {size}, 1.0) AS wide, (i + 0.5) * (n::DOUBLE / {size}) AS centre FROM ({n}), range(0, {size}) t(i)),
+{name}1 AS (SELECT n, i, k, abs((k - centre + 0.5) / wide) AS d FROM {name}0, range(0, n) t(k) WHERE k >= greatest(trunc(centre - 2 * wide + 0.5), 0) AND k < least(trunc(centre + 2 * wide + 0.5), n)),
+{name}2 AS (SELECT *, CASE WHEN d < 1 THEN (1.5 * d - 2.5) * d * d + 1 WHEN d < 2 THEN ((-0.5 * d + 2.5) * d - 4) * d + 2 ELSE 0 END AS w0 FROM {name}1),
+{name} AS (SELECT n, i, k, floor(w0 / sum(w0) OVER (PARTITION BY n, i) * 4194304 + 0.5)::BIGINT AS w FROM {name}2)"""
+
+
+_BYTE = "greatest(0, least(255, (2097152 + sum(w * v)) // 4194304))"
+
+
+@query(
+    "image_resize",
+    f"""WITH {_PIXELS}, {_taps_sql('tx', 'SELECT 16 AS n', 8)}, {_taps_sql('ty', 'SELECT DISTINCT h AS n FROM b', 6)},
+    q AS (SELECT doc_id, h, y, i AS x, c, {_BYTE} AS v FROM p JOIN tx ON tx.k = p.x GROUP BY ALL), r AS (SELECT doc_id, i AS y, x, c, {_BYTE} AS v FROM q JOIN ty ON ty.n = q.h AND ty.k = q.y GROUP BY doc_id, i, x, c)
+    {_shown_sql('r')}""",
+)
+def image_resize(spark, sf):
+    """Images of 16 pixels' width and any height as 8 by 6, by the cubic kernel."""
+    from loomwright.functions import images
+
+    return _changed(spark, sf, lambda p, key: images.resize(p, 8, 6))
+
+
+@query(
+    "image_tones",
+    f"""WITH {_PIXELS}, e AS (SELECT doc_id, c, v, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT doc_id, c, v, coalesce(sum(n) OVER (PARTITION BY doc_id, c ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, (sum(n) OVER (PARTITION BY doc_id, c) - last(n) OVER (PARTITION BY doc_id, c ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) // 255 AS step FROM e),
+    t AS (SELECT doc_id, c, v, CASE WHEN step = 0 THEN v ELSE least((step // 2 + below) // step, 255) END AS u FROM s), eq AS (SELECT p.doc_id, h, y, x, c, t.u AS v FROM p JOIN t USING (doc_id, c, v)),
+    m AS (SELECT doc_id, c, min(v) AS lo, max(v) AS hi FROM eq GROUP BY ALL), ac AS (SELECT doc_id, y, x, c, CASE WHEN hi <= lo THEN v ELSE (v - lo) * 255 // (hi - lo) END AS v FROM eq JOIN m USING (doc_id, c)),
+    so AS (SELECT doc_id, y, x, c, (CASE WHEN v < 128 THEN v ELSE 255 - v END)::INTEGER & 240 AS v FROM ac) {_shown_sql('so')}""",
+)
+def image_tones(spark, sf):
+    """Images equalized, stretched, solarized and posterized, one after the other."""
+    from loomwright.functions import images
+
+    return _changed(spark, sf, lambda p, key: images.posterize(images.solarize(images.autocontrast(images.equalize(p)), 128), 4))
+
+
+@query(
+    "image_affine",
+    f"""WITH {_PIXELS}, g AS (SELECT doc_id, h, y, x, c, floor(x + 0.25 * y - 3) AS sx, floor(-0.5 * x + y + 2) AS sy FROM p)
+    {_shown_sql("(SELECT g.doc_id, g.y, g.x, g.c, coalesce(p.v, 128) AS v FROM g LEFT JOIN p ON p.doc_id = g.doc_id AND p.x = g.sx AND p.y = g.sy AND p.c = g.c)")}""",
+)
+def image_affine(spark, sf):
+    """Images sheared both ways and moved."""
+    from loomwright.functions import images
+
+    return _changed(spark, sf, lambda p, key: images.affine(p, (1, 0.25, -3, -0.5, 1, 2)))
+
+
+_DRAWN = ", ".join(f"'{n}'" for n in ("identity", "autocontrast", "equalize", "rotate", "solarize", "color", "contrast", "brightness", "sharpness", "shear_x", "translate_x", "translate_y", "posterize", "shear_y"))
+
+
+@query("augment_policy", " UNION ALL ".join(f"SELECT doc_id, {i} AS draw, [{_DRAWN}][{rng.pick_sql('doc_id', f'op{i}', 14)} + 1] AS operation, CASE WHEN {rng.u01_sql('doc_id', f'sign{i}')} > 0.5 THEN -1 ELSE 1 END AS sign FROM documents WHERE text <> '' AND {rng.u01_sql('doc_id', f'apply{i}')} <= 0.5" for i in (0, 1)))
+def augment_policy(spark, sf):
+    """The operations that the policy draws for each image, which is augmented by them beside."""
+    from loomwright.functions import images
+
+    made = images.transformed(F.col("pixels"), F.lit(16), images.augment, F.col("doc_id"))
+    d = _pixels(spark, sf).select("doc_id", F.octet_length(made).alias("size")).where("size > 0")
+    rows = None
+    for i in (0, 1):
+        name = F.element_at(F.array(*map(F.lit, images.OPERATIONS)), rng.pick(F.col("doc_id"), f"op{i}", len(images.OPERATIONS)) + 1)
+        sign = F.when(rng.u01(F.col("doc_id"), f"sign{i}") > 0.5, -1).otherwise(1)
+        part = d.where(rng.u01(F.col("doc_id"), f"apply{i}") <= 0.5).select("doc_id", F.lit(i).alias("draw"), name.alias("operation"), sign.alias("sign"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 

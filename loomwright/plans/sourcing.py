@@ -12,7 +12,7 @@ from loomwright.operators import assemble as S
 from loomwright.plans import datasets as D
 from loomwright.plans import pipelines as P
 from loomwright.plans.catalog import query
-from loomwright.plans.common import image_ids, image_ids_sql, image_tokens_sql, joined_sql, table
+from loomwright.plans.common import image_ids, image_ids_sql, image_tokens_sql, joined_sql, q, table
 from loomwright.session import scratch_path
 from loomwright.sources import shards, tars
 from loomwright.sources.sinks import merge_results, sample_key
@@ -159,17 +159,18 @@ def dataset_vqa(spark, sf):
     return D.load("coco_vqa", a, "doc_id", "val").select("instance_id", "image", "text_input", "question_id")
 
 
-def _names_sql(kind: str, names) -> str:
-    return " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{n}' AS name" for n in names)
+#: What is built for the documents of each language.
+_BUILT = {"en": ("pipeline", "pretrain_text"), "fr": ("pipeline", "sft_qa"), "de": ("dataset", "coco_vqa"), "es": ("dataset", "coco_caption")}
 
 
-@query("catalog_names", f"{_names_sql('dataset', D.DATASETS)} UNION ALL {_names_sql('pipeline', P.PIPELINES)}")
+@query("catalog_names", f"SELECT doc_id, CASE lang {' '.join(f'WHEN {q(k)} THEN {q(v[0])}' for k, v in _BUILT.items())} END AS kind, CASE lang {' '.join(f'WHEN {q(k)} THEN {q(v[1])}' for k, v in _BUILT.items())} END AS name, CASE lang WHEN 'en' THEN 'text' WHEN 'fr' THEN 'qa' END AS render FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')")
 def catalog_names(spark, sf):
-    """What is registered, by kind, against what is declared."""
+    """What the registry holds under the names that documents ask for by their language, and how pipelines among them render."""
     from loomwright.plans.registry import REGISTRY
 
-    rows = [(k, n) for k in ("dataset", "pipeline") for n in REGISTRY.names(k)]
-    return spark.createDataFrame(rows, "kind string, name string")
+    asked = [(lang, kind, name, getattr(REGISTRY.get(kind, name), "render", None)) for lang, (kind, name) in _BUILT.items() if name in REGISTRY.names(kind)]
+    held = spark.createDataFrame(asked, "lang string, kind string, name string, render string")
+    return table(spark, sf, "documents").join(F.broadcast(held), "lang").select("doc_id", "kind", "name", "render")
 
 
 @query("download_report", "SELECT page_id, CASE WHEN contains(url, 'spam') THEN 404 ELSE 200 END AS status, octet_length(encode(html)) AS size FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id < 50)")

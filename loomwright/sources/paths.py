@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 _BRACE = re.compile(r"\{([^{}]*)\}")
 
 
@@ -24,3 +29,13 @@ def brace_expand(pattern: str) -> list[str]:
         head, tail = pattern[: m.end()], pattern[m.end() :]
         return [head + x for x in brace_expand(tail)]
     return [x for v in values for x in brace_expand(pattern[: m.start()] + v + pattern[m.end() :])]
+
+
+def expanded(pattern: Column) -> Column:
+    """brace_expand() of a column, as an array; null stays null."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def expand(patterns: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else brace_expand(x) for x in patterns.to_pylist()], pa.list_(pa.string()))
+
+    return expand(pattern)

@@ -147,3 +147,38 @@ def test_archives(spark):
     assert all(len(got[p]) == 1 and not got[p][0][3] for p in ("x/cut.zip", "x/cut.gz", "x/no.txt"))
     with pytest.raises(Exception):
         shards.expand_archive(df, tolerant=False).collect()
+
+
+def test_fetching_pages_from_a_server(spark):
+    """Pages by their own paths from a server on this machine: found, gone, overloaded once, and no answer at all."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import urlsplit
+
+    from loomwright.sources.fetch import fetch
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").orderBy("page_id").limit(12).collect()
+    html, seen = {urlsplit(p.url).path + f"?{p.page_id}": p.html for p in pages}, {}
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen[self.path] = seen.get(self.path, 0) + 1
+            k = int(self.path.rsplit("?", 1)[-1]) % 4
+            status = 404 if k == 0 else 503 if k == 1 and seen[self.path] == 1 else 200
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(html[self.path].encode() if status == 200 else b"")
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_address[1]}"
+    rows = [(p.page_id, at + urlsplit(p.url).path + f"?{p.page_id}") for p in pages] + [(-1, "http://127.0.0.1:1/none")]
+    got = {r.page_id: r for r in fetch(spark.createDataFrame(rows, "page_id long, url string"), "page_id", "url", tries=2, wait=0.01).collect()}
+    server.shutdown()
+    for p in pages:
+        r, k = got[p.page_id], p.page_id % 4
+        assert (r.status, r.tries, r.payload and bytes(r.payload).decode()) == ((404, 1, None) if k == 0 else (200, 2 if k == 1 else 1, p.html))
+    assert got[-1].status is None and got[-1].tries == 2 and got[-1].error.startswith("URLError")
