@@ -546,8 +546,9 @@ def true_links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     connect. ``buckets`` has key, node and first (the smallest node of the key) for all its others, ``sets`` node and set.
 
     First each node meets the smallest first of its buckets, then those firsts that it is not connected to. A bucket of two is
-    settled by that, and so is one whose other nodes are connected; only in the rest are nodes compared with each other. Nothing
-    is closed over links that are not verified.
+    settled by that, and so is one whose other nodes are connected; only in the rest are nodes compared with each other, bucket
+    by bucket. Nothing is closed over links that are not verified, but for open buckets of over GROUP_ROWS nodes, which
+    chance does not make: those that share nodes are one group, so that a node is compared once and not for each of its keys.
     """
     pairs = durable(buckets.select("node", "first").distinct(), "bucket-pairs")
     least = pairs.groupBy("node").agg(F.min("first").alias("first"))
@@ -560,7 +561,18 @@ def true_links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     part = durable(connected_components(links), "parts")
     left = of(buckets.select("key", "node"), "node", "part")
     open_ = left.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    cands = durable(left.join(open_, "key").join(sets, "node").select(F.col("key").alias("bucket"), "node", "part", "set"), "open-buckets")
+    opened = durable(left.join(open_, "key"), "open-buckets")
+    need = F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("bytes") / GROUP_BYTES))
+    weight = sets.groupBy("node").agg(F.sum(F.length("set")).alias("bytes"))
+    large = durable(opened.join(weight, "node").groupBy("key").agg(need.alias("chunks")).where("chunks > 1").select("key"), "large-keys")
+    groups = opened.join(large, "key", "left_anti").select(F.col("key").alias("bucket"), "node", "part")
+    if not large.isEmpty():
+        # copies by the thousand share many keys, and are one group for all of those
+        big = opened.join(large, "key")
+        hubs = big.join(big.groupBy("key").agg(F.min("node").alias("hub")), "key").select("node", "hub").distinct()
+        family = connected_components(hubs).withColumnRenamed("component", "bucket")
+        groups = groups.union(big.select("node", "part").distinct().join(family, "node").select("bucket", "node", "part"))
+    cands = durable(groups.join(sets, "node").select("bucket", "node", "part", "set"), "open-groups")
     return links.union(_verified_links(cands, similarity))
 
 
