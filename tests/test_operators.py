@@ -270,3 +270,16 @@ def test_meters(spark):
     for x in metrics.lower_median(df, "m", "v").collect():
         known = sorted(v for m, _, v in rows if m == x.m and v is not None)
         assert x.median == known[(len(known) - 1) // 2]
+
+
+def test_chunked_documents_and_prompts(spark):
+    """Worked examples: two images at one sentence, one image that there is no sentence for, and questions with and without a mark."""
+    from loomwright.operators import render as R
+
+    df = spark.createDataFrame([(["a <image> b", "c", "d"], [1, 1, 7], "who", [("q1", "a1"), ("q2", "a2")])], "t array<string>, m array<int>, q string, turns array<struct<q:string,a:string>>")
+    q, a = R.asked_turns(F.col("turns"))
+    x = df.select(R.chunked_document(F.col("t"), F.col("m")).alias("c"), R.chunked_document(F.col("t"), F.array().cast("array<int>")).alias("none"), R.asked("word_video", F.col("q")).alias("w"), R.asked("word_video", F.concat("q", F.lit("?"))).alias("w2"), q.alias("qs"), a.alias("as")).first()
+    assert x.c == "a<image>b<image><|endofchunk|><image>c d<|endofchunk|></s>" and x.none == "a<image>b c d<|endofchunk|></s>"
+    assert x.w == x.w2 == "who? Please provide an accurate answer consisting of only one word or phrase." and (x.qs, x["as"]) == ("Question: q1 Question: q2", "Answer: a1 Answer: a2")
+    n = df.select(R.chunk_images(F.lit("<image>a b<|endofchunk|><image>c"), 4).alias("four"), R.chunk_images(F.lit("<image>a b<|endofchunk|><image>c"), 5).alias("five")).first()
+    assert (n.four, n.five) == (1, 2)
