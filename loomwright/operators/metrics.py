@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +13,9 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.vectors import total
 from loomwright.operators.meteor import meteor
+from loomwright.operators.ngrams import counts, distinct_keys, keyed, words_of
 from loomwright.operators.numbering import prefix
-from loomwright.session import durable
+from loomwright.session import bounded, durable
 
 
 def soft_accuracy(predicted: Column, answers: Column) -> Column:
@@ -65,40 +70,34 @@ def candidate_answers(df: DataFrame, answer: str, order: str, most: int = 30) ->
 # --- caption overlap, from the published formulas ---------------------------------------------------------------------
 
 
-def ngrams(words: Column, n: int) -> Column:
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda w: w != "")
-
-
 def _captions(df: DataFrame, key: str, candidate: str, references: str) -> DataFrame:
-    """(k, c, rs): words of the candidate and of each reference; ``references`` is a text or an array of texts."""
+    """(k, c, rs): the candidate and its references as texts; ``references`` is a text or an array of texts."""
     many = df.schema[references].dataType.typeName() == "array"
     texts = F.col(references) if many else F.array(F.col(references))
-    return df.select(F.col(key).alias("k"), _words(F.coalesce(F.col(candidate), F.lit(""))).alias("c"), F.transform(F.filter(texts, lambda t: t.isNotNull()), _words).alias("rs"))
-
-
-def _gram_counts(words: DataFrame, col: str, most: int, *keys: str) -> DataFrame:
-    """(keys, n, g, f): how often each n-gram of an array of words occurs. A long text is spread over rows before it is counted."""
-    of_size = lambda n: F.transform(ngrams(F.col(col), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-    flat = words.select(*keys, F.explode(F.concat(*[of_size(n) for n in range(1, most + 1)])).alias("s"))
-    return flat.groupBy(*keys, "s.n", "s.g").agg(F.count("*").alias("f"))
+    return bounded(df.select(F.col(key).alias("k"), F.coalesce(F.col(candidate), F.lit("")).alias("c"), F.filter(texts, lambda t: t.isNotNull()).alias("rs")))
 
 
 def bleu(df: DataFrame, key: str, candidate: str, references: str, most: int = 4) -> DataFrame:
     """bleu1..bleu4 of a corpus: n-gram precisions clipped by the reference that has most, and a brevity penalty by the
-    references closest in length (of two, the shorter). ``key`` is unique; references are a text or an array of texts."""
-    words = _captions(df, key, candidate, references)
-    c = _gram_counts(words, "c", most, "k")
-    r = _gram_counts(words.select("k", F.posexplode("rs").alias("p", "r")), "r", most, "k", "p").groupBy("k", "n", "g").agg(F.max("f").alias("m"))
-    hits = c.join(r, ["k", "n", "g"]).groupBy("n").agg(F.sum(F.least("f", "m")).alias("m"))
-    closest = F.array_min(F.transform("rs", lambda r: F.struct(F.abs(F.size(r) - F.size("c")).alias("d"), F.size(r).alias("n"))))["n"]
-    sizes = [F.sum(F.greatest(F.size("c") - n + 1, F.lit(0))).alias(f"t{n}") for n in range(1, most + 1)]
-    t = words.agg(*sizes, F.sum(F.size("c")).alias("cl"), F.sum(F.coalesce(closest, F.lit(0))).alias("rl"))
-    t = t.crossJoin(hits.agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("m"))), F.lit(0)).alias(f"m{n}") for n in range(1, most + 1)]))  # one row each
+    references closest in length (of two, the shorter). ``key`` is unique; references are a text or an array of texts.
+
+    n-grams meet within their row alone, so each batch of rows gives one row of sums and nothing else is shuffled."""
+
+    def clipped(batches):
+        for b in batches:
+            out = np.zeros(2 * most + 2, np.int64)  # matches and n-grams of each length, words, words of the closest references
+            for c, rs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own, refs = words_of(c), [words_of(r) for r in rs or []]
+                for n, table, _ in counts([own, *refs], most) if own and refs else ():
+                    out[n - 1] += np.minimum(table[0], table[1:].max(axis=0)).sum()
+                out[most : 2 * most] += [max(len(own) - n, 0) for n in range(most)]
+                out[-2] += len(own)
+                out[-1] += min(((abs(len(r) - len(own)), len(r)) for r in refs), default=(0, 0))[1]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out.tolist()], names)
+
+    names = [*[f"m{n}" for n in range(1, most + 1)], *[f"t{n}" for n in range(1, most + 1)], "cl", "rl"]
+    sums = _captions(df, key, candidate, references).select("c", "rs").mapInArrow(clipped, ", ".join(f"{n} long" for n in names))
+    t = sums.agg(*[F.sum(n).alias(n) for n in names])
     brevity = F.when(F.col("cl") < F.col("rl"), F.exp(1 - F.col("rl") / F.col("cl"))).otherwise(1.0)
     logs = [F.ln((F.col(f"m{n}") + 1e-15) / (F.col(f"t{n}") + 1e-9)) for n in range(1, most + 1)]
     return t.select(*[(brevity * F.exp(sum(logs[:n]) / n)).alias(f"bleu{n}") for n in range(1, most + 1)])
@@ -125,45 +124,124 @@ def rouge_l(candidate: list[str], references: list[list[str]], beta: float = 1.2
     return (1 + beta**2) * p * q / (q + beta**2 * p) if p and q else 0.0
 
 
-def rouge_l_mean(df: DataFrame, candidate: str, references: str) -> DataFrame:
+def _mean(df: DataFrame, candidate: str, references: str, one: Callable[[list[str], list[list[str]]], float], name: str) -> DataFrame:
     @F.arrow_udf("double")
     def score(c: pa.Array, rs: pa.Array) -> pa.Array:
-        return pa.array([rouge_l(x or [], y or []) for x, y in zip(c.to_pylist(), rs.to_pylist())], pa.float64())
+        return pa.array([one(words_of(x), [words_of(r) for r in y or []]) for x, y in zip(c.to_pylist(), rs.to_pylist())], pa.float64())
+
+    return _captions(df, candidate, candidate, references).select(score("c", "rs").alias("s")).agg(F.avg("s").alias(name))
 
-    words = _captions(df, candidate, candidate, references)
-    return words.select(score("c", "rs").alias("s")).agg(F.avg("s").alias("rouge_l"))
+
+def rouge_l_mean(df: DataFrame, candidate: str, references: str) -> DataFrame:
+    return _mean(df, candidate, references, rouge_l, "rouge_l")
 
 
 def meteor_mean(df: DataFrame, candidate: str, references: str) -> DataFrame:
     """The mean over captions of the best score against any reference."""
+    return _mean(df, candidate, references, lambda c, rs: max((meteor(c, r) for r in rs), default=0.0), "meteor")
 
-    @F.arrow_udf("double")
-    def score(c: pa.Array, rs: pa.Array) -> pa.Array:
-        return pa.array([max((meteor(x or [], r) for r in y or []), default=0.0) for x, y in zip(c.to_pylist(), rs.to_pylist())], pa.float64())
 
-    words = _captions(df, candidate, candidate, references)
-    return words.select(score("c", "rs").alias("s")).agg(F.avg("s").alias("meteor"))
+#: Bytes of captions in a row of cider(), about, and bytes of keys that one task counts.
+_PACK_BYTES, _BUCKET_BYTES = 2 << 20, 16 << 20
 
 
 def cider(df: DataFrame, key: str, candidate: str, references: str, most: int = 4, sigma: float = 6.0) -> DataFrame:
     """(key, cider): ten times the mean over references and n of the clipped tf-idf cosine, with a Gaussian penalty for
-    length; document frequencies count the captions of which a reference holds an n-gram. ``key`` is unique."""
+    length; document frequencies count the captions of which a reference holds an n-gram. ``key`` is unique.
+
+    Captions are packed, some megabytes to a row. A pack sends each of its n-grams once, as a key of 80 bits with the number
+    of its captions whose references hold it, in a piece for each bucket of keys; the tasks of the buckets add them up and
+    answer each piece with the frequencies in the order of its keys. With these every pack scores its own captions.
+    """
+    spark = df.sparkSession
     words = _captions(df, key, candidate, references)
-    docs = words.count()
-    refs = words.select("k", F.size("c").alias("nc"), F.posexplode("rs").alias("p", "r"))
-    c, r = _gram_counts(words, "c", most, "k").withColumnRenamed("f", "fc"), _gram_counts(refs, "r", most, "k", "p").withColumnRenamed("f", "fr")
-    df_of = r.groupBy("n", "g").agg(F.countDistinct("k").alias("d"))
-    idf = F.lit(float(np.log(max(docs, 1)))) - F.ln(F.greatest(F.coalesce("d", F.lit(1)), F.lit(1)))
-    weighed = lambda rows, f: rows.join(df_of, ["n", "g"], "left").withColumn("w", F.col(f) * idf).drop("d", f)
-    x, y = weighed(c, "fc").withColumnRenamed("w", "x"), weighed(r, "fr").withColumnRenamed("w", "y")
-    nx = x.groupBy("k", "n").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("nx"))
-    ny = y.groupBy("k", "p", "n").agg(F.sqrt(F.sum(F.col("y") ** 2)).alias("ny"))
-    xy = x.join(y, ["k", "n", "g"]).groupBy("k", "p", "n").agg(F.sum(F.least("x", "y") * F.col("y")).alias("xy"))
-    cos = xy.join(nx, ["k", "n"]).join(ny, ["k", "p", "n"]).withColumn("cos", F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("xy") / F.col("nx") / F.col("ny")).otherwise(0.0))
-    per = cos.groupBy("k", "p").agg(F.sum("cos").alias("s"))
-    gap = F.exp(-((F.col("nc") - F.size("r")) ** 2) / (2 * sigma**2))
-    score = refs.join(per, ["k", "p"], "left").groupBy("k").agg(F.avg(F.coalesce("s", F.lit(0.0)) * gap).alias("s"))
-    return words.select("k").join(score, "k", "left").select(F.col("k").alias(key), (10 * F.coalesce("s", F.lit(0.0)) / most).alias("cider"))
+    kind = words.schema["k"].dataType.simpleString()
+
+    def pack(batches):
+        for b in batches:
+            rows = pa.StructArray.from_arrays(b.columns, names=["k", "c", "rs"])
+            step = max(1, b.num_rows * _PACK_BYTES // max(b.nbytes, 1))
+            for lo in range(0, b.num_rows, step):
+                own = rows.slice(lo, step)
+                held = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.concat_arrays([own]))
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(own)]), pa.array([own.nbytes]), held], ["pack", "n", "bytes", "rows"])
+
+    packs = durable(words.mapInArrow(pack, f"pack string, n long, bytes long, rows array<struct<k:{kind},c:string,rs:array<string>>>"), "captions")
+    total = packs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    # of three texts of which two are references, n-grams take about twice the bytes in keys
+    buckets = max(64, 1 << (2 * total.bytes // _BUCKET_BYTES).bit_length())
+    shift, log = np.uint64(64 - buckets.bit_length() + 1), float(np.log(max(total.n, 1)))
+
+    def grams(rows: pa.Array):
+        """(captions, order, group): counts and keys of each caption, and their distinct keys in order."""
+        made = []
+        for c, rs in zip(rows.field("c").to_pylist(), rows.field("rs").to_pylist()):
+            texts = [words_of(c), *[words_of(r) for r in rs or []]]
+            made.append((texts, *keyed(texts, most)))
+        order, group = distinct_keys(np.concatenate([m[2] for m in made]), np.concatenate([m[3] for m in made]))
+        return made, order, group
+
+    def send(batches):
+        for b in batches:
+            for name, rows in zip(b.column(0).to_pylist(), b.column(1)):
+                made, order, group = grams(rows.values)
+                if not len(order):
+                    continue
+                held = np.concatenate([t[1:].any(axis=0) for m in made for t in m[1]])
+                n = np.bincount(group, weights=held[order]).astype(np.uint32)
+                first = order[np.flatnonzero(np.diff(group, prepend=-1))]
+                hi, lo = (np.concatenate([m[k] for m in made])[first] for k in (2, 3))
+                at = (hi >> shift).astype(np.int64)
+                cut = np.flatnonzero(np.diff(at, prepend=-1))
+                pieces = [(int(at[x]), hi[x:y].tobytes(), lo[x:y].tobytes(), zlib.compress(n[x:y].tobytes(), 1)) for x, y in zip(cut, [*cut[1:], len(at)])]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pieces)), *[pa.array(c) for c in zip(*pieces)]], ["pack", "bucket", "hi", "lo", "n"])
+
+    def add(batches):
+        def answer(held):
+            hi, lo = (np.concatenate([np.frombuffer(h[k], t) for h in held]) for k, t in ((2, np.uint64), (3, np.uint16)))
+            n = np.concatenate([np.frombuffer(zlib.decompress(h[4]), np.uint32) for h in held])
+            order, group = distinct_keys(hi, lo)
+            d = np.empty(len(hi), np.uint32)
+            d[order] = np.bincount(group, weights=n[order]).astype(np.uint32)[group]
+            parts = np.split(d, np.cumsum([len(h[3]) // 2 for h in held])[:-1])
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held]), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["pack", "bucket", "d"])
+
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and row[1] != held[0][1]:
+                    yield answer(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield answer(held)
+
+    def score(batches):
+        for b in batches:
+            for rows, answers in zip(b.column(0), b.column(1).to_pylist()):
+                rows = rows.values
+                made, order, group = grams(rows)
+                d = np.concatenate([np.frombuffer(zlib.decompress(a["d"]), np.uint32) for a in answers or []] or [np.zeros(0, np.uint32)])
+                idf = np.empty(len(order))
+                idf[order] = log - np.log(np.maximum(d, 1))[group]
+                out, at = [], 0
+                for texts, tables, _, _ in made:
+                    s = np.zeros(len(texts) - 1)
+                    for t in tables:
+                        w = t * idf[at : at + t.shape[1]]
+                        at += t.shape[1]
+                        size = np.sqrt((w**2).sum(axis=1))
+                        both = size[0] * size[1:]
+                        s += np.divide((np.minimum(w[0], w[1:]) * w[1:]).sum(axis=1), both, out=np.zeros(len(s)), where=both > 0)
+                    gap = np.array([len(texts[0]) - len(t) for t in texts[1:]], float)
+                    out.append(float(10 / most * (s * np.exp(-(gap**2) / (2 * sigma**2))).mean()) if len(s) else 0.0)
+                yield pa.RecordBatch.from_arrays([rows.field("k"), pa.array(out, pa.float64())], [key, "cider"])
+
+    sent = packs.select("pack", "rows").mapInArrow(send, "pack string, bucket long, hi binary, lo binary, n binary")
+    found = sent.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "pack string, bucket long, d binary")
+    answers = durable(found, "frequencies").groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("bucket", "d"))).alias("answers"))
+    quoted = key.replace("`", "``")
+    return packs.join(answers, "pack", "left").select("rows", "answers").mapInArrow(score, f"`{quoted}` {kind}, cider double")
 
 
 # --- distributions ----------------------------------------------------------------------------------------------------
