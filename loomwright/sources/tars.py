@@ -35,6 +35,10 @@ BATCH_BYTES, ROW_BYTES = 16 << 20, (1 << 31) - 1024
 _EXTRA_BYTES = 1 << 20
 #: Larger shards than the bound up to which the driver walks them; the headers of more are walked by tasks.
 DRIVER_WALKS = 64
+#: Bytes of larger shards up to which the driver walks them, as its walk takes as long as there are members.
+DRIVER_WALK_BYTES = 32 << 20
+#: Ranges that are a task each; more than those are put together to tasks of so many bytes.
+TASKS, TASK_BYTES = 256, 4 << 20
 _BLOCK = 512
 
 
@@ -247,11 +251,13 @@ class _Reader(DataSourceReader):
         self.payload = options.get("payload", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        """Small shards share a task; larger ones are cut after a walk over their headers, many at a time."""
+        """Small shards share a task, as do small ranges; larger shards are cut after a walk over their headers, many at a time."""
         files = list_shards(self.path, self.mask)
         small, large = [f for f in files if f[1] <= self.split_bytes], [f for f in files if f[1] > self.split_bytes]
         with ThreadPoolExecutor(16) as pool:
-            out = [Ranges(parts=[r]) for rs in pool.map(lambda f: split_shard(f[0], self.split_bytes), large) for r in rs]
+            found = list(pool.map(lambda f: split_shard(f[0], self.split_bytes), large))
+        share = max(1, TASK_BYTES // self.split_bytes) if sum(map(len, found)) > TASKS else 1
+        out = [Ranges(parts=rs[i : i + share]) for rs in found for i in range(0, len(rs), share)]
         held, size = [], 0
         for path, n in small:
             if held and size + n > self.split_bytes:
@@ -294,12 +300,15 @@ def read_shards(spark: SparkSession, path: str, mask: str = "*.tar", exts: tuple
 
     A shard that breaks off gives its whole members and one row with the error alone, or fails the job (``tolerant=False``).
     ``ord`` is the place among a shard's files, those of other extensions than ``exts`` included. No shard under the path gives
-    no rows. Where more than DRIVER_WALKS shards are larger than a split, tasks walk their headers, not the driver.
+    no rows. Where more than DRIVER_WALKS shards, or DRIVER_WALK_BYTES of them, are larger than a split, tasks walk their headers,
+    not the driver.
     """
     register(spark)
     files = list_shards(path, mask)
-    if sum(n > split_bytes for _, n in files) > DRIVER_WALKS:
-        return expand_paths(spark.createDataFrame(files, "path string, size long"), exts, split_bytes, tolerant, payload)
+    large = [n for _, n in files if n > split_bytes]
+    if len(large) > DRIVER_WALKS or sum(large) > DRIVER_WALK_BYTES:
+        own = spark.createDataFrame(files, "path string, size long")
+        return expand_paths(own.repartition(min(len(files), 1000), "path"), exts, split_bytes, tolerant, payload)
     options = {"mask": mask, "splitBytes": str(split_bytes), "exts": ",".join(exts or ()), "tolerant": str(tolerant).lower(), "payload": str(payload).lower()}
     return spark.read.format(FORMAT).options(**options).load(path)
 
