@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import IMAGE_CODES, IMAGE_ID_SHIFT, IMAGE_IDS
+from loomwright.functions.vectors import bind
 
 
 def turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -69,17 +70,25 @@ def parse_response(ids: Column, boi: int, eoi: int) -> Column:
     """struct(spans, text_ids, errors): the k-th begin of an image goes with the k-th end. A span is valid if it has 32
     ids that are image codes once shifted; span ids are cut from the text either way."""
     at = lambda x: F.filter(F.transform(ids, lambda v, i: F.when(v == x, i)), lambda i: i.isNotNull())
-    b, e = at(boi), at(eoi)
+    # what every id is compared with is worked out once, not once for each id
+    return bind(F.struct(at(boi).alias("b"), at(eoi).alias("e")), lambda s: bind(_pairs(s["b"], s["e"]), lambda pairs: _parsed(ids, s["b"], s["e"], pairs)))
+
+
+def _pairs(b: Column, e: Column) -> Column:
     n = F.least(F.size(b), F.size(e))
-    pairs = F.arrays_zip(F.slice(b, 1, n).alias("b"), F.slice(e, 1, n).alias("e"))
+    return F.arrays_zip(F.slice(b, 1, n).alias("b"), F.slice(e, 1, n).alias("e"))
+
+
+def _parsed(ids: Column, b: Column, e: Column, pairs: Column) -> Column:
     inside = lambda p: F.transform(F.slice(ids, p["b"] + 2, F.greatest(p["e"] - p["b"] - 1, F.lit(0))), lambda v: v - IMAGE_ID_SHIFT)
 
     def judge(p):
-        codes = inside(p)
-        error = F.when(F.size(codes) != IMAGE_IDS, F.concat(F.lit("length "), F.size(codes).cast("string"))).when(F.exists(codes, lambda c: (c < 0) | (c >= IMAGE_CODES)), F.lit("code out of range"))
-        return F.struct(codes.alias("codes"), error.alias("error"))
+        def one(codes):
+            error = F.when(F.size(codes) != IMAGE_IDS, F.concat(F.lit("length "), F.size(codes).cast("string"))).when(F.exists(codes, lambda c: (c < 0) | (c >= IMAGE_CODES)), F.lit("code out of range"))
+            return F.struct(codes.alias("codes"), error.alias("error"))
+
+        return bind(inside(p), one)
 
-    spans = F.transform(pairs, judge)
     kept = F.filter(F.transform(ids, lambda v, i: F.when(~F.exists(pairs, lambda p: (i > p["b"]) & (i < p["e"])), v)), lambda v: v.isNotNull())
     uneven = F.when(F.size(b) != F.size(e), F.array(F.concat(F.lit("begins "), F.size(b).cast("string"), F.lit(", ends "), F.size(e).cast("string")))).otherwise(F.array().cast("array<string>"))
-    return F.struct(spans.alias("spans"), kept.alias("text_ids"), F.concat(uneven, F.filter(F.transform(spans, lambda s: s["error"]), lambda x: x.isNotNull())).alias("errors"))
+    return bind(F.transform(pairs, judge), lambda spans: F.struct(spans.alias("spans"), kept.alias("text_ids"), F.concat(uneven, F.filter(F.transform(spans, lambda s: s["error"]), lambda x: x.isNotNull())).alias("errors")))
