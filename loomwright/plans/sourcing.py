@@ -78,7 +78,7 @@ def cut_shards(spark, source: str, target: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
     files = spark.createDataFrame(tars.list_shards(source), "path string, size long")
-    files.repartition(8).mapInArrow(copy, "name string").write.format("noop").mode("overwrite").save()
+    files.repartition(max(8, min(1000, files.count() // 100))).mapInArrow(copy, "name string").write.format("noop").mode("overwrite").save()
 
 
 @query(
