@@ -100,14 +100,16 @@ SPLITS = ("train", "val", "test")
 
 def load(name: str, annotations: DataFrame, order: str, split: str = "train") -> DataFrame:
     """The named dataset's samples from its annotations: instance ids in order, image ids by first appearance where a kind
-    numbers them, then the projection. Other splits than train, val and test are refused."""
+    numbers them, then the projection. Other splits than train, val and test are refused. Annotations that have an instance_id keep
+    it, so that a table of which many datasets are made is numbered once; kinds without one number nothing."""
     if split not in SPLITS:
         raise ValueError(split)
     kind = REGISTRY.get("dataset", name)[0 if split == "train" else 1]
     if kind is None:
         raise ValueError(f"{name} has no samples for {split}")
-    df = instance_ids(annotations, order)
+    cols = KINDS[kind]()
+    numbered = "instance_id" in annotations.columns or cols and "instance_id" not in "".join(str(c) for c in cols.values())
+    df = annotations if numbered else instance_ids(annotations, order)
     if "image_id" not in df.columns and kind in ("caption", "retrieval", "video_caption", "video_retrieval"):
         df = dense_ids(df, "video" if kind.startswith("video") else "image", order, "image_id")
-    cols = KINDS[kind]()
     return df.select(*[c.alias(n) for n, c in cols.items()]) if cols else df
