@@ -21,10 +21,11 @@ def _word_key(word: str) -> tuple[int, int]:
     return d >> 64, d & (1 << 64) - 1
 
 
-def counts(texts: list[list[str]], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def counts(texts: list[list[str]], most: int, number: dict[str, int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(n, table, first) for n up to ``most``: how often each distinct n-gram is in each text (texts x n-grams), and a place
-    of each among the words of all texts. n-grams are numbered by pairs of the numbers before, so equal numbers are equal words."""
-    number: dict[str, int] = {}
+    of each among the words of all texts. n-grams are numbered by pairs of the numbers before, so equal numbers are equal words.
+    ``number``, an empty dict, takes the numbers of the words."""
+    number = {} if number is None else number
     w = np.array([number.setdefault(x, len(number)) for t in texts for x in t], np.int64)
     sizes = np.array([len(t) for t in texts], np.int64)
     text, end = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes)
@@ -40,11 +41,15 @@ def counts(texts: list[list[str]], most: int) -> Iterator[tuple[int, np.ndarray,
 
 def keyed(texts: list[list[str]], most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(tables, hi, lo): the tables of counts(), and keys of 64 and 16 bits for their n-grams, one table after the other."""
-    lanes = np.array([_word_key(x) for t in texts for x in t], np.uint64).reshape(-1, 2)
-    tables, hi, lo = [], [], []
-    for n, table, first in counts(texts, most):
+    number: dict[str, int] = {}
+    lanes, tables, hi, lo = None, [], [], []
+    for n, table, first in counts(texts, most, number):
+        if lanes is None:
+            keys = [_word_key(x) for x in number]
+            at = np.array([number[x] for t in texts for x in t], np.int64)
+            lanes = [np.array([k[i] for k in keys], np.uint64)[at] for i in (0, 1)]
         made = []
-        for lane, odd in zip(lanes.T, _ODD):
+        for lane, odd in zip(lanes, _ODD):
             h = np.full(len(first), n, np.uint64)
             for i in range(n):
                 h = (h ^ lane[first + i]) * odd
