@@ -79,3 +79,10 @@ def test_batches_are_bounded(spark):
     texts = spark.range(40).selectExpr("repeat('x', 1 << 20) AS t").coalesce(1)
     sizes = texts.mapInArrow(lambda bs: (b.slice(0, 1).from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()
     assert len(sizes) > 2 and max(s.n for s in sizes) < 3 * BATCH_BYTES
+
+
+def test_squares_of_scores_are_bounded():
+    """A task's square of scores takes 8 MB at most, whatever the numbers of queries and items."""
+    from loomwright.operators import retrieval as R
+
+    assert R.QUERY_BLOCK * R.ITEM_BLOCK * 8 <= 8 << 20
