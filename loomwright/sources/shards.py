@@ -72,24 +72,33 @@ def expand_archive(files: DataFrame, tolerant: bool = True) -> DataFrame:
 
     def members(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
+            rows, held = [], 0
             for path, content in zip(pdf["path"], pdf["content"]):
-                rows, ord_ = [], 0
+                ord_ = 0
                 name = path.rsplit("/", 1)[-1]
                 try:
                     if content[:2] == b"\x1f\x8b":
                         member = name[:-3] if name.endswith(".gz") else name
                         rows.append((path, 0, member, member.partition(".")[2].lower(), gzip.decompress(content), None))
+                        held += len(rows[-1][4])
                     else:
                         with zipfile.ZipFile(io.BytesIO(content)) as z:
                             for info in z.infolist():
                                 if not info.is_dir():
                                     rows.append((path, ord_, info.filename, info.filename.rsplit("/", 1)[-1].partition(".")[2].lower(), z.read(info), None))
+                                    held += len(rows[-1][4])
                                     ord_ += 1
+                                if held >= _HELD_BYTES:
+                                    yield _member_rows(rows)
+                                    rows, held = [], 0
                 except Exception as e:
                     if not tolerant:
                         raise
                     rows.append((path, ord_, None, None, None, f"{type(e).__name__}: {e}"))
-                yield _member_rows(rows)
+                if held >= _HELD_BYTES:
+                    yield _member_rows(rows)
+                    rows, held = [], 0
+            yield _member_rows(rows)
 
     return files.select("path", "content").mapInPandas(members, MEMBERS)
 

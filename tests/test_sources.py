@@ -182,3 +182,17 @@ def test_fetching_pages_from_a_server(spark):
         r, k = got[p.page_id], p.page_id % 4
         assert (r.status, r.tries, r.payload and bytes(r.payload).decode()) == ((404, 1, None) if k == 0 else (200, 2 if k == 1 else 1, p.html))
     assert got[-1].status is None and got[-1].tries == 2 and got[-1].error.startswith("URLError")
+
+
+def test_members_of_many_small_archives_are_one_table():
+    class Files:
+        select = lambda self, *_: self
+        mapInPandas = staticmethod(lambda f, _: f)
+
+    import gzip
+
+    import pandas as pd
+
+    pdf = pd.DataFrame({"path": [f"x/{i}.txt.gz" for i in range(50)] + ["x/bad"], "content": [gzip.compress(b"%d" % i) for i in range(50)] + [b"plain"]})
+    made = list(shards.expand_archive(Files())(iter([pdf])))
+    assert len(made) == 1 and made[0]["payload"].tolist() == [*(b"%d" % i for i in range(50)), None] and made[0]["error"].notna().sum() == 1
