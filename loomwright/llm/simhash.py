@@ -4,12 +4,14 @@ Fingerprint bits that go together are grouped into partitions. Two fingerprints
 within t_i bits on some partition i whenever sum(t_i + 1) = r + 1; dynamic programming shares those r + 1
 units among the partitions, unequally, by the number of candidates that each radius is estimated to give.
 
-drop_near_duplicates() works on the exact sets of shingles instead, with MinHash bands to find candidates.
+drop_near_duplicates() links by the exact sets of shingles. Its candidates are what this index finds among the sets'
+fingerprints, and MinHash bands find those that are left, as a similarity of 0.8 is further than fingerprints reach.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from itertools import accumulate, combinations, repeat
 
 import numpy as np
@@ -28,6 +30,8 @@ BUCKET_ROWS = 32_768
 _HASHES = 1 << 19
 #: MinHash bands of the near-copy search, and MinHash values in each.
 BANDS, BAND_ROWS = 32, 5
+#: Fingerprints of drop_near_duplicates: bits within which all pairs are found, and up to which a pair that meets is a candidate.
+PRINT_RADIUS, PRINT_DISTANCE = 3, 12
 #: Shingle hashes whose minima are taken at a time, so that they stay in a core's cache.
 _MINIMA = 1 << 15
 #: Rows of a component of candidates that one task compares, and about how many rows of a larger one all its others are compared with.
@@ -60,7 +64,13 @@ def _widen(h: np.ndarray, words: int) -> np.ndarray:
 
 def fingerprints(texts: list[bytes], k: int = 3, words: int = 1) -> np.ndarray:
     """(n, words) uint64: a bit is 1 if it is set in over half of the shingles' XXH64 (seed 42); no words: zero."""
-    out = np.zeros((len(texts), words), np.uint64)
+    every = (shingles(t, k) for t in texts)
+    return majorities((np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(42)), np.uint64, len(s)) for s in every), len(texts), words)
+
+
+def majorities(hashes: Iterable[np.ndarray], count: int, words: int = 1) -> np.ndarray:
+    """(count, words) uint64: a bit is 1 if it is set in over half of an array's hashes; an empty array: zero."""
+    out = np.zeros((count, words), np.uint64)
     held, first, total = [], 0, 0
 
     def flush(end):
@@ -77,13 +87,12 @@ def fingerprints(texts: list[bytes], k: int = 3, words: int = 1) -> np.ndarray:
             out[first:end] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
         held, first, total = [], end, 0
 
-    for i, t in enumerate(texts):
-        s = shingles(t, k)
-        held.append(np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(42)), np.uint64, len(s)))
-        total += len(s)
+    for i, own in enumerate(hashes):
+        held.append(own)
+        total += len(own)
         if total >= _HASHES or len(held) >= 1000:
             flush(i + 1)
-    flush(len(texts))
+    flush(count)
     return out
 
 
@@ -295,14 +304,19 @@ def _links(cands: DataFrame, keys: list[str], distance: int) -> DataFrame:
 
 
 def near_components(nodes: DataFrame, distance: int, radius: int | None = None, widths: tuple[int, ...] = (16, 21, 32)) -> DataFrame:
-    """(node, component) of the linked ones among ``nodes`` (fp binary, node long; fingerprints distinct).
+    """(node, component) of the linked ones among ``nodes``, as near_links() finds them."""
+    return connected_components(near_links(nodes, distance, radius, widths))
+
+
+def near_links(nodes: DataFrame, distance: int, radius: int | None = None, widths: tuple[int, ...] = (16, 21, 32)) -> DataFrame:
+    """(a, b) links that span, in each bucket, what is linked among ``nodes`` (fp binary, node long; fingerprints distinct).
 
     Two fingerprints link at ``distance`` or fewer differing bits. All pairs within ``radius`` (default: the same)
     are sure to be found; pairs between radius and distance are found where they meet in a bucket.
     """
     bits_row = nodes.select(F.length("fp")).first()
     if bits_row is None:
-        return nodes.select("node", F.col("node").alias("component"))
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
     bits = 8 * bits_row[0]
     n, both = bit_statistics(nodes, bits)
     parts = plan(n, both, distance if radius is None else radius, widths)
@@ -312,7 +326,7 @@ def near_components(nodes: DataFrame, distance: int, radius: int | None = None,
         split = cands.join(big, keys, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         split = split.withColumn("c", F.pmod(F.xxhash64("fp"), "chunks")).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         cands, keys = split.withColumn("lo", F.least("c", "d")).withColumn("hi", F.greatest("c", "d")), [*keys, "lo", "hi"]
-    return connected_components(_links(cands, keys, distance))
+    return _links(cands, keys, distance)
 
 
 def simhash_groups(
@@ -541,9 +555,10 @@ def _verified_links(cands: DataFrame, similarity: float) -> DataFrame:
     return plain.union(found).union(_grouped(split, ["bucket", "lo", "hi"], search))
 
 
-def true_links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def true_links(buckets: DataFrame, sets: DataFrame, similarity: float, known: DataFrame | None = None) -> DataFrame:
     """(a, b): links of exact Jaccard ``similarity`` or more that connect all nodes which such links between nodes of one bucket
     connect. ``buckets`` has key, node and first (the smallest node of the key) for all its others, ``sets`` node and set.
+    ``known`` are true links (a, b: the smaller) that are found already: they are part of the result, and are not compared again.
 
     First each node meets the smallest first of its buckets, then those firsts that it is not connected to. A bucket of two is
     settled by that, and so is one whose other nodes are connected; only in the rest are nodes compared with each other, bucket
@@ -551,10 +566,13 @@ def true_links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     chance does not make: those that share nodes are one group, so that a node is compared once and not for each of its keys.
     """
     pairs = durable(buckets.select("node", "first").distinct(), "bucket-pairs")
+    of = lambda df, col, name: df.join(part.select(F.col("node").alias(col), F.col("component").alias("c")), col, "left").select(*df.columns, F.coalesce("c", col).alias(name))
+    if known is not None:
+        pairs = pairs.join(known.toDF("node", "first"), ["node", "first"], "left_anti")
     least = pairs.groupBy("node").agg(F.min("first").alias("first"))
-    one = durable(star_links(least, sets, similarity), "links")
+    one = star_links(least, sets, similarity)
+    one = durable(one if known is None else one.union(known), "links")
     part = connected_components(one)
-    of = lambda df, col, name: df.join(part.select(F.col("node").alias(col), F.col("component").alias("c")), col, "left").select(*df.columns, F.coalesce("c", col).alias(name))
     rest = pairs.join(least.withColumnRenamed("first", "met"), "node").where("first != met").drop("met")
     rest = of(of(rest, "node", "x"), "first", "y").where("x != y").select("node", "first")
     links = one.union(durable(star_links(rest, sets, similarity), "links"))
@@ -580,9 +598,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The documents without those that have a near copy of smaller id linked to them, directly or through others.
 
     Two documents link if the Jaccard of their sets of distinct word shingles is ``similarity`` or more, verified on
-    the sets. Candidates are those that share a bucket of BANDS MinHash bands of BAND_ROWS values each, and only verified
-    links connect anything (see true_links): a pair at 0.8 shares a bucket with chance 1 - (1 - 0.8 ** 5) ** 32, over 99.999 %, whatever the number of documents. Documents
-    without words are copies of each other. Rows with a null id stay; rows that repeat an id stay or go together. The
+    the sets; only verified links connect anything. Sets have fingerprints of 64 bits, and the first candidates are those that
+    near_links() finds: all pairs within PRINT_RADIUS bits, and pairs within PRINT_DISTANCE that meet. At 0.8 about ten bits
+    differ, so the other candidates are documents not connected yet that share a bucket of BANDS MinHash bands of BAND_ROWS
+    values each (see true_links): a pair at 0.8 shares one with chance 1 - (1 - 0.8 ** 5) ** 32, over 99.999 %, whatever the
+    number of documents. Documents without words are copies of each other. Rows with a null id stay; rows that repeat an id stay or go together. The
     input's columns come back unchanged.
     """
     prepare(docs.sparkSession)
@@ -591,17 +611,23 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def marks(b: pa.RecordBatch):
         sets = shingle_sets(b.column(1).to_pylist(), shingle)
         keys = [xxhash.xxh128_digest(x.tobytes()) for x in sets]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in band_keys(sets)], pa.binary())], ["doc", "key", "bands"])
+        prints = [x.tobytes() for x in majorities(sets, len(sets))]
+        columns = [keys, prints, [x.tobytes() for x in band_keys(sets)]]
+        return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.binary()) for c in columns]], ["doc", "key", "fp", "bands"])
 
     def whole(b: pa.RecordBatch):
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1).to_pylist(), shingle)], pa.binary())], ["node", "set"])
 
-    own = durable(map_arrow(texts, marks, "doc long, key binary, bands binary"), "shingle-marks")
-    nodes = durable(own.groupBy("key").agg(F.min("doc").alias("node"), F.first("bands").alias("bands")), "nodes")
+    own = durable(map_arrow(texts, marks, "doc long, key binary, fp binary, bands binary"), "shingle-marks")
+    nodes = durable(own.groupBy("key").agg(F.min("doc").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    prints = durable(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    same = nodes.select("node", "fp").join(prints.withColumnRenamed("node", "first"), "fp").select("node", "first")
+    near = durable(near_links(prints, PRINT_DISTANCE, PRINT_RADIUS).union(same).toDF("node", "first").where("node != first").distinct(), "print-pairs")
     buckets = durable(_buckets(nodes), "buckets")
-    used = buckets.select("node").union(buckets.select("first")).distinct()
+    used = buckets.select("node").union(buckets.select("first")).union(near.select("node")).union(near.select("first")).distinct()
     sets = durable(map_arrow(used.join(texts, F.col("node") == F.col("doc")).select("node", "t"), whole, "node long, set binary"), "candidates")
-    found = connected_components(true_links(buckets, sets, similarity))
+    known = durable(star_links(near, sets, similarity), "print-links")
+    found = connected_components(true_links(buckets, sets, similarity, known))
     labelled = nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     gone = durable(own.select("doc", "key").join(labelled, "key").where("doc != component").select("doc").distinct(), "near-copies")
     rows = pack(docs, doc=named(id_col).cast("long"))

@@ -244,3 +244,33 @@ def test_buckets_over_batches(spark):
         for k in range(4):
             of.setdefault(int.from_bytes(b[8 * k : 8 * k + 8], "little", signed=True), set()).add(i)
     assert got == sorted((k, i, min(v)) for k, v in of.items() for i in v if i != min(v))
+
+
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """Without any band: pairs within the radius are found by their fingerprints, and verified; with bands, no pair
+    is compared twice."""
+    import loomwright.llm.simhash as sh
+
+    r = random.Random(40)
+    pairs = []
+    for _ in range(40):
+        w = ["w%d" % r.randrange(50_000) for _ in range(900)]
+        pairs.append((" ".join(w), " ".join([*w[:-1], "other"])))
+    sets = [sh.shingle_sets([t.encode() for t in p], 5) for p in pairs]
+    bits = [int(np.bitwise_count(np.bitwise_xor(*sh.majorities(s, 2)[:, 0]))) for s in sets]
+    sure = {2 * i + 1 for i, n in enumerate(bits) if n <= sh.PRINT_RADIUS}
+    assert len(sure) > 30
+    compared, star = [], sh.star_links
+
+    def count(cands, *rest):
+        compared.append(cands.count())
+        return star(cands, *rest)
+
+    monkeypatch.setattr(sh, "star_links", count)
+    assert dropped(spark, pairs) == {2 * i + 1 for i in range(40)}
+    assert compared[0] >= len(sure) and sum(compared) == 40
+    monkeypatch.setattr(sh, "_buckets", lambda nodes: spark.createDataFrame([], "key long, node long, first long"))
+    assert sure <= dropped(spark, pairs) <= {2 * i + 1 for i in range(40)}
+    # fingerprints alone connect nothing: every pair is a candidate, and none is near enough
+    monkeypatch.setattr(sh, "majorities", lambda hashes, count, words=1: np.zeros((count, words), np.uint64))
+    assert dropped(spark, isolated_pairs([60] * 10, 41)) == set()
