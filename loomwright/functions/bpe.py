@@ -1,4 +1,4 @@
-"""Byte-pair encoding of a table: its distinct words are merged once in the cluster, and their ids go back to the texts."""
+"""Byte-pair encoding of a table: frequent words are merged once in the cluster, rare ones where they are."""
 
 from __future__ import annotations
 
@@ -13,14 +13,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from loomwright.functions.tokenizer import tidy
-from loomwright.session import durable, ship
+from loomwright.session import bounded, durable, ship
 
 #: How the vocabulary cuts a text into words (a fixed pattern): contractions, runs of letters, single digits, runs of others.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-#: Words whose ids are sent to every executor, the most frequent first (about 40 MB); the places of rarer ones are joined.
-BROADCAST_WORDS = 200_000
+#: Words whose ids are sent to every executor, the most frequent first (about 40 MB); and how many of the rarer ones a
+#: task remembers.
+BROADCAST_WORDS, KNOWN_WORDS = 200_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,10 @@ class Merges:
                     heapq.heappush(heap, (r, x, letters[x], letters[y]))
         return [self.ids[p] for p in letters if p is not None]
 
+    def word(self, word: str) -> list[int]:
+        """A word's ids, or the id of a special token."""
+        return [self.special[word]] if word in self.special else self.merge(word)
+
 
 def _alphabet() -> dict[int, str]:
     """The printable character of each byte: its own where Latin-1 has one, else the next from 256 on."""
@@ -93,62 +99,55 @@ def encode_table(docs: DataFrame, path: str, text_col: str = "text", into: str =
     """``docs`` with ``into``, an array of the ids of its text under the vocabulary file at ``path`` (null for a null text; a column of
     that name is replaced).
 
-    Texts are cut once and written with their words. Distinct words are counted where they are, merged once each in the
-    cluster, and written. The ids of the ``broadcast_words`` most frequent go to all tasks; only the places of rarer ones
-    are joined to theirs, so that no frequent word is ever a join key, and only texts that hold such words are put together again.
-    The file has to be where tasks can read it.
+    Texts are cut once and written with their words. Distinct words are counted where they are, and the ``broadcast_words`` most
+    frequent are merged once each in the cluster; their ids go to all tasks. Rarer ones, which occur a few times each, are merged where
+    they are, and each task remembers up to KNOWN_WORDS of them. So texts are never shuffled or put together again, and words only
+    as counts. The file has to be where tasks can read it.
     """
     spark = docs.sparkSession
     ship(spark)
+    keep = [c for c in docs.columns if c != into]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = bounded(docs.select(F.struct(*[quoted(c) for c in keep]).alias("kept"), quoted(text_col).alias("text")))
+    kept = rows.schema["kept"]
 
     def words(batches: Iterator[pa.RecordBatch]):
         special = tuple(load_merges(path).special)
         for b in batches:
             found = [None if t is None else cut_words(t, special if any(s in t for s in special) else ()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["row", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["kept", "words"])
 
     def merged(batches: Iterator[pa.RecordBatch]):
         m = load_merges(path)
         for b in batches:
-            found = [[m.special[w]] if w in m.special else m.merge(w) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(m.word, b.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "ids"])
 
-    keep = [c for c in docs.columns if c != into]
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    rows = durable(docs.select(F.struct(*[quoted(c) for c in keep]).alias("_kept"), quoted(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row")), "rows")
-    cut = durable(rows.select("_row", "_text").mapInArrow(words, "row long, words array<string>"), "words")
-    vocabulary = cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    vocabulary = durable(vocabulary.mapInArrow(merged, "word string, n long, ids array<int>"), "vocabulary")
-    few = vocabulary.count() <= broadcast_words
-    frequent = vocabulary if few else vocabulary.orderBy(F.col("n").desc(), "word").limit(broadcast_words)
-    shared = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in frequent.select("word", "ids").toArrow().columns))) if broadcast_words else {})
+    cut = durable(rows.mapInArrow(words, StructType([kept, StructField("words", ArrayType(StringType()))])), "words")
+    shared = spark.sparkContext.broadcast({})
+    if broadcast_words:
+        counted = cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        frequent = counted.orderBy(F.col("n").desc(), "word").limit(broadcast_words).select("word").repartition("word")
+        found = frequent.mapInArrow(merged, "word string, ids array<int>").toArrow()
+        shared = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in found.columns))))
 
     def known(batches: Iterator[pa.RecordBatch]):
-        ids = shared.value
+        ids, m, rare = shared.value, load_merges(path), {}
         for b in batches:
-            done, missing, at = [], [], []
+            out = []
             for ws in b.column(1).to_pylist():
-                if ws is None:
-                    done.append(None), missing.append([]), at.append([])
-                    continue
-                got = [ids.get(w) for w in ws]
-                gaps = [i for i, x in enumerate(got) if x is None]
-                done.append([[] if x is None else x for x in got] if gaps else [[y for x in got for y in x]])
-                missing.append([ws[i] for i in gaps]), at.append(gaps)
-            types = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip((done, missing, at), types)]], ["row", "done", "missing", "at"])
-
-    got = cut.mapInArrow(known, "row long, done array<array<int>>, missing array<string>, at array<int>")
-    if few:
-        out = got.select("row", F.flatten("done").alias("ids"))
-    else:
-        got = durable(got, "known")
-        gaps = got.select("row", F.explode(F.arrays_zip("missing", "at")).alias("g")).select("row", F.col("g.missing").alias("word"), F.col("g.at").alias("at"))
-        filled = gaps.join(vocabulary.select("word", "ids"), "word").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "ids"))).alias("filled"))
-        whole = got.join(filled, "row", "left")
-        out = whole.select("row", F.flatten(F.when(F.col("filled").isNull(), F.col("done")).otherwise(F.transform("done", lambda x, i: F.coalesce(F.try_element_at("filled", i), x)))).alias("ids"))
-    joined = rows.join(out, F.col("_row") == F.col("row"))
-    return joined.select(*[F.col("_kept")[c].alias(c) for c in keep], F.col("ids").alias(into))
+                own = None if ws is None else []
+                for w in ws or ():
+                    got = ids.get(w) or rare.get(w)
+                    if got is None:
+                        if len(rare) >= KNOWN_WORDS:
+                            rare.clear()
+                        got = rare[w] = m.word(w)
+                    own += got
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["kept", "ids"])
+
+    done = cut.mapInArrow(known, StructType([kept, StructField("ids", ArrayType(IntegerType()))]))
+    return done.select(*[F.col("kept")[c].alias(c) for c in keep], F.col("ids").alias(into))
 
 
 def vocabulary_path(spark: SparkSession, name: str = "word_bpe_49k.json") -> str:

@@ -39,3 +39,16 @@ def test_documents_against_the_library(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     for x in encode_table(docs, PATH, broadcast_words=500).collect():
         assert x.ids == lib.encode(tidy(x.text), add_special_tokens=False).ids
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """Rare words are merged where they are: the result is a narrow plan, and few remembered words give the same ids."""
+    import loomwright.functions.bpe as bpe
+
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 2)
+    lib = Tokenizer.from_file(PATH)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(50)
+    got = encode_table(docs, PATH, broadcast_words=10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert all(x.ids == lib.encode(tidy(x.text), add_special_tokens=False).ids for x in got.collect())
