@@ -10,12 +10,18 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBERS = "shard string, ord int, member string, ext string, payload binary, error string"
-#: Bytes of members that a task holds before it hands them on.
-_HELD_BYTES = 16 << 20
+#: Bytes of members that a task holds before it hands them on, and what a row takes beside its member's bytes, about.
+_HELD_BYTES, _ROW_BYTES = 2 << 20, 512
+_TYPES = {"shard": pa.string(), "ord": pa.int32(), "member": pa.string(), "ext": pa.string(), "payload": pa.binary(), "error": pa.string()}
+
+
+def _member_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES.values())], list(_TYPES))
 
 
 def _member_rows(rows: list[tuple]) -> pd.DataFrame:
@@ -33,37 +39,42 @@ def read_tar(spark: SparkSession, path: str | list[str], mask: str = "*.tar", ex
 
 
 def expand_tar(files: DataFrame, exts: tuple[str, ...] | None = None, tolerant: bool = True) -> DataFrame:
-    """read_tar() for a table of path and content."""
+    """read_tar() for a table of path and content. Shards are read where Arrow holds them; small ones share a batch of members."""
 
-    def members(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for shard, content in zip(pdf["path"], pdf["content"]):
-                rows, held, ord_ = [], 0, 0
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for b in batches:
+            for shard, content in zip(b.column(0), b.column(1)):
+                shard, content, ord_ = shard.as_py(), content.as_buffer() if content.is_valid else pa.py_buffer(b""), 0
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
+                    with tarfile.open(fileobj=pa.BufferReader(content), mode="r|*") as tar:
                         for info in tar:
+                            tar.members.clear()  # else it keeps every header
                             if not info.isfile():
                                 continue
-                            ext = info.name.rsplit("/", 1)[-1].partition(".")[2].lower()
+                            name = info.name.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+                            ext = name.rsplit("/", 1)[-1].partition(".")[2].lower()
                             if exts is None or ext in exts:
                                 payload = tar.extractfile(info).read()
                                 if len(payload) < info.size:
-                                    raise tarfile.ReadError(f"{info.name} is cut off")
-                                rows.append((shard, ord_, info.name, ext, payload, None))
-                                held += len(payload)
+                                    raise tarfile.ReadError(f"{name} is cut off")
+                                rows.append((shard, ord_, name, ext, payload, None))
+                                held += len(payload) + _ROW_BYTES
                             ord_ += 1
                             if held >= _HELD_BYTES:
-                                yield _member_rows(rows)
+                                yield _member_batch(rows)
                                 rows, held = [], 0
-                        if content[257:262] == b"ustar" and 0 < len(content) - tar.offset < 512:  # plain tars end on whole blocks
+                        if content[257:262].to_pybytes() == b"ustar" and 0 < content.size - tar.offset < 512:  # plain tars end on whole blocks
                             raise tarfile.ReadError("a header is cut off")
                 except Exception as e:  # any damage ends the shard, as its framing is lost
                     if not tolerant:
                         raise
                     rows.append((shard, ord_, None, None, None, f"{type(e).__name__}: {e}"))
-                yield _member_rows(rows)
+                    held += _ROW_BYTES
+        if rows:
+            yield _member_batch(rows)
 
-    return files.select("path", "content").mapInPandas(members, MEMBERS)
+    return files.select("path", "content").mapInArrow(members, MEMBERS)
 
 
 def expand_archive(files: DataFrame, tolerant: bool = True) -> DataFrame:
@@ -80,13 +91,13 @@ def expand_archive(files: DataFrame, tolerant: bool = True) -> DataFrame:
                     if content[:2] == b"\x1f\x8b":
                         member = name[:-3] if name.endswith(".gz") else name
                         rows.append((path, 0, member, member.partition(".")[2].lower(), gzip.decompress(content), None))
-                        held += len(rows[-1][4])
+                        held += len(rows[-1][4]) + _ROW_BYTES
                     else:
                         with zipfile.ZipFile(io.BytesIO(content)) as z:
                             for info in z.infolist():
                                 if not info.is_dir():
                                     rows.append((path, ord_, info.filename, info.filename.rsplit("/", 1)[-1].partition(".")[2].lower(), z.read(info), None))
-                                    held += len(rows[-1][4])
+                                    held += len(rows[-1][4]) + _ROW_BYTES
                                     ord_ += 1
                                 if held >= _HELD_BYTES:
                                     yield _member_rows(rows)
@@ -152,33 +163,37 @@ def with_image_size(df: DataFrame, payload: str = "payload") -> DataFrame:
     return df.withColumn("_z", size(payload)).select(*df.columns, F.col("_z.width").alias("width"), F.col("_z.height").alias("height"))
 
 
-def pack_tar(rows: DataFrame, key: str, columns: dict[str, str], per_shard: int = 10_000) -> DataFrame:
-    """(part, shard, content): tar files of at most ``per_shard`` samples for each partition; ``columns`` maps suffixes to
-    columns (binary, or text as UTF-8). A file sink or a table can hold the result."""
+def pack_tar(rows: DataFrame, key: str, columns: dict[str, str], per_shard: int = 10_000, shard_bytes: int = 64 << 20) -> DataFrame:
+    """(part, shard, content): tar files for each partition, of at most ``per_shard`` samples; one that has ``shard_bytes`` ends
+    before. ``columns`` maps suffixes to columns (binary, or text as UTF-8). A file sink or a table can hold the result."""
     names = list(columns.values())
 
-    def build(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, no, n, buf, tar = TaskContext.get().partitionId(), 0, 0, None, None
-        for pdf in pdfs:
-            for r in pdf.itertuples(index=False):
+
+        def made() -> pa.RecordBatch:
+            tar.close()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([buf.getvalue()], pa.binary())], ["part", "shard", "content"])
+
+        for b in batches:
+            for k, *values in zip(*b.columns):
                 if tar is None:
                     buf = io.BytesIO()
                     tar, n = tarfile.open(fileobj=buf, mode="w"), 0
-                for suffix, value in zip(columns, r[1:]):
-                    if value is not None:
-                        data = value.encode() if isinstance(value, str) else bytes(value)
-                        info = tarfile.TarInfo(f"{r[0]}.{suffix}")
-                        info.size = len(data)
-                        tar.addfile(info, io.BytesIO(data))
+                for suffix, value in zip(columns, values):
+                    if value.is_valid:
+                        data = value.as_buffer()
+                        info = tarfile.TarInfo(f"{k.as_py()}.{suffix}")
+                        info.size = data.size
+                        tar.addfile(info, pa.BufferReader(data))
+                        tar.members.clear()  # else it keeps every header
                 n += 1
-                if n == per_shard:
-                    tar.close()
-                    yield pd.DataFrame({"part": [part], "shard": [no], "content": [buf.getvalue()]})
-                    no, tar = no + 1, None
+                if n == per_shard or buf.tell() >= shard_bytes:
+                    yield made()
+                    no, buf, tar = no + 1, None, None
         if tar is not None:
-            tar.close()
-            yield pd.DataFrame({"part": [part], "shard": [no], "content": [buf.getvalue()]})
+            yield made()
 
-    return rows.select(F.col(key).cast("string"), *names).mapInPandas(build, "part int, shard int, content binary")
+    return rows.select(F.col(key).cast("string"), *names).mapInArrow(build, "part int, shard int, content binary")

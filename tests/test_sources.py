@@ -196,3 +196,49 @@ def test_members_of_many_small_archives_are_one_table():
     pdf = pd.DataFrame({"path": [f"x/{i}.txt.gz" for i in range(50)] + ["x/bad"], "content": [gzip.compress(b"%d" % i) for i in range(50)] + [b"plain"]})
     made = list(shards.expand_archive(Files())(iter([pdf])))
     assert len(made) == 1 and made[0]["payload"].tolist() == [*(b"%d" % i for i in range(50)), None] and made[0]["error"].notna().sum() == 1
+
+
+class _Function:
+    """A table whose mapIn... gives the function back."""
+
+    select = lambda self, *_: self
+    mapInArrow = mapInPandas = staticmethod(lambda f, _: f)
+
+
+def test_many_empty_members_are_handed_on():
+    """Rows take memory where members have no bytes: 50,000 of them are several batches, of a tar and of a zip."""
+    import zipfile
+
+    import pandas as pd
+    import pyarrow as pa
+
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for i in range(50_000):
+            z.writestr(f"{i}.txt", b"")
+    whole = tar([(f"{i}.txt", b"") for i in range(50_000)])
+    expand = shards.expand_tar(_Function())
+    made = [b.column("ord").to_pylist() for b in (expand(iter([pa.RecordBatch.from_pydict({"path": ["x"], "content": [whole]})])))]
+    assert max(map(len, made)) < 20_000 and sum(made, []) == list(range(50_000))
+    zips = [len(d) for d in shards.expand_archive(_Function())(iter([pd.DataFrame({"path": ["x"], "content": [buf.getvalue()]})]))]
+    assert max(zips) < 20_000 and sum(zips) == 50_000
+
+
+def test_small_tars_share_a_batch_and_damage_stays_in_order():
+    import pyarrow as pa
+
+    one = [tar([(f"{i}.txt", b"%d" % i), (f"{i}.bin", b"")]) for i in range(30)]
+    content = [*one[:10], one[10][:700], None, *one[11:]]
+    got = list(shards.expand_tar(_Function())(iter([pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(content))]), pa.array(content, pa.binary())], ["path", "content"])])))
+    assert len(got) == 1
+    rows = got[0].to_pylist()
+    assert [r["payload"] for r in rows if r["ext"] == "txt" and r["shard"] > "1"] and [(r["shard"], r["ord"]) for r in rows if r["error"]] == [("10", 1), ("11", 0)]
+    assert [r["payload"] for r in rows if r["ext"] == "txt"] == [b"%d" % i for i in range(30)]
+
+
+def test_packed_shards_end_by_their_bytes(spark):
+    d = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 100000) AS t", "IF(id % 2 = 0, '\u00e9', NULL) AS m")
+    made = shards.pack_tar(d, "id", {"txt": "t", "m": "m"}, shard_bytes=1 << 20)
+    assert made.count() >= 4 and made.selectExpr("max(length(content))").first()[0] < 1_300_000
+    rows = shards.expand_tar(made.select(F.concat_ws("-", "part", "shard").alias("path"), "content")).collect()
+    assert sorted((int(r.member.split(".")[0]), r.ext, len(r.payload)) for r in rows) == sorted([(i, "txt", 100_000) for i in range(40)] + [(i, "m", 2) for i in range(0, 40, 2)])
