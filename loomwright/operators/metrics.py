@@ -103,16 +103,38 @@ def bleu(df: DataFrame, key: str, candidate: str, references: str, most: int = 4
     return t.select(*[(brevity * F.exp(sum(logs[:n]) / n)).alias(f"bleu{n}") for n in range(1, most + 1)])
 
 
+#: Words of a text that lcs_length() takes at a time; their bits have 2 MB at most.
+_LCS_WORDS = 4096
+
+
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """The length of the longest common subsequence, by bit-parallel rows."""
-    where: dict[str, int] = {}
-    for j, w in enumerate(b):
-        where[w] = where.get(w, 0) | 1 << j
-    mask = v = (1 << len(b)) - 1
-    for w in a:
-        u = v & where.get(w, 0)
-        v = (v + u | v - u) & mask
-    return len(b) - v.bit_count()
+    """The length of the longest common subsequence, by bit-parallel rows.
+
+    What both begin or end with counts whole. The rest of ``b`` is taken in blocks, each of which leaves the next one a carry for
+    each word of ``a``: so memory grows with the texts, not with the product of their words and different words."""
+    lo, most = 0, min(len(a), len(b))
+    while lo < most and a[lo] == b[lo]:
+        lo += 1
+    same = lo
+    while same < most and a[lo - same - 1] == b[lo - same - 1]:
+        same += 1
+    a, b = a[lo : len(a) - same + lo], b[lo : len(b) - same + lo]
+    carry = bytearray(len(a))
+    for at in range(0, len(b), _LCS_WORDS):
+        block = b[at : at + _LCS_WORDS]
+        where: dict[str, int] = {}
+        for j, w in enumerate(block):
+            where[w] = where.get(w, 0) | 1 << j
+        mask = v = (1 << len(block)) - 1
+        for i, w in enumerate(a):
+            m = where.get(w, 0)
+            if m or carry[i]:
+                u = v & m
+                added = v + u + carry[i]
+                carry[i] = added >> len(block)
+                v = (added | v - u) & mask
+        same += len(block) - v.bit_count()
+    return same
 
 
 def rouge_l(candidate: list[str], references: list[list[str]], beta: float = 1.2) -> float:

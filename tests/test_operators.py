@@ -198,6 +198,27 @@ def test_overlap(spark):
     assert c[0] == pytest.approx(10) and 0 < c[1] < 5
 
 
+def test_subsequences_in_blocks(monkeypatch):
+    """Blocks hand their carries on; texts of many different words take memory in proportion to their length."""
+    import tracemalloc
+
+    words = [str(i) for i in range(30_000)]
+    tracemalloc.start()
+    assert metrics.lcs_length(words, words[9_000:] + words[:9_000]) == 21_000
+    assert tracemalloc.get_traced_memory()[1] < 12 << 20
+    tracemalloc.stop()
+    r = np.random.default_rng(7)
+    for size in (1, 3, 5):
+        monkeypatch.setattr(metrics, "_LCS_WORDS", size)
+        for _ in range(80):
+            x, y = (list(r.choice(list("abcd"), int(n))) for n in r.integers(0, 18, 2))
+            t = np.zeros((len(x) + 1, len(y) + 1), int)
+            for i, p in enumerate(x):
+                for j, q in enumerate(y):
+                    t[i + 1, j + 1] = t[i, j] + 1 if p == q else max(t[i, j + 1], t[i + 1, j])
+            assert metrics.lcs_length(x, y) == t[-1, -1]
+
+
 def test_several_references(spark):
     many = spark.createDataFrame([(0, "a b c d e", ["q r", "a b c d e"]), (1, "x y z w", ["x q z w v", "x y z"]), (2, None, []), (3, "a b", None)], "k int, c string, r array<string>")
     b = metrics.bleu(many.where("k < 2"), "k", "c", "r").first()
