@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 import zlib
 from collections.abc import Callable
 
@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomwright.functions.vectors import total
 from loomwright.operators.meteor import meteor
-from loomwright.operators.ngrams import counts, distinct_keys, keyed, words_of
+from loomwright.operators.ngrams import Grams, counts, pack_sorted, sorted_keys, split_words, unpack_sorted, words_of
 from loomwright.operators.numbering import prefix
 from loomwright.session import bounded, durable
 
@@ -163,107 +164,211 @@ def meteor_mean(df: DataFrame, candidate: str, references: str) -> DataFrame:
     return _mean(df, candidate, references, lambda c, rs: max((meteor(c, r) for r in rs), default=0.0), "meteor")
 
 
-#: Bytes of captions in a row of cider(), about, and bytes of keys that one task counts.
-_PACK_BYTES, _BUCKET_BYTES = 2 << 20, 16 << 20
+#: Bytes of captions in a block of cider(), about, blocks in a group, and bytes of hashes that one task adds up.
+_PACK_BYTES, _GROUP, _BUCKET_BYTES = 1 << 20, 8, 8 << 20
+
+
+def _stream(column: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([column], ["x"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def cider(df: DataFrame, key: str, candidate: str, references: str, most: int = 4, sigma: float = 6.0) -> DataFrame:
     """(key, cider): ten times the mean over references and n of the clipped tf-idf cosine, with a Gaussian penalty for
     length; document frequencies count the captions of which a reference holds an n-gram. ``key`` is unique.
 
-    Captions are packed, some megabytes to a row. A pack sends each of its n-grams once, as a key of 80 bits with the number
-    of its captions whose references hold it, in a piece for each bucket of keys; the tasks of the buckets add them up and
-    answer each piece with the frequencies in the order of its keys. With these every pack scores its own captions.
+    Captions are split into words once, and go in blocks of about a megabyte, some to a group, which is shuffled once. The weight of an n-gram
+    that no caption or one has is known without asking. So a group first sends short hashes of its n-grams, dealt to buckets, and
+    gets a bit for each: whether two captions may have it. For those alone it sends keys of 80 bits, which are counted
+    exactly, and gets their frequencies. With these every group scores its own captions.
     """
     spark = df.sparkSession
     words = _captions(df, key, candidate, references)
     kind = words.schema["k"].dataType.simpleString()
+    size = F.octet_length("c") + F.aggregate("rs", F.lit(0).cast("long"), lambda n, r: n + F.octet_length(r))
+    total = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    # n-grams of up to four words take about a hash for each four bytes of two references and a caption, which share most
+    hashes = total.bytes // 4 + 1
+    buckets = max(64, 1 << (8 * hashes // _BUCKET_BYTES).bit_length())
+    bits = min(max(hashes.bit_length() + 4, buckets.bit_length() + 8), 63)
+    short, deal, log = np.uint64(64 - bits), np.uint64(bits - buckets.bit_length() + 1), float(np.log(max(total.n, 1)))
+    block = pa.struct([("k", pa.list_(to_arrow_type(words.schema["k"].dataType))), ("texts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary())])
 
     def pack(batches):
+        def grouped(held):
+            name = hashlib.blake2b(digest_size=16)
+            for b in held:
+                for x in (repr(b["k"]), repr(b["sizes"])):
+                    name.update(x.encode())
+                name.update(b["words"])
+            return pa.RecordBatch.from_arrays([pa.array([name.hexdigest()]), pa.array([held], pa.list_(block))], ["pack", "blocks"])
+
+        held = []
         for b in batches:
-            rows = pa.StructArray.from_arrays(b.columns, names=["k", "c", "rs"])
             step = max(1, b.num_rows * _PACK_BYTES // max(b.nbytes, 1))
             for lo in range(0, b.num_rows, step):
-                own = rows.slice(lo, step)
-                held = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.concat_arrays([own]))
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([len(own)]), pa.array([own.nbytes]), held], ["pack", "n", "bytes", "rows"])
-
-    packs = durable(words.mapInArrow(pack, f"pack string, n long, bytes long, rows array<struct<k:{kind},c:string,rs:array<string>>>"), "captions")
-    total = packs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-    # of three texts of which two are references, n-grams take about twice the bytes in keys
-    buckets = max(64, 1 << (2 * total.bytes // _BUCKET_BYTES).bit_length())
-    shift, log = np.uint64(64 - buckets.bit_length() + 1), float(np.log(max(total.n, 1)))
-
-    def grams(rows: pa.Array):
-        """(captions, order, group): counts and keys of each caption, and their distinct keys in order."""
-        made = []
-        for c, rs in zip(rows.field("c").to_pylist(), rows.field("rs").to_pylist()):
-            texts = [words_of(c), *[words_of(r) for r in rs or []]]
-            made.append((texts, *keyed(texts, most)))
-        order, group = distinct_keys(np.concatenate([m[2] for m in made]), np.concatenate([m[3] for m in made]))
-        return made, order, group
+                own = b.slice(lo, step)
+                rows = [[c, *(rs or [])] for c, rs in zip(own.column(1).to_pylist(), own.column(2).to_pylist())]
+                split, sizes = split_words([t for r in rows for t in r])
+                held.append({"k": own.column(0).to_pylist(), "texts": [len(r) for r in rows], "sizes": sizes.tolist(), "words": _stream(split)})
+                if len(held) == _GROUP:
+                    yield grouped(held)
+                    held = []
+        if held:
+            yield grouped(held)
 
-    def send(batches):
+    def distinct(*columns: np.ndarray) -> np.ndarray:
+        """Where rows of sorted columns begin to differ."""
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        return np.flatnonzero(new)
+
+    def grams(blocks: pa.Array):
+        """(n-grams of each block with its captions, keys of all, their order, and the places in it where a short hash begins)"""
+        made = []
+        for i in range(len(blocks)):
+            texts, sizes = (blocks.field(f)[i].values.to_numpy() for f in ("texts", "sizes"))
+            split = pa.ipc.open_stream(blocks.field("words")[i].as_buffer()).read_next_batch().column(0)
+            made.append((Grams(split, sizes, most), texts, sizes))
+        hi, lo = (np.concatenate([getattr(g, f) for g, _, _ in made]) for f in ("hi", "lo"))
+        order = sorted_keys(hi, lo)
+        return made, hi, lo, order, distinct((hi >> short)[order])
+
+    def runs(g: Grams, texts: np.ndarray):
+        """Of a block's entries: the caption, the first entry of the same n-gram and caption, and whether it is the candidate's."""
+        first = np.cumsum(texts) - texts
+        caption = np.repeat(np.arange(len(texts)), texts)
+        own = caption[g.text]
+        new = np.ones(len(own), bool)
+        new[1:] = (g.gram[1:] != g.gram[:-1]) | (own[1:] != own[:-1])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+        return caption, first, start, g.text[start] == first[own[start]]
+
+    def held(made) -> np.ndarray:
+        """Of how many captions a reference holds each n-gram."""
+        out = []
+        for g, texts, _ in made:
+            _, _, start, led = runs(g, texts)
+            last = np.flatnonzero(np.diff(start, append=-1))
+            out.append(np.bincount(g.gram[last], weights=(last > start[last]) | ~led[last], minlength=len(g.hi)).astype(np.uint32))
+        return np.concatenate(out)
+
+    def chosen(order, start, answers):
+        """The part of the order whose short hashes got a set bit."""
+        flag = np.frombuffer(b"".join(zlib.decompress(a["d"]) for a in answers or []), np.uint8)
+        if len(flag) != len(start):
+            raise RuntimeError(f"{len(flag)} answers to {len(start)} hashes: the captions were read in another order")
+        return order[np.repeat(flag == 1, np.diff(start, append=len(order)))]
+
+    def pieces(name, hashes, at, *columns):
+        at = (at >> deal).astype(np.int64)
+        cut = np.flatnonzero(np.diff(at, prepend=-1))
+        rows = [(int(at[x]), y - x, pack_sorted(hashes[x:y]), *(zlib.compress(c[x:y].tobytes(), 1) for c in columns)) for x, y in zip(cut, [*cut[1:], len(at)])]
+        return [pa.array([name] * len(rows), pa.string()), *[pa.array(c) for c in zip(*rows)]]
+
+    def ask(batches):
         for b in batches:
-            for name, rows in zip(b.column(0).to_pylist(), b.column(1)):
-                made, order, group = grams(rows.values)
-                if not len(order):
-                    continue
-                held = np.concatenate([t[1:].any(axis=0) for m in made for t in m[1]])
-                n = np.bincount(group, weights=held[order]).astype(np.uint32)
-                first = order[np.flatnonzero(np.diff(group, prepend=-1))]
-                hi, lo = (np.concatenate([m[k] for m in made])[first] for k in (2, 3))
-                at = (hi >> shift).astype(np.int64)
-                cut = np.flatnonzero(np.diff(at, prepend=-1))
-                pieces = [(int(at[x]), hi[x:y].tobytes(), lo[x:y].tobytes(), zlib.compress(n[x:y].tobytes(), 1)) for x, y in zip(cut, [*cut[1:], len(at)])]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pieces)), *[pa.array(c) for c in zip(*pieces)]], ["pack", "bucket", "hi", "lo", "n"])
+            for name, blocks in zip(b.column(0).to_pylist(), b.column(1)):
+                made, hi, _, order, start = grams(blocks.values)
+                if len(order):
+                    n = np.minimum(np.add.reduceat(np.minimum(held(made), 2)[order], start), 2).astype(np.uint8)
+                    at = (hi >> short)[order[start]]
+                    yield pa.RecordBatch.from_arrays(pieces(name, at, at, n), ["pack", "bucket", "size", "hi", "n"])
 
-    def add(batches):
-        def answer(held):
-            hi, lo = (np.concatenate([np.frombuffer(h[k], t) for h in held]) for k, t in ((2, np.uint64), (3, np.uint16)))
-            n = np.concatenate([np.frombuffer(zlib.decompress(h[4]), np.uint32) for h in held])
-            order, group = distinct_keys(hi, lo)
-            d = np.empty(len(hi), np.uint32)
-            d[order] = np.bincount(group, weights=n[order]).astype(np.uint32)[group]
-            parts = np.split(d, np.cumsum([len(h[3]) // 2 for h in held])[:-1])
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held]), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["pack", "bucket", "d"])
-
-        held: list[tuple] = []
+    def send(batches):
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and row[1] != held[0][1]:
-                    yield answer(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield answer(held)
+            for name, blocks, bits in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                made, hi, lo, order, start = grams(blocks.values)
+                order = chosen(order, start, bits)
+                if len(order):
+                    first = distinct(hi[order], lo[order])
+                    n = np.add.reduceat(held(made)[order], first).astype(np.uint32)
+                    yield pa.RecordBatch.from_arrays(pieces(name, hi[order[first]], hi[order[first]] >> short, lo[order[first]], n), ["pack", "bucket", "size", "hi", "lo", "n"])
+
+    def answered(answer):
+        """A function of batches that come by bucket: one batch of answers for each bucket."""
+
+        def run(batches):
+            rows: list[tuple] = []
+            for b in batches:
+                for row in zip(*(c.to_pylist() for c in b.columns)):
+                    if rows and row[1] != rows[0][1]:
+                        yield done(rows)
+                        rows = []
+                    rows.append(row)
+            if rows:
+                yield done(rows)
+
+        def done(rows):
+            hi = np.concatenate([unpack_sorted(r[3], r[2]) for r in rows])
+            d = np.split(answer(hi, rows), np.cumsum([r[2] for r in rows])[:-1])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([zlib.compress(x.tobytes(), 1) for x in d], pa.binary())], ["pack", "bucket", "d"])
+
+        return run
+
+    def inflated(rows, at, kind):
+        return np.concatenate([np.frombuffer(zlib.decompress(r[at]), kind) for r in rows])
+
+    def twice(hi, rows):
+        order = np.argsort(hi)
+        start = distinct(hi[order])
+        out = np.empty(len(hi), np.uint8)
+        out[order] = np.repeat(np.add.reduceat(inflated(rows, 4, np.uint8).astype(np.int64)[order], start) > 1, np.diff(start, append=len(hi)))
+        return out
+
+    def frequencies(hi, rows):
+        lo = inflated(rows, 4, np.uint16)
+        order = sorted_keys(hi, lo)
+        start = distinct(hi[order], lo[order])
+        out = np.empty(len(hi), np.uint32)
+        out[order] = np.repeat(np.add.reduceat(inflated(rows, 5, np.uint32)[order], start, dtype=np.int64), np.diff(start, append=len(hi)))
+        return out
 
     def score(batches):
         for b in batches:
-            for rows, answers in zip(b.column(0), b.column(1).to_pylist()):
-                rows = rows.values
-                made, order, group = grams(rows)
-                d = np.concatenate([np.frombuffer(zlib.decompress(a["d"]), np.uint32) for a in answers or []] or [np.zeros(0, np.uint32)])
-                idf = np.empty(len(order))
-                idf[order] = log - np.log(np.maximum(d, 1))[group]
-                out, at = [], 0
-                for texts, tables, _, _ in made:
-                    s = np.zeros(len(texts) - 1)
-                    for t in tables:
-                        w = t * idf[at : at + t.shape[1]]
-                        at += t.shape[1]
-                        size = np.sqrt((w**2).sum(axis=1))
-                        both = size[0] * size[1:]
-                        s += np.divide((np.minimum(w[0], w[1:]) * w[1:]).sum(axis=1), both, out=np.zeros(len(s)), where=both > 0)
-                    gap = np.array([len(texts[0]) - len(t) for t in texts[1:]], float)
-                    out.append(float(10 / most * (s * np.exp(-(gap**2) / (2 * sigma**2))).mean()) if len(s) else 0.0)
-                yield pa.RecordBatch.from_arrays([rows.field("k"), pa.array(out, pa.float64())], [key, "cider"])
-
-    sent = packs.select("pack", "rows").mapInArrow(send, "pack string, bucket long, hi binary, lo binary, n binary")
-    found = sent.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "pack string, bucket long, d binary")
-    answers = durable(found, "frequencies").groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("bucket", "d"))).alias("answers"))
+            for blocks, bits, answers in zip(b.column(0), *(c.to_pylist() for c in b.columns[1:])):
+                blocks = blocks.values
+                made, hi, lo, order, start = grams(blocks)
+                idf = np.full(len(hi), log)
+                order = chosen(order, start, bits)
+                if len(order):
+                    first = distinct(hi[order], lo[order])
+                    d = np.frombuffer(b"".join(zlib.decompress(a["d"]) for a in answers or []), np.uint32)
+                    if len(d) != len(first):
+                        raise RuntimeError(f"{len(d)} frequencies of {len(first)} n-grams: the captions were read in another order")
+                    idf[order] = np.repeat(log - np.log(np.maximum(d, 1)), np.diff(first, append=len(order)))
+                at = 0
+                for i, (g, texts, sizes) in enumerate(made):
+                    caption, first, start, led = runs(g, texts)
+                    w = idf[at : at + len(g.hi)][g.gram]
+                    at += len(g.hi)
+                    place, own = g.text * most + g.n, g.count * w
+                    size = np.sqrt(np.bincount(place, weights=own**2, minlength=len(sizes) * most)).reshape(-1, most)
+                    both = np.where(led, np.minimum(g.count[start], g.count), 0) * w * own
+                    both = np.bincount(place, weights=both, minlength=len(sizes) * most).reshape(-1, most)
+                    lead = first[caption]
+                    norm = size * size[lead]
+                    s = np.divide(both, norm, out=np.zeros_like(both), where=norm > 0).sum(axis=1) * np.exp(-((sizes - sizes[lead]).astype(float) ** 2) / (2 * sigma**2))
+                    s[first] = 0
+                    out = 10 / most * np.bincount(caption, weights=s, minlength=len(texts)) / np.maximum(texts - 1, 1)
+                    yield pa.RecordBatch.from_arrays([blocks.field("k")[i].values, pa.array(out, pa.float64())], [key, "cider"])
+
+    def back(asked, run, to):
+        """The answers to what groups asked, as an array for each group."""
+        found = asked.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "pack string, bucket long, d binary")
+        return found.repartition(tasks, "pack").groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("bucket", "d"))).alias(to))
+
+    # a group holds some megabytes of captions, and a task some groups; the shuffled groups are read by three steps
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total.bytes // (4 * _GROUP * (1 << 20)))
+    packs = words.mapInArrow(pack, f"pack string, blocks array<struct<k:array<{kind}>,texts:array<int>,sizes:array<int>,words:binary>>").repartition(tasks, "pack")
+    hashed = packs.mapInArrow(ask, "pack string, bucket long, size long, hi binary, n binary")
+    known = packs.join(back(hashed, answered(twice), "bits"), "pack", "left")
+    sent = known.mapInArrow(send, "pack string, bucket long, size long, hi binary, lo binary, n binary")
     quoted = key.replace("`", "``")
-    return packs.join(answers, "pack", "left").select("rows", "answers").mapInArrow(score, f"`{quoted}` {kind}, cider double")
+    return known.join(back(sent, answered(frequencies), "answers"), "pack", "left").select("blocks", "bits", "answers").mapInArrow(score, f"`{quoted}` {kind}, cider double")
 
 
 # --- distributions ----------------------------------------------------------------------------------------------------

@@ -8,7 +8,8 @@ import pytest
 
 from loomwright.operators import meteor as mt
 from loomwright.operators import metrics
-from loomwright.operators.ngrams import counts, keyed
+from loomwright import session
+from loomwright.operators.ngrams import Grams, counts, keyed, pack_sorted, split_words, unpack_sorted
 from loomwright.session import BATCH_BYTES, bound_batches
 
 
@@ -65,6 +66,34 @@ def test_cider_over_many_packs(spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_grams_of_many_texts():
+    """All n-grams of all texts at once are those of each text, and equal keys are equal n-grams; words are cut as words_of() does."""
+    texts = ["a b a b c", "", "  b a  b ", None, "c", "\u00e9 a b", "x" * 5000 + " a"]
+    words, sizes = split_words(texts)
+    assert words.to_pylist() == [w for t in texts for w in (t or "").split(" ") if w] and sizes.tolist() == [5, 0, 3, 0, 1, 3, 2]
+    g = Grams(words, sizes, 4)
+    own = [[w for w in (t or "").split(" ") if w] for t in texts]
+    names: dict[int, set] = {}
+    for gram, text, n, count in zip(g.gram.tolist(), g.text.tolist(), g.n.tolist(), g.count.tolist()):
+        names[gram] = (names[gram] & {x for x, f in _grams(own[text], n + 1).items() if f == count}) if gram in names else {x for x, f in _grams(own[text], n + 1).items() if f == count}
+    assert all(names.values()) and len(names) == len({x for t in own for n in range(1, 5) for x in _grams(t, n)}) == len(set(zip(g.hi.tolist(), g.lo.tolist())))
+    assert len(g.gram) == sum(len(_grams(t, n)) for t in own for n in range(1, 5))
+    none = Grams(*split_words([None, " "]), 4)
+    assert len(none.gram) == len(none.hi) == 0
+    r = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 999, np.uint64))
+    assert (unpack_sorted(pack_sorted(r), len(r)) == r).all() and len(pack_sorted(r >> np.uint64(44))) < 3 * len(r)
+
+
+def test_cider_writes_no_texts(spark, monkeypatch):
+    """Texts are not written or sorted as rows of megabytes: groups of split captions are shuffled once and that is read again."""
+    before = set(session._scratch)
+    rows = [(0, "", [" "]), (1, None, [None, "a b"]), (2, "a b c d e", []), (3, "a  b", None), *[(i, f"w{i} x{i} y{i} z{i}", [f"w{i} x{i} y{i} z{i}"]) for i in range(4, 60)]]
+    out = metrics.cider(spark.createDataFrame(rows, "k int, c string, r array<string>"), "k", "c", "r")
+    got = {r.k: r.cider for r in out.collect()}
+    assert set(session._scratch) == before and "ReusedExchange" in out._jdf.queryExecution().toString()
+    assert len(got) == 60 and [got[i] for i in range(4)] == [0, 0, 0, 0] and all(got[i] == pytest.approx(10) for i in range(4, 60))
+
+
 def test_meteor_of_a_run():
     """A text and a run of it are one chunk, also where it repeats itself so that tiles of the longest runs are more."""
     a = "a b a a b a a b a b".split() * 9
