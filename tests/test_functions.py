@@ -86,3 +86,23 @@ def test_tokenizer_files(spark):
     path = P.path("word_bpe_49k.json")
     got = values(spark, ["A  dog &amp;amp; cat", "a dog & cat", None, ""], lambda t: encode(t, path))
     assert got[0] == got[1] and len(got[0]) == 4 and got[2:] == [None, []]
+
+
+def test_image_tokens_run_nothing_for_each_id(spark):
+    """Ids become one text whose marks are replaced; null, negative and long ids are formatted one by one, as before."""
+    rows = [(0, [0, 7, 99_999]), (1, [5]), (2, []), (3, None), (4, [3, None, 4]), (5, [-2, 3]), (6, [100_000, 2_147_483_647]), (7, [None]), (8, list(range(70)))]
+    made = spark.createDataFrame(rows, "k int, ids array<int>").select("k", "ids", X.image_tokens(F.col("ids")).alias("t"), A.slices(F.col("ids")).alias("s"), F.expr("concat('<img>', array_join(transform(ids, i -> format_string('<img_%05d>', i)), ''), '</img>')").alias("each"))
+    for r in made.collect():
+        assert r.t == r.each and (r.t is None) == (r.ids is None)
+        if r.k in (0, 1, 2, 8):
+            assert r.t == "<img>" + "".join("<img_%05d>" % i for i in r.ids) + "</img>"
+        assert r.ids is None or r.s == [r.ids[i : i + 32] for i in range(0, len(r.ids) // 32 * 32, 32)]
+    assert "lpad" not in made.select("t")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_is_blank_stops_at_the_first_letter(spark):
+    rows = [("",), (" ",), (" ;,[]{}'\".?: ",), ("\t",), (" \n ",), ("a ",), (" . a",), (None,), ("\u00e9",)]
+    made = spark.createDataFrame(rows, "t string").select("t", X.is_blank(F.col("t")).alias("b"))
+    assert [r.b for r in made.collect()] == [None if t is None else t.strip(X.BLANK_CHARS) == "" for (t,) in rows]
+    assert "ltrim(" in (plan := made._jdf.queryExecution().analyzed().toString().lower()) or "leading" in plan, plan
+    assert "btrim(" not in plan and "both" not in plan
